@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import quality
+from millrace.llm import pii, quality, url_filter
 from millrace.llm.common import documents
 
 
@@ -18,8 +18,42 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules of the URL query's contract, and sites that its own list blocks.
+URL_RULES = (
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+)
+BLOCKED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+_BLOCKED = tuple((f"{s}.example.{t}/", "block") for s in BLOCKED_SITES for t in ("com", "net", "org"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES, hidden=_BLOCKED).select("page_id", "host", "path", "rule", "verdict")
+
+
+def span_list(spans: str, keep=None) -> Column:
+    """``kind:start:end`` of each span that ``keep`` admits, comma-joined."""
+    column = F.filter(spans, keep) if keep else F.col(spans)
+    return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    counts = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    base = F.sha2(span_list("pii", lambda s: s["base"]), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), span_list("pii").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_quality_rules": op6_quality_rules}
+    return {
+        "op5_url_filter": op5_url_filter,
+        "op6_quality_rules": op6_quality_rules,
+        "op10_pii": op10_pii,
+    }
 
 
 _STOP = ", ".join(f"'{x}'" for s in quality.STOP_WORDS for x in (s, s.capitalize()))
@@ -61,5 +95,30 @@ FROM b
 """
 
 
+_RULES = ", ".join(f"('{r}', '{v}')" for r, v in URL_RULES)
+_SITES = ", ".join(f"'{r}'" for r, _ in _BLOCKED)
+
+_OP5 = rf"""
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), r AS (
+  SELECT rule, verdict, split_part(rule, '/', 1) AS h, substr(rule, strpos(rule, '/')) AS p FROM (VALUES {_RULES}) AS t(rule, verdict)
+), f AS (
+  SELECT page_id, max_by(rule, length(rule) * 1000 + length(h)) AS rule, max_by(verdict, length(rule) * 1000 + length(h)) AS verdict
+  FROM h, r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
+), b AS (
+  SELECT DISTINCT page_id FROM h, (SELECT unnest([{_SITES}]) AS site)
+  WHERE (host || '/' = site OR ends_with(host || '/', '.' || site)) AND starts_with(path, '/')
+)
+SELECT h.page_id, h.host, h.path, f.rule,
+       coalesce(f.verdict, CASE WHEN b.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM h LEFT JOIN f USING (page_id) LEFT JOIN b USING (page_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": _OP6}
+    return {"op5_url_filter": _OP5, "op6_quality_rules": _OP6}
