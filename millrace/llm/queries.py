@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import pii, quality, url_filter
+from millrace.llm import pii, quality, secrets, url_filter
 from millrace.llm.common import documents
+from millrace.storage import materialize
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +42,24 @@ def span_list(spans: str, keep=None) -> Column:
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def count_kind(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    found = materialize(secrets.scan(docs).drop("text"), "secret-spans")
+    judged = secrets.judge(found, owner="source", repository="doc_id")
+    base = lambda s: s["ord"] < secrets.N_BASE
+    counts = [count_kind("spans", k[0]) for k in secrets.KINDS[: secrets.N_BASE]]
+    return judged.select(
+        "doc_id", *counts, F.sha2(span_list("spans", base), 256).alias("base_sha256"), span_list("spans").alias("spans"), "n_live", "n_copied"
+    )
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    counts = [count_kind("pii", k) for k in pii.KINDS[:4]]
     base = F.sha2(span_list("pii", lambda s: s["base"]), 256)
     return found.select("doc_id", *counts, base.alias("base_sha256"), span_list("pii").alias("spans"))
 
@@ -52,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_url_filter": op5_url_filter,
         "op6_quality_rules": op6_quality_rules,
+        "op7_secret_scan": op7_secret_scan,
         "op10_pii": op10_pii,
     }
 
