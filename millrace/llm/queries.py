@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import pii, quality, secrets, url_filter
+from millrace.llm import mixing, pii, quality, secrets, topk, url_filter
 from millrace.llm.common import documents
 from millrace.storage import materialize
 
@@ -19,6 +19,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 #: The rules of the URL query's contract, and sites that its own list blocks.
 URL_RULES = (
     ("com/", "allow"),
@@ -66,6 +75,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_source_mixing": op3_source_mixing,
+        "op4_exact_topk": op4_exact_topk,
         "op5_url_filter": op5_url_filter,
         "op6_quality_rules": op6_quality_rules,
         "op7_secret_scan": op7_secret_scan,
@@ -112,6 +123,47 @@ FROM b
 """
 
 
+_OP3 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  FROM documents
+), k AS (
+  SELECT *, -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+            / (1.0 / (1.0 + 4.0 * (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::DOUBLE / greatest(size, 1)::DOUBLE)) AS key
+  FROM d
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source
+), c AS (SELECT *, (rank - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM s
+), l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+            / (sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM c
+), g AS (SELECT source, source_size, least(cap::DOUBLE, weight::DOUBLE * max(level) OVER ()) AS target FROM l
+), e AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS epochs FROM g
+), p AS (
+  SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - (e.epochs * e.source_size)::DOUBLE AS rest,
+         coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, md5(k.t) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
+)
+SELECT doc_id, size, source_size, target,
+       (size * (epochs + CASE WHEN size > 0 AND ahead::DOUBLE + size::DOUBLE / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM p
+"""
+
+_OP4 = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
 _RULES = ", ".join(f"('{r}', '{v}')" for r, v in URL_RULES)
 _SITES = ", ".join(f"'{r}'" for r, _ in _BLOCKED)
 
@@ -138,4 +190,4 @@ FROM h LEFT JOIN f USING (page_id) LEFT JOIN b USING (page_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": _OP5, "op6_quality_rules": _OP6}
+    return {"op3_source_mixing": _OP3, "op4_exact_topk": _OP4, "op5_url_filter": _OP5, "op6_quality_rules": _OP6}
