@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, pii, quality, secrets, topk, url_filter
+from millrace.llm import mixing, packing, pii, quality, secrets, topk, url_filter
 from millrace.llm.common import documents
 from millrace.storage import materialize
 
@@ -66,6 +66,16 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary(), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
     counts = [count_kind("pii", k) for k in pii.KINDS[:4]]
@@ -80,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filter": op5_url_filter,
         "op6_quality_rules": op6_quality_rules,
         "op7_secret_scan": op7_secret_scan,
+        "op8_curve_packing": op8_curve_packing,
         "op10_pii": op10_pii,
     }
 
