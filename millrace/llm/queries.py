@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, packing, pii, quality, secrets, topk, url_filter
+from millrace.llm import mixing, near_dedup, packing, pii, quality, secrets, topk, url_filter
 from millrace.llm.common import documents
 from millrace.storage import materialize
 
@@ -19,6 +19,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.label(documents(spark, sf_dir))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -85,6 +89,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_near_duplicates": op2_near_duplicates,
         "op3_source_mixing": op3_source_mixing,
         "op4_exact_topk": op4_exact_topk,
         "op5_url_filter": op5_url_filter,
