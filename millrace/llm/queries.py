@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, near_dedup, packing, pii, quality, secrets, topk, url_filter
+from millrace.llm import mixing, near_dedup, packing, pii, quality, secrets, topk, toxicity, url_filter
 from millrace.llm.common import documents
 from millrace.storage import materialize
 
@@ -19,6 +19,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    held_out = toxicity.remainder(F.col("doc_id")) == 0
+    model = toxicity.fit(docs, labels, learn=~held_out)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.label(documents(spark, sf_dir))
 
@@ -89,6 +98,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_near_duplicates": op2_near_duplicates,
         "op3_source_mixing": op3_source_mixing,
         "op4_exact_topk": op4_exact_topk,
