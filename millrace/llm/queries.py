@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, near_dedup, packing, pii, quality, secrets, topk, toxicity, url_filter
+from millrace.llm import mixing, near_dedup, packing, pii, quality, secrets, sharding, topk, toxicity, url_filter
 from millrace.llm.common import documents
-from millrace.storage import materialize
+from millrace.storage import fresh_path, materialize
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +89,19 @@ def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary(), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op9_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents arrive in small shards, are compacted, and are read from the final version with the shard that holds them."""
+    store = sharding.ShardStore(spark, fresh_path(spark, "shards"), target=32 << 20, rows=2_000)
+    store.append(documents(spark, sf_dir))
+    version = store.compact()
+    store.vacuum()
+    shards = [(s.name.rsplit("/", 1)[1], k, s.rows, s.bytes) for k, s in enumerate(sorted(store.shards(), key=lambda s: (s.born, s.name)))]
+    listed = spark.createDataFrame(shards, "file string, shard_id long, shard_rows long, shard_bytes long")
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    rows = store.read().select("doc_id", name.alias("file"), F.md5("text").alias("text_md5"))
+    return rows.join(listed, "file").select("doc_id", "text_md5", "shard_id", "shard_rows", "shard_bytes", F.lit(version).cast("long").alias("version"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
     counts = [count_kind("pii", k) for k in pii.KINDS[:4]]
@@ -96,6 +109,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base.alias("base_sha256"), span_list("pii").alias("spans"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -106,7 +125,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": op6_quality_rules,
         "op7_secret_scan": op7_secret_scan,
         "op8_curve_packing": op8_curve_packing,
+        "op9_shard_compaction": op9_shard_compaction,
         "op10_pii": op10_pii,
+        "pipeline": pipeline,
     }
 
 
