@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+#: Writers hold a row group in memory; wide binary columns fill one at this size.
+_ROW_GROUP = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +38,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the DataFrame that reads it."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
