@@ -1,13 +1,13 @@
 """Quality rules: a threshold table compiled into one Spark projection.
 
-``measure`` turns a text into counts, ``compile_rules`` turns rows of
-(measure, low, high) into one boolean expression, and ``judge`` applies both.
+``measures`` turns a text into counts, ``compile_rules`` turns rows of
+(measure, low, high) into conditions, and ``judge`` applies both.
 Everything is built-in functions; no shuffle, no Python on the executors.
 
 Defined results: a null text has no words and counts zero everywhere, so the
 base rule rejects it; an empty text likewise.  Ratios over nothing are 0.
-Repeated rows are judged one by one.  Columns of the input are kept, and new
-columns win a name clash only in ``measure``'s own select.  Equal windows and
+Repeated rows are judged one by one.  Columns of the input are kept unless
+they bear the name of a new one.  Equal windows and
 words are found by 64-bit hashes within one text, so cost grows with the
 length of the text, not with its square.
 """
@@ -46,52 +46,53 @@ RULES = (
 )
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the counts and ratios that the rules read; see the module's docstring for odd rows."""
-    t, w, h, g = (spare(docs, x) for x in ("t__", "w__", "h__", "g__"))
-    text_col = F.coalesce(F.col(text), F.lit(""))
-    names = [c for c in docs.columns if c not in _COUNTS]
-    lines = F.filter(F.split(F.col(t), "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
+def measures(text: Column) -> Column:
+    """A struct of the counts and ratios that the rules read.
+
+    One expression with its intermediate arrays bound inside, so that a filter that the optimizer moves still computes them once.
+    """
+    t = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
     stop = [x for s in STOP_WORDS for x in (s, s.capitalize())]
-    out = docs.withColumn(t, text_col).withColumn(w, words(F.col(t)))
-    out = out.withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
-    out = out.withColumn("n_words", F.size(w).cast("long")).withColumn(
-        g,
-        F.when(
-            F.size(h) >= WINDOW,
-            F.transform(
-                F.sequence(F.lit(0), F.size(h) - WINDOW),
-                lambda i: F.xxhash64(*(F.get(F.col(h), i + k) for k in range(WINDOW))),
-            ),
-        ).otherwise(F.array().cast("array<long>")),
-    )
-    counts = {
-        "word_chars": F.length(F.regexp_replace(t, "[ \\t-\\r]+", "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(F.col(t), SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_lines": F.size(lines).cast("long"),
-        "n_repeat_words": F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(_covered(F.col(g))).cast("long"),
-        "n_stop": F.size(F.filter(w, lambda x: x.isin(stop))).cast("long"),
-        "n_stutter": F.size(F.filter(h, lambda x, i: (i > 0) & (x == F.get(F.col(h), i - 1)))).cast("long"),
-    }
-    out = out.select(*names, "n_words", *(c.alias(n) for n, c in counts.items()))
-    per = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
-    return out.withColumns(
-        {
-            "chars_per_word": per("word_chars", "n_words"),
-            "symbols_per_word": per("n_symbols", "n_words"),
-            "dup_line_ratio": per("n_dup_lines", "n_lines"),
-            "stop_ratio": per("n_stop", "n_words"),
-            "stutter_ratio": per("n_stutter", "n_words"),
-            "words_per_line": per("n_words", "n_lines"),
+    none = F.array().cast("array<long>")
+
+    def windows(h: Column) -> Column:
+        every = lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW)))
+        return F.when(F.size(h) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), every)).otherwise(none)
+
+    def counts(w: Column, h: Column, g: Column, ls: Column) -> Column:
+        found = {
+            "n_words": F.size(w),
+            "word_chars": F.length(F.regexp_replace(t, "[ \\t-\\r]+", "")),
+            "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+            "n_dup_lines": F.size(ls) - F.size(F.array_distinct(ls)),
+            "n_lines": F.size(ls),
+            "n_repeat_words": F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(_covered(g)),
+            "n_stop": F.size(F.filter(w, lambda x: x.isin(stop))),
+            "n_stutter": F.size(F.filter(h, lambda x, i: (i > 0) & (x == F.get(h, i - 1)))),
         }
-    )
+        return F.struct(*(c.cast("long").alias(n) for n, c in found.items()))
+
+    def ratios(c: Column) -> Column:
+        per = lambda a, b: F.coalesce(F.try_divide(c[a].cast("double"), c[b]), F.lit(0.0))
+        return F.struct(
+            *(c[n].alias(n) for n in COUNTS),
+            per("word_chars", "n_words").alias("chars_per_word"),
+            per("n_symbols", "n_words").alias("symbols_per_word"),
+            per("n_dup_lines", "n_lines").alias("dup_line_ratio"),
+            per("n_stop", "n_words").alias("stop_ratio"),
+            per("n_stutter", "n_words").alias("stutter_ratio"),
+            per("n_words", "n_lines").alias("words_per_line"),
+        )
+
+    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    counted = let(words(t), lambda w: let(hashed(w), lambda h: let(windows(h), lambda g: let(lines, lambda ls: counts(w, h, g, ls)))))
+    return let(counted, ratios)
 
 
-_COUNTS = (
-    "n_words word_chars n_symbols n_dup_lines n_lines n_repeat_words n_stop n_stutter chars_per_word symbols_per_word "
-    "dup_line_ratio stop_ratio stutter_ratio words_per_line base_failed kept failed_rules"
-).split()
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_stop", "n_stutter")
+RATIOS = ("chars_per_word", "symbols_per_word", "dup_line_ratio", "stop_ratio", "stutter_ratio", "words_per_line")
+VERDICTS = ("base_failed", "failed_rules", "kept")
 
 
 def _covered(hashes: Column) -> Column:
@@ -110,25 +111,36 @@ def _covered(hashes: Column) -> Column:
     return let(let(ordered, starts), extent)
 
 
-def compile_rules(rules=RULES) -> dict[str, Column]:
-    """Each rule's name with the condition under which a document fails it."""
+def compile_rules(measure, rules=RULES) -> dict[str, Column]:
+    """Each rule's name with the condition under which a document fails it; ``measure`` gives a measure's column by name."""
     out = {}
     for name, column, least, most in rules:
-        low = F.col(column) < least if least is not None else F.lit(False)
-        high = F.col(column) > most if most is not None else F.lit(False)
+        low = measure(column) < least if least is not None else F.lit(False)
+        high = measure(column) > most if most is not None else F.lit(False)
         out[name] = low | high
     return out
 
 
+def verdict(text: Column, rules=RULES, base_words: int = 20, base_repeat: int = 30) -> Column:
+    """A struct of the measures, ``base_failed``, ``failed_rules`` (names) and ``kept``."""
+
+    def decide(m: Column) -> Column:
+        base = (m["n_words"] < base_words) | (100 * m["n_repeat_words"] > base_repeat * m["n_words"])
+        failed = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in compile_rules(lambda x: m[x], rules).items())))
+        kept = ~base & (F.size(failed) == 0)
+        return F.struct(*(m[n].alias(n) for n in (*COUNTS, *RATIOS)), base.alias("base_failed"), failed.alias("failed_rules"), kept.alias("kept"))
+
+    return let(measures(text), decide)
+
+
 def judge(docs: DataFrame, text: str = "text", rules=RULES, base_words: int = 20, base_repeat: int = 30) -> DataFrame:
-    """The input's rows with their measures, ``base_failed``, ``failed_rules`` (names) and ``kept``."""
-    failed = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in compile_rules(rules).items())))
-    out = measure(docs, text)
-    out = out.withColumn("base_failed", (F.col("n_words") < base_words) | (100 * F.col("n_repeat_words") > base_repeat * F.col("n_words")))
-    return out.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    """The input's rows with their measures, ``base_failed``, ``failed_rules`` and ``kept``; columns of those names are replaced."""
+    j = spare(docs, "j__")
+    new = (*COUNTS, *RATIOS, *VERDICTS)
+    out = docs.withColumn(j, verdict(F.col(text), rules, base_words, base_repeat))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in new), *(F.col(j)[n].alias(n) for n in new))
 
 
 def keep_clean(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """The documents that pass, with their own columns only, in their own order."""
-    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(text).alias("body"))
-    return judge(boxed, "body", rules).where("kept").select("doc.*")
+    """The documents that pass, with their own columns only."""
+    return docs.where(verdict(F.col(text), rules)["kept"])
