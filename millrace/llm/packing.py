@@ -44,6 +44,14 @@ _SPECIAL = "<|endoftext|>"
 _ODD = re.compile("[^\x00-\x1b\x20-ɏ‐-‧‰-⁞₠-₿]")
 
 
+def odd(text: str) -> bool:
+    """Whether ``_ODD`` finds anything; most texts are settled by their highest code point."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    if not len(codes) or (codes.max() < 0x250 and not ((codes >= 0x1C) & (codes < 0x20)).any()):
+        return False
+    return _ODD.search(text) is not None
+
+
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     """The Hilbert index of each row of integer coordinates below ``2**bits`` (Skilling's transposition)."""
     x = cells.astype(np.int64).T.copy()
@@ -76,9 +84,8 @@ class Tokenizer:
     """Ids of the JSON vocabulary; the rank file of the same vocabulary serves ordinary text faster, with equal ids."""
 
     def __init__(self, vocabulary: str, ranks: str | None):
-        from tokenizers import Tokenizer as Full
-
-        self.full = Full.from_file(vocabulary)
+        self.vocabulary = vocabulary
+        self.full = None
         self.fast = None
         if ranks and os.path.exists(ranks):
             import public_tokenizers
@@ -88,9 +95,16 @@ class Tokenizer:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    def _whole(self, text: str) -> np.ndarray:
+        if self.full is None:
+            from tokenizers import Tokenizer as Full
+
+            self.full = Full.from_file(self.vocabulary)
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is None or _SPECIAL in text or _ODD.search(text):
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        if self.fast is None or _SPECIAL in text or odd(text):
+            return self._whole(text)
         return self.fast.encode_to_numpy(text)
 
 
@@ -108,9 +122,7 @@ def _projection(rows: int, dims: int) -> np.ndarray:
 def curve_key(ids: np.ndarray, dims: int = DIMS, bits: int = BITS) -> int:
     """The Hilbert key of a document's mean projected token."""
     table = _projection(1 << 16, dims)
-    middle = np.bincount(ids & 0xFFFF, minlength=0)
-    at = np.nonzero(middle)[0]
-    vector = (middle[at].astype(np.float32) @ table[at]) / max(1, len(ids))
+    vector = table[ids & 0xFFFF].mean(axis=0) if len(ids) else np.zeros(dims)
     # a mean of n unit normals with a share of common tokens: the squashing keeps cells of like size
     cell = np.clip(((np.tanh(2 * vector) + 1) / 2 * (1 << bits)).astype(np.int64), 0, (1 << bits) - 1)
     return int(hilbert(cell[None, :], bits)[0])
