@@ -16,11 +16,12 @@ with probability ``1 - (1 - j**2)**32``: 1 - 1e-14 at 0.8, 0.9999 at 0.5,
 Cost.  Equal texts are one node from the start.  In each bucket every text is
 first aligned with one hub (the text that meets most others), so a group of
 thousands of copies costs thousands of alignments.  What stays apart in a
-bucket after that goes through an exact stage: the bucket is cut into blocks,
-pairs of blocks are compared inside a task by an upper bound (common words,
-with multiplicity), and only pairs from different components that pass it are
-aligned - first the most promising one of each two components, then all that
-are left.  No bucket, group or list of candidates is capped.
+bucket after that goes through an exact stage: the bucket is cut by length
+into blocks of bounded size, and inside a task two blocks are compared by an
+upper bound (common words, with multiplicity).  Only pairs of different
+components that pass it are aligned, each in the first bucket that its texts
+share, and only links leave the task.  No bucket, group or list of candidates
+is capped, and no pairs are written but links.
 
 Defined results: a null text counts as empty; texts without words are linked
 only to equal texts; a text under ``K`` words is one k-mer.  Repeated rows and
@@ -46,7 +47,7 @@ K = 5
 SIMILARITY = 0.8
 SKETCHES = 32
 PICKED = 2
-BLOCK = 256
+BLOCK = 128
 BINS = 256
 _MASK = (1 << 64) - 1
 _CACHE = 1 << 19
@@ -142,10 +143,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for batch in batches:
-        found = [(words(t.as_py() or "") >> np.uint64(16)).astype("<u4") for t in batch.column(1)]
+        whole = [words(t.as_py() or "") for t in batch.column(1)]
+        found = [(w >> np.uint64(16)).astype("<u4") for w in whole]
+        signs = [np.sort(order_minhash(kmers(w)).view(np.int64)).tobytes() for w in whole]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(f) for f in found], pa.int32()), pa.array([f.tobytes() for f in found], pa.binary())],
-            names=["key", "n", "words"],
+            [batch.column(0), pa.array([len(f) for f in found], pa.int32()), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(signs, pa.binary())],
+            names=["key", "n", "words", "signs"],
         )
 
 
@@ -228,85 +231,161 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return materialize(both.mapInArrow(_aligned(similarity), "a binary, b binary"), "near-links")
 
 
-_FLUSH = 100_000
+class _Group:
+    """The rows of one pair of blocks, and the pairs of its texts that may be similar."""
 
+    def __init__(self, rows: list[tuple], similarity: float):
+        self.bucket, low, high = rows[0][0], rows[0][1:3], rows[0][3:5]
+        self.same = low == high
+        self.left = [r for r in rows if r[5:7] == low]
+        self.right = self.left if self.same else [r for r in rows if r[5:7] == high]
+        self.similarity = similarity
+        self.order = {root: k for k, root in enumerate({r[8] for r in rows})}
 
-def _compare_blocks(similarity: float, best_only: bool):
-    """Rows sorted by (bucket, i, j): each run is one pair of blocks, whose promising pairs are emitted."""
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row on the left the rows on the right in another component that may be similar to it.
 
-    def pairs_of(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        i, j = rows[0][1], rows[0][2]
-        left = [r for r in rows if r[3] == i]
-        right = left if i == j else [r for r in rows if r[3] == j]
-        if not left or not right:
+        A pair belongs to the first bucket that its texts share, so no pair is looked at twice.
+        """
+        if not self.left or not self.right:
             return
-        n1, n2 = (np.array([r[6] for r in side]) for side in (left, right))
-        h1, h2 = (np.stack([np.frombuffer(r[7], "<u4") for r in side]).astype(np.int32) for side in (left, right))
-        roots = {r: k for k, r in enumerate({r[5] for r in rows})}
-        r1, r2 = (np.array([roots[r[5]] for r in side]) for side in (left, right))
-        best: dict[tuple, tuple] = {}
-        for x in range(len(left)):
-            longer = np.maximum(n1[x], n2)
-            common = np.minimum(h1[x], h2).sum(axis=1)
-            lost = longer - common
-            ok = (r1[x] != r2) & (lost <= np.floor((1 - similarity) * longer + 1e-9))
-            if i == j:
+        n = np.array([r[9] for r in self.right])
+        bins = np.stack([_bins(r[10]) for r in self.right])
+        signs = np.stack([np.frombuffer(r[11], "<i8") for r in self.right])
+        roots = np.array([self.order[r[8]] for r in self.right])
+        for x, row in enumerate(self.left):
+            longer = np.maximum(row[9], n)
+            lost = longer - np.minimum(_bins(row[10]), bins).sum(axis=1)
+            ok = (roots != self.order[row[8]]) & (lost <= np.floor((1 - self.similarity) * longer + 1e-9))
+            if self.same:
                 ok[: x + 1] = False
-            for y in np.nonzero(ok)[0]:
-                pair = tuple(sorted((left[x][4], right[y][4])))
-                if not best_only:
-                    yield pair
-                    continue
-                kin = tuple(sorted((left[x][5], right[y][5])))
-                rank = (lost[y] / longer[y], pair)
-                if kin not in best or rank < best[kin]:
-                    best[kin] = rank
-        for _, pair in best.values():
-            yield pair
+            found = np.nonzero(ok)[0]
+            if len(found):
+                sign = np.frombuffer(row[11], "<i8")
+                earlier = np.isin(signs[found], sign[sign < self.bucket]) & (signs[found] < self.bucket)
+                found = found[~earlier.any(axis=1)]
+            if len(found):
+                yield x, found
+
+
+def _bins(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * BINS else "<u4").astype(np.int32)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows in runs of equal first five columns; a run is one pair of blocks, so it is bounded."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][:5] != row[:5]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _promising(similarity: float):
+    """The rows of each run that may be similar to another: (bucket, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        out: set[tuple[bytes, bytes]] = set()
+        for rows in _runs(batches):
+            group = _Group(rows, similarity)
+            keys = set()
+            for x, found in group.candidates():
+                keys.add(group.left[x][7])
+                keys.update(group.right[y][7] for y in found)
+            if keys:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([group.bucket] * len(keys), pa.int64()), pa.array(list(keys), pa.binary())], names=["bucket", "key"]
+                )
 
-        def table() -> pa.RecordBatch:
-            done = list(out)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in done], pa.binary()) for k in (0, 1)], names=["a", "b"])
+    return run
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][:3] != row[:3]:
-                    out.update(pairs_of(held))
-                    held = []
-                    if len(out) > _FLUSH:
-                        yield table()
-                held.append(row)
-        if held:
-            out.update(pairs_of(held))
-        if out:
-            yield table()
+
+def _linked(similarity: float):
+    """The links of each run: pairs are aligned unless earlier links of the run have joined their components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            group = _Group(rows, similarity)
+            parent = list(range(len(group.order)))
+
+            def top(k: int, parent=parent) -> int:
+                while parent[k] != k:
+                    parent[k] = parent[parent[k]]
+                    k = parent[k]
+                return k
+
+            out = []
+            for x, found in group.candidates():
+                one = np.frombuffer(group.left[x][12], "<u4")
+                for y in found:
+                    r1, r2 = top(group.order[group.left[x][8]]), top(group.order[group.right[y][8]])
+                    if r1 != r2 and similar(one, np.frombuffer(group.right[y][12], "<u4"), similarity):
+                        parent[r1] = r2
+                        out.append((group.left[x][7], group.right[y][7]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts = [np.bincount(np.frombuffer(w.as_py(), "<u4") % BINS, minlength=BINS).astype("<u4").tobytes() for w in batch.column("words")]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(counts, pa.binary())], names=["key", "n", "bins"])
+        counts = []
+        for words in batch.column("words"):
+            count = np.bincount(np.frombuffer(words.as_py(), "<u4") % BINS, minlength=BINS)
+            counts.append(count.astype("<u2" if len(count) == 0 or count.max() < 1 << 16 else "<u4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(counts, pa.binary())], names=["key", "bins"])
 
 
-def _apart(members: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, best_only: bool) -> DataFrame:
-    """Pairs of a bucket's texts that lie in different components and may be similar."""
+def _blocked(rows: DataFrame, similarity: float, *payload: str) -> DataFrame:
+    """Deal a bucket's rows to pairs of blocks.
+
+    Blocks are cut within bands of length, such that similar texts lie in the same band or in neighbouring ones.
+    A row goes to every pair of blocks that it may find a partner in.
+    """
+    band = F.floor(F.ln(F.col("n").cast("double")) / float(-np.log(similarity) * (1 + 1e-9))).cast("int")
+    rows = rows.withColumn("band", band)
+    per_band = rows.groupBy("bucket", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = per_band.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
+    rows = rows.join(blocks, "bucket")
+    count = lambda d: F.coalesce(F.try_element_at("blocks", F.col("band") + d), F.lit(0))
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64("key"), count(0)).cast("int"))
+    none = F.array().cast("array<struct<lo:int,a:int,hi:int,b:int>>")
+
+    def pairs(d: int, make) -> Column:
+        return F.when(count(d) > 0, F.transform(F.sequence(F.lit(0), count(d) - 1), make)).otherwise(none)
+
+    def pair(lo, a, hi, b) -> Column:
+        return F.struct(lo.alias("lo"), a.alias("a"), hi.alias("hi"), b.alias("b"))
+
+    here, sub = F.col("band"), F.col("sub")
+    own = pairs(0, lambda s: pair(here, F.least(sub, s), here, F.greatest(sub, s)))
+    above = pairs(1, lambda s: pair(here, sub, here + 1, s))
+    below = pairs(-1, lambda s: pair(here - 1, s, here, sub))
+    dealt = rows.withColumn("to", F.explode(F.concat(own, above, below)))
+    dealt = dealt.select("bucket", "to.lo", "to.a", "to.hi", "to.b", "band", "sub", "key", "root", "n", "bins", "signs", *payload)
+    where = ["bucket", "lo", "a", "hi", "b"]
+    return dealt.repartition(*where).sortWithinPartitions(*where)
+
+
+def _apart(members: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Links between texts that share a bucket but not yet a component.
+
+    A first pass over small signatures finds the texts that may have such a link in a bucket at all;
+    a second pass over those texts' words aligns their pairs.
+    """
     placed = members.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
-    split = split.where("low <> high").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    bins = texts.mapInArrow(_histogram, "key binary, n int, bins binary")
-    rows = placed.join(split, "bucket").join(bins, "key")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "root", "n", "bins")
-    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return rows.mapInArrow(_compare_blocks(similarity, best_only), "a binary, b binary").distinct()
+    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    bins = texts.mapInArrow(_histogram, "key binary, bins binary")
+    small = texts.drop("words").join(bins, "key")
+    rows = placed.join(split.select("bucket"), "bucket").join(small, "key")
+    hopeful = _blocked(rows, similarity).mapInArrow(_promising(similarity), "bucket long, key binary").distinct()
+    hopeful = materialize(hopeful, "near-hopeful")
+    again = placed.join(hopeful, ["bucket", "key"]).join(small, "key").join(texts.select("key", "words"), "key")
+    return materialize(_blocked(again, similarity, "words").mapInArrow(_linked(similarity), "a binary, b binary"), "near-apart")
 
 
 def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -318,20 +397,14 @@ def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -
     shared = all_members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(all_members.join(shared, "bucket"), "near-members")
     wanted = members.select("key").distinct()
-    texts = keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_words, "key binary, n int, words binary")
+    texts = keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_words, "key binary, n int, words binary, signs binary")
     texts = materialize(texts, "near-texts")
     fame = members.groupBy("key").agg(F.sum("size").alias("fame"))
     hubs = members.join(fame, "key").groupBy("bucket").agg(F.max(F.struct("fame", "key")).alias("hub"))
     pairs = members.join(hubs, "bucket").select(F.col("hub.key").alias("a"), F.col("key").alias("b")).where("a <> b").distinct()
     found = _verify(pairs, texts, similarity)
-    roots = components(found)
-    for best_only in (True, False):
-        more = materialize(_apart(members, texts, roots, similarity, best_only), "near-apart")
-        if more.isEmpty():
-            return roots
-        found = found.union(_verify(more, texts, similarity))
-        roots = components(found)
-    return roots
+    more = _apart(members, texts, components(found), similarity)
+    return components(found.union(more))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
