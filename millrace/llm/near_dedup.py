@@ -47,7 +47,7 @@ K = 5
 SIMILARITY = 0.8
 SKETCHES = 32
 PICKED = 2
-BLOCK = 128
+BLOCK = 512
 BINS = 256
 _MASK = (1 << 64) - 1
 _CACHE = 1 << 19
@@ -348,10 +348,14 @@ def _blocked(rows: DataFrame, similarity: float, *payload: str) -> DataFrame:
     """
     band = F.floor(F.ln(F.col("n").cast("double")) / float(-np.log(similarity) * (1 + 1e-9))).cast("int")
     rows = rows.withColumn("band", band)
-    per_band = rows.groupBy("bucket", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    blocks = per_band.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
+    per_band = rows.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("size"))
+    cut = F.struct("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    blocks = per_band.groupBy("bucket").agg(F.map_from_entries(F.collect_list(cut)).alias("blocks"), F.sum("size").alias("size"))
     rows = rows.join(blocks, "bucket")
-    count = lambda d: F.coalesce(F.try_element_at("blocks", F.col("band") + d), F.lit(0))
+    # a bucket that fits in a block is one, whatever the lengths in it
+    small = F.col("size") <= BLOCK
+    rows = rows.withColumn("band", F.when(small, F.lit(0)).otherwise(F.col("band")))
+    count = lambda d: F.when(small, F.lit(int(d == 0))).otherwise(F.coalesce(F.try_element_at("blocks", F.col("band") + d), F.lit(0)))
     rows = rows.withColumn("sub", F.pmod(F.xxhash64("key"), count(0)).cast("int"))
     none = F.array().cast("array<struct<lo:int,a:int,hi:int,b:int>>")
 
