@@ -119,13 +119,15 @@ def _projection(rows: int, dims: int) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((rows, dims)).astype(np.float32)
 
 
-def curve_key(ids: np.ndarray, dims: int = DIMS, bits: int = BITS) -> int:
-    """The Hilbert key of a document's mean projected token."""
-    table = _projection(1 << 16, dims)
-    vector = table[ids & 0xFFFF].mean(axis=0) if len(ids) else np.zeros(dims)
-    # a mean of n unit normals with a share of common tokens: the squashing keeps cells of like size
-    cell = np.clip(((np.tanh(2 * vector) + 1) / 2 * (1 << bits)).astype(np.int64), 0, (1 << bits) - 1)
-    return int(hilbert(cell[None, :], bits)[0])
+def mean_vector(ids: np.ndarray, dims: int = DIMS) -> np.ndarray:
+    """A document's hashed vector: the mean of its tokens' projections."""
+    return _projection(1 << 16, dims)[ids & 0xFFFF].mean(axis=0) if len(ids) else np.zeros(dims)
+
+
+def curve_keys(vectors: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The Hilbert key of each vector's cell; squashing keeps the cells of usual vectors of like size."""
+    cells = ((np.tanh(2 * vectors) + 1) / 2 * (1 << bits)).astype(np.int64)
+    return hilbert(np.clip(cells, 0, (1 << bits) - 1), bits)
 
 
 def _encode(vocabulary: str, ranks: str | None):
@@ -138,7 +140,7 @@ def _encode(vocabulary: str, ranks: str | None):
             held = 0
             for text in batch.column(1):
                 found = np.append(tokenizer.ids(text.as_py() or ""), np.uint32(END))
-                keys.append(curve_key(found))
+                keys.append(mean_vector(found))
                 ids.append(found.astype("<u2" if len(found) == 0 or found.max() < 1 << 16 else "<u4"))
                 held += ids[-1].nbytes
                 if held > 1 << 23:
@@ -150,10 +152,10 @@ def _encode(vocabulary: str, ranks: str | None):
     return run
 
 
-def _rows(doc_ids: pa.Array, keys: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
+def _rows(doc_ids: pa.Array, keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
     width = pa.array([x.itemsize for x in ids], pa.int32())
     data = pa.array([x.tobytes() for x in ids], pa.binary())
-    return pa.RecordBatch.from_arrays([doc_ids, pa.array(keys, pa.int64()), width, data], names=["doc_id", "curve", "width", "ids"])
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(curve_keys(np.stack(keys)), pa.int64()), width, data], names=["doc_id", "curve", "width", "ids"])
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
