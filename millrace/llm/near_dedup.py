@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
-from millrace.storage import materialize
+from millrace.storage import discard, materialize
 
 K = 5
 SIMILARITY = 0.8
@@ -389,7 +389,9 @@ def _apart(members: DataFrame, texts: DataFrame, roots: DataFrame, similarity: f
     hopeful = _blocked(rows, similarity).mapInArrow(_promising(similarity), "bucket long, key binary").distinct()
     hopeful = materialize(hopeful, "near-hopeful")
     again = placed.join(hopeful, ["bucket", "key"]).join(small, "key").join(texts.select("key", "words"), "key")
-    return materialize(_blocked(again, similarity, "words").mapInArrow(_linked(similarity), "a binary, b binary"), "near-apart")
+    links = materialize(_blocked(again, similarity, "words").mapInArrow(_linked(similarity), "a binary, b binary"), "near-apart")
+    discard(members.sparkSession, hopeful)
+    return links
 
 
 def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -407,8 +409,12 @@ def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -
     hubs = members.join(fame, "key").groupBy("bucket").agg(F.max(F.struct("fame", "key")).alias("hub"))
     pairs = members.join(hubs, "bucket").select(F.col("hub.key").alias("a"), F.col("key").alias("b")).where("a <> b").distinct()
     found = _verify(pairs, texts, similarity)
-    more = _apart(members, texts, components(found), similarity)
-    return components(found.union(more))
+    first = components(found)
+    more = _apart(members, texts, first, similarity)
+    roots = components(found.union(more))
+    # the result is a table of its own; nothing reads these any more
+    discard(docs.sparkSession, sketches, members, texts, found, first, more)
+    return roots
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -433,16 +439,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simila
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("text_key")
     )
     known = materialize(classes(docs, doc_id, text, similarity), "near-classes")
-    first = boxed.select("doc_id", "text_key", F.xxhash64("doc").alias("row")).join(known, "text_key")
+    rows = boxed.select("doc_id", "text_key", F.xxhash64("doc").alias("row")).join(known, "text_key")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "row")
-    first = first.groupBy("class_key").agg(F.min(order).alias("first"))
-    first = first.select(F.col("first.doc_id").alias("k0"), F.col("first.text_key").alias("k1"), F.col("first.row").alias("k2"))
-    boxed = boxed.withColumn("row", F.xxhash64("doc"))
-    on = F.col("doc_id").eqNullSafe(F.col("k0")) & (F.col("text_key") == F.col("k1")) & (F.col("row") == F.col("k2"))
-    kept = materialize(boxed.join(first, on, "left_semi").drop("row"), "near-kept")
+    alike = rows.groupBy("class_key", order.alias("first")).agg(F.count(F.lit(1)).alias("alike"))
+    first = alike.groupBy("class_key").agg(F.min(F.struct("first", "alike")).alias("m"))
+    first = first.select(F.col("m.first.doc_id").alias("k0"), F.col("m.first.text_key").alias("k1"), F.col("m.first.row").alias("k2"), "m.alike")
+    on = (F.col("text_key") == F.col("k1")) & F.col("doc_id").eqNullSafe(F.col("k0")) & (F.xxhash64("doc") == F.col("k2"))
+    kept = boxed.join(first, on)
     # rows that agree in every column are still there as often as they were given
-    again = kept.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    once = kept.join(again, "text_key", "left_anti").select("doc")
     nth = F.row_number().over(Window.partitionBy("text_key").orderBy("doc_id"))
-    several = kept.join(again, "text_key").withColumn("nth", nth).where("nth = 1").select("doc")
-    return once.union(several).select("doc.*")
+    several = kept.where("alike > 1").withColumn("nth", nth).where("nth = 1")
+    return kept.where("alike = 1").select("doc.*").union(several.select("doc.*"))
