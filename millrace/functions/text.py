@@ -30,6 +30,11 @@ JOINERS = "‌‍"
 _SETTLED = "[^\\x00-\\x7FÀ-ÖØ-öø-ÿ]"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` applied to ``value``, which is computed once however often a lambda in ``body`` reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -120,6 +125,9 @@ def token_estimate(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Character trigrams of the squeezed lower-case text; a shorter text is its own gram."""
-    t = squeeze(F.lower(text))
-    grams = F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))
-    return F.when(F.length(t) >= 3, grams).otherwise(F.filter(F.array(t), lambda x: x != ""))
+
+    def grams(t: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))
+        return F.when(F.length(t) >= 3, every).otherwise(F.filter(F.array(t), lambda x: x != ""))
+
+    return let(squeeze(F.lower(text)), grams)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import chunk_id
-from millrace.functions.text import SENTENCE_ENDS, strip, token_estimate
+from millrace.functions.text import SENTENCE_ENDS, let, strip, token_estimate
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 _CHUNK = "struct<chunk_index:int,content:string,token_count:int,char_count:int,start_char:int,end_char:int>"
@@ -50,8 +50,12 @@ def locate(content: str, chunks: list[str]) -> list[tuple[int, int]]:
 def window_starts(length: Column, size: int, overlap: int) -> Column:
     """Starts of windows over ``length`` units: the first, and each that begins before the last window reached the end."""
     step = size - overlap
-    all_starts = F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0)), F.lit(step))
-    return F.filter(all_starts, lambda s: (s == 0) | (s - step + size < length))
+
+
+    def starts(n: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda s: (s == 0) | (s - step + size < n))
+
+    return let(length, starts)
 
 
 def fixed_windows(docs: DataFrame, size: int, overlap: int, doc_id: str = "doc_id", content: str = "content") -> DataFrame:
@@ -160,16 +164,23 @@ def semantic(
     return [*chunks, " ".join(held)]
 
 
-_METHODS: dict[str, Callable[..., list[str]]] = {"recursive": recursive, "sentence": by_sentence, "semantic": semantic}
+def token_windows(text: str, size: int, overlap: int, codec, tokens: Callable[[str], int] = count_tokens) -> list[str]:
+    """Windows of ``size`` ids by a codec with ``encode`` and ``decode``; the last one reaches the end."""
+    ids = codec.encode(text)
+    starts = [s for s in range(0, max(len(ids), 1), size - overlap) if s == 0 or s - (size - overlap) + size < len(ids)]
+    return [codec.decode(ids[s : s + size]) for s in starts]
+
+
+_METHODS: dict[str, Callable[..., list[str]]] = {"fixed": token_windows, "recursive": recursive, "sentence": by_sentence, "semantic": semantic}
 
 
 def chunk(docs: DataFrame, strategy: str, doc_id: str = "doc_id", content: str = "content", tokens: Callable[[str], int] = count_tokens, **options) -> DataFrame:
     """Chunks of every document by a strategy; blank and null documents have none.
 
-    ``fixed`` takes size and overlap in characters (the tokeniser's fallback units); the others count by ``tokens``.
+    ``fixed`` takes size and overlap in ids of its ``codec``, or in characters without one; the others count by ``tokens``.
     """
     name = strategy.lower().strip()
-    if name == "fixed":
+    if name == "fixed" and "codec" not in options:
         return fixed_windows(docs, options["size"], options["overlap"], doc_id, content)
     if name not in _METHODS:
         raise ValueError(f"unknown chunking strategy {strategy!r}")

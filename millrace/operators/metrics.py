@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import clean_sentences, word_runs
+from millrace.functions.text import clean_sentences, let, word_runs
+from millrace.operators.transforms import parse_lines
 
 
 def _zero(c: Column) -> Column:
@@ -60,10 +61,12 @@ def entails(context: Column, proposition: Column, fixed: dict[str, bool] | None
 
     ``fixed`` decides propositions that contain one of its keys.
     """
-    words = F.filter(word_runs(proposition), lambda w: F.length(w) > 3)
-    low = F.lower(context)
-    inside = F.size(F.filter(words, lambda w: low.contains(w)))
-    out = F.when(F.size(words) == 0, F.lit(True)).otherwise(inside / F.size(words) >= 0.5)
+
+    def half(words: Column) -> Column:
+        inside = let(F.lower(context), lambda low: F.size(F.filter(words, lambda w: low.contains(w))))
+        return F.when(F.size(words) == 0, F.lit(True)).otherwise(inside / F.size(words) >= 0.5)
+
+    out = let(F.filter(word_runs(proposition), lambda w: F.length(w) > 3), half)
     for key, value in reversed(list((fixed or {}).items())):
         out = F.when(proposition.contains(key), F.lit(value)).otherwise(out)
     return out
@@ -74,9 +77,23 @@ def says_yes(response: Column) -> Column:
     return F.upper(F.trim(response)).startswith("YES")
 
 
-def faithfulness(answers: DataFrame, answer: str = "answer", context: str = "context", fixed: dict[str, bool] | None = None) -> DataFrame:
-    """(query_id, propositions, entailed, faithfulness, hallucination_rate); an empty answer is faithful."""
-    props = clean_sentences(F.coalesce(F.col(answer), F.lit("")))
+def propositions(answer: Column, response: Column | None = None) -> Column:
+    """A model's lines where it gave any, else the answer's sentences."""
+    own = clean_sentences(F.coalesce(answer, F.lit("")))
+    if response is None:
+        return own
+    lines = F.coalesce(parse_lines(response), F.array().cast("array<string>"))
+    return F.when(F.size(lines) > 0, lines).otherwise(own)
+
+
+def faithfulness(
+    answers: DataFrame, answer: str = "answer", context: str = "context", fixed: dict[str, bool] | None = None, response: str | None = None
+) -> DataFrame:
+    """(query_id, propositions, entailed, faithfulness, hallucination_rate); an empty answer is faithful.
+
+    ``response`` names the column of a model's decomposition, if there is one.
+    """
+    props = propositions(F.col(answer), F.col(response) if response else None)
     good = F.filter(props, lambda p: entails(F.col(context), p, fixed))
     out = answers.select("query_id", F.size(props).alias("propositions"), F.size(good).alias("entailed"))
     score = F.when(F.col("propositions") == 0, F.lit(1.0)).otherwise(F.col("entailed") / F.nullif(F.col("propositions"), F.lit(0)))

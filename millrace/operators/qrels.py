@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import squeeze, word_runs
+from millrace.functions.text import let, squeeze, word_runs
 
 PHRASE = 4
 COMMON, SHARE = 3, 0.5
@@ -48,11 +48,42 @@ def containment(snippet: Column, content: Column) -> Column:
     return ((s != "") & c.contains(s)) | ((F.length(c) > SHORT) & s.contains(c))
 
 
+def _inner_phrase(text: Column) -> Column:
+    """The second to fifth of a text's six or more words: whole words wherever the text lies; null for shorter texts."""
+    words = F.split(text, " ")
+    return F.when(F.size(words) >= PHRASE + 2, F.array_join(F.slice(words, 2, PHRASE), " "))
+
+
+def _contained(inner: DataFrame, outer: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b) with inner's text inside outer's, both squeezed and in lower case.
+
+    Longer texts meet by a phrase that containment implies; only texts of under six words are compared with all.
+    """
+    small = inner.where(_inner_phrase(F.col("text")).isNull())
+    keyed = inner.withColumn("phrase", _inner_phrase(F.col("text"))).where("phrase IS NOT NULL")
+    every = outer.select(b, F.explode(phrases(F.col("text"))).alias("phrase"))
+    near = keyed.join(every, "phrase").join(outer.withColumnRenamed("text", "whole"), b).where(F.col("whole").contains(F.col("text"))).select(a, b)
+    rest = small.join(outer.withColumnRenamed("text", "whole"), F.col("whole").contains(F.col("text"))).select(a, b)
+    return near.unionByName(rest)
+
+
+def containment_matches(passages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(passage, chunk_id) by containment either way, as ``containment`` tests it, without comparing all pairs."""
+    p = passages.select("passage", squeeze(F.lower("snippet")).alias("text")).where("text <> ''")
+    c = chunks.select("chunk_id", squeeze(F.lower("content")).alias("text"))
+    forward = _contained(p, c, "passage", "chunk_id")
+    backward = _contained(c.where(F.length("text") > SHORT), p, "chunk_id", "passage")
+    return forward.unionByName(backward).distinct()
+
+
 def phrases(text: Column, n: int = PHRASE) -> Column:
     """Runs of ``n`` words of a text."""
-    words = F.split(squeeze(F.lower(text)), " ")
-    every = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    def runs(words: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.split(squeeze(F.lower(text)), " "), runs)
 
 
 def phrase_matches(passages: DataFrame, chunks: DataFrame, n: int = PHRASE) -> DataFrame:

@@ -83,7 +83,7 @@ def paired_tests(pairs: DataFrame, *groups: str) -> DataFrame:
     """Confidence interval, t-test p and signed-rank test of each group's differences."""
     kinds = dict(pairs.dtypes)
 
-    def one(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         d = frame["difference"].astype(float)
         n, mean = len(d), float(d.mean())
         low = high = p = w = wp = method = None

@@ -114,7 +114,7 @@ def cross(spark: SparkSession, lists: dict[str, list]) -> DataFrame:
     """The grid as a table with an index; the lists are parameters, so their product is small."""
     tables = []
     for name, values in lists.items():
-        tables.append(spark.createDataFrame([(i, v) for i, v in enumerate(values)], [f"{name}__i", name]))
+        tables.append(spark.range(1, numPartitions=1).select(F.posexplode(F.array(*map(F.lit, values))).alias(f"{name}__i", name)))
     grid = reduce(lambda a, b: a.crossJoin(b), tables)
     index = F.lit(0)
     for name, values in lists.items():

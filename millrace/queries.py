@@ -1,13 +1,840 @@
-"""Registry of the engine's queries and their DuckDB equivalents."""
+"""The engine's queries over the test tables, each with its DuckDB equivalent where SQL can express it.
+
+Documents serve as chunks (chunk_id is the doc_id as text), benchmark passages as queries and gold snippets,
+conversations as answers, events and orders as observations and runs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import hashing, text
+from millrace.operators import chunking, context, dense, embed, fusion, lexical, metrics, qrels, relational, rerank, stats, transforms
+from millrace.plans import config, runner, sweep
+from millrace.sources import export, readers
+from millrace.storage import materialize
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
 
-def queries() -> dict[str, Callable]:
-    return {}
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.col("text").alias("content"), "lang", "source")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("passage"), F.col("text").alias("snippet"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select(F.col("vec_id").cast("string").alias("chunk_id"), "vec_id", "embedding", "label")
+
+
+def built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, lexical.Index]:
+    docs = corpus(spark, sf_dir)
+    return docs, lexical.index(docs, keep=lambda df: materialize(df, "postings"))
+
+
+def bm25(spark: SparkSession, sf_dir: str, k: int, where=None) -> DataFrame:
+    docs, index = built(spark, sf_dir)
+    return lexical.search(asked(spark, sf_dir), docs, index, k, where=where)
+
+
+def six(df: DataFrame) -> DataFrame:
+    """Doubles to six places."""
+    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+# shared SQL
+
+_SPACE = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_TOKEN = "[^" + _SPACE + r"!-/:-@\[-`{-~।॥—‘’“”]+"
+
+
+def _squeezed(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[{_SPACE}]+', ' ', 'g'))"
+
+
+def _estimated(x: str) -> str:
+    return f"CASE WHEN {x} = '' THEN 0 ELSE greatest(1, ceil(len(regexp_extract_all({x}, '[^{_SPACE}]+'))::DOUBLE * 1.3::DOUBLE))::INTEGER END"
+
+
+def _word_set(x: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({x}), '[^{_SPACE}]+'))"
+
+
+def _entailed(x: str) -> str:
+    words = f"list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) > 3)"
+    return f"(SELECT CASE WHEN len(w) = 0 THEN TRUE ELSE len(list_filter(w, lambda x: contains(lower(context), x))) / len(w)::DOUBLE >= 0.5 END FROM (SELECT {words} AS w))"
+
+
+_BM25 = f"""
+tok AS (SELECT doc_id::VARCHAR AS chunk_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM documents),
+tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+dl AS (SELECT d.doc_id::VARCHAR AS chunk_id, coalesce(l.length, 0) AS length FROM documents d
+       LEFT JOIN (SELECT chunk_id, sum(tf) AS length FROM tf GROUP BY 1) l ON l.chunk_id = d.doc_id::VARCHAR),
+tot AS (SELECT count(*) AS n, avg(length) AS m FROM dl),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+odds AS (SELECT term, df, ln((n - df)::DOUBLE + 0.5::DOUBLE) - ln(df::DOUBLE + 0.5::DOUBLE) AS o FROM df, tot),
+idf AS (SELECT term, df, CASE WHEN o < 0 THEN 0.25 * (SELECT avg(o) FROM odds) ELSE o END AS idf FROM odds)"""
+_SCORES = f"""{_BM25},
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM benchmark) GROUP BY ALL),
+sc AS (SELECT query_id, chunk_id, round(sum(qtf * idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / m)))), 9) AS score
+       FROM qt JOIN idf USING (term) JOIN tf USING (term) JOIN dl USING (chunk_id), tot GROUP BY ALL)"""
+_TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)"
+
+
+def _ranked(source: str, k: int, where: str = "TRUE") -> str:
+    return f"(SELECT query_id, chunk_id, score, {_TOP} AS rank FROM {source} WHERE {where} QUALIFY rank <= {k})"
+
+
+_DENSE = """
+vec AS (SELECT vec_id, vec_id::VARCHAR AS chunk_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+ds AS (SELECT q.vec_id AS query_id, c.chunk_id, c.label, round(list_cosine_similarity(q.e, c.e), 9) AS score FROM vec q, vec c WHERE {})"""
+
+
+# tokens and lexical retrieval
+
+
+@query(
+    f"""SELECT doc_id, len(t)::INTEGER AS n_tokens, len(list_distinct(t))::INTEGER AS n_distinct
+    FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_TOKEN}') AS t FROM documents)"""
+)
+def tokenize_counts(spark, d):
+    t = text.bm25_tokens(F.col("content"))
+    return corpus(spark, d).select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
+
+
+@query(f"WITH {_BM25} SELECT n AS n_chunks, round(m, 6) AS mean_length, (SELECT count(*) FROM tf) AS n_postings, (SELECT count(*) FROM df) AS n_terms FROM tot")
+def bm25_doc_stats(spark, d):
+    _, index = built(spark, d)
+    sizes = index.postings.agg(F.count(F.lit(1)).alias("n_postings")).crossJoin(index.terms.agg(F.count(F.lit(1)).alias("n_terms")))
+    return six(index.totals.crossJoin(sizes))
+
+
+@query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def bm25_idf(spark, d):
+    return six(built(spark, d)[1].terms)
+
+
+@query(f"WITH {_SCORES} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM {_ranked('sc', 5)}")
+def bm25_topk(spark, d):
+    return six(bm25(spark, d, 5)).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(
+    f"""WITH {_SCORES}, en AS (SELECT sc.* FROM sc JOIN documents ON doc_id::VARCHAR = chunk_id WHERE lang = 'en')
+    SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM {_ranked('en', 5)}
+    """
+)
+def bm25_topk_filtered(spark, d):
+    found = bm25(spark, d, 5, where=F.col("lang") == "en").where("score <> 0")
+    return six(found).select("query_id", "chunk_id", "score", "rank")
+
+
+# dense retrieval and fusion
+
+
+def nearest(spark, d, k, where=None):
+    rows = vectors(spark, d)
+    every_20th = rows.where("vec_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    return dense.search(every_20th, rows, k, where=where, not_self=True)
+
+
+_NEAREST = _DENSE.format("q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id")
+
+
+@query(f"WITH {_NEAREST} SELECT query_id::VARCHAR AS query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM {_ranked('ds', 10)}")
+def dense_cosine_topk(spark, d):
+    return six(nearest(spark, d, 10)).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {_NEAREST} SELECT query_id::VARCHAR AS query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM {_ranked('ds', 10, 'label < 5')}")
+def dense_filtered_topk(spark, d):
+    return six(nearest(spark, d, 10, where=F.col("label") < 5)).select("query_id", "chunk_id", "score", "rank")
+
+
+def channels(spark, d, k):
+    """Two channels of equal questions: passages' words against documents, and vectors of equal numbers."""
+    rows = vectors(spark, d)
+    questions = asked(spark, d).join(rows, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+    return dense.search(questions, rows, k), bm25(spark, d, k)
+
+
+_BOTH = (
+    f"WITH {_SCORES}, {_DENSE.format('q.vec_id IN (SELECT item_id FROM benchmark)')}, b20 AS {_ranked('sc', 20)}, d20 AS {_ranked('ds', 20)}"
+)
+
+
+@query(
+    f"""{_BOTH}, fu AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score
+    FROM (SELECT query_id, chunk_id, rank FROM b20 UNION ALL SELECT query_id, chunk_id, rank FROM d20) GROUP BY ALL)
+    SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM {_ranked('fu', 10)}"""
+)
+def hybrid_rrf_topk(spark, d):
+    return six(fusion.hybrid(*channels(spark, d, 20), k=10)).select("query_id", "chunk_id", "score", "rank")
+
+
+_SCALE = "CASE WHEN max(score) OVER w - min(score) OVER w <= 1e-9 THEN CASE WHEN max(score) OVER w > 0 THEN 1.0 ELSE 0.0 END ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-9::DOUBLE) END"
+
+
+@query(
+    f"""{_BOTH}, sd AS (SELECT query_id, chunk_id, {_SCALE} AS x FROM d20 WINDOW w AS (PARTITION BY query_id)),
+    sb AS (SELECT query_id, chunk_id, {_SCALE} AS x FROM b20 WINDOW w AS (PARTITION BY query_id)),
+    fu AS (SELECT query_id, chunk_id, round(0.7::DOUBLE * coalesce(sd.x, 0) + 0.3::DOUBLE * coalesce(sb.x, 0), 9) AS score FROM sd FULL JOIN sb USING (query_id, chunk_id))
+    SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM {_ranked('fu', 10)}"""
+)
+def hybrid_rsn_topk(spark, d):
+    return six(fusion.hybrid(*channels(spark, d, 20), k=10, fusion="rsn")).select("query_id", "chunk_id", "score", "rank")
+
+
+
+
+@query(
+    f"""WITH {_SCORES}, b20 AS {_ranked('sc', 20)}, rr AS (
+      SELECT query_id, chunk_id, b20.score AS first_score, b20.rank AS first_rank, b.text AS q, t.text AS c
+      FROM b20 JOIN benchmark b ON item_id = query_id JOIN documents t ON doc_id::VARCHAR = chunk_id),
+    sx AS (SELECT query_id, chunk_id, first_rank, len(list_intersect({_word_set('q')}, {_word_set('c')})) / (len({_word_set('q')}) + 1.0::DOUBLE) AS score FROM rr)
+    SELECT query_id, chunk_id, round(score, 6) AS score, first_rank::INTEGER AS original_rank, {_TOP}::INTEGER AS rank FROM sx QUALIFY rank <= 5"""
+)
+def mock_rerank_topk(spark, d):
+    docs = corpus(spark, d)
+    found = bm25(spark, d, 20).join(docs.select("chunk_id", "content"), "chunk_id").join(asked(spark, d), "query_id")
+    return six(rerank.by_overlap(found, 5)).select("query_id", "chunk_id", "score", "original_rank", "rank")
+
+
+# chunking and text
+
+
+_WINDOWS = f"""w AS (
+  SELECT doc_id, s AS start_char, regexp_replace(substr(text, s + 1, 400), '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g') AS content
+  FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 350)) AS s FROM documents)
+  WHERE (s = 0 OR s - 350 + 400 < length(text))
+), c AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY start_char) - 1)::INTEGER AS chunk_index FROM w WHERE content <> '')"""
+
+
+@query(
+    f"""WITH {_WINDOWS} SELECT doc_id, chunk_index, start_char::INTEGER AS start_char, (start_char + length(content))::INTEGER AS end_char,
+    length(content)::INTEGER AS char_count, {_estimated('content')} AS token_count, md5(content) AS content_md5 FROM c"""
+)
+def fixed_char_chunks(spark, d):
+    made = chunking.fixed_windows(corpus(spark, d), 400, 50)
+    return made.select("doc_id", "chunk_index", "start_char", "end_char", "char_count", "token_count", F.md5("content").alias("content_md5"))
+
+
+@query(f"WITH {_WINDOWS} SELECT doc_id, chunk_index, sha256(doc_id || ':' || chunk_index || ':' || content) AS chunk_id FROM c")
+def chunk_ids_sha256(spark, d):
+    return chunking.with_ids(chunking.fixed_windows(corpus(spark, d), 400, 50)).select("doc_id", "chunk_index", "chunk_id")
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?।॥])[{_SPACE}]+', '\\1' || chr(31), 'g'), chr(31)),
+      lambda x: regexp_replace(x, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')), lambda x: x <> '') AS u FROM documents)
+    SELECT doc_id, i::INTEGER AS unit_index, length(u[i + 1])::INTEGER AS unit_chars, md5(u[i + 1]) AS unit_md5 FROM (SELECT doc_id, u, unnest(range(len(u))) AS i FROM s)"""
+)
+def sentence_units(spark, d):
+    units = corpus(spark, d).select("doc_id", F.posexplode(text.clean_sentences(F.col("content"))).alias("unit_index", "unit"))
+    return units.select("doc_id", "unit_index", F.length("unit").alias("unit_chars"), F.md5("unit").alias("unit_md5"))
+
+
+@query(f"SELECT doc_id, {_estimated('text')} AS tokens FROM documents")
+def token_count_approx(spark, d):
+    return corpus(spark, d).select("doc_id", text.token_estimate(F.col("content")).alias("tokens"))
+
+
+@query(f"SELECT doc_id, md5(trim(regexp_replace(text, '[{_SPACE}]+', ' ', 'g'))) AS squeezed_md5 FROM documents")
+def whitespace_squeeze(spark, d):
+    return corpus(spark, d).select("doc_id", F.md5(text.squeeze(F.col("content"))).alias("squeezed_md5"))
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, {_squeezed('text')} AS s FROM conversations),
+    g AS (SELECT conv_id, turn, unnest(CASE WHEN length(s) >= 3 THEN list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)) WHEN s = '' THEN [] ELSE [s] END) AS gram FROM t),
+    n AS (SELECT conv_id, turn, gram, count(*)::DOUBLE AS n FROM g GROUP BY ALL),
+    q AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS norm FROM n GROUP BY ALL),
+    p AS (SELECT a.conv_id, a.turn, sum(a.n * b.n) AS dot FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 AND a.gram = b.gram GROUP BY ALL)
+    SELECT p.conv_id, p.turn, round(dot / (x.norm * y.norm), 6) AS similarity FROM p
+    JOIN q x ON x.conv_id = p.conv_id AND x.turn = p.turn JOIN q y ON y.conv_id = p.conv_id AND y.turn = p.turn - 1"""
+)
+def trigram_cosine(spark, d):
+    grams = table(spark, d, "conversations").select("conv_id", "turn", F.explode(text.trigrams(F.col("text"))).alias("gram"))
+    counts = materialize(grams.groupBy("conv_id", "turn", "gram").agg(F.count(F.lit(1)).cast("double").alias("n")), "grams")
+    norms = counts.groupBy("conv_id", "turn").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    before = counts.select("conv_id", (F.col("turn") + 1).alias("turn"), "gram", F.col("n").alias("m"))
+    dots = counts.join(before, ["conv_id", "turn", "gram"]).groupBy("conv_id", "turn").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
+    earlier = norms.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("norm").alias("other"))
+    both = dots.join(norms, ["conv_id", "turn"]).join(earlier, ["conv_id", "turn"])
+    return six(both.select("conv_id", "turn", (F.col("dot") / (F.col("norm") * F.col("other"))).alias("similarity")))
+
+
+_BENGALI = "[^" + _SPACE + r"!-/:-@\[-`{-~।॥৷৸]+"
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(lower(text), '{_BENGALI}'))::INTEGER AS n_tokens FROM documents")
+def indic_token_counts(spark, d):
+    return corpus(spark, d).select("doc_id", F.size(text.bengali_tokens(F.col("content"), drop_stopwords=True, compose=False)).alias("n_tokens"))
+
+
+@query(
+    r"""SELECT doc_id, (len(regexp_extract_all(c, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]')) + CASE WHEN c <> '' AND NOT regexp_matches(c, '[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]\z') THEN 1 ELSE 0 END)::INTEGER AS line_count,
+    length(c)::INTEGER AS char_count, len(regexp_extract_all(c, '[^"""
+    + _SPACE
+    + r"""]+'))::INTEGER AS word_count
+    FROM (SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g') AS c FROM documents)"""
+)
+def plain_text_parse(spark, d):
+    parsed = readers.plain_text(F.col("content"))
+    return corpus(spark, d).select("doc_id", parsed.alias("p")).select("doc_id", "p.line_count", "p.char_count", "p.word_count")
+
+
+@query(
+    r"""SELECT page_id, CASE WHEN s IN ('md', 'markdown', 'mdown') THEN 'markdown' WHEN s = 'pdf' THEN 'pdf'
+    WHEN s IN ('txt', 'log', 'json', 'yaml', 'yml', 'py', 'ts', 'tsx', 'js') THEN 'text' END AS kind
+    FROM (SELECT page_id, lower(regexp_extract(url, '\.([^./\\]+)$', 1)) AS s FROM pages)"""
+)
+def format_dispatch(spark, d):
+    return table(spark, d, "pages").select("page_id", readers.kind_of(F.col("url")).alias("kind"))
+
+
+@query(
+    r"""SELECT doc_id, md5(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text,
+    '\', '\textbackslash{}'), '&', '\&'), '%', '\%'), '$', '\$'), '#', '\#'), '_', '\_'), '{', '\{'), '}', '\}'), '~', '\textasciitilde{}'), '^', '\textasciicircum{}')) AS tex_md5 FROM documents"""
+)
+def latex_escapes(spark, d):
+    return corpus(spark, d).select("doc_id", F.md5(export.latex_escape_column(F.col("content"))).alias("tex_md5"))
+
+
+def _folded(strategy, **options):
+    def run(spark, d):
+        made = chunking.chunk(corpus(spark, d), strategy, **options)
+        return made.select("doc_id", "chunk_index", "token_count", "char_count", "start_char", "end_char", F.md5("content").alias("content_md5"))
+
+    return run
+
+
+for _name, _options in (("recursive", dict(size=200, overlap=20)), ("sentence", dict(size=200, overlap=20)), ("semantic", dict(threshold=0.8, most=200))):
+    _QUERIES[f"{_name}_chunks"] = _folded(_name, **_options)
+
+
+# embeddings
+
+
+_SHINGLES = f"""
+sg AS (SELECT item_id, unnest(list_transform(range(1, length(t) + 1), lambda i: substr(t, i, 3))) AS s FROM
+       (SELECT item_id, unnest(regexp_extract_all(lower(text), '[^{_SPACE}]+')) AS t FROM benchmark)),
+hs AS (SELECT item_id, md5(s) AS h FROM sg),
+cell AS (SELECT item_id, (list_reduce([0::BIGINT, ('0x' || h[1:8])::BIGINT, ('0x' || h[9:16])::BIGINT, ('0x' || h[17:24])::BIGINT, ('0x' || h[25:32])::BIGINT],
+         lambda a, x: (a * 4294967296 % 384 + x) % 384)) AS idx, CASE WHEN ('0x' || h[28])::INTEGER % 2 = 1 THEN 1 ELSE -1 END AS sign FROM hs),
+sm AS (SELECT item_id, idx, sum(sign) AS v FROM cell GROUP BY ALL HAVING sum(sign) <> 0)"""
+
+
+@query(f"WITH {_SHINGLES} SELECT item_id, idx, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)::DOUBLE), 6) AS value FROM sm")
+def hash_embedding(spark, d):
+    return six(embed.shingle_hashes(table(spark, d, "benchmark"), "item_id", "text"))
+
+
+@query()
+def digest_embedding(spark, d):
+    encode = embed.provider("mock_multilingual", dimension=1024)
+    vectors_ = table(spark, d, "benchmark").select("item_id", encode(F.col("text")).alias("v"))
+    return vectors_.select("item_id", F.size("v").alias("dimension"), F.round(dense.dot(F.col("v"), F.col("v")), 6).alias("norm2"))
+
+
+@query("SELECT count(*) AS wrong FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64")
+def dimension_check(spark, d):
+    return dense.wrong_dimension(vectors(spark, d), "embedding", 64).agg(F.count(F.lit(1)).alias("wrong"))
+
+
+# query transforms
+
+
+@query(
+    f"""WITH l AS (SELECT conv_id, turn, text, list_filter(list_transform(string_split(replace(text, chr(13), chr(10)), chr(10)),
+      lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g'), '^[0-9]+[.)][ \\t-\\r]*', ''), '^[-*•][ \\t-\\r]*', ''), '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')), lambda x: x <> '') AS ls FROM conversations),
+    u AS (SELECT conv_id, turn, ls[i + 1] AS line, min(i) AS i FROM (SELECT conv_id, turn, ls, unnest(range(len(ls))) AS i FROM l) GROUP BY ALL)
+    SELECT conv_id, turn, count(*)::INTEGER AS n_lines, md5(string_agg(line, chr(10) ORDER BY i)) AS lines_md5 FROM u GROUP BY ALL"""
+)
+def multi_query_parse(spark, d):
+    lines = transforms.parse_lines(F.col("text"))
+    out = table(spark, d, "conversations").select("conv_id", "turn", lines.alias("l")).where(F.size("l") > 0)
+    return out.select("conv_id", "turn", F.size("l").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("lines_md5"))
+
+
+@query("SELECT item_id AS query_id, 0 AS sequence_index, 'Mock response: ' || substr('Write a short passage that answers the question.' || chr(10) || chr(10) || 'Question: ' || text, 1, 60) || '...' AS sub_query FROM benchmark")
+def hyde_mock(spark, d):
+    return transforms.sub_queries(asked(spark, d), "hyde").select("query_id", "sequence_index", "sub_query")
+
+
+@query(
+    f"""WITH {_SCORES.replace("SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text)", "SELECT query_id, unnest(regexp_extract_all(lower(text)").replace("FROM benchmark) GROUP BY ALL)", "FROM (SELECT item_id * 2 AS query_id, text FROM benchmark UNION ALL SELECT item_id * 2 + 1, substr(text, 1, 40) FROM benchmark)) GROUP BY ALL)")},
+    b20 AS {_ranked('sc', 20)}, fu AS (SELECT query_id // 2 AS query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM b20 GROUP BY 1, 2)
+    SELECT query_id::BIGINT AS query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM {_ranked('fu', 5)}"""
+)
+def transformed_retrieval(spark, d):
+    docs, index = built(spark, d)
+    both = asked(spark, d).select("query_id", F.posexplode(F.array("query", F.substring("query", 1, 40))).alias("sequence_index", "sub_query"))
+    found = transforms.retrieve(both, lambda q, k: lexical.search(q, docs, index, k, fill=False), 5)
+    return six(found).select("query_id", "chunk_id", "score", "rank")
+
+
+# gold passages
+
+
+_LOW = f"""p AS (SELECT item_id AS passage, {_squeezed('text')} AS s FROM benchmark),
+c AS (SELECT doc_id::VARCHAR AS chunk_id, {_squeezed('text')} AS t FROM documents)"""
+_CONTAINED = f"WITH {_LOW}, hit AS (SELECT passage, chunk_id FROM p, c WHERE (s <> '' AND contains(t, s)) OR (length(t) > 15 AND contains(s, t)))"
+
+
+@query(f"{_CONTAINED} SELECT * FROM hit")
+def qrels_containment(spark, d):
+    return qrels.containment_matches(gold(spark, d), corpus(spark, d))
+
+
+@query(
+    f"""WITH {_LOW}, pw AS (SELECT passage, string_split(s, ' ') AS w FROM p), cw AS (SELECT chunk_id, string_split(t, ' ') AS w FROM c),
+    pp AS (SELECT DISTINCT passage, array_to_string(w[i:i+3], ' ') AS ph FROM (SELECT passage, w, unnest(range(1, len(w) - 2)) AS i FROM pw)),
+    cp AS (SELECT DISTINCT chunk_id, array_to_string(w[i:i+3], ' ') AS ph FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 2)) AS i FROM cw))
+    SELECT DISTINCT passage, chunk_id FROM pp JOIN cp USING (ph)"""
+)
+def qrels_fourgram(spark, d):
+    return qrels.phrase_matches(gold(spark, d), corpus(spark, d))
+
+
+@query(
+    r"""WITH pw AS (SELECT item_id AS passage, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM benchmark),
+    cw AS (SELECT doc_id::VARCHAR AS chunk_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS x FROM documents),
+    pe AS (SELECT passage, len(w) AS n, unnest(w) AS x FROM pw),
+    m AS (SELECT passage, n, chunk_id, count(*) AS common FROM pe JOIN cw USING (x) GROUP BY ALL)
+    SELECT passage, chunk_id FROM m WHERE common >= 3 AND common >= 0.5 * n"""
+)
+def qrels_bagofwords(spark, d):
+    return qrels.word_matches(gold(spark, d), corpus(spark, d))
+
+
+_SPANS = f"""WITH {_WINDOWS}, g AS (
+  SELECT item_id AS passage, doc_id, strpos(d.text, b.text) - 1 AS a, strpos(d.text, b.text) - 1 + length(b.text) AS z
+  FROM documents d, benchmark b WHERE contains(d.text, b.text) AND b.text <> '')"""
+
+
+@query(
+    f"""{_SPANS} SELECT DISTINCT passage, doc_id || ':' || chunk_index AS chunk_id FROM g JOIN c USING (doc_id)
+    WHERE least(z, start_char + length(content)) - greatest(a, start_char) > 0"""
+)
+def qrels_span_overlap(spark, d):
+    docs = corpus(spark, d)
+    found = qrels.containment_matches(gold(spark, d), docs)
+    placed = found.join(gold(spark, d), "passage").join(docs, "chunk_id").where(F.col("content").contains(F.col("snippet")))
+    at = F.expr("locate(snippet, content)") - 1
+    spans = placed.select("passage", "doc_id", at.alias("start_char"), (at + F.length("snippet")).alias("end_char"))
+    chunks = chunking.fixed_windows(docs, 400, 50).withColumn("chunk_id", F.concat_ws(":", "doc_id", "chunk_index"))
+    return qrels.span_matches(spans, chunks).distinct()
+
+
+@query(f"{_CONTAINED} SELECT item_id AS passage FROM benchmark WHERE item_id NOT IN (SELECT passage FROM hit)")
+def qrels_unresolved(spark, d):
+    return qrels.unresolved(gold(spark, d), qrels.containment_matches(gold(spark, d), corpus(spark, d))).select("passage")
+
+
+# metrics
+
+
+_K = "unnest([1, 3, 5, 10])"
+_METRICS = f"""{_CONTAINED.replace("WITH", f"WITH {_SCORES},", 1)}, top AS {_ranked('sc', 10)},
+rel AS (SELECT passage AS query_id, chunk_id, 1 AS gain FROM hit), qs AS (SELECT item_id AS query_id, {_K} AS k FROM benchmark)"""
+_METRIC_ROWS = """,
+h AS (SELECT query_id, k, count(*) AS n, min(rank) AS first, sum((pow(2, gain) - 1) / log2(rank + 1)) AS dcg FROM qs JOIN top USING (query_id) JOIN rel USING (query_id, chunk_id) WHERE rank <= k AND gain > 0 GROUP BY ALL),
+il AS (SELECT query_id, gain, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS r FROM rel WHERE gain > 0),
+i AS (SELECT query_id, k, sum((pow(2, gain) - 1) / log2(r + 1)) FILTER (r <= k) AS ideal, count(*) AS n_rel FROM qs JOIN il USING (query_id) GROUP BY ALL)
+SELECT query_id, k, round(coalesce(n / n_rel::DOUBLE, 0), 6) AS recall, round(coalesce(n, 0) / k::DOUBLE, 6) AS precision, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr,
+round(coalesce(dcg, 0) / coalesce(ideal, 1), 6) AS ndcg, (coalesce(n, 0) > 0)::INTEGER::DOUBLE AS hit FROM qs LEFT JOIN h USING (query_id, k) LEFT JOIN i USING (query_id, k)"""
+
+
+@query(_METRICS + _METRIC_ROWS)
+def ir_metrics_at_k(spark, d):
+    rel = qrels.containment_matches(gold(spark, d), corpus(spark, d)).select(F.col("passage").alias("query_id"), "chunk_id")
+    return six(metrics.ranking_metrics(asked(spark, d), bm25(spark, d, 10), rel, [1, 3, 5, 10]))
+
+
+@query(_METRICS.replace("SELECT passage AS query_id, chunk_id, 1 AS gain FROM hit", "SELECT passage AS query_id, chunk_id, 1 + coalesce(max(quality), 0) AS gain FROM hit LEFT JOIN labels ON doc_id::VARCHAR = chunk_id GROUP BY ALL") + _METRIC_ROWS)
+def graded_ndcg(spark, d):
+    quality = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("chunk_id"), "quality")
+    rel = qrels.containment_matches(gold(spark, d), corpus(spark, d)).select(F.col("passage").alias("query_id"), "chunk_id")
+    graded = rel.join(quality, "chunk_id", "left").withColumn("gain", 1 + F.coalesce("quality", F.lit(0)))
+    return six(metrics.ranking_metrics(asked(spark, d), bm25(spark, d, 10), graded, [1, 3, 5, 10], gain="gain"))
+
+
+@query(
+    f"""{_CONTAINED.replace("WITH", f"WITH {_SCORES},", 1)}, top AS {_ranked('sc', 10)}, qs AS (SELECT DISTINCT passage AS query_id, unnest([5, 10]) AS k FROM hit)
+    SELECT query_id, k, round(count(*) FILTER (rank <= k) / max(n)::DOUBLE, 6) AS doc_recall FROM qs JOIN (SELECT passage AS query_id, count(*) AS n FROM hit GROUP BY 1) USING (query_id)
+    LEFT JOIN (SELECT top.* FROM top JOIN hit ON passage = query_id AND hit.chunk_id = top.chunk_id) t USING (query_id) GROUP BY query_id, k"""
+)
+def doc_recall(spark, d):
+    rel = qrels.containment_matches(gold(spark, d), corpus(spark, d)).select(F.col("passage").alias("query_id"), F.col("chunk_id").alias("doc_id"))
+    found = bm25(spark, d, 10).withColumnRenamed("chunk_id", "doc_id")
+    return six(metrics.document_recall(asked(spark, d), found, rel, [5, 10]))
+
+
+_TURNS = """t AS (SELECT a.conv_id, a.turn, a.text AS answer, coalesce(u.text, '') AS context FROM conversations a
+LEFT JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant')"""
+
+
+def turns(spark, d):
+    rows = table(spark, d, "conversations")
+    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
+    out = rows.where("role = 'assistant'").join(before, ["conv_id", "turn"], "left")
+    return out.select("conv_id", "turn", F.col("text").alias("answer"), F.coalesce("context", F.lit("")).alias("context"))
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, turn, {_entailed('answer')} AS entailed FROM t")
+def mock_entailment(spark, d):
+    return turns(spark, d).select("conv_id", "turn", metrics.entails(F.col("context"), F.col("answer")).alias("entailed"))
+
+
+@query(
+    f"""WITH {_TURNS}, s AS (SELECT conv_id * 1000 + turn AS query_id, context, unnest(list_filter(list_transform(string_split(regexp_replace(answer, '([.!?।॥])[{_SPACE}]+', '\\1' || chr(31), 'g'), chr(31)),
+      lambda x: regexp_replace(x, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')), lambda x: x <> '')) AS p FROM t),
+    e AS (SELECT query_id, count(*) AS n, count(*) FILTER ({_entailed('p')}) AS good FROM s GROUP BY 1)
+    SELECT conv_id * 1000 + turn AS query_id, coalesce(n, 0)::INTEGER AS propositions, coalesce(good, 0)::INTEGER AS entailed,
+    round(coalesce(good / n::DOUBLE, 1), 6) AS faithfulness, round(1 - coalesce(good / n::DOUBLE, 1), 6) AS hallucination_rate FROM t LEFT JOIN e ON query_id = conv_id * 1000 + turn"""
+)
+def faithfulness(spark, d):
+    rows = turns(spark, d).withColumn("query_id", F.col("conv_id") * 1000 + F.col("turn"))
+    return six(metrics.faithfulness(rows))
+
+
+_CITING = "'See [Source ' || (user_id % 7) || '] and [' || (event_id % 5) || ']. Also [source  ' || (event_id % 3) || '], not [Source x].'"
+
+
+@query(f"SELECT event_id, list_transform(regexp_extract_all(t, '(?i)\\[(?:Source\\s+)?([0-9]+)\\]', 1), lambda x: x::INTEGER) AS cited FROM (SELECT event_id, {_CITING} AS t FROM events)")
+def citation_extract(spark, d):
+    cite = F.format_string("See [Source %d] and [%d]. Also [source  %d], not [Source x].", F.col("user_id") % 7, F.col("event_id") % 5, F.col("event_id") % 3)
+    return table(spark, d, "events").select("event_id", metrics.citations(cite).alias("cited"))
+
+
+# context packing
+
+
+_RANKED10 = f"WITH RECURSIVE {_SCORES}, top AS (SELECT t.*, d.doc_id, d.text AS content FROM {_ranked('sc', 10)} t JOIN documents d ON d.doc_id::VARCHAR = t.chunk_id)"
+
+
+@query(
+    f"""{_RANKED10}, n AS (SELECT query_id, count(*) AS n FROM top GROUP BY 1)
+    SELECT query_id, chunk_id, rank::INTEGER AS rank, (row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN (rank - 1) % 2 = 0 THEN rank - 1 ELSE 2 * n - rank + 1 END))::INTEGER AS position
+    FROM top JOIN n USING (query_id)"""
+)
+def lost_in_middle_order(spark, d):
+    found = bm25(spark, d, 10)
+    sized = found.join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id")
+    key = context.reorder_key(F.col("rank") - 1, F.col("n"), "lost_in_the_middle")
+    return lexical.rank_within(sized.withColumn("key", key), None, F.col("key"), name="position").select("query_id", "chunk_id", "rank", "position")
+
+
+_BUDGET = 3000
+
+
+@query(
+    f"""{_RANKED10}, walk AS (
+      SELECT query_id, 0::BIGINT AS pos, 0 AS used, 0 AS taken, []::VARCHAR[] AS chosen FROM (SELECT DISTINCT query_id FROM top)
+      UNION ALL
+      SELECT query_id, pos + 1, CASE WHEN used + cost <= {_BUDGET} THEN used + cost ELSE used END, CASE WHEN used + cost <= {_BUDGET} THEN taken + 1 ELSE taken END,
+             CASE WHEN used + cost <= {_BUDGET} THEN list_append(chosen, chunk_id) ELSE chosen END
+      FROM (SELECT w.*, t.chunk_id, {_estimated("('[Source ' || (taken + 1) || '] (doc: ' || t.doc_id || ', chunk: ' || t.chunk_id || ')' || chr(10) || t.content || chr(10) || chr(10))")} AS cost
+            FROM walk w JOIN top t ON t.query_id = w.query_id AND t.rank = w.pos + 1))
+    SELECT query_id, array_to_string(chosen, ',') AS chosen, used::INTEGER AS used, (pos - taken)::INTEGER AS truncated FROM walk QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos DESC) = 1"""
+)
+def context_pack_greedy(spark, d):
+    docs = corpus(spark, d).select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), "content")
+    packed = context.select_within(bm25(spark, d, 10).join(docs, "chunk_id"), _BUDGET)
+    return packed.select("query_id", F.array_join(F.transform("chosen", lambda x: x["chunk_id"]), ",").alias("chosen"), "used", "truncated")
+
+
+@query()
+def context_assembled(spark, d):
+    docs = corpus(spark, d).select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), "content")
+    packed = context.pack(asked(spark, d), bm25(spark, d, 10).join(docs, "chunk_id"), _BUDGET, "lost_in_the_middle")
+    return packed.select("query_id", "total_tokens", "fits", "truncated", F.md5("text").alias("text_md5"))
+
+
+# summaries and statistics
+
+
+@query(
+    """SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS min, max(value) AS max,
+    round(coalesce(stddev_samp(value), 0), 6) AS stddev, count(value) AS count FROM events GROUP BY 1"""
+)
+def run_metric_summary(spark, d):
+    return six(stats.summary(table(spark, d, "events"), "event_type"))
+
+
+def order_runs(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "FAILED").when(F.col("o_orderstatus") == "O", "SUCCESS").otherwise("PENDING")
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), "o_orderkey", status.alias("status"))
+
+
+_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'O' THEN 'SUCCESS' ELSE 'PENDING' END"
+
+
+@query(
+    f"""SELECT o_custkey AS run_id, count(*) AS queries, count(*) FILTER (s = 'SUCCESS') AS completed, count(*) FILTER (s = 'FAILED') AS failed,
+    CASE WHEN count(*) FILTER (s = 'FAILED') = 0 THEN 'COMPLETED' WHEN count(*) FILTER (s = 'SUCCESS') = 0 THEN 'FAILED' ELSE 'PARTIAL' END AS status
+    FROM (SELECT o_custkey, {_STATUS} AS s FROM orders) GROUP BY 1"""
+)
+def run_status_rollup(spark, d):
+    return stats.run_status(order_runs(spark, d))
+
+
+@query(
+    f"""SELECT run_id % 100 AS matrix_id, count(*) AS runs, count(*) FILTER (s = 'COMPLETED') AS completed_runs, count(*) FILTER (s <> 'COMPLETED') AS failed_runs,
+    CASE WHEN bool_and(s = 'COMPLETED') THEN 'COMPLETED' WHEN bool_and(s = 'FAILED') THEN 'FAILED' ELSE 'PARTIAL' END AS status
+    FROM (SELECT o_custkey AS run_id, CASE WHEN count(*) FILTER (x = 'FAILED') = 0 THEN 'COMPLETED' WHEN count(*) FILTER (x = 'SUCCESS') = 0 THEN 'FAILED' ELSE 'PARTIAL' END AS s
+          FROM (SELECT o_custkey, {_STATUS} AS x FROM orders) GROUP BY 1) GROUP BY 1"""
+)
+def matrix_status_rollup(spark, d):
+    runs = stats.run_status(order_runs(spark, d)).withColumn("matrix_id", F.col("run_id") % 100)
+    return stats.matrix_status(runs, "matrix_id")
+
+
+@query("SELECT user_id, event_type AS metric, max_by(value, event_id) AS value FROM events GROUP BY ALL")
+def last_scores(spark, d):
+    return stats.last_scores(table(spark, d, "events").withColumnRenamed("event_type", "metric"), "user_id", time="event_id")
+
+
+_PAIRS = """pr AS (SELECT b.event_type AS metric, user_id, a.v AS a, b.v AS b, b.v - a.v AS difference
+FROM (SELECT user_id, avg(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1) a
+JOIN (SELECT user_id, event_type, avg(value) AS v FROM events WHERE event_type <> 'view' GROUP BY 1, 2) b USING (user_id))"""
+
+
+def observations(spark, d):
+    """Users' mean values by event type; views against each other type, which names the metric."""
+    means = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("value"))
+    others = means.where("event_type <> 'view'").withColumnRenamed("event_type", "metric")
+    views = means.where("event_type = 'view'").select("user_id", "value")
+    base = views.join(others.select("user_id", "metric"), "user_id")
+    return stats.paired(base, others, "user_id")
+
+
+@query(f"WITH {_PAIRS} SELECT metric, user_id, round(a, 6) AS a, round(b, 6) AS b, round(difference, 6) AS difference FROM pr")
+def paired_observations(spark, d):
+    return six(observations(spark, d))
+
+
+@query(
+    f"""WITH {_PAIRS} SELECT metric, count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(difference), 6) AS mean_difference,
+    round(stddev_samp(difference), 6) AS std_difference, count(*) - 1 AS t_df, round(avg(difference) / (stddev_samp(difference) / sqrt(count(*))), 6) AS t_statistic,
+    round(avg(difference) / stddev_samp(difference), 6) AS cohens_dz FROM pr GROUP BY 1"""
+)
+def paired_ttest_stats(spark, d):
+    return six(stats.paired_statistics(observations(spark, d), "metric"))
+
+
+@query(
+    f"""WITH {_PAIRS}, k AS (SELECT metric, difference, round(abs(difference), 12) AS size FROM pr WHERE abs(difference) > 1e-12),
+    r AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY size) + (count(*) OVER (PARTITION BY metric, size) - 1) / 2.0 AS place FROM k)
+    SELECT metric, count(*) AS n, least(coalesce(sum(place) FILTER (difference > 0), 0), coalesce(sum(place) FILTER (difference < 0), 0))::DOUBLE AS w FROM r GROUP BY 1"""
+)
+def wilcoxon_w(spark, d):
+    return stats.wilcoxon_statistic(observations(spark, d), "metric")
+
+
+@query()
+def paired_tests(spark, d):
+    return six(stats.compare(*_two_runs(spark, d), unit="user_id"))
+
+
+def _two_runs(spark, d):
+    pairs = observations(spark, d)
+    return pairs.select("metric", "user_id", F.col("a").alias("value")), pairs.select("metric", "user_id", F.col("b").alias("value"))
+
+
+_PVALUES = "pv AS (SELECT event_type AS family, user_id AS metric, (sum(event_id) % 1000) / 1000.0::DOUBLE AS p_value FROM events GROUP BY ALL)"
+
+
+def p_values(spark, d):
+    groups = table(spark, d, "events").groupBy(F.col("event_type").alias("family"), F.col("user_id").alias("metric"))
+    return groups.agg(((F.sum("event_id") % 1000) / F.lit(1000.0)).alias("p_value"))
+
+
+@query(
+    f"""WITH {_PVALUES} SELECT family, metric, p_value, round(least(1, max(p_value * (m - r + 1)) OVER (PARTITION BY family ORDER BY p_value, metric ROWS UNBOUNDED PRECEDING)), 6) AS p_holm,
+    CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE 'ns' END AS stars
+    FROM (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p_value, metric) AS r FROM pv)"""
+)
+def holm_adjust(spark, d):
+    return six(stats.holm(p_values(spark, d), family="family").withColumn("stars", stats.stars(F.col("p_value"))))
+
+
+@query(
+    f"""WITH {_PVALUES} SELECT family, metric, p_value, round(least(1, min(p_value * m / r) OVER (PARTITION BY family ORDER BY p_value DESC, metric DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_bh
+    FROM (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p_value, metric) AS r FROM pv)"""
+)
+def bh_adjust(spark, d):
+    return six(stats.benjamini_hochberg(p_values(spark, d), family="family"))
+
+
+@query(
+    f"""WITH {_PAIRS} SELECT metric, count(*) AS n, round_even(avg(b), 6) AS mean_mono, round_even(avg(a), 6) AS mean_cross, round_even(avg(difference), 6) AS mean_penalty,
+    round_even(stddev_samp(difference), 6) AS std_penalty, round_even(avg(difference) / stddev_samp(difference), 6) AS cohens_dz FROM pr GROUP BY 1"""
+)
+def transfer_penalty(spark, d):
+    cross, mono = _two_runs(spark, d)
+    return stats.transfer(mono, cross, "user_id").select("metric", "n", "mean_mono", "mean_cross", "mean_penalty", "std_penalty", "cohens_dz")
+
+
+@query("SELECT DISTINCT q AS query_id, regexp_replace(q, '^q_|_(en|bn)_(en|bn)$', '', 'g') AS unit FROM (SELECT 'q_' || lower(c_mktsegment) || '_' || c_custkey || '_en_bn' AS q FROM customer)")
+def unit_ids(spark, d):
+    ids = table(spark, d, "customer").select(F.concat(F.lit("q_"), F.lower("c_mktsegment"), F.lit("_"), F.col("c_custkey"), F.lit("_en_bn")).alias("query_id"))
+    return ids.select("query_id", stats.unit_of(F.col("query_id")).alias("unit")).distinct()
+
+
+# sweeps and the relational layer
+
+
+@query(
+    """WITH p AS (SELECT user_id, avg(value) AS recall, count(*) AS latency FROM events GROUP BY 1)
+    SELECT user_id, round(recall, 6) AS recall, latency FROM p WHERE NOT EXISTS (
+      SELECT 1 FROM p o WHERE o.recall >= p.recall AND o.latency <= p.latency AND (o.recall > p.recall OR o.latency < p.latency))"""
+)
+def pareto_frontier(spark, d):
+    points = table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("recall"), F.count(F.lit(1)).alias("latency"))
+    return six(relational.pareto(points)).select("user_id", "recall", "latency")
+
+
+@query(
+    """SELECT unnest(['c_nationkey', 'c_mktsegment', 'constant']) AS field, unnest([count(DISTINCT c_nationkey), count(DISTINCT c_mktsegment), 1]) AS values,
+    unnest([count(DISTINCT c_nationkey) > 1, count(DISTINCT c_mktsegment) > 1, FALSE]) AS diverges FROM customer"""
+)
+def control_divergence(spark, d):
+    rows = table(spark, d, "customer").withColumn("constant", F.lit("x"))
+    return relational.divergence(rows, ["c_nationkey", "c_mktsegment", "constant"])
+
+
+_GRID = {"chunk_size": [200, 400, 800], "mode": ["dense", "bm25", "hybrid"], "top_k": [5, 10]}
+
+
+@query(
+    """SELECT (a * 6 + b * 2 + c)::BIGINT AS index, [200, 400, 800][a + 1]::INTEGER AS chunk_size, ['dense', 'bm25', 'hybrid'][b + 1] AS mode, [5, 10][c + 1]::INTEGER AS top_k
+    FROM range(3) x(a), range(3) y(b), range(2) z(c)"""
+)
+def sweep_cross_product(spark, d):
+    return sweep.cross(spark, _GRID)
+
+
+@query(
+    """SELECT o_custkey AS cache_hash, o_orderkey AS run_id FROM orders WHERE o_orderstatus = 'F'
+    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"""
+)
+def latest_cached_run(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("RUNNING")
+    runs = table(spark, d, "orders").select(F.col("o_custkey").alias("cache_hash"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("completed_at"), status.alias("status"))
+    return relational.cached_runs(runs).select("cache_hash", "run_id")
+
+
+@query("SELECT o_orderkey AS index, o_custkey AS cache_hash, min(o_orderkey) OVER (PARTITION BY o_custkey) AS leader, o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) AS executes FROM orders")
+def in_flight_dedupe(spark, d):
+    plan = table(spark, d, "orders").select(F.col("o_orderkey").alias("index"), F.col("o_custkey").alias("cache_hash"))
+    return relational.in_flight(plan)
+
+
+@query("SELECT o_orderkey AS index, o_custkey AS cache_hash, CASE WHEN o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'HIT' ELSE 'MISS' END AS cache_status FROM orders")
+def plan_cache_status(spark, d):
+    orders = table(spark, d, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("RUNNING")
+    runs = orders.select(F.col("o_custkey").alias("cache_hash"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("completed_at"), status.alias("status"))
+    return relational.plan_status(orders.select(F.col("o_orderkey").alias("index"), F.col("o_custkey").alias("cache_hash")), runs)
+
+
+@query("SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def orphan_chunk_refs(spark, d):
+    return relational.orphans(table(spark, d, "labels").select("doc_id", "quality"), table(spark, d, "embeddings"), "doc_id", "vec_id")
+
+
+@query("SELECT md5(text) AS content_md5, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def repeated_documents(spark, d):
+    return relational.repeated(corpus(spark, d).select(F.md5("content").alias("content_md5")), "content_md5")
+
+
+@query("SELECT source, count(*) AS document_count, sum(strlen(text))::BIGINT AS total_bytes FROM documents GROUP BY 1")
+def document_totals(spark, d):
+    return relational.document_totals(corpus(spark, d), "source")
+
+
+@query("SELECT sha256(string_agg(text, '' ORDER BY item_id)) AS content_hash FROM benchmark")
+def dataset_content_hash(spark, d):
+    return hashing.dataset_hash(table(spark, d, "benchmark"), "item_id", "text")
+
+
+@query(
+    """SELECT o_orderkey, o_custkey, coalesce(list(l_linenumber ORDER BY l_linenumber, l_partkey) FILTER (l_orderkey IS NOT NULL), []) AS line_numbers, coalesce(list(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (l_orderkey IS NOT NULL), []) AS parts
+    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL"""
+)
+def evidence_trail(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
+    nested = relational.children(orders, lines, "o_orderkey", "lines", "l_linenumber", "l_partkey")
+    return nested.select("o_orderkey", "o_custkey", F.col("lines.l_linenumber").alias("line_numbers"), F.col("lines.l_partkey").alias("parts"))
+
+
+@query("SELECT * FROM (PIVOT (SELECT user_id, event_type, value FROM events) ON event_type IN ('view', 'click', 'error', 'purchase', 'signup') USING round(avg(value), 6) GROUP BY user_id)")
+def radar_pivot(spark, d):
+    return table(spark, d, "events").groupBy("user_id").pivot("event_type", ["view", "click", "error", "purchase", "signup"]).agg(F.round(F.avg("value"), 6))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 10")
+def filtered_page(spark, d):
+    rows = relational.matching(table(spark, d, "orders"), o_orderpriority="1-URGENT")
+    return relational.page(rows, F.col("o_totalprice").desc(), "o_orderkey", offset=10, limit=50).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'the ')")
+def trace_search(spark, d):
+    return relational.search_text(table(spark, d, "conversations"), "the ", "text").select("conv_id", "turn")
+
+
+@query()
+def experiment_sweep(spark, d):
+    """A sweep of two lexical points over documents and passages, end to end, to its metric means."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    queries_ = asked(spark, d)
+    passages = queries_.select(F.col("query_id").alias("passage"), "query_id", F.lit("").alias("doc_id"), F.col("query").alias("snippet"), F.lit(None).cast("int").alias("start_char"), F.lit(None).cast("int").alias("end_char"))
+    plan = config.Experiment("sweep", "documents", components={"chunking": {"chunk_size": [1000, 2000], "chunk_overlap": 0}, "retrieval": {"mode": "bm25", "top_k": 5}, "evaluation": {"metrics": ["recall", "mrr", "ndcg"], "k_values": [1, 5]}})
+    rows = []
+    for point in sweep.expand(plan.components):
+        whole = runner.Corpus(docs, keep=lambda df: materialize(df, "sweep"))
+        chunks = whole.chunks(point)
+        found = lexical.search(queries_, chunks, whole.index(point), point.retrieval.top_k)
+        rel = qrels.containment_matches(passages, chunks).select(F.col("passage").alias("query_id"), "chunk_id")
+        wide = metrics.ranking_metrics(queries_, found, rel, [1, 5])
+        rows.append(stats.summary(metrics.long_form(wide, ["recall", "mrr", "ndcg"]), "metric").withColumn("chunk_size", F.lit(point.chunking.chunk_size)))
+    return six(rows[0].unionByName(rows[1]))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+from millrace.storage import shared_dir, write_bytes
+
 
 def session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "6g", **extra: str) -> SparkSession:
     """A local session with UTC timestamps, AQE and no UI."""
@@ -22,3 +28,17 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application, wherever the driver has it from."""
+    context = spark.sparkContext
+    if getattr(context, "_millrace_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(write_bytes(spark, f"{shared_dir(spark)}/package/millrace.zip", data.getvalue()))
+    context._millrace_shipped = True
