@@ -12,7 +12,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from millrace.operators.lexical import PLACES, best_first, rank_within
@@ -58,7 +58,7 @@ def _scorer(ids: list, queries: np.ndarray, k: int):
                 above = np.nonzero(similar[row] > least)[0]
                 level = np.nonzero(similar[row] == least)[0][: take - len(above)]
                 best = np.concatenate([above, level])
-                yield pd.DataFrame({"query_id": query, "chunk_id": chunks[order][best], "score": similar[row][best]})
+                yield pd.DataFrame({"query_id": pd.Series([query] * len(best)), "chunk_id": chunks[order][best], "score": similar[row][best]})
 
     return run
 
@@ -76,7 +76,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None
     found = None
     while block := list(islice(rows, QUERY_BLOCK)):
         matrix = _unit(np.array([r["embedding"] for r in block], dtype=np.float64))
-        part = pool.mapInPandas(_scorer([r["query_id"] for r in block], matrix, k + not_self), schema)
+        ids = [r["query_id"].asDict() if isinstance(r["query_id"], Row) else r["query_id"] for r in block]
+        part = pool.mapInPandas(_scorer(ids, matrix, k + not_self), schema)
         found = part if found is None else found.union(part)
     if found is None:
         found = pool.sparkSession.createDataFrame([], schema)
