@@ -39,7 +39,7 @@ RULES = (
     ("length", "n_words", 20, 1_000_000),
     ("word length", "chars_per_word", 2.5, 12.0),
     ("symbols", "symbols_per_word", None, 0.1),
-    ("stop words", "stop_ratio", 0.05, None),
+    ("stop words", "stop_ratio", 0.02, None),
     ("repeated lines", "dup_line_ratio", None, 0.4),
     ("stuttering words", "stutter_ratio", None, 0.3),
     ("words per line", "words_per_line", 1.5, None),

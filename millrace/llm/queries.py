@@ -162,7 +162,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND n_words BETWEEN 20 AND 1000000
        AND word_chars::DOUBLE / nullif(n_words, 0) BETWEEN 2.5 AND 12
        AND n_symbols::DOUBLE / nullif(n_words, 0) <= 0.1
-       AND n_stop::DOUBLE / nullif(n_words, 0) >= 0.05
+       AND n_stop::DOUBLE / nullif(n_words, 0) >= 0.02
        AND coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0) <= 0.4
        AND n_stutter::DOUBLE / nullif(n_words, 0) <= 0.3
        AND n_words::DOUBLE / nullif(n_lines, 0) >= 1.5 AS kept
