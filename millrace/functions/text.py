@@ -10,8 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The character classes of the tokenisers and the Bengali stop words.
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SPACES = "\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
-ASCII_PUNCTUATION = "!-/:-@\\[-`{-~"
+ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BM25_MARKS = "।॥—‘’“”"
 BENGALI_MARKS = "।॥৷৸"
 SENTENCE_ENDS = ".!?।॥"
@@ -26,8 +27,14 @@ BENGALI_STOPWORDS = tuple(
 )
 JOINERS = "‌‍"
 
-#: Characters that NFKC leaves alone wherever they stand: ASCII and the letters of Latin-1.
-_SETTLED = "[^\\x00-\\x7FÀ-ÖØ-öø-ÿ]"
+#: Letters that NFKC leaves alone wherever they stand, beside ASCII.
+_SETTLED = "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
+
+
+def settled(text: Column) -> Column:
+    """Whether a text is ASCII and Latin-1 letters only; long character classes would cost more than counting bytes."""
+    rest = F.translate(text, _SETTLED, "")
+    return (F.octet_length(text) == F.length(text)) | (F.octet_length(rest) == F.length(rest))
 
 
 def let(value: Column, body) -> Column:
@@ -42,7 +49,7 @@ def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def nfkc(text: Column) -> Column:
     """Compatibility composition; only texts with other than settled characters go through Python."""
-    return F.coalesce(F.pandas_udf(_nfkc, "string")(F.when(text.rlike(_SETTLED), text)), text)
+    return F.coalesce(F.pandas_udf(_nfkc, "string")(F.when(~settled(text), text)), text)
 
 
 def normalise(text: Column) -> Column:
@@ -52,18 +59,18 @@ def normalise(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Words joined by single spaces."""
-    return F.trim(F.regexp_replace(text, f"[{SPACES}]+", " "))
+    return F.array_join(fields(text), " ")
 
 
 def runs(text: Column, outside: str) -> Column:
-    """Runs of characters outside a class, as an array."""
-    return F.regexp_extract_all(text, F.lit(f"[^{outside}]+"), F.lit(0))
+    """Runs of other than the given characters, as an array."""
+    return F.array_remove(F.split(F.translate(text, outside, " " * len(outside)), " "), "")
 
 
 def bm25_tokens(text: Column, compose: bool = True) -> Column:
     """Lower-cased runs of what is neither white space nor punctuation."""
     lowered = F.lower(text)
-    return runs(nfkc(lowered) if compose else lowered, SPACES + ASCII_PUNCTUATION + BM25_MARKS)
+    return runs(nfkc(lowered) if compose else lowered, SPACE_CHARS + ASCII_PUNCTUATION + BM25_MARKS)
 
 
 def _keep_joiners(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -88,7 +95,7 @@ def view(text: Column) -> Column:
 
 def bengali_tokens(text: Column, drop_stopwords: bool = False, compose: bool = True) -> Column:
     """Tokens of the view in lower case, by the Bengali class of punctuation; repeats stay."""
-    tokens = runs(F.lower(view(text) if compose else text), SPACES + ASCII_PUNCTUATION + BENGALI_MARKS)
+    tokens = runs(F.lower(view(text) if compose else text), SPACE_CHARS + ASCII_PUNCTUATION + BENGALI_MARKS)
     return F.filter(tokens, lambda x: ~x.isin(list(BENGALI_STOPWORDS))) if drop_stopwords else tokens
 
 
@@ -109,12 +116,13 @@ def clean_sentences(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
+    """The text without white space at its ends."""
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def fields(text: Column) -> Column:
     """Runs of other than white space."""
-    return F.regexp_extract_all(text, F.lit(f"[^{SPACES}]+"), F.lit(0))
+    return runs(text, SPACE_CHARS)
 
 
 def token_estimate(text: Column) -> Column:

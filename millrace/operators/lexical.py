@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import bm25_tokens
+from millrace.storage import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 PLACES = 9
@@ -75,12 +76,18 @@ def query_terms(queries: DataFrame, compose: bool = True) -> DataFrame:
 
 
 def scores(queries: DataFrame, index: Index, k1: float = K1, b: float = B, compose: bool = True) -> DataFrame:
-    """Scores of the chunks that share a term with a query."""
-    terms = query_terms(queries, compose).join(index.terms, "term")
-    hits = index.postings.join(terms, "term").join(index.documents, "chunk_id").crossJoin(F.broadcast(index.totals))
-    tf, length = F.col("tf").cast("double"), F.col("length").cast("double")
-    weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.col("mean_length")))
-    total = F.sum(F.col("qtf") * F.col("idf") * weight)
+    """Scores of the chunks that share a term with a query.
+
+    Postings are dealt by chunk before the join, so the sum over a chunk's terms needs no further shuffle of the
+    (many more) matches where the query terms are small enough to be broadcast.
+    """
+    terms = query_terms(queries, compose).join(index.terms.select("term", "idf"), "term")
+    lengths = index.documents.crossJoin(F.broadcast(index.totals)).select("chunk_id", (F.col("length") / F.col("mean_length")).alias("relative"))
+    posted = index.postings.join(lengths, "chunk_id").repartition("chunk_id")
+    tf = F.col("tf").cast("double")
+    weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("relative")))
+    hits = posted.withColumn("weight", weight).join(terms, "term")
+    total = F.sum(F.col("qtf") * F.col("idf") * F.col("weight"))
     return hits.groupBy("query_id", "chunk_id").agg(F.round(total, PLACES).alias("score"))
 
 
@@ -98,23 +105,32 @@ def search(
     """The ``k`` best chunks for each query; every chunk is a candidate, so chunks of score 0 fill short lists.
 
     ``where`` is a filter on the corpus that applies after scoring: statistics are those of the whole corpus.
-    A query without tokens has no ranking.  With ``fill``, short queries are found by an action.
+    A query without tokens has no ranking.  With ``fill``, the lists are written once and queries with fewer than
+    ``k`` positive scores are searched again with all the zeros they may need.
     """
-    found = scores(queries, index, k1, b, compose)
     allowed = corpus if where is None else corpus.where(where)
-    if where is not None:
-        found = found.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-    if fill:
-        asked = query_terms(queries, compose).select("query_id").distinct()
-        per_query = found.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("good"), F.count(F.lit(1)).alias("matched"))
-        short = asked.join(per_query, "query_id", "left").fillna(0, ["good", "matched"]).where(F.col("good") < k)
-        need = short.agg(F.max("matched")).first()[0]
-        if need is not None:
-            # among the first k + matched ids, at least k are not matched
-            first = allowed.select("chunk_id").orderBy("chunk_id").limit(k + int(need))
-            zero = short.select("query_id").crossJoin(first).join(found, ["query_id", "chunk_id"], "left_anti")
-            found = found.unionByName(zero.withColumn("score", F.lit(0.0)))
-    return rank_within(found, k, *best_first())
+
+    def matches(some: DataFrame) -> DataFrame:
+        found = scores(some, index, k1, b, compose)
+        return found if where is None else found.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+
+    ranked = rank_within(matches(queries), k, *best_first())
+    if not fill:
+        return ranked
+    ranked = materialize(ranked, "bm25")
+    asked = query_terms(queries, compose).select("query_id").distinct()
+    good = ranked.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("good"))
+    short = asked.join(good, "query_id", "left").where(F.coalesce("good", F.lit(0)) < k).select("query_id")
+    short = materialize(short, "bm25-short")
+    if short.isEmpty():
+        return ranked
+    again = materialize(matches(queries.join(short, "query_id", "left_semi")), "bm25-again")
+    most = again.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    # among the first k + matched ids, at least k are not matched
+    first = allowed.select("chunk_id").orderBy("chunk_id").limit(k + int(most))
+    zero = short.crossJoin(first).join(again, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    filled = rank_within(again.unionByName(zero), k, *best_first())
+    return ranked.join(short, "query_id", "left_anti").unionByName(filled)
 
 
 def save(index: Index, path: str) -> None:

@@ -15,7 +15,7 @@ from millrace.functions import hashing, text
 from millrace.operators import chunking, context, dense, embed, fusion, lexical, metrics, qrels, relational, rerank, stats, transforms
 from millrace.plans import config, runner, sweep
 from millrace.sources import export, readers
-from millrace.storage import materialize
+from millrace.storage import materialize, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -45,7 +45,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.col("text").alias("content"), "lang", "source")
 
 
@@ -825,7 +825,7 @@ def trace_search(spark, d):
 @query()
 def experiment_sweep(spark, d):
     """A sweep of two lexical points over documents and passages, end to end, to its metric means."""
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = spread(table(spark, d, "documents")).select("doc_id", F.col("text").alias("content"))
     queries_ = asked(spark, d)
     passages = queries_.select(F.col("query_id").alias("passage"), "query_id", F.lit("").alias("doc_id"), F.col("query").alias("snippet"), F.lit(None).cast("int").alias("start_char"), F.lit(None).cast("int").alias("end_char"))
     plan = config.Experiment("sweep", "documents", components={"chunking": {"chunk_size": [1000, 2000], "chunk_overlap": 0}, "retrieval": {"mode": "bm25", "top_k": 5}, "evaluation": {"metrics": ["recall", "mrr", "ndcg"], "k_values": [1, 5]}})

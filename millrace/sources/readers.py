@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.hashing import checksum, document_id
-from millrace.functions.text import SPACES, normalise, strip
+from millrace.functions.text import fields, normalise, strip
 
 # Which suffixes are read as what.
 MARKDOWN = ("md", "markdown", "mdown")
@@ -49,19 +49,19 @@ def decode(data: Column) -> Column:
     return F.pandas_udf(_decode, "string")(data)
 
 
-_CONTROL = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"
+_CONTROL = "".join(chr(c) for c in (*range(9), 11, 12, *range(14, 32), 127))
 
 
 def plain_text(text: Column) -> Column:
     """content (controls dropped, stripped), with line, character and word counts from before stripping."""
-    clean = F.regexp_replace(text, _CONTROL, "")
+    clean = F.translate(text, _CONTROL, "")
     ends = F.regexp_count(clean, F.lit("\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\x{2028}\\x{2029}]"))
     open_line = (~clean.rlike("[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\x{2028}\\x{2029}]\\z") & (F.length(clean) > 0)).cast("int")
     return F.struct(
         strip(clean).alias("content"),
         (ends + open_line).alias("line_count"),
         F.length(clean).alias("char_count"),
-        F.regexp_count(clean, F.lit(f"[^{SPACES}]+")).alias("word_count"),
+        F.size(fields(clean)).alias("word_count"),
     )
 
 

@@ -42,6 +42,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table's rows to all cores if its files split into fewer parts than there are; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by ``materialize`` that no later plan reads."""
     jvm = spark.sparkContext._jvm
