@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
+from millrace.storage import spread
+
+__all__ = ["documents", "let", "spare", "words"]
+
 #: White space of the word contract: U+0020 and U+0009 to U+000D.
-WORDS = "[^\\x20\\x09-\\x0D]+"
 _GAPS = "[ \\t-\\r]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table of documents; one that splits into fewer parts than there are cores is dealt out first."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def words(text: Column) -> Column:
@@ -19,11 +24,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), _GAPS), "")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` applied to ``value``, which is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def spare(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, whatever its case."""
     taken = {c.lower() for c in df.columns}
