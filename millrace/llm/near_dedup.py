@@ -50,7 +50,7 @@ PICKED = 2
 BLOCK = 512
 BINS = 256
 _MASK = (1 << 64) - 1
-_CACHE = 1 << 19
+_CACHE = 1 << 18
 
 
 def text_key(text: Column) -> Column:

@@ -37,7 +37,7 @@ EPOCHS, RATE, DECAY, SHRINK = 150, 0.1, 1e-4, 2e-4
 #: A word enters the vocabulary if so many documents have it and its shares differ by so many standard errors.
 LEAST_DOCS, STRENGTH = 5, 4
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 1 << 19
+_CACHE = 1 << 18
 
 
 class Words:
