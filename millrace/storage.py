@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The base folder for this application's intermediate tables, without a trailing slash."""
     base = spark.conf.get(_SETTING, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{_SETTING} must name a shared folder on a cluster")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set(_SETTING, base)
