@@ -43,7 +43,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a table's rows to all cores if its files split into fewer parts than there are; larger tables stay as they are."""
+    """Deal the rows of a table just read to all cores if its files split into fewer parts; larger tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
