@@ -29,6 +29,17 @@ _ANY_CASE = {w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) fo
 _KEYWORDS = "|".join([*_ANY_CASE.values(), "[Aa][Pp][Ii]_?[Kk][Ee][Yy]"])
 _NAMED = f"({_KEYWORDS})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 
+_END = "-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_GAP = "(?:[\\s\"'>|#*,]|\\\\[nr])*+"
+_HEAD = f"(?:{_GAP}[A-Z][A-Za-z0-9-]*+:[^\\n\\\\]*+)*+"
+_RUN = "[A-Za-z0-9+/=]"
+#: A private key with its body: all up to the END line, or without that line (a text that was cut) the lines that look like a key.
+#: A header that no key follows is not a secret.  Repetition is possessive, so that Java's matcher neither recurses nor goes back over a long body.
+_PEM = (
+    f"-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----(?={_HEAD}{_GAP}{_RUN}{{12}})"
+    f"([^-]*+(?:-(?!----)[^-]*+)*+(?={_END})|{_HEAD}(?:{_GAP}{_RUN}{{12,}}+)++(?:{_GAP}{_RUN}++(?=\\s*+$))?+)(?:{_END})?+"
+)
+
 #: (kind, pattern, group that holds the value, least length of the value); the first three are the base.
 KINDS = (
     ("assign", _NAMED, 2, 8),
@@ -38,7 +49,7 @@ KINDS = (
     ("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 28),
     ("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     ("payment", "[sr]k_live_[A-Za-z0-9]{16,}", 0, 24),
-    ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 20),
+    ("pem", _PEM, 1, 20),
     ("url", "[a-z][a-z0-9+]{1,20}://[^\\s:@/]{1,256}:([^\\s:@/]{6,256})@", 1, 6),
 )
 N_BASE = 3
@@ -101,7 +112,8 @@ def scan(docs: DataFrame, text: str = "text", output: str = "spans") -> DataFram
 
 
 def digest(value: Column) -> Column:
-    return F.sha2(value, 256)
+    """What ownership is counted by; line breaks, written out or not, don't make another key of the same body."""
+    return F.sha2(F.regexp_replace(value, "\\s|\\\\[nr]", ""), 256)
 
 
 def live_look(value: Column) -> Column:
