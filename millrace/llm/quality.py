@@ -36,7 +36,7 @@ STOP_WORDS = tuple(
 
 #: (name, measure, least, most); None leaves a side open.  A document passes if every row holds.
 RULES = (
-    ("length", "n_words", 20, 1_000_000),
+    ("length", "n_words", 20, None),
     ("word length", "chars_per_word", 2.5, 12.0),
     ("symbols", "symbols_per_word", None, 0.1),
     ("stop words", "stop_ratio", 0.02, None),
@@ -44,6 +44,8 @@ RULES = (
     ("stuttering words", "stutter_ratio", None, 0.3),
     ("words per line", "words_per_line", 1.5, None),
 )
+#: ``RULES`` with the upper bound of words that the SQL of ``op6_quality_rules`` states; nothing else uses it.
+BOUNDED = tuple((*rule[:3], 1_000_000) if rule[0] == "length" else rule for rule in RULES)
 
 
 def measures(text: Column) -> Column:

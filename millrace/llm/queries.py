@@ -14,7 +14,7 @@ from millrace.storage import fresh_path, materialize
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return quality.judge(docs).select(
+    return quality.judge(docs, rules=quality.BOUNDED).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 

@@ -59,6 +59,12 @@ def test_quality_keeps_clean_documents_and_columns(spark):
     assert clash.first().n_words == len(clean.split()) and [c.lower() for c in clash.columns].count("n_words") == 1
 
 
+def test_quality_keeps_clean_text_of_any_length(spark):
+    text = " ".join(f"the w{i} of v{i}" for i in range(250_001))
+    assert [r.doc_id for r in quality.keep_clean(docs(spark, [text, text + " the w0" * 400_000])).select("doc_id").collect()] == [0]
+    assert len(text.split()) > 1_000_000
+
+
 def test_quality_plan_has_no_python_and_no_shuffle(spark):
     plan = quality.judge(docs(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
