@@ -91,6 +91,18 @@ def test_classes_match_brute_force(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == naive_classes(texts)
 
 
+@pytest.mark.parametrize("spaced, low, high", [(True, 0, 0), (False, 0.6, 0.76)])
+def test_recall_at_the_limit_of_similarity_is_as_the_readme_says(spaced, low, high):
+    rng, met = np.random.default_rng(8), 0
+    for _ in range(500):
+        base = rng.integers(1, 1 << 62, 100, dtype=np.uint64)
+        copy = base.copy()
+        at = np.arange(4, 100, 5) if spaced else rng.choice(100, 20, replace=False)
+        copy[at] = rng.integers(1, 1 << 62, 20, dtype=np.uint64)
+        met += len(np.intersect1d(*(near_dedup.order_minhash(near_dedup.kmers(x)) for x in (base, copy)))) > 0
+    assert low * 500 <= met <= high * 500
+
+
 def test_keep_one_keeps_a_row_of_each_class(spark):
     texts = near_texts()
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(0, texts[0], "s"), (None, texts[1], None), (None, "only here", None), (None, "only here", None)]
