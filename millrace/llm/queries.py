@@ -89,10 +89,16 @@ def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary(), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+#: Arrivals of the shard query: more than a tier holds before it is merged.
+ARRIVALS = 5
+
+
 def op9_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents arrive in small shards, are compacted, and are read from the final version with the shard that holds them."""
-    store = sharding.ShardStore(spark, fresh_path(spark, "shards"), target=32 << 20, rows=2_000)
-    store.append(documents(spark, sf_dir))
+    """The documents arrive in several versions of small shards, are compacted, and are read from the final version with the shard that holds them."""
+    store = sharding.ShardStore(spark, fresh_path(spark, "shards"))
+    docs = documents(spark, sf_dir)
+    for k in range(ARRIVALS):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
     version = store.compact()
     store.vacuum()
     shards = [(s.name.rsplit("/", 1)[1], k, s.rows, s.bytes) for k, s in enumerate(sorted(store.shards(), key=lambda s: (s.born, s.name)))]

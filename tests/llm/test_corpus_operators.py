@@ -302,6 +302,17 @@ def test_compaction_keeps_rows_and_versions(spark, tmp_path):
         store.append(df.withColumn("more", F.lit(1)))
 
 
+def test_shard_query_merges_arrivals_of_several_versions(spark, monkeypatch):
+    from millrace.llm import queries
+
+    options, make = [], sharding.ShardStore
+    monkeypatch.setattr(sharding, "ShardStore", lambda *a, **b: options.append(b) or make(*a, **b))
+    rows = queries.op9_shard_compaction(spark, "/root/testdata/sf0.001").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.md5("text").alias("m")).collect()
+    assert sorted((r.doc_id, r.text_md5) for r in rows) == sorted((r.doc_id, r.m) for r in docs)
+    assert options == [{}] and {r.version for r in rows} == {queries.ARRIVALS + 1} and max(r.shard_rows for r in rows) > len(docs) / 2
+
+
 def test_two_writers_and_leftovers(spark, tmp_path):
     root = f"file://{tmp_path}/s"
     one, two = sharding.ShardStore(spark, root), sharding.ShardStore(spark, root)
