@@ -7,6 +7,12 @@ and owners that hold it.  A value that ``COPIED`` or more owners hold is a
 widely copied example; one that fewer hold and that has a live look (length
 and variety of characters) is a live secret.
 
+Only owners decide; ``n_repositories`` is reported and has no say.  A value
+that one or two owners hold is theirs however often they repeat it, and an
+example that is redacted costs less than a secret that stays.  ``COPIED`` is
+fixed, not derived from the corpus: a live credential that three owners
+mirror is taken for an example, which grows likelier with the corpus.
+
 Counting goes over (value, owner, repository), then (value, owner), then
 value, with partial aggregates before each shuffle, so a value that a third of
 all rows holds reaches the last step as one row per owner and task.

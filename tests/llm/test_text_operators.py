@@ -154,6 +154,13 @@ def test_ownership_counts_owners_and_repositories(spark):
     assert (out["g"].n_owners, out["g"].copied) == (1, False)
 
 
+def test_owners_alone_decide(spark):
+    rows = [("one owner", "a", i) for i in range(50)] + [("three owners", x, x) for x in (1, 2, 3)]
+    df = spark.createDataFrame([(h, str(o), str(r)) for h, o, r in rows], "value_hash string, owner string, repository string")
+    out = {r.value_hash: (r.n_repositories, r.copied) for r in secrets.ownership(df).collect()}
+    assert out == {"one owner": (50, False), "three owners": (3, True)}
+
+
 # personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
