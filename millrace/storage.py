@@ -8,6 +8,7 @@ Only where that is unset (tests, a laptop) a temporary folder takes its place.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -16,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 _SETTING = "spark.checkpoint.dir"
 #: Writers hold a row group in memory; wide binary columns fill one at this size.
 _ROW_GROUP = 32 << 20
+#: A table of more bytes is never shuffled only to spread it.
+_SPREAD_BYTES = 1 << 30
+_folders: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError(f"{_SETTING} must name a shared folder on a cluster")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set(_SETTING, base)
-    return f"{base.rstrip('/')}/millrace/{spark.sparkContext.applicationId}"
+    folder = f"{base.rstrip('/')}/millrace/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        # results may read these tables until the program ends
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Delete an application's folder; a program that is killed leaves it behind."""
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the JVM may have gone first
+        return
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
@@ -43,8 +61,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a table just read to all cores if its files split into fewer parts; larger tables stay as they are."""
+    """Deal the rows of a small table just read to all cores if its files split into fewer parts.
+
+    Only tables of up to ``_SPREAD_BYTES`` on disk are shuffled for that; on larger ones the scan's own splits stay.
+    No result depends on how rows are dealt.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > _SPREAD_BYTES:
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
