@@ -34,15 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     if folder not in _folders:
         _folders.add(folder)
         # results may read these tables until the program ends
-        atexit.register(_remove, spark, folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        atexit.register(_remove, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
     return folder
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
+def _remove(files, path) -> None:
     """Delete an application's folder; a program that is killed leaves it behind."""
     try:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files.delete(path, True)
     except Exception:  # the JVM may have gone first
         return
 
