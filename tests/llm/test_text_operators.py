@@ -2,9 +2,12 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,10 +293,61 @@ def test_toxicity_without_examples(spark):
         assert all(r.score == 0 for r in toxicity.score(df, model).collect())
 
 
+def naive_risk(weights, bias, positive, unlabelled, prior):
+    """Both parts of the risk by loops over documents and words."""
+    loss = lambda m: math.log1p(math.exp(-m))
+    margin = lambda row: bias + sum(weights[w] for w in row)
+    mean = lambda rows, sign: sum(loss(sign * margin(r)) for r in rows) / len(rows)
+    return prior * mean(positive, 1), mean(unlabelled, -1) - prior * mean(positive, -1)
+
+
+@pytest.mark.parametrize("prior, overfit", [(0.3, False), (0.9, True)])
+def test_risk_and_its_direction_match_brute_force(prior, overfit):
+    rng = np.random.default_rng(5)
+    rows = lambda n, share: [np.flatnonzero(rng.random(6) < share) for _ in range(n)]
+    positive, unlabelled, weights, bias = rows(7, 0.9 if overfit else 0.4), rows(11, 0.1 if overfit else 0.4), np.abs(rng.normal(size=6)), -1.0
+    risk = toxicity.Risk(toxicity._Sparse(positive, 6), toxicity._Sparse(unlabelled, 6), prior)
+    plus, minus = naive_risk(weights, bias, positive, unlabelled, prior)
+    assert (minus < 0) == overfit
+    assert risk.negative(weights, bias) == pytest.approx(minus) and risk(weights, bias) == pytest.approx(plus + max(0, minus))
+    # the gradient of the risk, or where its negative part is below zero the ascent of that part
+    aim = (lambda w, b: sum(naive_risk(w, b, positive, unlabelled, prior))) if minus >= 0 else (lambda w, b: -naive_risk(w, b, positive, unlabelled, prior)[1])
+    numeric = []
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-6
+        up, down = (aim(weights + sign * step[:6], bias + sign * step[6]) for sign in (1, -1))
+        numeric.append((up - down) / 2e-6)
+    assert risk.step(weights, bias) == pytest.approx(np.array(numeric), abs=1e-6)
+
+
+def test_toxicity_of_tables_with_clashing_names(spark):
+    df, labels = toxic_set(spark)
+    held_out = toxicity.remainder(F.col("doc_id")) == 0
+    model = toxicity.fit(df, labels, ~held_out)
+    more = df.withColumns({"id": F.lit("x"), "positive": F.lit(1), "learn": F.lit("no"), "toxic": F.lit(0), "words": F.lit(0), "score": F.lit("old")})
+    other = toxicity.fit(more, labels.withColumns({"id": F.lit(3), "text": F.lit("t")}), ~held_out)
+    assert other.bias == model.bias and (other.weights == model.weights).all()
+    out = toxicity.score(more, model)
+    assert sorted(out.columns) == sorted(more.columns) and dict(out.dtypes)["score"] == "double" and out.count() == df.count()
+    assert toxicity.fit(df, labels, ~held_out, prior=0.25).prior == 0.25
+
+
+def test_toxicity_query_scores_every_document(spark):
+    from millrace.llm.queries import op1_toxicity
+
+    ids = [r.doc_id for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id").collect()]
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = op1_toxicity(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(ids)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1
+    judged = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and labels.get(r.doc_id) is not None]
+    caught = [p for p, label in judged if label]
+    assert sum(caught) >= 0.5 * len(caught) and sum(p for p, label in judged if not label) <= 0.02 * len(judged)
+
+
 @pytest.mark.parametrize("doc_id", [0, 5, 123456789, -3])
 def test_remainder_is_that_of_the_id_as_text(spark, doc_id):
-    import zlib
-
     row = spark.createDataFrame([(doc_id,)], "doc_id long").select(toxicity.remainder(F.col("doc_id")).alias("r")).first()
     assert row.r == zlib.crc32(str(doc_id).encode()) % 5
 
