@@ -5,6 +5,7 @@ import json
 import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -195,12 +196,12 @@ def brute_top(rows, k):
     ints = {}
     for i, (vec_id, v) in enumerate(rows):
         if vec_id is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            ints[i] = (vec_id, [math.floor(256 * x) for x in v])
+            ints[i] = (vec_id, [math.floor(256 * Fraction(x)) for x in v])
     out = []
     for q, qv in ints.values():
         if q % 50:
             continue
-        scored = sorted((-sum(a * b for a, b in zip(qv, v, strict=True)), i) for i, v in ints.values() if i != q and len(v) == len(qv))
+        scored = sorted((-min(max(sum(a * b for a, b in zip(qv, v, strict=True)), 1 - (1 << 63)), (1 << 63) - 1), i) for i, v in ints.values() if i != q and len(v) == len(qv))
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
     return sorted(out)
 
@@ -210,7 +211,7 @@ def test_top_k_matches_brute_force(spark, shards):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(400)]
     rows += [(400 + i, [0.5] * 6) for i in range(60)]  # one common vector
-    rows += [(500, None), (550, []), (600, [float("nan")] * 6), (601, [None] * 6), (None, [1.0] * 6), (650, [1.0, 2.0]), (651, [3.0, 4.0]), (700, [1e5] * 6)]
+    rows += [(500, None), (550, []), (600, [float("nan")] * 6), (601, [None] * 6), (None, [1.0] * 6), (650, [1.0, 2.0]), (651, [3.0, 4.0]), (700, [1e5] * 6), (701, [1e30] * 6), (702, [1e7, -1e7, 1e300, 0.0, 0.0, -1e300]), (750, [1e9, 1e9, 0.0, 0.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = topk.top_k(df, df.where("vec_id % 50 = 0"), 5, shards=shards).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == brute_top(rows, 5)
@@ -222,11 +223,24 @@ def test_top_k_of_little(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_large_integers_stay_exact():
-    q, c = np.array([[2**28 + 1, 3]]), np.array([[2**28 + 3, 5], [2**28 + 3, 4], [2**28 + 3, 5]])
-    ids, cands, scores = topk.best_of_tile(np.array([9]), q, np.array([1, 2, 3]), c, 2)
-    exact = {i + 1: int(q[0, 0]) * int(v[0]) + int(q[0, 1]) * int(v[1]) for i, v in enumerate(c)}
-    assert {int(i): int(s) for i, s in zip(cands, scores, strict=True)} == {1: exact[1], 3: exact[3]}
+def test_products_are_exact_at_any_size():
+    rng = np.random.default_rng(3)
+    for size in (1.0, 1e4, 1e6, 2.0**28, 1e12, 1e30, 1e305):
+        q, c = rng.normal(size=(5, 4)) * size, rng.normal(size=(6, 4)) * size
+        q[0], c[0] = [size, 1.0, -size, 0.0], [size, 2.0, size, 0.0]  # large terms that cancel
+        got = topk.products(q, c, 256)
+        whole = lambda row: [math.floor(256 * Fraction(x)) for x in row.tolist()]
+        for i in range(5):
+            for j in range(6):
+                true = sum(a * b for a, b in zip(whole(q[i]), whole(c[j]), strict=True))
+                assert got[i, j] == min(max(true, 1 - (1 << 63)), (1 << 63) - 1), (size, i, j)
+
+
+def test_top_k_reads_only_its_columns(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<double>")
+    more = df.withColumns({c: F.lit("x") for c in ("id", "v", "query_id", "rank", "score", "dim", "n", "shard")})
+    found = topk.top_k(more, more.where("vec_id = 0"), 2)
+    assert [tuple(r) for r in found.orderBy("rank").collect()] == [(0, 1, 1, 256 * 512), (0, 2, 2, 256 * 512)]
 
 
 # packing
