@@ -2,20 +2,27 @@
 
 Each document is tokenized and ends with id 0.  Its hashed vector (token counts
 under a fixed random projection, as a mean) has ``DIMS`` dimensions; the cell
-it falls in has a Hilbert key.  Documents are range-sorted by that key, and
-each range is packed as one stream along the curve: sequences of ``LENGTH``
-tokens cut wherever they are full, so neighbours share sequences.  What is
-left at a range's end is cut into sequences of powers of two, which need no
-padding.
-
-A range is a bounded stream: its task holds one batch of documents.  Equal
-keys (copies) are ordered by doc_id and a hash of the ids, and may fall into
-several ranges.
-
-Defined results: a null text is empty, an empty text is the single id 0;
-repeated rows are packed one after another, each with pieces of its own.  A
-null doc_id is kept.  The ranges, and so the sequence ids, depend on the
-input's rows and the number of shuffle partitions, not on the run.
+it falls in has a Hilbert key.  Documents are sorted along the curve and cut
+into ranges of about ``RANGE`` tokens, and each range is packed as one stream:
+sequences of ``LENGTH`` tokens cut wherever they are full, so neighbours share
+sequences.  What is left at a range's end is cut into sequences of powers of
+two, which need no padding.
+
+Ranges are computed, not sampled.  The curve is divided into ``1 << CELL_BITS``
+cells; the tokens in each, a table of bounded size, are summed along the curve
+and cut at multiples of ``RANGE``.  A cell with more tokens than a range
+(copies have equal keys) is dealt to several by a hash of doc_id and ids, and
+rows that agree in both are counted first and dealt by their number.  So the
+pieces follow from the documents alone: not from the run, the partitions of
+the input or the cluster.  A range is a stream, of which a task holds one
+batch of documents.
+
+Defined results: a null text is empty, an empty text is the single id 0, and a
+very long text is cut into as many sequences as it needs; repeated rows are
+packed one after another, each with pieces of its own.  A doc_id may be null
+and of any type.  An empty table gives an empty result.  Only doc_id and text
+are read, so other columns may have any names.  Documents of equal key follow
+doc_id, then a checksum of their ids.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.storage import materialize
@@ -38,6 +45,11 @@ LENGTH = 1024
 END = 0
 DIMS, BITS = 3, 10
 SEED = 20
+#: Tokens of a range, and the leading bits of a key that tell its cell.
+RANGE = 1 << 21
+CELL_BITS = 18
+#: Ranges share tasks beyond so many.
+MOST_TASKS = 20_000
 
 _SPECIAL = "<|endoftext|>"
 #: Text for which the rank file's pattern and the tokenizer's agree on letters, digits and white space.
@@ -153,12 +165,20 @@ def _encode(vocabulary: str, ranks: str | None):
 
 
 def _rows(doc_ids: pa.Array, keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
-    width = pa.array([x.itemsize for x in ids], pa.int32())
-    data = pa.array([x.tobytes() for x in ids], pa.binary())
-    return pa.RecordBatch.from_arrays([doc_ids, pa.array(curve_keys(np.stack(keys)), pa.int64()), width, data], names=["doc_id", "curve", "width", "ids"])
+    data = [x.tobytes() for x in ids]
+    columns = {
+        "doc_id": doc_ids,
+        "curve": pa.array(curve_keys(np.stack(keys)), pa.int64()),
+        "tokens": pa.array([len(x) for x in ids], pa.int64()),
+        "mark": pa.array([zlib.crc32(x) for x in data], pa.int64()),
+        "width": pa.array([x.itemsize for x in ids], pa.int32()),
+        "ids": pa.array(data, pa.binary()),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_ENCODED = "curve long, tokens long, mark long, width int, ids binary"
+_PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def cuts(offset: int, n: int, last: bool, length: int) -> list[int]:
@@ -167,75 +187,133 @@ def cuts(offset: int, n: int, last: bool, length: int) -> list[int]:
     return [1 << b for b in range(left.bit_length() - 1, -1, -1) if left >> b & 1]
 
 
+class _Stream:
+    """One range's stream: pieces are final once it is known where the last, partly filled sequence begins."""
+
+    def __init__(self, number: int, length: int):
+        self.first, self.length = number << 32, length
+        self.out: list[tuple] = []
+        self.tail: list[tuple] = []  # (doc_id, start, ids, doc_tokens) of the sequence that is still open
+        self.filled, self.number = 0, 0
+
+    def close(self, size: int) -> None:
+        """Emit the open sequence's first ``size`` ids as one sequence; the rest stays open."""
+        offset, rest = 0, []
+        for doc_id, start, ids, total in self.tail:
+            take = min(len(ids), size - offset)
+            if take:
+                crc = zlib.crc32(np.ascontiguousarray(ids[:take], dtype="<u4").tobytes())
+                self.out.append((doc_id, start, take, crc, total, self.first + self.number, offset))
+                offset += take
+            if take < len(ids):
+                rest.append((doc_id, start + take, ids[take:], total))
+        self.tail, self.filled, self.number = rest, self.filled - size, self.number + 1
+
+    def add(self, doc_id, ids: np.ndarray) -> None:
+        at, total = 0, len(ids)
+        while at < total:
+            take = min(total - at, self.length - self.filled)
+            self.tail.append((doc_id, at, ids[at : at + take], total))
+            at, self.filled = at + take, self.filled + take
+            if self.filled == self.length:
+                self.close(self.length)
+
+    def finish(self) -> None:
+        for size in cuts(0, self.filled, True, self.length):
+            self.close(size)
+
+
 def _lay(length: int):
-    """Lay one range's stream: pieces are final once it is known where the last, partly filled sequence begins."""
+    """Lay the ranges of a task one after another; a row stands for ``copies`` equal documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        first = TaskContext.get().partitionId() << 40
-        out: list[tuple] = []
-        tail: list[tuple] = []  # (doc_id, start, ids, doc_tokens) of the sequence that is still open
-        filled, number = 0, 0
-
-        def piece(doc_id, start, ids, total, sequence, offset):
-            crc = zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
-            out.append((doc_id, start, len(ids), crc, total, first + sequence, offset))
-
-        def close(size: int) -> None:
-            """Emit the open sequence's first ``size`` ids as one sequence; the rest stays open."""
-            nonlocal tail, filled, number
-            offset, rest = 0, []
-            for doc_id, start, ids, total in tail:
-                take = min(len(ids), size - offset)
-                if take:
-                    piece(doc_id, start, ids[:take], total, number, offset)
-                    offset += take
-                if take < len(ids):
-                    rest.append((doc_id, start + take, ids[take:], total))
-            tail, filled, number = rest, filled - size, number + 1
-
-        def drain() -> pa.RecordBatch:
+        stream, kind = None, pa.int64()
+
+        def drain(out: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*out, strict=True))
             out.clear()
-            names = [x.split()[0] for x in _PIECES.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+            arrays = [pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])]
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", *(x.split()[0] for x in _PIECES.split(", "))])
 
         for batch in batches:
-            for doc_id, width, data in zip(*(batch.column(x) for x in ("doc_id", "width", "ids")), strict=True):
-                ids = np.frombuffer(data.as_py(), dtype=f"<u{width.as_py()}")
-                doc, total, at = doc_id.as_py(), len(ids), 0
-                while at < total:
-                    take = min(total - at, length - filled)
-                    tail.append((doc, at, ids[at : at + take], total))
-                    at, filled = at + take, filled + take
-                    if filled == length:
-                        close(length)
-                if len(out) >= 20_000:
-                    yield drain()
-        for size in cuts(0, filled, True, length):
-            close(size)
-        if out:
-            yield drain()
+            kind = batch.schema.field("doc_id").type
+            for number, doc_id, copies, width, data in zip(*(batch.column(x) for x in ("range", "doc_id", "copies", "width", "ids")), strict=True):
+                if stream is None or stream.first >> 32 != number.as_py():
+                    if stream is not None:
+                        stream.finish()
+                        if stream.out:
+                            yield drain(stream.out)
+                    stream = _Stream(number.as_py(), length)
+                ids, doc = np.frombuffer(data.as_py(), dtype=f"<u{width.as_py()}"), doc_id.as_py()
+                for _ in range(copies.as_py()):
+                    stream.add(doc, ids)
+                    if len(stream.out) >= 20_000:
+                        yield drain(stream.out)
+        if stream is not None:
+            stream.finish()
+            if stream.out:
+                yield drain(stream.out)
 
     return run
 
 
 def encode(docs: DataFrame, vocabulary: str, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, Hilbert key, width of an id in bytes, and the ids of every document."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_encode(vocabulary, ranks), "doc_id long, curve long, width int, ids binary")
+    """doc_id, Hilbert key, number of ids, checksum, width of an id in bytes, and the ids of every document."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_encode(vocabulary, ranks), f"doc_id {kind}, {_ENCODED}")
+
+
+_SAME = ("curve", "doc_id", "mark", "tokens")
+
+
+def _spares(ids: DataFrame, range_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """The rows without those that, counted with their equals, fill a range alone; and those, as rows of ``copies`` and ``part``."""
+    counts = ids.groupBy(*_SAME).agg(F.count(F.lit(1)).alias("alike"))
+    heavy = counts.where((F.col("alike") > 1) & (F.col("alike") * F.col("tokens") > range_tokens))
+    # few rows, or none; written so that the joins below know its size and leave the ids where they are
+    heavy = materialize(heavy.select(*(F.col(c).alias(f"h_{c}") for c in _SAME)), "packing-heavy")
+    same = F.lit(True)
+    for c in _SAME:
+        same &= F.col(c).eqNullSafe(F.col(f"h_{c}"))
+    rest = ids.join(heavy, same, "left_anti")
+    # equal rows hold equal ids but for equal checksums of unequal ids, which are kept apart here
+    several = ids.join(heavy, same, "left_semi").groupBy(*_SAME, "width", "ids").agg(F.count(F.lit(1)).alias("alike"))
+    each = F.greatest(F.lit(1), F.floor(F.lit(range_tokens) / F.col("tokens"))).cast("long")
+    several = several.withColumn("each", each).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("alike") - 1) / F.col("each")))))
+    left = F.least(F.col("each"), F.col("alike") - F.col("part") * F.col("each"))
+    return rest.withColumns({"copies": F.lit(1).cast("long"), "part": F.lit(0).cast("long")}), several.withColumn("copies", left).drop("alike", "each")
+
+
+def ranged(ids: DataFrame, range_tokens: int = RANGE) -> DataFrame:
+    """The encoded rows with ``copies`` and the number of their ``range``; ranges ascend along the curve."""
+    one, several = _spares(ids, range_tokens)
+    rows = one.unionByName(several).withColumn("cell", F.shiftright("curve", DIMS * BITS - CELL_BITS))
+    small = ids.select("curve", "tokens").withColumn("cell", F.shiftright("curve", DIMS * BITS - CELL_BITS))
+    cells = small.groupBy("cell").agg(F.sum("tokens").alias("held"))
+    # at most 1 << CELL_BITS rows, so one task sums them and every task may have them
+    before = Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    parts = F.ceil(F.col("held") / range_tokens)
+    large = F.col("held") > range_tokens
+    cells = cells.withColumn("ahead", F.coalesce(F.sum(F.when(~large, F.col("held")).otherwise(0)).over(before), F.lit(0)))
+    cells = cells.withColumn("large", F.coalesce(F.sum(F.when(large, parts + 1).otherwise(0)).over(before), F.lit(0)))
+    # small cells fill ranges together; a large cell has ranges of its own, and the small ones after it begin another
+    cells = cells.select("cell", (F.floor(F.col("ahead") / range_tokens) + F.col("large") + F.when(large, 1).otherwise(0)).alias("base"), F.when(large, parts).otherwise(1).alias("parts"))
+    spread = F.pmod(F.xxhash64("doc_id", "mark", "part"), F.col("parts"))
+    return rows.join(F.broadcast(cells), "cell").withColumn("range", (F.col("base") + spread).cast("long")).drop("cell", "base", "parts", "part")
 
 
 def pack(
-    docs: DataFrame, vocabulary: str, ranks: str | None = None, length: int = LENGTH, ranges: int | None = None, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, vocabulary: str, ranks: str | None = None, length: int = LENGTH, range_tokens: int = RANGE, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Pieces of documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    The ids are written once, so that finding the ranges' borders doesn't tokenize again.
+    The ids are written once, so that finding the ranges doesn't tokenize again.
     """
-    ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
     ids = materialize(encode(docs, vocabulary, ranks, doc_id, text), "packing-ids")
-    order = [F.col("curve"), F.col("doc_id"), F.crc32("ids")]
-    along = ids.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    return along.select("doc_id", "width", "ids").mapInArrow(_lay(length), _PIECES)
+    total = ids.agg(F.sum("tokens")).first()[0] or 0
+    tasks = min(MOST_TASKS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // range_tokens + 1))
+    along = ranged(ids, range_tokens).repartition(tasks, "range").sortWithinPartitions("range", *_SAME)
+    kind = ids.schema["doc_id"].dataType.simpleString()
+    return along.select("range", "doc_id", "copies", "width", "ids").mapInArrow(_lay(length), f"doc_id {kind}, {_PIECES}")

@@ -262,7 +262,7 @@ def test_packing_loses_and_pads_nothing(spark, length):
     texts = ["hello world", "", None, "Straße über 東京 🙂", "a<|endoftext|>b", "x\u2003y\x1cz", "word " * 3000, "copy", "copy", "\n\n  tabs\t"]
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(0, "hello world", "s"), (None, "no id", "s")]
     df = spark.createDataFrame(rows, SCHEMA)
-    pieces = packing.pack(df, vocabulary(), vocabulary("byte_bpe_50k.tiktoken"), length, ranges=3).collect()
+    pieces = packing.pack(df, vocabulary(), vocabulary("byte_bpe_50k.tiktoken"), length, range_tokens=500).collect()
     full = Tokenizer.from_file(vocabulary())
     expected, got = collections.Counter(), collections.Counter()
     for doc_id, text, _ in rows:
@@ -285,6 +285,44 @@ def test_packing_loses_and_pads_nothing(spark, length):
     assert packing.pack(df.limit(0), vocabulary()).count() == 0
 
 
+def test_pieces_depend_on_the_documents_alone(spark):
+    random.seed(9)
+    rows = [(i, random.choice(["some copied text " * 9, "other words " * random.randint(1, 40)]), "s") for i in range(300)]
+    rows += [(None, "a row given many times", "s")] * 200 + [(7, None, None)] * 3 + [(8, "long text " * 4000, "s")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    pieces = lambda some, **o: sorted(map(str, packing.pack(some, vocabulary(), vocabulary("byte_bpe_50k.tiktoken"), **o).collect()))
+    first = pieces(df, range_tokens=400)
+    assert first == pieces(df, range_tokens=400) == pieces(df.repartition(1), range_tokens=400) == pieces(df.repartition(13), range_tokens=400)
+    more = df.withColumns({c: F.lit("x") for c in ("curve", "ids", "range", "copies", "cell", "start", "tokens")})
+    assert first == pieces(more, range_tokens=400)
+    names = packing.pack(df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), vocabulary())
+    assert dict(names.dtypes)["doc_id"] == "string" and names.agg(F.sum("length")).first()[0] == packing.pack(df, vocabulary()).agg(F.sum("length")).first()[0]
+
+
+def test_ranges_are_bounded_even_where_one_key_holds_everything(spark):
+    rows = [(i, 5, 10, i, 2, b"") for i in range(3000)] + [(None, 5, 10, 1, 2, b"")] * 2000 + [(i, i << 14, 10, i, 2, b"") for i in range(500)]
+    df = spark.createDataFrame(rows, f"doc_id long, {packing._ENCODED}")
+    sizes = packing.ranged(df, 1000).groupBy("range").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()
+    assert sum(r.n for r in sizes) == 55_000 and max(r.n for r in sizes) < 4000 and len(sizes) > 40
+
+
+def test_packing_query_holds_every_id(spark):
+    from tokenizers import Tokenizer
+
+    from millrace.llm.queries import op8_curve_packing
+
+    full, held = Tokenizer.from_file(vocabulary()), collections.defaultdict(list)
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in op8_curve_packing(spark, "/root/testdata/sf0.001").collect():
+        held[r.doc_id].append(r)
+    assert held.keys() == texts.keys()
+    for doc_id, parts in held.items():
+        ids = full.encode(texts[doc_id] or "", add_special_tokens=False).ids + [0]
+        parts.sort(key=lambda r: r.start)
+        assert [r.start for r in parts] == [0, *np.cumsum([r.length for r in parts])[:-1]] and sum(r.length for r in parts) == len(ids)
+        assert all(r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in parts)
+
+
 def test_fast_and_full_ids_agree():
     one = packing.Tokenizer(vocabulary(), vocabulary("byte_bpe_50k.tiktoken"))
     other = packing.Tokenizer(vocabulary(), None)
