@@ -8,17 +8,23 @@ a fractional selection: documents in ascending order of the exponential key
 weighted sampling without replacement), taken while their prefix sum of words
 meets the rest.
 
-A source may hold any part of all rows: its keys are cut at approximate
-quantiles into blocks, prefix sums run within a block, and the blocks' sums
-give the offsets.  Block borders only spread the work; results don't depend
-on them.  Texts are read once, for their sizes; only sizes and keys move.
-
-Defined results: ``u`` hashes the seed and doc_id, so reruns agree.  Documents
-of equal key (repeated rows among them) follow doc_id, then a hash of their
-text.  A null source is a source of its own, ranked last; a null doc_id hashes
-like the word ``null``.  A document without words takes 0.  The document at
-the border is taken if that brings the source nearer to its target.  An empty
-table gives an empty mix.
+A source may hold any part of all rows: its keys are cut into blocks on the
+scale of their logarithm, which holds about ``ROWS`` documents a block however
+the quality is spread; prefix sums run within a block, and the blocks' sums
+give the offsets.  Rows that agree in source, doc_id and text have equal keys;
+where more than ``ROWS`` do, they make blocks of their own, dealt by number,
+which is allowed since they are interchangeable.  Blocks only spread the work;
+results don't depend on them.  Texts are read once, for their sizes; only
+sizes and keys move.
+
+Defined results: ``u`` hashes the seed, doc_id and text, so reruns agree and
+rows of one doc_id, or of none, are drawn apart.  Documents of equal key
+follow doc_id, then a hash of their text.  A null source is a source of its
+own, ranked last; a null doc_id hashes like the word ``null``, a null text like
+an empty one.  A document without words takes 0; one of any length is a
+document like others.  The document at the border is taken if that brings the
+source nearer to its target.  An empty table gives an empty mix.  Columns of
+the input may have any names: ``mix`` reads three, ``apply`` returns all as they are.
 """
 
 from __future__ import annotations
@@ -32,12 +38,13 @@ from millrace.storage import materialize
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
-BLOCKS = 64
+ROWS = 100_000
 
 
-def uniform(seed: int, key: Column) -> Column:
-    """A number in (0, 1) from 52 bits of an MD5 of seed and key."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"mix-{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13), 16, 10)
+def uniform(seed: int, doc_id: Column, text_md5: Column) -> Column:
+    """A number in (0, 1) from 52 bits of an MD5 of seed, doc_id and the text's hash."""
+    named = F.concat(F.lit(f"mix-{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), text_md5)
+    bits = F.conv(F.substring(F.md5(named), 1, 13), 16, 10)
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
@@ -72,40 +79,65 @@ def targets(per_source: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFra
 
 
 def sizes(docs: DataFrame, seed: int = 1, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The compact table that is mixed: doc_id, source, size, key and the hash that breaks ties."""
+    """The compact table that is mixed: doc_id, source, size, key, the hash that breaks ties, and a number that deals equal rows."""
     t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), t.alias("t"), F.size(words(t)).cast("long").alias("size"))
+    out = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), t.alias("t"), F.size(words(t)).cast("long").alias("size"), F.md5(t).alias("text_md5")
+    )
     return out.select(
         "doc_id",
         "source",
         "size",
-        (-F.ln(uniform(seed, F.col("doc_id"))) / quality_weight(F.col("t"), F.col("size"))).alias("key"),
-        F.md5("t").alias("text_md5"),
+        (-F.ln(uniform(seed, F.col("doc_id"), F.col("text_md5"))) / quality_weight(F.col("t"), F.col("size"))).alias("key"),
+        "text_md5",
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
-def mix(docs: DataFrame, seed: int = 1, weights=WEIGHTS, most: int = MOST, **columns: str) -> DataFrame:
+def _blocks(rows: DataFrame, per_block: int) -> DataFrame:
+    """The rows, which have their source's ``rows``, with the block that each lies in: ``bin``, ``sub`` and ``part``, in the order of their keys.
+
+    On the scale of ln(key) no interval of width w holds more than w / e of a source's documents, whatever their quality.
+    """
+    width = F.least(F.lit(1.0), F.lit(2.718281828459045 * per_block) / F.col("rows"))
+    binned = rows.withColumn("bin", F.floor(F.ln("key") / width))
+    alike = binned.groupBy("source", "bin", "key", "doc_id", "text_md5").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_block)
+    mark = F.struct(F.struct("key", "doc_id", "text_md5").alias("at"), F.ceil(F.col("n") / per_block).alias("parts"))
+    # none, usually; written so that the join knows its size
+    marks = materialize(alike.groupBy("source", "bin").agg(F.array_sort(F.collect_list(mark)).alias("marks")), "mix-alike")
+    marks = marks.select(F.col("source").alias("s"), F.col("bin").alias("b"), "marks")
+    binned = binned.join(marks, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")), "left").drop("s", "b")
+    here = F.struct("key", "doc_id", "text_md5")
+    own = F.element_at(F.filter("marks", lambda m: m["at"] == here), 1)
+    parts = F.coalesce(F.when(F.size(F.filter("marks", lambda m: m["at"] == here)) > 0, own["parts"]), F.lit(0))
+    before = F.coalesce(F.size(F.filter("marks", lambda m: m["at"] < here)), F.lit(0))
+    binned = binned.withColumns({"parts": parts, "before": F.when(F.col("marks").isNull(), 0).otherwise(before)})
+    sub = F.col("before") * 2 + (F.col("parts") > 0).cast("int")
+    part = F.when(F.col("parts") > 0, F.pmod("row", "parts")).otherwise(0)
+    return binned.withColumns({"sub": sub, "part": part}).drop("marks", "parts", "before")
+
+
+def mix(docs: DataFrame, seed: int = 1, weights=WEIGHTS, most: int = MOST, per_block: int = ROWS, **columns: str) -> DataFrame:
     """One row per document: doc_id, source, size, text_md5, source_size, target, epochs, ``copies`` and ``taken``."""
     rows = materialize(sizes(docs, seed, **columns), "mix-sizes")
-    marks = F.percentile_approx("key", [i / BLOCKS for i in range(1, BLOCKS)], BLOCKS * 20)
-    per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), marks.alias("marks"))
-    per_source = materialize(per_source, "mix-sources")
-    plan = targets(per_source.drop("marks"), weights, most)
+    per_source = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), "mix-sources")
+    plan = targets(per_source.drop("rows"), weights, most)
     epochs = F.floor(F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)))
     plan = plan.withColumn("epochs", epochs.cast("long"))
     plan = plan.withColumn("rest", F.col("target") - (F.col("epochs") * F.col("source_size")).cast("double"))
-    plan = plan.join(per_source.select(F.col("source").alias("s"), "marks"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    plan = plan.join(per_source.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     plan = plan.withColumnRenamed("source", "of")
-    placed = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    placed = placed.withColumn("block", F.size(F.filter("marks", lambda m: m < F.col("key")))).drop("marks")
-    per_block = placed.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select(
-        F.col("source").alias("s"), F.col("block").alias("b"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset")
-    )
-    inside = Window.partitionBy("source", "block").orderBy("key", "doc_id", "text_md5").rowsBetween(Window.unboundedPreceding, -1)
+    placed = _blocks(rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of"), per_block)
+    block = ["source", "bin", "sub", "part"]
+    sums = placed.groupBy(*block).agg(F.sum("size").alias("words"))
+    before = Window.partitionBy("source").orderBy(*block[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*(F.col(c).alias(f"o_{c}") for c in block), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(*block).orderBy("key", "doc_id", "text_md5").rowsBetween(Window.unboundedPreceding, -1)
     summed = placed.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    summed = summed.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    on = F.col("source").eqNullSafe(F.col("o_source"))
+    for c in block[1:]:
+        on &= F.col(c) == F.col(f"o_{c}")
+    summed = summed.join(offsets, on)
     middle = (F.col("offset") + F.col("ahead")).cast("double") + F.col("size").cast("double") / 2
     chosen = (middle <= F.col("rest")) & (F.col("size") > 0)
     copies = F.when(F.col("size") > 0, F.col("epochs")).otherwise(0) + chosen.cast("long")

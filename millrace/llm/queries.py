@@ -182,7 +182,7 @@ WITH d AS (
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
   FROM documents
 ), k AS (
-  SELECT *, -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+  SELECT *, -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(t)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
             / (1.0 / (1.0 + 4.0 * (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::DOUBLE / greatest(size, 1)::DOUBLE)) AS key
   FROM d
 ), s AS (

@@ -166,9 +166,20 @@ def test_mix_meets_its_targets(spark):
     for rs in by.values():
         assert abs(sum(r.taken for r in rs) - rs[0].target) <= max(r.size for r in rs) / 2 + 1e-6
         assert {r.copies for r in rs if r.size} <= {rs[0].epochs, rs[0].epochs + 1}
-    again = mixing.mix(df.repartition(7)).collect()
     key = lambda r: tuple(map(str, r))
-    assert sorted(map(key, rows)) == sorted(map(key, again))
+    for other in (mixing.mix(df.repartition(7)), mixing.mix(df, per_block=9), mixing.mix(df.repartition(3), per_block=1)):
+        assert sorted(map(key, rows)) == sorted(map(key, other.collect()))
+
+
+def test_no_block_holds_much_more_than_its_rows(spark):
+    rows = [(i, 3, 1.0, "m") for i in range(3000)] + [(None, 3, 1.0, "same")] * 4000 + [(None, 3, 0.2, "alike")] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, size long, w double, text_md5 string")
+    key = -F.ln(mixing.uniform(1, F.col("doc_id"), F.col("text_md5"))) / F.col("w")
+    df = df.withColumns({"key": key, "source": F.lit("s"), "rows": F.lit(len(rows)), "row": F.monotonically_increasing_id()})
+    blocks = mixing._blocks(df, 250).groupBy("source", "bin", "sub", "part").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("z")).collect()
+    assert sum(r.n for r in blocks) == len(rows) and max(r.n for r in blocks) <= 2 * 250
+    blocks.sort(key=lambda r: (r.bin, r["sub"], r.part))
+    assert all(x.z <= y.a for x, y in zip(blocks, blocks[1:], strict=False))
 
 
 def test_mixed_documents_come_as_often_as_taken(spark):
