@@ -1,11 +1,19 @@
 """URL filters over a sorted digest array.
 
-Every rule is a string ``host/path`` with a verdict.  Its 64-bit xxhash goes
-into a sorted array on disk; beside it lie the full strings.  Executors get
-the two files through ``addFile`` (each fetches its own copy from the
-shared folder, also one that joins after another was lost), memory-map them, hash every candidate string of
-a batch of URLs, probe by vectorised binary search and compare full strings,
-so that two strings of equal digest never stand in for each other.
+Every rule is a string ``host/path`` with a verdict.  The 64-bit xxhashes of
+all rules are one sorted array in a file of its own; the rows beside it say
+where a rule's string lies, how long it is and what it decides, and a third
+file holds the strings.  Executors get the files through ``addFile`` (each
+fetches its own copy from the shared folder, also one that joins after another
+was lost) and memory-map them: pages of the files that a probe touches are
+read, and all workers of a machine share them.  Every candidate string of a
+batch of URLs is hashed, found by vectorised binary search in the mapped
+array, and compared with the full string, so that two strings of equal digest
+never stand in for each other.
+
+Rules come as pairs, as a table (``rules_of``) or as a file of lines
+(``rules_from``).  A set of more than ``most_bytes`` (its files' size) is an
+error, since every executor keeps a copy.
 
 A URL's candidates are its host's suffixes at label borders, each with the
 prefixes of its path whose lengths occur in the rule set.  The longest rule
@@ -13,9 +21,11 @@ wins, the longer host among equals.  A URL that no rule fits has the verdict
 of ``default``.
 
 Defined results: a null URL, or one without ``://``, has an empty host and an
-empty path and fits no rule.  Repeated rows are judged alike.  An empty rule
-set gives every URL the default.  Where one string is given twice, the last
-verdict counts.
+empty path and fits no rule.  A very long URL is judged whole.  Repeated rows
+are judged alike; an empty table gives an empty one.  An empty rule set gives
+every URL the default.  Where one string is given twice, the last verdict
+counts.  Columns of the input named host, path, rule or verdict give way to
+the results; all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +38,10 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.common import spare
 from millrace.storage import fresh_path, write_bytes
 
 VERDICTS = ("allow", "block")
@@ -47,35 +58,56 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def build(rules: Iterable[tuple[str, str]]) -> tuple[bytes, bytes]:
-    """The digest array of (``host/path``, verdict) rules and their strings, as the contents of two files.
+#: (host/path, verdict) pairs.
+Rules = Iterable[tuple[str, str]]
+_ROW = np.dtype([("offset", "<u8"), ("length", "<u4"), ("verdict", "<u4")])
+#: The files of a rule set: digests, rows, strings, and the lengths of paths that occur.
+_PARTS = (".key", ".row", ".txt", ".len")
+MOST_BYTES = 8 << 30
+
+
+def rules_of(table: DataFrame, rule: str = "rule", verdict: str = "verdict") -> Iterator[tuple[str, str]]:
+    """The rules of a table, a partition at a time; where one is given twice with different verdicts, block counts."""
+    rows = table.groupBy(F.col(rule).alias("r")).agg(F.max(verdict).alias("v")).where("r IS NOT NULL AND v IS NOT NULL")
+    return ((row["r"], row["v"]) for row in rows.toLocalIterator())
 
-    The array has rows of (digest, offset, length, verdict, length of the path) sorted by digest; the strings are UTF-8.
-    """
-    table = {r: VERDICTS.index(v) for r, v in rules}
-    raw = [r.encode() for r in table]
-    index = np.zeros(len(raw), dtype=_ROW)
-    index["digest"] = [xxhash.xxh64_intdigest(r) for r in raw]
-    index["length"] = [len(r) for r in raw]
-    index["offset"] = np.cumsum(index["length"]) - index["length"]
-    index["verdict"] = list(table.values())
-    # lengths of paths decide which prefixes of a URL are looked up
-    index["path"] = [len(r) - r.index("/") for r in table]
-    return np.sort(index, order="digest").tobytes(), b"".join(raw)
 
+def rules_from(path: str) -> Iterator[tuple[str, str]]:
+    """The rules of a file with lines of verdict and rule; blank lines and those that begin with # say nothing."""
+    with open(path, encoding="utf-8") as lines:
+        for line in lines:
+            verdict, _, rule = line.strip().partition(" ")
+            if rule and not verdict.startswith("#"):
+                yield rule.strip(), verdict
 
-_ROW = np.dtype([("digest", "<u8"), ("offset", "<u8"), ("length", "<u4"), ("verdict", "<u2"), ("path", "<u4")])
+
+def build(rules: Rules) -> tuple[bytes, ...]:
+    """The contents of a rule set's files in the order of ``_PARTS``; the digests ascend and the rows follow them."""
+    table: dict[bytes, int] = {}
+    for rule, verdict in rules:
+        if "/" not in rule:
+            raise ValueError(f"a rule is host/path, not {rule!r}")
+        table[rule.encode()] = VERDICTS.index(verdict)
+    digests = np.fromiter(map(xxhash.xxh64_intdigest, table), dtype="<u8", count=len(table))
+    rows = np.zeros(len(table), dtype=_ROW)
+    rows["length"] = np.fromiter(map(len, table), dtype="<u4", count=len(table))
+    rows["offset"] = np.cumsum(rows["length"].astype(np.uint64)) - rows["length"]
+    rows["verdict"] = np.fromiter(table.values(), dtype="<u4", count=len(table))
+    order = np.argsort(digests, kind="stable")
+    # lengths of paths, in characters, decide which prefixes of a URL are looked up
+    lengths = sorted({len(r.decode().partition("/")[2]) + 1 for r in table})
+    return digests[order].tobytes(), rows[order].tobytes(), b"".join(table), np.array(lengths, dtype="<u4").tobytes()
 
 
 class Digests:
-    """The memory-mapped array and its probe."""
+    """The memory-mapped files of a rule set and their probe."""
 
     def __init__(self, stem: str):
-        empty = os.path.getsize(stem + ".idx") == 0
-        self.index = np.zeros(0, _ROW) if empty else np.memmap(stem + ".idx", dtype=_ROW, mode="r")
-        self.text = np.zeros(0, np.uint8) if empty else np.memmap(stem + ".txt", dtype=np.uint8, mode="r")
-        self.lengths = sorted(set(self.index["path"].tolist()))
-        self.digests = np.ascontiguousarray(self.index["digest"])
+        kinds = ("<u8", _ROW, np.uint8, "<u4")
+        # an empty file can't be mapped
+        mapped = [np.memmap(stem + p, dtype=k, mode="r") if os.path.getsize(stem + p) else np.zeros(0, k) for p, k in zip(_PARTS, kinds, strict=True)]
+        self.digests, self.rows, self.text, lengths = mapped
+        self.lengths = lengths.tolist()
 
     def probe(self, keys: list[bytes]) -> np.ndarray:
         """The row of each key, or -1."""
@@ -84,13 +116,16 @@ class Digests:
             return out
         wanted = np.fromiter(map(xxhash.xxh64_intdigest, keys), dtype=np.uint64, count=len(keys))
         first = np.searchsorted(self.digests, wanted, "left")
-        last = np.searchsorted(self.digests, wanted, "right")
-        for k in np.nonzero(first < last)[0]:
-            for row in range(first[k], last[k]):
-                at, n = int(self.index["offset"][row]), int(self.index["length"][row])
+        met = np.nonzero(first < len(self.digests))[0]
+        met = met[self.digests[first[met]] == wanted[met]]
+        for k in met:
+            row = int(first[k])
+            while row < len(self.digests) and self.digests[row] == wanted[k]:
+                at, n = int(self.rows["offset"][row]), int(self.rows["length"][row])
                 if self.text[at : at + n].tobytes() == keys[k]:
                     out[k] = row
                     break
+                row += 1
         return out
 
     def judge(self, hosts: list[str], paths: list[str]) -> list[tuple[str, str] | None]:
@@ -111,18 +146,27 @@ class Digests:
         out = []
         for found in mine:
             best = max((f for f in found if rows[f[2]] >= 0), default=None)
-            out.append(best and (names[best[2]].decode(), VERDICTS[self.index["verdict"][rows[best[2]]]]))
+            out.append(best and (names[best[2]].decode(), VERDICTS[self.rows["verdict"][rows[best[2]]]]))
         return out
 
 
 @lru_cache(maxsize=4)
 def _opened(name: str) -> Digests:
-    return Digests(SparkFiles.get(name + ".idx").removesuffix(".idx"))
+    return Digests(SparkFiles.get(name + _PARTS[0]).removesuffix(_PARTS[0]))
+
+
+def publish(spark: SparkSession, rules: Rules, most_bytes: int = MOST_BYTES) -> str:
+    """Give the executors the files of a rule set; returns the name that ``_opened`` takes."""
+    files = build(rules)
+    if (size := sum(map(len, files))) > most_bytes:
+        raise ValueError(f"the rules take {size} bytes, more than the {most_bytes} that an executor may hold")
+    stem = fresh_path(spark, "digests")
+    for end, data in zip(_PARTS, files, strict=True):
+        spark.sparkContext.addFile(write_bytes(spark, stem + end, data))
+    return os.path.basename(stem)
 
 
-def judge(
-    pages: DataFrame, rules: Iterable[tuple[str, str]], default: str = "allow", url: str = "url", hidden: Iterable[tuple[str, str]] = ()
-) -> DataFrame:
+def judge(pages: DataFrame, rules: Rules, default: str = "allow", url: str = "url", hidden: Rules = (), most_bytes: int = MOST_BYTES) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
     ``rules`` are reported in ``rule``.  ``hidden`` is the operator's own list
@@ -130,12 +174,7 @@ def judge(
     verdict and ``rule`` stays null.
     """
     spark = pages.sparkSession
-    names = []
-    for part in (rules, hidden):
-        stem = fresh_path(spark, "digests")
-        for end, data in zip((".idx", ".txt"), build(part), strict=True):
-            spark.sparkContext.addFile(write_bytes(spark, stem + end, data))
-        names.append(os.path.basename(stem))
+    names = [publish(spark, part, most_bytes) for part in (rules, hidden)]
 
     @F.pandas_udf("struct<rule:string,verdict:string>")
     def look_up(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -146,6 +185,6 @@ def judge(
             verdicts = [a[1] if a else b[1] if b else default for a, b in zip(first, second, strict=True)]
             yield pd.DataFrame({"rule": pd.Series([a[0] if a else None for a in first], dtype=object), "verdict": verdicts})
 
-    out = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    out = out.withColumn("found__", look_up("host", "path"))
-    return out.withColumn("rule", F.col("found__.rule")).withColumn("verdict", F.col("found__.verdict")).drop("found__")
+    found = spare(pages, "found__")
+    out = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}).withColumn(found, look_up("host", "path"))
+    return out.withColumns({"rule": F.col(f"{found}.rule"), "verdict": F.col(f"{found}.verdict")}).drop(found)

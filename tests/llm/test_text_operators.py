@@ -245,14 +245,48 @@ def test_url_rules(spark):
     assert url_filter.judge(pages, ()).where("verdict <> 'allow' OR rule IS NOT NULL").count() == 0
 
 
+def opened(tmp_path, rules):
+    for part, data in zip(url_filter._PARTS, url_filter.build(rules), strict=True):
+        (tmp_path / f"d{part}").write_bytes(data)
+    return url_filter.Digests(str(tmp_path / "d"))
+
+
 def test_equal_digests_are_told_apart(monkeypatch, tmp_path):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda data: len(data))
-    index, text = url_filter.build([("aa/", "allow"), ("bb/", "block"), ("ccc/", "block")])
-    (tmp_path / "d.idx").write_bytes(index), (tmp_path / "d.txt").write_bytes(text)
-    found = url_filter.Digests(str(tmp_path / "d"))
+    found = opened(tmp_path, [("aa/", "allow"), ("bb/", "block"), ("ccc/", "block")])
     assert found.judge(["bb", "aa", "dd", "ccc"], ["/", "/", "/", "/x"]) == [("bb/", "block"), ("aa/", "allow"), None, ("ccc/", "block")]
 
 
+def test_a_million_rules_stay_in_the_mapped_files(tmp_path):
+    rules = [(f"site{i}.example.org/{'en/' if i % 3 else ''}", url_filter.VERDICTS[i % 2]) for i in range(1_000_000)]
+    found = opened(tmp_path, rules)
+    assert all(isinstance(a, np.memmap) for a in (found.digests, found.rows, found.text)) and len(found.digests) == 1_000_000
+    assert (np.diff(found.digests.astype(object)[::1000]) >= 0).all() and found.lengths == [1, 4]
+    for i in (0, 1, 2, 77_777, 999_999):
+        assert found.judge([f"www.site{i}.example.org"], ["/en/x"]) == [rules[i]]
+    assert found.judge(["site1000000.example.org", "site4.example.org"], ["/en/", "/fr/"]) == [None, None]
+
+
+def test_rules_come_from_tables_and_files_of_bounded_size(spark, tmp_path):
+    table = spark.createDataFrame([("a.org/", "allow"), ("a.org/", "block"), ("b.org/x", "allow"), (None, "block")], "rule string, verdict string")
+    assert sorted(url_filter.rules_of(table)) == [("a.org/", "block"), ("b.org/x", "allow")]
+    (tmp_path / "rules.txt").write_text("# list\n\nblock a.org/\nallow b.org/x\n", encoding="utf-8")
+    assert list(url_filter.rules_from(str(tmp_path / "rules.txt"))) == [("a.org/", "block"), ("b.org/x", "allow")]
+    with pytest.raises(ValueError):
+        url_filter.publish(spark, [("a.org/", "block")], most_bytes=10)
+    with pytest.raises(ValueError):
+        url_filter.build([("no-path", "block")])
+
+
+def test_url_columns_of_clashing_names(spark):
+    long = "http://a.net/" + "x" * 1_000_000
+    pages = spark.createDataFrame([("http://a.net/es", 1, long)], "path string, found__ int, host string")
+    row = url_filter.judge(pages, [("a.net/es", "block")], url="path").first()
+    assert (row.host, row.path, row.rule, row.verdict, row.found__) == ("a.net", "/es", "a.net/es", "block", 1)
+    row = url_filter.judge(pages, [("a.net/" + "x" * 1_000_000, "block")], url="host").first()
+    assert row.verdict == "block" and len(row.path) == 1_000_001
+
+
 # toxicity
 
 
