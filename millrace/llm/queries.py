@@ -75,7 +75,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = lambda s: s["ord"] < secrets.N_BASE
     counts = [count_kind("spans", k[0]) for k in secrets.KINDS[: secrets.N_BASE]]
     return judged.select(
-        "doc_id", *counts, F.sha2(span_list("spans", base), 256).alias("base_sha256"), span_list("spans").alias("spans"), "n_live", "n_copied"
+        "doc_id", *counts, F.sha2(span_list("spans", base), 256).alias("base_sha256"), span_list("spans").alias("spans"), "n_live", "n_copied", "most_owners", "most_repositories"
     )
 
 

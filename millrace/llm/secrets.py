@@ -3,24 +3,26 @@
 ``scan`` adds the spans of every kind of candidate; positions come from the
 lengths of what lies between the matches, so no user function is needed.
 ``ownership`` counts, for every candidate's hash, the distinct repositories
-and owners that hold it.  A value that ``COPIED`` or more owners hold is a
-widely copied example; one that fewer hold and that has a live look (length
-and variety of characters) is a live secret.
-
-Only owners decide; ``n_repositories`` is reported and has no say.  A value
-that one or two owners hold is theirs however often they repeat it, and an
-example that is redacted costs less than a secret that stays.  ``COPIED`` is
-fixed, not derived from the corpus: a live credential that three owners
-mirror is taken for an example, which grows likelier with the corpus.
+and owners that hold it.  A value that ``COPIED_OWNERS`` or more owners hold,
+or ``COPIED_REPOSITORIES`` or more repositories, is a widely copied example;
+one below both that has a live look (length and variety of characters) is a
+live secret.  Both bounds are fixed, not derived from the corpus.
 
 Counting goes over (value, owner, repository), then (value, owner), then
 value, with partial aggregates before each shuffle, so a value that a third of
-all rows holds reaches the last step as one row per owner and task.
-
-Defined results: a null text counts as empty and has no spans; repeated rows
+all rows holds reaches the last step as one row per owner and task.  Verdicts
+return to the rows by the hash of all a row's candidates.  Rows without a
+candidate take no part in that; the verdicts of the ``HOT`` most frequent sets
+of candidates, a table of bounded size, are broadcast, so that rows that agree
+in theirs aren't sent to one task.
+
+Defined results: a null text counts as empty and has no spans; a text of any
+length is scanned whole, in time that grows with its length; repeated rows
 get equal spans and verdicts, and count once for ownership if repository and
-owner agree; a null owner or repository is one owner or repository of its own;
-columns of the input are kept, the operator's names are made unlike them.
+owner agree; a null owner or repository is one owner or repository of its
+own; spans of equal start follow their kinds as listed; an empty table gives
+an empty one.  Columns of the input stay, whatever their names, but for those
+named like a result, which give way to it.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ _NAMED = f"({_KEYWORDS})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 
 _END = "-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
 _GAP = "(?:[\\s\"'>|#*,]|\\\\[nr])*+"
-_HEAD = f"(?:{_GAP}[A-Z][A-Za-z0-9-]*+:[^\\n\\\\]*+)*+"
+#: Header lines of a key, of bounded number and length, so that a text of many BEGIN lines is not read again for each.
+_HEAD = f"(?:{_GAP}[A-Z][A-Za-z0-9-]{{0,63}}+:[^\\n\\\\]{{0,512}}+){{0,16}}+"
 _RUN = "[A-Za-z0-9+/=]"
 #: A private key with its body: all up to the END line, or without that line (a text that was cut) the lines that look like a key.
 #: A header that no key follows is not a secret.  Repetition is possessive, so that Java's matcher neither recurses nor goes back over a long body.
@@ -52,14 +55,15 @@ KINDS = (
     ("access", "AKIA[A-Z0-9]+", 0, 16),
     ("hex", "[0-9a-f]{32,}", 0, 32),
     ("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
-    ("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 28),
+    ("jwt", "(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+", 0, 28),
     ("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     ("payment", "[sr]k_live_[A-Za-z0-9]{16,}", 0, 24),
     ("pem", _PEM, 1, 20),
     ("url", "[a-z][a-z0-9+]{1,20}://[^\\s:@/]{1,256}:([^\\s:@/]{6,256})@", 1, 6),
 )
 N_BASE = 3
-COPIED = 3
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 100
+HOT, HOT_VALUES = 1000, 1000
 LIVE_LENGTH, LIVE_VARIETY = 8, 6
 _BLOCK = 256
 
@@ -131,39 +135,52 @@ def ownership(candidates: DataFrame, value: str = "value_hash", owner: str = "ow
     """One row per candidate hash: ``n_repositories``, ``n_owners`` and ``copied``.  A repository belongs to its owner."""
     per_owner = candidates.groupBy(value, owner, repository).agg(F.lit(1).alias("one")).groupBy(value, owner).agg(F.count("one").alias("repos"))
     counts = per_owner.groupBy(value).agg(F.sum("repos").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
-    return counts.withColumn("copied", F.col("n_owners") >= COPIED)
+    return counts.withColumn("copied", (F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repositories") >= COPIED_REPOSITORIES))
+
+
+#: What ``judge`` adds.
+JUDGED = ("secret_key", "live", "n_live", "n_copied", "most_owners", "most_repositories")
 
 
 def judge(found: DataFrame, owner: str, repository: str, spans: str = "spans") -> DataFrame:
     """Judge a scanned table that is written and read again, so that it is scanned once.
 
-    Adds ``secret_key`` (equal for rows with equal candidates), ``live`` (hashes of live secrets),
-    ``n_live`` and ``n_copied`` (distinct values).  Only (key, hash) pairs are shuffled beside the rows.
+    Adds ``secret_key`` (equal for rows with equal candidates, null without one), ``live`` (hashes of live secrets),
+    ``n_live`` and ``n_copied`` (distinct values), and ``most_owners`` and ``most_repositories`` (of any one value of
+    the row; 0 without candidates).  Only (key, hash) pairs are shuffled beside the rows.
     """
+    kept = [c for c in found.columns if c.lower() not in JUDGED]
     hashes = F.array_distinct(F.transform(F.filter(spans, lambda s: live_look(s["value"])), lambda s: digest(s["value"])))
-    keyed = found.withColumn("hashes__", hashes).withColumn(
-        "secret_key",
-        # rows without a candidate get keys that spread over all partitions
-        F.when(F.size("hashes__") > 0, F.sha2(F.array_join("hashes__", ","), 256)).otherwise(F.concat(F.lit("-"), F.coalesce(F.col(repository).cast("string"), F.lit("")))),
-    )
-    held = keyed.where(F.size("hashes__") > 0).select(
-        F.explode("hashes__").alias("value_hash"), F.col(owner).alias("owner"), F.col(repository).alias("repository"), "secret_key"
+    rows = found.select(
+        F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), hashes.alias("hashes"), F.col(owner).alias("owner"), F.col(repository).alias("repository")
     )
-    verdicts = ownership(held)
-    per_key = (
-        held.select("secret_key", "value_hash")
-        .distinct()
-        .join(verdicts, "value_hash")
-        .groupBy("secret_key")
-        .agg(
-            F.sort_array(F.collect_list(F.when(~F.col("copied"), F.col("value_hash")))).alias("live"),
-            F.count_if("copied").alias("n_copied"),
-        )
+    rows = rows.withColumn("secret_key", F.when(F.size("hashes") > 0, F.sha2(F.array_join("hashes", ","), 256)))
+    with_any = rows.where("secret_key IS NOT NULL")
+    held = with_any.select(F.explode("hashes").alias("value_hash"), "owner", "repository", "secret_key")
+    per_key = held.groupBy("secret_key", "value_hash").agg(F.count(F.lit(1)).alias("rows")).join(ownership(held), "value_hash").groupBy("secret_key")
+    per_key = per_key.agg(
+        F.sort_array(F.collect_list(F.when(~F.col("copied"), F.col("value_hash")))).alias("live"),
+        F.count_if("copied").alias("n_copied"),
+        F.max("n_owners").alias("most_owners"),
+        F.max("n_repositories").alias("most_repositories"),
+        F.max("rows").alias("rows"),
     )
-    out = keyed.drop("hashes__").join(per_key, "secret_key", "left")
-    none = F.array().cast("array<string>")
-    return out.withColumns({"live": F.coalesce("live", none), "n_copied": F.coalesce("n_copied", F.lit(0).cast("long"))}).withColumn(
-        "n_live", F.size("live").cast("long")
+    per_key = materialize(per_key, "secret-verdicts")
+    # at most HOT rows of at most HOT_VALUES hashes
+    hot = F.broadcast(per_key.where(F.size("live") <= HOT_VALUES).orderBy(F.desc("rows"), "secret_key").limit(HOT).drop("rows"))
+    cold = per_key.drop("rows").join(hot.select("secret_key"), "secret_key", "left_anti")
+    rows = rows.select("row", "secret_key")
+    near = rows.join(hot, "secret_key", "left")
+    none = F.col("secret_key").isNull() | F.col("live").isNotNull()
+    far = near.where(~none).select("row", "secret_key").join(cold, "secret_key")
+    out = near.where(none).select(far.columns).union(far)
+    zero = F.lit(0).cast("long")
+    return out.select(
+        *(F.col(f"row.`{c}`") for c in kept),
+        "secret_key",
+        F.coalesce("live", F.array().cast("array<string>")).alias("live"),
+        F.size(F.coalesce("live", F.array().cast("array<string>"))).cast("long").alias("n_live"),
+        *(F.coalesce(c, zero).alias(c) for c in JUDGED[3:]),
     )
 
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -157,11 +158,71 @@ def test_ownership_counts_owners_and_repositories(spark):
     assert (out["g"].n_owners, out["g"].copied) == (1, False)
 
 
-def test_owners_alone_decide(spark):
-    rows = [("one owner", "a", i) for i in range(50)] + [("three owners", x, x) for x in (1, 2, 3)]
+def test_owners_and_repositories_decide(spark):
+    rows = [("one owner", "a", i) for i in range(secrets.COPIED_REPOSITORIES - 1)] + [("three owners", x, x) for x in (1, 2, 3)]
+    rows += [("one owner's template", "b", i) for i in range(secrets.COPIED_REPOSITORIES)]
     df = spark.createDataFrame([(h, str(o), str(r)) for h, o, r in rows], "value_hash string, owner string, repository string")
     out = {r.value_hash: (r.n_repositories, r.copied) for r in secrets.ownership(df).collect()}
-    assert out == {"one owner": (50, False), "three owners": (3, True)}
+    most = secrets.COPIED_REPOSITORIES
+    assert out == {"one owner": (most - 1, False), "three owners": (3, True), "one owner's template": (most, True)}
+
+
+def brute_judged(rows):
+    """(n_live, n_copied, most_owners, most_repositories) of every row by its spans."""
+    values = [{secrets_hash(s.value) for s in r.spans if len(s.value) >= 8 and len(set(s.value)) >= 6} for r in rows]
+    holders = collections.defaultdict(set)
+    for r, mine in zip(rows, values, strict=True):
+        for v in mine:
+            holders[v].add((r.source, r.doc_id))
+    counts = {v: (len({o for o, _ in h}), len(h)) for v, h in holders.items()}
+    copied = {v for v, (o, n) in counts.items() if o >= 3 or n >= 100}
+    top = lambda mine, k: max((counts[v][k] for v in mine), default=0)
+    return [(len(mine - copied), len(mine & copied), top(mine, 0), top(mine, 1)) for mine in values]
+
+
+def secrets_hash(value):
+    return hashlib.sha256(re.sub(r"\s|\\[nr]", "", value).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_verdicts_match_brute_force_and_names_may_clash(spark, monkeypatch, hot):
+    monkeypatch.setattr(secrets, "HOT", hot)
+    texts = secret_texts() + ["token=SharedByMany12 "] * 130 + [None] * 40
+    rows = [(None if i % 50 == 49 else i, t, f"s{i % 2 if t and 'Many' in t else i % 4}") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = secrets.scan(df).withColumn("n", F.monotonically_increasing_id()).cache()
+    plain = sorted(found.collect(), key=lambda r: r.n)
+    clash = {c: F.lit("mine") for c in (*secrets.JUDGED, "hashes", "owner", "repository", "row", "rows", "value_hash", "copied", "hashes__")}
+    judged = secrets.judge(found.withColumns(clash), "source", "doc_id")
+    got = {r.n: (r.n_live, r.n_copied, r.most_owners, r.most_repositories) for r in judged.collect()}
+    assert [got[r.n] for r in plain] == brute_judged(plain)
+    assert judged.where("owner = 'mine' AND rows = 'mine' AND hashes__ = 'mine'").count() == len(texts) and dict(judged.dtypes)["live"] == "array<string>"
+    assert secrets.judge(found.limit(0), "source", "doc_id").count() == 0
+    out = secrets.redact_live(df.withColumns({"live": F.lit(1), "doc": F.lit(2), "spans": F.lit(3), "body": F.lit(4)}))
+    assert out.count() == len(texts) and out.where("live = 1 AND doc = 2 AND spans = 3 AND body = 4").count() == len(texts)
+
+
+def test_time_of_a_scan_grows_with_the_text(spark):
+    begin = "-----BEGIN PRIVATE KEY-----"
+    hard = ["eyJ", "eyJabcdefgh.", "password", "password: ", "AKIA", "0123456789abcde ", "ghp_", "xoxb-", "sk_live_", "a", "a://b:", "a://", begin, f"{begin}A:", f"A:{begin}\n", f"{begin}\nA:\n", f"{begin}AAAAAAAAAAAAA", f"{begin}\n", "A\n"]
+    df = docs(spark, [h * (1_500_000 // len(h)) for h in hard])
+    began = time.monotonic()
+    assert secrets.scan(df.repartition(4)).select(F.size("spans")).count() == len(hard)
+    rows = secrets.scan(df.repartition(4)).select("doc_id", F.size("spans").alias("n")).collect()
+    assert len(rows) == len(hard) and time.monotonic() - began < 100
+
+
+def test_secret_query_matches_brute_force(spark):
+    from millrace.llm.queries import op7_secret_scan
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = op7_secret_scan(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        base = brute_secrets(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x.startswith(k) for x in base) for k in ("assign", "access", "hex")]
+        assert set(base) <= set(r.spans.split(","))
 
 
 # personal data
