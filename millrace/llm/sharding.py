@@ -9,14 +9,22 @@ merge reads its own shards in one task and writes one file, so nothing is
 shuffled and a lost executor costs one merge's repetition.
 
 A version is the file ``manifest-<n>.json``, made by renaming a finished
-temporary file to a name that must not exist yet.  Whoever loses that race
-reads the new version and tries again; shards that no manifest names are
-leftovers and never read.  Readers of an old version keep their files until
-``vacuum`` removes what the last versions don't list.
-
-Defined results: rows are kept as they are - nulls, repeated rows, empty texts
-and any columns; their order within a merged file is not defined.  An empty arrival commits a version without new shards.
-Arrivals must have the store's schema.
+temporary file to a name that must not exist yet.  It names part files, each a
+list of shards: a commit writes one part with its new shards and one with what
+is left of parts that lost some, and keeps all others, so it writes in
+proportion to what it changes.  Parts beyond ``PARTS`` are folded into one.
+Whoever loses the race for a version reads the new one and tries again; shards
+that no manifest names are leftovers and never read.  Readers of an old
+version keep their files until ``vacuum`` removes what the last versions don't
+list.  The driver holds the list of shards, a hundred bytes each; rows are
+counted by a scan that asks for no column, which reads footers only.
+
+Defined results: rows are kept as they are - nulls, repeated rows, empty and
+very long texts, any columns whatever their names; their order within a merged
+file is not defined.  Shards of equal age are merged in order of their names.
+An empty arrival commits a version without new shards.  Arrivals must have the
+store's schema.  ``compact`` ends when no tier is crowded, and raises
+``Conflict`` if other writers come first ``attempts`` times in a row.
 """
 
 from __future__ import annotations
@@ -35,6 +43,8 @@ RUN = 4
 GROWTH = 4
 ROWS = 20_000
 AT_ONCE = 64
+#: Part files that a manifest names at most before a commit folds them.
+PARTS = 100
 
 
 class Conflict(RuntimeError):
@@ -97,30 +107,51 @@ class ShardStore:
         names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
         return max((int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")), default=0)
 
-    def manifest(self, version: int | None = None) -> dict:
-        version = self.version() if version is None else version
-        if version == 0:
-            return {"version": 0, "schema": None, "shards": []}
-        stream = self._fs.open(self._path(f"{self.root}/manifest-{version:08d}.json"))
+    def _json(self, name: str):
+        stream = self._fs.open(self._path(f"{self.root}/{name}"))
         try:
             return json.loads(bytes(self._bytes(stream)))
         finally:
             stream.close()
 
+    def _write(self, path, body) -> None:
+        out = self._fs.create(path, False)
+        out.write(bytearray(json.dumps(body).encode()))
+        out.close()
+
+    def manifest(self, version: int | None = None) -> dict:
+        """``version``, ``schema`` and ``parts``: the shards of each part file."""
+        version = self.version() if version is None else version
+        if version == 0:
+            return {"version": 0, "schema": None, "parts": {}}
+        found = self._json(f"manifest-{version:08d}.json")
+        return found | {"parts": {name: [Shard(**s) for s in self._json(name)] for name in found["parts"]}}
+
     def shards(self, version: int | None = None) -> list[Shard]:
-        return [Shard(**s) for s in self.manifest(version)["shards"]]
+        return [s for part in self.manifest(version)["parts"].values() for s in part]
 
-    def _commit(self, base: int, schema: str, shards: list[Shard]) -> int:
-        """Publish ``base + 1``, or raise ``Conflict`` if that exists."""
-        body = {"version": base + 1, "schema": schema, "shards": [vars(s) for s in shards]}
+    def _part(self, shards: list[Shard]) -> list[str]:
+        if not shards:
+            return []
+        name = f"part-{uuid.uuid4().hex}.json"
+        self._write(self._path(f"{self.root}/{name}"), [vars(s) for s in shards])
+        return [name]
+
+    def _commit(self, now: dict, schema: str, new: list[Shard], gone: frozenset[str] | set[str] = frozenset()) -> int:
+        """Publish the version after ``now`` with ``new`` shards and without those in ``gone``, or raise ``Conflict`` if it exists."""
+        whole = {n: p for n, p in now["parts"].items() if not any(s.name in gone for s in p)}
+        if len(whole) >= PARTS:
+            whole = {}
+        rest = [s for n, p in now["parts"].items() if n not in whole for s in p if s.name not in gone]
+        names = [*whole, *self._part(rest), *self._part(new)]
         ready = self._path(f"{self.root}/.ready-{uuid.uuid4().hex}")
-        out = self._fs.create(ready, False)
-        out.write(bytearray(json.dumps(body).encode()))
-        out.close()
+        base = now["version"]
+        self._write(ready, {"version": base + 1, "schema": schema, "parts": names})
         final = self._path(f"{self.root}/manifest-{base + 1:08d}.json")
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self._conf)
-        options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(final.toUri(), self._conf)
+        options = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        options[0] = hadoop.Options.Rename.NONE
         try:
             context.rename(self._fs.makeQualified(ready), self._fs.makeQualified(final), options)
         except Exception as error:
@@ -133,7 +164,7 @@ class ShardStore:
     # data
 
     def _written(self, folder: str, born: int) -> list[Shard]:
-        """The shards of a finished write, with the rows that their footers count."""
+        """The shards of a finished write, with the rows that their footers count (no column is asked for)."""
         path = self._path(folder)
         if not self._fs.exists(path):
             return []
@@ -159,9 +190,9 @@ class ShardStore:
             now = self.manifest()
             if now["schema"] and StructType.fromJson(json.loads(now["schema"])).simpleString() != arrival.schema.simpleString():
                 raise ValueError("the arrival's schema is not the store's")
-            new = new or self._written(folder, now["version"] + 1)
+            new = self._written(folder, now["version"] + 1) if new is None else new
             try:
-                return self._commit(now["version"], now["schema"] or schema, [*(Shard(**s) for s in now["shards"]), *new])
+                return self._commit(now, now["schema"] or schema, new)
             except Conflict:
                 continue
         raise Conflict("too many writers")
@@ -177,7 +208,7 @@ class ShardStore:
         now = self.manifest(version)
         if not now["schema"]:
             raise ValueError("the store is empty")
-        return self._read([Shard(**s) for s in now["shards"]], now["schema"])
+        return self._read([s for part in now["parts"].values() for s in part], now["schema"])
 
     def _merge(self, merges: list[list[Shard]], schema: str, born: int) -> list[Shard]:
         """One file for each group; a job writes up to ``AT_ONCE`` groups, one task each."""
@@ -192,25 +223,25 @@ class ShardStore:
             out += self._written(folder, born)
         return out
 
-    def compact(self, rounds: int = 20, attempts: int = 10) -> int:
-        """Merge until no tier is crowded; every round commits.  Returns the version."""
-        version = self.version()
-        while rounds and attempts:
+    def compact(self, attempts: int = 10) -> int:
+        """Merge until no tier is crowded; every round commits and leaves fewer shards.  Returns the version."""
+        lost = 0
+        while True:
             now = self.manifest()
-            version, shards = now["version"], [Shard(**s) for s in now["shards"]]
-            merges = plan(shards, self.target, self.run, self.growth)
+            merges = plan([s for part in now["parts"].values() for s in part], self.target, self.run, self.growth)
             if not merges:
-                break
-            merged = self._merge(merges, now["schema"], version + 1)
+                return now["version"]
+            merged = self._merge(merges, now["schema"], now["version"] + 1)
             gone = {s.name for group in merges for s in group}
             if sum(s.rows for s in merged) != sum(s.rows for group in merges for s in group):
                 raise RuntimeError("a merge changed the number of rows")
             try:
-                version = self._commit(version, now["schema"], [s for s in shards if s.name not in gone] + merged)
-                rounds -= 1
+                self._commit(now, now["schema"], merged, gone)
+                lost = 0
             except Conflict:
-                attempts -= 1
-        return version
+                lost += 1
+                if lost == attempts:
+                    raise
 
     def vacuum(self, keep: int = 1) -> int:
         """Delete shards that none of the last ``keep`` versions lists, and older manifests; returns how many shards went.
@@ -219,11 +250,13 @@ class ShardStore:
         """
         newest = self.version()
         kept = range(max(1, newest - keep + 1), newest + 1)
-        listed = {s.name for v in kept for s in self.shards(v)}
+        parts = {n: p for v in kept for n, p in self.manifest(v)["parts"].items()}
+        listed = {s.name for part in parts.values() for s in part}
         gone = 0
         for status in self._fs.listStatus(self._path(self.root)):
             name = status.getPath().getName()
-            if name.startswith("manifest-") and int(name[9:-5]) not in kept:
+            old = name.startswith("manifest-") and int(name[9:-5]) not in kept
+            if old or (name.startswith("part-") and name not in parts):
                 self._fs.delete(status.getPath(), False)
             if not status.isDirectory():
                 continue

@@ -382,7 +382,7 @@ def test_two_writers_and_leftovers(spark, tmp_path):
     df = spark.range(10)
     one.append(df)
     with pytest.raises(sharding.Conflict):
-        two._commit(0, df.schema.json(), [])
+        two._commit(two.manifest(0), df.schema.json(), [])
     df.write.parquet(f"{root}/shards-lost")  # an append that died before its commit
     assert two.append(df) == 2 and two.read().count() == 20
     two.vacuum()
@@ -390,6 +390,36 @@ def test_two_writers_and_leftovers(spark, tmp_path):
     assert json.loads((tmp_path / "s" / "manifest-00000002.json").read_text())["version"] == 2
 
 
+def test_commits_write_what_they_change(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "PARTS", 6)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target=1 << 20, run=50)
+    df = spark.createDataFrame([(0, "x" * 5_000_000, "clash"), (None, None, None)], "part long, shards string, manifest string")
+    for k in range(9):
+        store.append(df.withColumn("part", F.lit(k).cast("long")).coalesce(1))
+        parts = store.manifest()["parts"]
+        assert len(parts) <= 7 and sum(map(len, parts.values())) == k + 1
+    assert store.read().count() == 18 and store.compact() == 9
+    store.run = 2
+    before, version = store.manifest(9)["parts"], store.compact()
+    assert store.read(version).count() == 18 == store.read(9).count() and store.manifest(9)["parts"] == before
+    assert store.read().agg(F.sum(F.length("shards"))).first()[0] == 9 * 5_000_000
+    store.vacuum()
+    assert len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("part-")]) == len(store.manifest()["parts"])
+
+
+def test_compaction_raises_if_others_always_come_first(spark, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", run=2)
+    for _ in range(2):
+        store.append(spark.range(5).coalesce(1))
+
+    def lose(*_):
+        raise sharding.Conflict("lost")
+
+    monkeypatch.setattr(store, "_commit", lose)
+    with pytest.raises(sharding.Conflict):
+        store.compact(attempts=2)
+
+
 def test_plan_groups_similar_sizes():
     shard = lambda n, size, born=1: sharding.Shard(str(n), size, 1, born)
     small, large = [shard(i, 100 + i) for i in range(6)], [shard(10 + i, 5000) for i in range(2)]
