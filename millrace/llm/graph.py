@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is a grouped minimum and a join on the node, so a node with any
-number of edges is reduced by partial aggregates; nothing is gathered in one
-task or the driver.  Each round's edges are written to the shared folder.
+Every step is a grouped minimum and a join on the node.  A node with any
+number of edges is reduced by partial aggregates, and its edges are dealt to
+several tasks for the join; nothing is gathered in one task or the driver.
+Each round's edges are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.skew import Hot
 from millrace.storage import discard, materialize
 
 
@@ -27,15 +29,21 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: larger neighbours of a node are tied to the least of all its neighbours and itself
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _tied(both, F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "edges")
         # small star: smaller neighbours of a node, and the node, are tied to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = materialize(hung.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        tied = _tied(large, F.col("m"))
+        hung = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = materialize(hung.union(tied.select("u", F.col("m").alias("v"))).distinct(), "edges")
         before, state = state, _state(small)
         discard(now.sparkSession, now, large)
         now = small
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _tied(edges: DataFrame, least) -> DataFrame:
+    """The edges (u, v) with ``m``, the least that ``least`` makes of u and of its neighbours' least."""
+    ends = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "edge-ends")
+    hot = Hot(ends, "u", "n")
+    return hot.join(edges, ends.select("u", least.alias("m")), F.col("v"))

@@ -17,16 +17,25 @@ Cost.  Equal texts are one node from the start.  In each bucket every text is
 first aligned with one hub (the text that meets most others), so a group of
 thousands of copies costs thousands of alignments.  What stays apart in a
 bucket after that goes through an exact stage: the bucket is cut by length
-into blocks of bounded size, and inside a task two blocks are compared by an
-upper bound (common words, with multiplicity).  Only pairs of different
-components that pass it are aligned, each in the first bucket that its texts
-share, and only links leave the task.  No bucket, group or list of candidates
-is capped, and no pairs are written but links.
+into blocks of bounded size, blocks of lengths too far apart never meet, and
+inside a task two blocks are compared by an upper bound (common words, with
+multiplicity).  Only pairs of different components that pass it are aligned,
+each in the first bucket that its texts share, and only links leave the task.
+No bucket, group or list of candidates is capped, and no pairs are written but
+links.  The rows of a large bucket, of a hub, of a class or of equal texts are
+dealt to several tasks wherever they meet their one row (``skew``).
+
+Words are compared by 32 bits of a hash, texts are equal by their MD5.  Two
+different words of two texts are taken for one with odds of 2**-32 a pair of
+words, which can lower a distance by the places where they stand opposite
+each other; two different texts agree in MD5 with odds of 2**-128 a pair.
 
 Defined results: a null text counts as empty; texts without words are linked
 only to equal texts; a text under ``K`` words is one k-mer.  Repeated rows and
 equal texts share a class.  A class is named by its least doc_id (null if all
-its doc_ids are null).
+its doc_ids are null).  A very long text is sketched and aligned whole; the
+band grows with its length.  An empty table gives an empty result.  Columns of
+the input may have any names: ``label`` reads two, ``keep_one`` returns all.
 """
 
 from __future__ import annotations
@@ -37,10 +46,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
+from millrace.llm.skew import Hot
 from millrace.storage import discard, materialize
 
 K = 5
@@ -225,10 +235,15 @@ def _aligned(similarity: float):
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar, written down."""
+    """The pairs (a, b) whose texts are similar, written down; ``a`` may be in any number of them."""
     side = lambda x: texts.select(F.col("key").alias(x), F.col("words").alias(f"{x}_words"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_words", "b_words")
-    return materialize(both.mapInArrow(_aligned(similarity), "a binary, b binary"), "near-links")
+    pairs = materialize(pairs, "near-pairs")
+    hot = Hot(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a", "n")
+    both = hot.join(pairs.join(side("b"), "b"), side("a"), F.col("b")).select("a", "b", "a_words", "b_words")
+    found = materialize(both.mapInArrow(_aligned(similarity), "a binary, b binary"), "near-links")
+    discard(pairs.sparkSession, pairs)
+    hot.discard()
+    return found
 
 
 class _Group:
@@ -340,8 +355,8 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(counts, pa.binary())], names=["key", "bins"])
 
 
-def _blocked(rows: DataFrame, similarity: float, *payload: str) -> DataFrame:
-    """Deal a bucket's rows to pairs of blocks.
+def _blocked(rows: DataFrame, hot: Hot, similarity: float, *payload: str) -> DataFrame:
+    """Deal a bucket's rows, which have the ``salt`` of ``hot``, to pairs of blocks.
 
     Blocks are cut within bands of length, such that similar texts lie in the same band or in neighbouring ones.
     A row goes to every pair of blocks that it may find a partner in.
@@ -351,7 +366,7 @@ def _blocked(rows: DataFrame, similarity: float, *payload: str) -> DataFrame:
     per_band = rows.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("size"))
     cut = F.struct("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     blocks = per_band.groupBy("bucket").agg(F.map_from_entries(F.collect_list(cut)).alias("blocks"), F.sum("size").alias("size"))
-    rows = rows.join(blocks, "bucket")
+    rows = rows.join(hot.repeat(blocks), ["bucket", "salt"])
     # a bucket that fits in a block is one, whatever the lengths in it
     small = F.col("size") <= BLOCK
     rows = rows.withColumn("band", F.when(small, F.lit(0)).otherwise(F.col("band")))
@@ -375,21 +390,21 @@ def _blocked(rows: DataFrame, similarity: float, *payload: str) -> DataFrame:
     return dealt.repartition(*where).sortWithinPartitions(*where)
 
 
-def _apart(members: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def _apart(members: DataFrame, hot: Hot, texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Links between texts that share a bucket but not yet a component.
 
     A first pass over small signatures finds the texts that may have such a link in a bucket at all;
     a second pass over those texts' words aligns their pairs.
     """
-    placed = members.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    placed = members.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "salt", "key", F.coalesce("root", "key").alias("root"))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     bins = texts.mapInArrow(_histogram, "key binary, bins binary")
     small = texts.drop("words").join(bins, "key")
-    rows = placed.join(split.select("bucket"), "bucket").join(small, "key")
-    hopeful = _blocked(rows, similarity).mapInArrow(_promising(similarity), "bucket long, key binary").distinct()
+    rows = placed.join(hot.repeat(split), ["bucket", "salt"]).join(small, "key")
+    hopeful = _blocked(rows, hot, similarity).mapInArrow(_promising(similarity), "bucket long, key binary").distinct()
     hopeful = materialize(hopeful, "near-hopeful")
     again = placed.join(hopeful, ["bucket", "key"]).join(small, "key").join(texts.select("key", "words"), "key")
-    links = materialize(_blocked(again, similarity, "words").mapInArrow(_linked(similarity), "a binary, b binary"), "near-apart")
+    links = materialize(_blocked(again, hot, similarity, "words").mapInArrow(_linked(similarity), "a binary, b binary"), "near-apart")
     discard(members.sparkSession, hopeful)
     return links
 
@@ -400,37 +415,47 @@ def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -
     sketches = keyed.mapInArrow(_sketch, "key binary, buckets array<bigint>").dropDuplicates(["key"])
     sketches = materialize(sketches, "near-sketches")
     all_members = sketches.select(F.explode("buckets").alias("bucket"), "key")
-    shared = all_members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(all_members.join(shared, "bucket"), "near-members")
+    shared = materialize(all_members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
+    hot = Hot(shared, "bucket", "size")
+    members = hot.salt(all_members, F.col("key")).join(hot.repeat(shared), ["bucket", "salt"])
+    members = materialize(members, "near-members")
     wanted = members.select("key").distinct()
     texts = keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_words, "key binary, n int, words binary, signs binary")
     texts = materialize(texts, "near-texts")
     fame = members.groupBy("key").agg(F.sum("size").alias("fame"))
     hubs = members.join(fame, "key").groupBy("bucket").agg(F.max(F.struct("fame", "key")).alias("hub"))
-    pairs = members.join(hubs, "bucket").select(F.col("hub.key").alias("a"), F.col("key").alias("b")).where("a <> b").distinct()
+    pairs = members.join(hot.repeat(hubs), ["bucket", "salt"]).select(F.col("hub.key").alias("a"), F.col("key").alias("b")).where("a <> b").distinct()
     found = _verify(pairs, texts, similarity)
     first = components(found)
-    more = _apart(members, texts, first, similarity)
+    more = _apart(members, hot, texts, first, similarity)
     roots = components(found.union(more))
     # the result is a table of its own; nothing reads these any more
-    discard(docs.sparkSession, sketches, members, texts, found, first, more)
+    discard(docs.sparkSession, sketches, shared, members, texts, found, first, more)
+    hot.discard()
     return roots
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per text key: ``text_key``, ``class_key`` (the class's root), ``class_id`` (its least doc_id) and ``class_docs``."""
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, Hot]:
+    """One row per text key, written down: ``text_key``, ``class_key`` (the class's root), ``class_id`` (its least doc_id) and ``class_docs``; and the keys of many rows."""
     roots = links(docs, text, similarity)
     per_key = docs.select(text_key(F.col(text)).alias("text_key"), F.col(doc_id).alias("doc_id")).groupBy("text_key")
     per_key = per_key.agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("docs"))
-    per_key = per_key.join(roots, F.col("text_key") == F.col("node"), "left").withColumn("class_key", F.coalesce("root", "text_key"))
-    named = per_key.groupBy("class_key").agg(F.min("least").alias("class_id"), F.sum("docs").alias("class_docs"))
-    return per_key.select("text_key", "class_key").join(named, "class_key")
+    per_key = per_key.join(roots, F.col("text_key") == F.col("node"), "left")
+    per_key = materialize(per_key.select("text_key", "least", "docs", F.coalesce("root", "text_key").alias("class_key")), "near-keys")
+    named = per_key.groupBy("class_key").agg(F.min("least").alias("class_id"), F.sum("docs").alias("class_docs"), F.count(F.lit(1)).alias("keys"))
+    hot = Hot(named, "class_key", "keys")
+    known = hot.join(per_key.select("text_key", "class_key"), named.drop("keys"), F.col("text_key"))
+    known, many = materialize(known, "near-classes"), Hot(per_key, "text_key", "docs")
+    discard(docs.sparkSession, per_key, roots)
+    hot.discard()
+    return known, many
 
 
 def label(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id and class_docs of every row."""
+    known, many = classes(docs, doc_id, text, similarity)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("text_key"))
-    return rows.join(classes(docs, doc_id, text, similarity), "text_key").select("doc_id", "class_id", "class_docs")
+    return many.join(rows, known, F.col("doc_id")).select("doc_id", "class_id", "class_docs")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -438,8 +463,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simila
     boxed = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("text_key")
     )
-    known = materialize(classes(docs, doc_id, text, similarity), "near-classes")
-    rows = boxed.select("doc_id", "text_key", F.xxhash64("doc").alias("row")).join(known, "text_key")
+    known, many = classes(docs, doc_id, text, similarity)
+    rows = many.join(boxed.select("doc_id", "text_key", F.xxhash64("doc").alias("row")), known, F.col("row"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "row")
     alike = rows.groupBy("class_key", order.alias("first")).agg(F.count(F.lit(1)).alias("alike"))
     first = alike.groupBy("class_key").agg(F.min(F.struct("first", "alike")).alias("m"))
@@ -447,6 +472,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simila
     on = (F.col("text_key") == F.col("k1")) & F.col("doc_id").eqNullSafe(F.col("k0")) & (F.xxhash64("doc") == F.col("k2"))
     kept = boxed.join(first, on)
     # rows that agree in every column are still there as often as they were given
-    nth = F.row_number().over(Window.partitionBy("text_key").orderBy("doc_id"))
-    several = kept.where("alike > 1").withColumn("nth", nth).where("nth = 1")
+    several = kept.where("alike > 1").groupBy("text_key").agg(F.first("doc").alias("doc"))
     return kept.where("alike = 1").select("doc.*").union(several.select("doc.*"))

@@ -11,7 +11,10 @@ Each pattern is run in time proportional to the text: e-mail addresses are
 grown from their ``@``, numbers start only where a run of digits starts.
 
 Defined results: null and empty texts have no spans; repeated rows get equal
-spans; a text of any length is scanned whole, one at a time.
+spans; an empty table gives an empty one; a text of any length is scanned
+whole, one at a time.  Spans of equal start follow their kinds in the order of
+``KINDS``; spans of different kinds may overlap.  A column of the input named
+like the output gives way to it; all others stay, whatever their names.
 """
 
 from __future__ import annotations

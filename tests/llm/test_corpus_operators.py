@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import graph, mixing, near_dedup, packing, sharding, topk
+from millrace.llm import graph, mixing, near_dedup, packing, sharding, skew, topk
 from millrace.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, source string"
@@ -83,9 +83,10 @@ def naive_classes(texts):
     return [least[top(i)] for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("block", [near_dedup.BLOCK, 4])
-def test_classes_match_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, share", [(near_dedup.BLOCK, skew.SHARE), (4, 3)])
+def test_classes_match_brute_force(spark, monkeypatch, block, share):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(skew, "SHARE", share)
     texts = near_texts()
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], SCHEMA)
     got = {r.doc_id: r.class_id for r in near_dedup.label(df).collect()}
@@ -115,7 +116,9 @@ def test_keep_one_keeps_a_row_of_each_class(spark):
     assert near_dedup.keep_one(df.limit(0)).count() == 0 and near_dedup.label(df.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("share", [skew.SHARE, 2])
+def test_components(spark, monkeypatch, share):
+    monkeypatch.setattr(skew, "SHARE", share)
     random.seed(4)
     edges = [(random.randrange(60), random.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5)]
     root = {x: x for e in edges for x in e}
@@ -133,6 +136,60 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hot_keys_are_dealt_and_none_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SHARE", 10)
+    rows = spark.createDataFrame([(1, i) for i in range(1000)] + [(2, i) for i in range(9)] + [(3, 0)], "k int, x int")
+    hot = skew.Hot(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k", "n")
+    salts = {r.k: r.n for r in hot.salt(rows, F.col("x")).groupBy("k").agg(F.count_distinct("salt").alias("n")).collect()}
+    assert salts[1] > 90 and salts[2] == salts[3] == 1
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (4, "c")], "k int, y string")
+    got = sorted((r.k, r.x, r.y) for r in hot.join(rows, table, F.col("x")).collect())
+    assert got == sorted([(1, i, "a") for i in range(1000)] + [(2, i, "b") for i in range(9)])
+
+
+def test_very_long_texts_are_aligned_whole(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(30_000)}" for _ in range(100_000)]
+    near, far = list(base), list(base)
+    for at in rng.sample(range(len(base)), 6000):
+        near[at] = "changed"
+    far[10_000:45_000] = [f"v{i}" for i in range(35_000)]
+    df = spark.createDataFrame([(i, " ".join(t), "s") for i, t in enumerate((base, near, far))], SCHEMA)
+    more = df.withColumns({c: F.lit("x") for c in ("key", "text_key", "bucket", "class_id", "class_docs", "salt")})
+    assert {r.doc_id: r.class_id for r in near_dedup.label(more).collect()} == {0: 0, 1: 0, 2: 2}
+
+
+def test_query_finds_the_classes_of_a_brute_force(spark):
+    from millrace.llm.queries import op2_near_duplicates
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    words, texts = near_dedup.Words(), {r.doc_id: r.text or "" for r in docs}
+    kept = {i: words(t) for i, t in texts.items()}
+    with_kmer = collections.defaultdict(list)
+    for i, w in kept.items():
+        for k in set(near_dedup.kmers(w).tolist()):
+            with_kmer[k].append(i)
+    pairs = {(a, b) for ids in with_kmer.values() for n, a in enumerate(ids) for b in ids[n + 1 :]}
+    root = {i: i for i in texts}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    numbers = {i: (w >> np.uint64(16)).astype(np.uint32) for i, w in kept.items()}
+    same = collections.defaultdict(list)
+    for i, t in texts.items():
+        same[t].append(i)
+    pairs |= {(ids[0], other) for ids in same.values() for other in ids[1:]}
+    for a, b in pairs:
+        if texts[a] == texts[b] or near_dedup.similar(numbers[a], numbers[b]):
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+    got = {r.doc_id: r.class_id for r in op2_near_duplicates(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {i: top(i) for i in texts} and len(set(got.values())) < len(got)
+
+
 # mixing
 
 

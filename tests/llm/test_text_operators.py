@@ -275,6 +275,26 @@ def test_pii_scan_of_odd_rows(spark):
     assert pii.scan(docs(spark, [])).count() == 0
 
 
+def test_pii_of_clashing_names_ties_and_no_rows(spark):
+    df = docs(spark, ["+1 234 567 890 12 and 4111 1111 1111 1111", None]).withColumns({"pii": F.lit("old"), "kind": F.lit("k"), "spans": F.lit("s")})
+    rows = {r.doc_id: r for r in pii.scan(df).collect()}
+    assert [s.kind for s in rows[0].pii] == ["phone", "card"]
+    assert rows[0].kind == "k" and rows[0].spans == "s" and rows[1].pii == []
+    assert pii.scan(df.limit(0)).count() == 0
+
+
+def test_pii_query_matches_brute_force(spark):
+    from millrace.llm.queries import op10_pii
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = op10_pii(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        base = brute_pii(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{x}:{y}" for k, x, y in base).encode()).hexdigest(), r.doc_id
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[0] == k for x in base) for k in ("email", "ip", "card", "phone")]
+
+
 # URLs
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"))
