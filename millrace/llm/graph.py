@@ -1,20 +1,25 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Every step is a grouped minimum and a join on the node.  A node with any
-number of edges is reduced by partial aggregates, and its edges are dealt to
-several tasks for the join; nothing is gathered in one task or the driver.
-Each round's edges are written to the shared folder.
+number of edges is reduced by partial aggregates; where there are more than
+``FEW`` edges, so that a node could have more, its edges are dealt to several
+tasks for the join.  Nothing is gathered in one task or the driver.  Each
+round's edges are written to the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.skew import Hot
 from millrace.storage import discard, materialize
 
 
+#: Edges that one task may well join.
+FEW = 1 << 16
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -29,10 +34,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: larger neighbours of a node are tied to the least of all its neighbours and itself
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _tied(both, F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _tied(both, F.least("u", "m"), 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "edges")
         # small star: smaller neighbours of a node, and the node, are tied to the least of them
-        tied = _tied(large, F.col("m"))
+        tied = _tied(large, F.col("m"), 2 * state[0])
         hung = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = materialize(hung.union(tied.select("u", F.col("m").alias("v"))).distinct(), "edges")
         before, state = state, _state(small)
@@ -42,8 +47,10 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _tied(edges: DataFrame, least) -> DataFrame:
-    """The edges (u, v) with ``m``, the least that ``least`` makes of u and of its neighbours' least."""
-    ends = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "edge-ends")
-    hot = Hot(ends, "u", "n")
-    return hot.join(edges, ends.select("u", least.alias("m")), F.col("v"))
+def _tied(edges: DataFrame, least: Column, most: int) -> DataFrame:
+    """The edges (u, v), at most ``most``, with ``m``, the least that ``least`` makes of u and of its neighbours' least."""
+    ends = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    if most <= FEW:
+        return edges.join(ends.select("u", least.alias("m")), "u")
+    ends = materialize(ends, "edge-ends")
+    return Hot(ends, "u", "n").join(edges, ends.select("u", least.alias("m")), F.col("v"))

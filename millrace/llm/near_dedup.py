@@ -242,7 +242,6 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     both = hot.join(pairs.join(side("b"), "b"), side("a"), F.col("b")).select("a", "b", "a_words", "b_words")
     found = materialize(both.mapInArrow(_aligned(similarity), "a binary, b binary"), "near-links")
     discard(pairs.sparkSession, pairs)
-    hot.discard()
     return found
 
 
@@ -428,10 +427,9 @@ def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -
     found = _verify(pairs, texts, similarity)
     first = components(found)
     more = _apart(members, hot, texts, first, similarity)
-    roots = components(found.union(more))
+    roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     # the result is a table of its own; nothing reads these any more
     discard(docs.sparkSession, sketches, shared, members, texts, found, first, more)
-    hot.discard()
     return roots
 
 
@@ -447,7 +445,6 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     known = hot.join(per_key.select("text_key", "class_key"), named.drop("keys"), F.col("text_key"))
     known, many = materialize(known, "near-classes"), Hot(per_key, "text_key", "docs")
     discard(docs.sparkSession, per_key, roots)
-    hot.discard()
     return known, many
 
 

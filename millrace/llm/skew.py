@@ -1,9 +1,9 @@
 """Joins whose hot keys are dealt to several tasks.
 
 A join of many rows with a table of one row per key sends all rows of a key to
-one task.  ``Hot`` holds the keys with most rows, at most ``MOST`` of them, so
-that the list may be broadcast; a key beyond it has less than one in ``MOST``
-of all rows.  Rows of a hot key get a number by a hash of another column, the
+one task.  ``Hot`` holds the keys with most rows, at most ``MOST`` of them and
+a number each, so that the list may pass the driver and be broadcast; a key
+beyond it has less than one in ``MOST`` of all rows.  Rows of a hot key get a number by a hash of another column, the
 table's row is repeated once for every ``SHARE`` rows, and the join is on both.
 """
 
@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.storage import discard, materialize
-
 MOST = 10_000
 SHARE = 512
 MOST_PARTS = 10_000
@@ -26,8 +24,10 @@ class Hot:
         self.key = key
         top = sizes.where(F.col(size) > SHARE).orderBy(F.desc(size), key).limit(MOST)
         parts = F.least(F.ceil(F.col(size) / SHARE), F.lit(MOST_PARTS)).cast("int")
-        self.table = materialize(top.select(F.col(key).alias("hot_key"), parts.alias("parts")), "hot-keys")
-        self.empty = self.table.isEmpty()
+        found = top.select(F.col(key).alias("hot_key"), parts.alias("parts"))
+        rows = found.collect()
+        self.empty = not rows
+        self.table = sizes.sparkSession.createDataFrame(rows, found.schema)
 
     def _with_parts(self, df: DataFrame) -> DataFrame:
         # at most MOST rows of a key and a number
@@ -52,6 +52,3 @@ class Hot:
         if self.empty:
             return rows.join(table, self.key)
         return self.salt(rows, by).join(self.repeat(table), [self.key, "salt"]).drop("salt")
-
-    def discard(self) -> None:
-        discard(self.table.sparkSession, self.table)

@@ -119,6 +119,7 @@ def test_keep_one_keeps_a_row_of_each_class(spark):
 @pytest.mark.parametrize("share", [skew.SHARE, 2])
 def test_components(spark, monkeypatch, share):
     monkeypatch.setattr(skew, "SHARE", share)
+    monkeypatch.setattr(graph, "FEW", 0 if share == 2 else graph.FEW)
     random.seed(4)
     edges = [(random.randrange(60), random.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5)]
     root = {x: x for e in edges for x in e}
