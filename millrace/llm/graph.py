@@ -17,7 +17,7 @@ from millrace.storage import discard, materialize
 
 
 #: Edges that one task may well join.
-FEW = 1 << 16
+FEW = 1 << 12
 
 
 def _state(edges: DataFrame) -> tuple:
