@@ -1,23 +1,22 @@
-"""Dense retrieval: embeddings as arrays, exact cosine top-k by matrix products, metadata filters.
+"""Dense retrieval: embeddings as arrays, exact top-k by matrix products, metadata filters.
 
-Queries are few against the corpus; they are taken in blocks of at most ``QUERY_BLOCK``, and each block visits
-every Arrow batch of the corpus once.  A task returns at most ``k`` rows per query and batch, so neither the
-driver nor a task holds more than a block of queries and a batch of vectors.
+Queries and chunks are packed into blocks of at most ``BLOCK`` rows.  Blocks of chunks are dealt to shards, each shard
+gets all blocks of queries, and every pair is one matrix product of which at most ``k`` chunks a query leave the task.
+Nothing passes the driver, and a task holds two blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.lexical import PLACES, best_first, rank_within
 
-QUERY_BLOCK = 4096
+BLOCK = 2048
 TINY = 1e-12
 
 
@@ -43,44 +42,76 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norms == 0, TINY, norms)[:, None]
 
 
-def _scorer(ids: list, queries: np.ndarray, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (id, vector) to blocks: the list of ids and the matrix, of vectors of one length."""
+    for batch in batches:
+        lengths = np.diff(batch.column(1).offsets.to_numpy())
+        flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        starts = np.cumsum(lengths) - lengths
+        for dim in np.unique(lengths[lengths > 0]):
+            rows = np.nonzero(lengths == dim)[0]
+            for at in range(0, len(rows), BLOCK):
+                part = rows[at : at + BLOCK]
+                matrix = flat[starts[part][:, None] + np.arange(dim)]
+                ids = batch.column(0).take(pa.array(part))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(dim)], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), ids), pa.array([matrix.tobytes()], pa.binary())],
+                    names=["dim", "ids", "matrix"],
+                )
+
+
+def _likeness(q: np.ndarray, c: np.ndarray, distance: str) -> np.ndarray:
+    if distance == "cosine":
+        return _unit(q) @ _unit(c).T
+    # the nearer the better: the negative Euclidean distance
+    squares = (q**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None, :] - 2 * q @ c.T
+    return -np.sqrt(np.maximum(squares, 0))
+
+
+def _tile(k: int, distance: str):
+    """The ``k`` best chunks of each tile for every query; ties go to the lesser id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            chunks = batch["chunk_id"].to_numpy()
-            order = np.argsort(chunks, kind="stable")
-            matrix = np.stack(batch["embedding"].to_numpy()[order]).astype(np.float64)
-            similar = np.round(queries @ _unit(matrix).T, PLACES)
-            take = min(k, len(chunks))
-            for row, query in enumerate(ids):
-                least = np.partition(similar[row], len(chunks) - take)[len(chunks) - take]
-                above = np.nonzero(similar[row] > least)[0]
-                level = np.nonzero(similar[row] == least)[0][: take - len(above)]
-                best = np.concatenate([above, level])
-                yield pd.DataFrame({"query_id": pd.Series([query] * len(best)), "chunk_id": chunks[order][best], "score": similar[row][best]})
+            for row in range(batch.num_rows):
+                dim, queries, q, chunks, c = (batch.column(n)[row] for n in ("dim", "q_ids", "q_matrix", "ids", "matrix"))
+                q, c = (np.frombuffer(m.as_py(), np.float64).reshape(-1, dim.as_py()) for m in (q, c))
+                names = chunks.values
+                order = np.argsort(np.array(names.to_pylist(), dtype=object), kind="stable")
+                score = np.round(_likeness(q, c[order], distance), PLACES)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                asked = np.repeat(np.arange(len(q)), best.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [queries.values.take(pa.array(asked)), names.take(pa.array(order[best.ravel()])), pa.array(np.take_along_axis(score, best, 1).ravel())],
+                    names=["query_id", "chunk_id", "score"],
+                )
 
     return run
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None, not_self: bool = False) -> DataFrame:
-    """The ``k`` nearest chunks of ``vectors`` (chunk_id, embedding) for ``queries`` (query_id, embedding) by cosine.
+def search(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None, not_self: bool = False, distance: str = "cosine") -> DataFrame:
+    """The ``k`` nearest chunks of ``vectors`` (chunk_id, embedding) for ``queries`` (query_id, embedding).
 
-    ``where`` filters before scoring.  ``not_self`` leaves out the chunk of the query's own id.
-    Rows without a vector take no part.
+    The score is the cosine, or for ``euclid`` the distance with its sign turned.  ``where`` filters before scoring.
+    ``not_self`` leaves out the chunk of the query's own id.  Rows without a vector take no part, and vectors of
+    different length don't meet.
     """
-    pool = (vectors if where is None else vectors.where(where)).where(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
-    kind = dict(queries.dtypes)["query_id"]
-    schema = f"query_id {kind}, chunk_id {dict(pool.dtypes)['chunk_id']}, score double"
-    rows = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding").toLocalIterator()
-    found = None
-    while block := list(islice(rows, QUERY_BLOCK)):
-        matrix = _unit(np.array([r["embedding"] for r in block], dtype=np.float64))
-        ids = [r["query_id"].asDict() if isinstance(r["query_id"], Row) else r["query_id"] for r in block]
-        part = pool.mapInPandas(_scorer(ids, matrix, k + not_self), schema)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = pool.sparkSession.createDataFrame([], schema)
+    if distance not in ("cosine", "euclid"):
+        raise ValueError(f"unknown distance {distance!r}")
+    pool = vectors if where is None else vectors.where(where)
+    kinds = {"id": dict(pool.dtypes)["chunk_id"], "q": dict(queries.dtypes)["query_id"]}
+
+    def blocks(rows: DataFrame, name: str, kind: str) -> DataFrame:
+        rows = rows.where(F.col("embedding").isNotNull()).select(name, F.col("embedding").cast("array<double>"))
+        return rows.mapInArrow(_packed, f"dim int, ids array<{kind}>, matrix binary")
+
+    shards = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks(pool, "chunk_id", kinds["id"]).withColumn("shard", F.pmod(F.xxhash64("matrix"), F.lit(shards)).cast("int"))
+    asked = blocks(queries, "query_id", kinds["q"]).select(
+        F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("to")
+    )
+    tiles = dealt.join(asked, (F.col("shard") == F.col("to")) & (F.col("dim") == F.col("q_dim"))).select("dim", "q_ids", "q_matrix", "ids", "matrix")
+    found = tiles.mapInArrow(_tile(k + not_self, distance), f"query_id {kinds['q']}, chunk_id {kinds['id']}, score double")
     if not_self:
         found = found.where(F.col("query_id") != F.col("chunk_id"))
     return rank_within(found, k, *best_first())

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import bm25_tokens
-from millrace.storage import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 PLACES = 9
@@ -105,8 +104,12 @@ def search(
     """The ``k`` best chunks for each query; every chunk is a candidate, so chunks of score 0 fill short lists.
 
     ``where`` is a filter on the corpus that applies after scoring: statistics are those of the whole corpus.
-    A query without tokens has no ranking.  With ``fill``, the lists are written once and queries with fewer than
-    ``k`` positive scores are searched again with all the zeros they may need.
+    A query without tokens has no ranking.
+
+    With ``fill``, queries of fewer than ``k`` positive scores also get chunks of score 0, least ids first.  If all
+    their matches are positive there are under ``k`` of them, so among the first ``2 * k`` ids enough are free.  A
+    match of 0 or less means a term of more than half of the corpus; such a query is compared with all ids, which
+    are less than twice its matches.
     """
     allowed = corpus if where is None else corpus.where(where)
 
@@ -117,20 +120,16 @@ def search(
     ranked = rank_within(matches(queries), k, *best_first())
     if not fill:
         return ranked
-    ranked = materialize(ranked, "bm25")
+    good, low = F.count_if(F.col("score") > 0).alias("good"), F.count_if(F.col("score") <= 0).alias("low")
     asked = query_terms(queries, compose).select("query_id").distinct()
-    good = ranked.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("good"))
-    short = asked.join(good, "query_id", "left").where(F.coalesce("good", F.lit(0)) < k).select("query_id")
-    short = materialize(short, "bm25-short")
-    if short.isEmpty():
-        return ranked
-    again = materialize(matches(queries.join(short, "query_id", "left_semi")), "bm25-again")
-    most = again.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-    # among the first k + matched ids, at least k are not matched
-    first = allowed.select("chunk_id").orderBy("chunk_id").limit(k + int(most))
-    zero = short.crossJoin(first).join(again, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    filled = rank_within(again.unionByName(zero), k, *best_first())
-    return ranked.join(short, "query_id", "left_anti").unionByName(filled)
+    short = asked.join(ranked.groupBy("query_id").agg(good, low), "query_id", "left").where(F.coalesce("good", F.lit(0)) < k)
+    few, many = (short.where(test).select("query_id") for test in ("coalesce(low, 0) = 0", "low > 0"))
+    first = F.broadcast(allowed.select("chunk_id").orderBy("chunk_id").limit(2 * k))
+    free = few.join(first, how="cross").join(ranked.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    every = many.join(allowed.select("chunk_id"), how="cross")
+    every = every.join(matches(queries.join(many, "query_id", "left_semi")), ["query_id", "chunk_id"], "left_anti")
+    zero = free.select("query_id", "chunk_id").unionByName(every.select("query_id", "chunk_id")).withColumn("score", F.lit(0.0))
+    return rank_within(ranked.drop("rank").unionByName(zero), k, *best_first())
 
 
 def save(index: Index, path: str) -> None:

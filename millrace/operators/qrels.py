@@ -9,7 +9,7 @@ unless the passage names no document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import let, squeeze, word_runs
@@ -93,32 +93,59 @@ def phrase_matches(passages: DataFrame, chunks: DataFrame, n: int = PHRASE) -> D
     return left.join(right, "phrase").select("passage", "chunk_id").distinct()
 
 
+def _words(text: Column) -> Column:
+    return F.array_distinct(word_runs(text))
+
+
+def shares_words(snippet: Column, content: Column, common: int = COMMON, share: float = SHARE) -> Column:
+    """Whether the snippet's word set has enough words in common with the chunk's."""
+    n = F.size(F.array_intersect(_words(snippet), _words(content)))
+    return (n >= common) & (n >= share * F.size(_words(snippet)))
+
+
 def word_matches(passages: DataFrame, chunks: DataFrame, common: int = COMMON, share: float = SHARE) -> DataFrame:
-    """(passage, chunk_id) whose word sets share enough words."""
-    left = passages.select("passage", F.array_distinct(word_runs(F.col("snippet"))).alias("words"))
-    left = left.select("passage", F.size("words").alias("n_words"), F.explode("words").alias("word"))
-    right = chunks.select("chunk_id", F.explode(F.array_distinct(word_runs(F.col("content")))).alias("word"))
-    shared = left.join(right, "word").groupBy("passage", "n_words", "chunk_id").agg(F.count(F.lit(1)).alias("common"))
-    return shared.where((F.col("common") >= common) & (F.col("common") >= share * F.col("n_words"))).select("passage", "chunk_id")
+    """(passage, chunk_id) whose word sets share enough words.
+
+    A match needs ``need`` of a passage's n words, so it holds one of any n - need + 1 of them: only the words of
+    fewest chunks are joined, and the pairs that they bring are counted in full.  Frequent words bring no pairs.
+    """
+    words = passages.select("passage", _words(F.col("snippet")).alias("words"))
+    need = F.greatest(F.lit(common), F.ceil(F.size("words") * F.lit(share)).cast("int"))
+    left = words.select("passage", "words", (F.size("words") - need + 1).alias("keep"), F.explode("words").alias("word")).where("keep > 0")
+    right = chunks.select("chunk_id", _words(F.col("content")).alias("held"))
+    wanted = left.select("word").distinct()
+    listed = right.select("chunk_id", F.explode("held").alias("word")).join(wanted, "word", "left_semi")
+    frequency = listed.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    rarest = F.row_number().over(Window.partitionBy("passage").orderBy(F.coalesce("df", F.lit(0)), "word"))
+    probes = left.join(frequency, "word", "left").withColumn("nth", rarest).where(F.col("nth") <= F.col("keep")).select("passage", "word")
+    pairs = probes.join(listed, "word").select("passage", "chunk_id").distinct()
+    both = pairs.join(words, "passage").join(right, "chunk_id")
+    n = F.size(F.array_intersect("words", "held"))
+    return both.where((n >= common) & (n >= share * F.size("words"))).select("passage", "chunk_id")
+
+
+def shares_phrase(snippet: Column, content: Column, n: int = PHRASE) -> Column:
+    return F.arrays_overlap(phrases(snippet, n), phrases(content, n))
 
 
 def resolve(passages: DataFrame, chunks: DataFrame, compat: bool = False) -> DataFrame:
     """(query_id, passage, chunk_id): spans where both sides know them; else, within the passage's document, the text rules.
 
-    ``compat`` lets passages that name no known document match any chunk.
+    The text rules are tested on the pairs of a passage and its own document's chunks.  ``compat`` lets passages that
+    name no known document match any chunk; their pairs come from the rules' own joins.
     """
     spans = F.col("start_char").isNotNull() & F.col("end_char").isNotNull()
     known = span_matches(passages.where(spans), chunks.where(spans))
     textual = passages.where(~spans)
-    rest = chunks if compat else chunks.join(textual.select("doc_id").distinct(), "doc_id", "left_semi")
     texts = textual.select("passage", "snippet", F.col("doc_id").alias("wanted"))
-    pool = candidates(textual, rest) if compat else None
-    if pool is None:
-        pool = texts.join(rest, F.col("wanted") == F.col("doc_id")).select("passage", "chunk_id")
-    inside = pool.join(texts, "passage").join(chunks.select("chunk_id", "content"), "chunk_id").where(containment(F.col("snippet"), F.col("content")))
-    found = inside.select("passage", "chunk_id").unionByName(phrase_matches(textual, rest)).unionByName(word_matches(textual, rest))
-    text_matches = found.distinct().join(pool, ["passage", "chunk_id"], "left_semi")
-    return known.unionByName(text_matches).distinct().join(passages.select("passage", "query_id"), "passage").select("query_id", "passage", "chunk_id")
+    if compat:
+        found = containment_matches(textual, chunks).unionByName(phrase_matches(textual, chunks)).unionByName(word_matches(textual, chunks))
+        found = found.distinct().join(candidates(textual, chunks), ["passage", "chunk_id"], "left_semi")
+    else:
+        pool = texts.join(chunks.select("chunk_id", "doc_id", "content"), F.col("wanted") == F.col("doc_id"))
+        snippet, content = F.col("snippet"), F.col("content")
+        found = pool.where(containment(snippet, content) | shares_phrase(snippet, content) | shares_words(snippet, content)).select("passage", "chunk_id")
+    return known.unionByName(found).distinct().join(passages.select("passage", "query_id"), "passage").select("query_id", "passage", "chunk_id")
 
 
 def ambiguous(matches: DataFrame, passages: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -138,11 +165,13 @@ def unresolved(passages: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def unknown_documents(passages: DataFrame, documents: DataFrame, name: str = "filename") -> DataFrame:
-    """Passages whose document is none of the corpus: neither equal to an id, name or stem, nor part of one, nor the reverse."""
-    key = F.col("p.doc_id").cast("string")
-    stem = F.regexp_replace(F.col(f"d.{name}"), "\\.[^.]*$", "")
-    names = [F.col("d.doc_id").cast("string"), F.col(f"d.{name}"), stem]
-    hit = F.lit(False)
-    for n in names:
-        hit |= n.contains(key) | key.contains(n)
-    return passages.alias("p").join(documents.alias("d"), hit, "left_anti")
+    """Passages whose document is none of the corpus: neither equal to an id, name or stem, nor part of one, nor the reverse.
+
+    Equality settles nearly all; only ids that no document bears are compared with the names as text.
+    """
+    stem = F.regexp_replace(F.col(name), "\\.[^.]*$", "")
+    names = documents.select(F.explode(F.array(F.col("doc_id").cast("string"), F.col(name).cast("string"), stem)).alias("known")).where("known IS NOT NULL").distinct()
+    key = F.col("doc_id").cast("string")
+    rest = passages.select(key.alias("wanted")).distinct().join(names, F.col("wanted") == F.col("known"), "left_anti")
+    unknown = rest.join(names, F.col("known").contains(F.col("wanted")) | F.col("wanted").contains(F.col("known")), "left_anti")
+    return passages.join(unknown, key.eqNullSafe(F.col("wanted")), "left_semi")

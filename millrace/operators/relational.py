@@ -96,16 +96,24 @@ def evidence_trail(query_runs: DataFrame, key: str = "query_run_id", **tables: D
     return out
 
 
+#: Groups whose frontiers are found side by side.
+PARETO_GROUPS = 256
+
+
 def pareto(points: DataFrame, gain: str = "recall", cost: str = "latency") -> DataFrame:
     """Points that no other beats in both: more gain at no more cost, or as much gain at less.
 
-    One pass in order of cost: a point stays if its gain exceeds all gains at lower cost and is the best at its own.
+    In order of cost a point stays if its gain exceeds all gains at lower cost and is the best at its own.  Costs are
+    dealt to groups first; what is beaten within a group is beaten, so only the groups' frontiers meet in one task.
     """
-    by_cost = Window.partitionBy(F.lit(0)).orderBy(cost)
+
+    def frontier(levels: DataFrame, group: Column) -> DataFrame:
+        before = F.max("top__").over(Window.partitionBy(group).orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
+        return levels.withColumn("before__", before).where(F.col("before__").isNull() | (F.col("top__") > F.col("before__"))).drop("before__")
+
     levels = points.groupBy(cost).agg(F.max(gain).alias("top__"))
-    before = F.max("top__").over(by_cost.rowsBetween(Window.unboundedPreceding, -1))
-    best = levels.withColumn("before__", before).where(F.col("before__").isNull() | (F.col("top__") > F.col("before__")))
-    return points.join(best, cost).where(F.col(gain) == F.col("top__")).drop("top__", "before__")
+    best = frontier(frontier(levels, F.pmod(F.xxhash64(cost), F.lit(PARETO_GROUPS))), F.lit(0))
+    return points.join(best, cost).where(F.col(gain) == F.col("top__")).drop("top__")
 
 
 def divergence(signatures: DataFrame, fields: list[str]) -> DataFrame:
