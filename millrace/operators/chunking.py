@@ -171,7 +171,23 @@ def token_windows(text: str, size: int, overlap: int, codec, tokens: Callable[[s
     return [codec.decode(ids[s : s + size]) for s in starts]
 
 
-_METHODS: dict[str, Callable[..., list[str]]] = {"fixed": token_windows, "recursive": recursive, "sentence": by_sentence, "semantic": semantic}
+#: From a text to its chunks, with the strategy's options and ``tokens``, the counter of tokens.
+Method = Callable[..., list[str]]
+_METHODS: dict[str, Method] = {"fixed": token_windows, "recursive": recursive, "sentence": by_sentence, "semantic": semantic}
+
+
+def register(*names: str):
+    """Add a chunking strategy."""
+
+    def add(method: Method) -> Method:
+        _METHODS.update(dict.fromkeys(names, method))
+        return method
+
+    return add
+
+
+def strategies() -> tuple[str, ...]:
+    return tuple(_METHODS)
 
 
 def chunk(docs: DataFrame, strategy: str, doc_id: str = "doc_id", content: str = "content", tokens: Callable[[str], int] = count_tokens, **options) -> DataFrame:

@@ -84,6 +84,22 @@ def pack(queries: DataFrame, candidates: DataFrame, budget: int, strategy: str =
     return queries.select("query_id").join(packed, "query_id", "left").fillna(zero)
 
 
+class BudgetExceeded(ValueError):
+    """A context that does not meet its budget."""
+
+
+def over_budget(packed_total: Column, budget: int) -> Column:
+    """What is wrong with a context of so many tokens; null if nothing is."""
+    return F.when(packed_total > budget, F.concat(F.lit("context budget exceeded: "), packed_total.cast("string"), F.lit(f" > {budget}")))
+
+
+def guard(packed: DataFrame, budget: int) -> DataFrame:
+    """``packed``, whose reading fails at a context that does not meet the budget."""
+    wrong = over_budget(F.col("total_tokens"), budget)
+    checked = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("string")).otherwise(F.col("text"))
+    return packed.withColumn("text", checked)
+
+
 def prompt(context: Column, query: Column) -> Column:
     return F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuestion: "), query, F.lit("\nAnswer:"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import clean_sentences, let, word_runs
+from millrace.functions.text import clean_sentences, let, strip, word_runs
 from millrace.operators.transforms import parse_lines
 
 
@@ -77,6 +80,56 @@ def says_yes(response: Column) -> Column:
     return F.upper(F.trim(response)).startswith("YES")
 
 
+#: Whether a context (first) entails a proposition (second).
+Judge = Callable[[Column, Column], Column]
+_JUDGES: dict[str, Callable[..., Judge]] = {}
+
+JUDGE_PROMPT = "Does the context support every part of the statement, with nothing assumed? Answer YES or NO.\n\nContext: {context}\n\nStatement: {statement}\n\nAnswer:"
+QUESTIONS_PROMPT = "Write {n} different questions that the answer answers, one per line.\n\nAnswer: {answer}\n\nQuestions:"
+
+
+def register_judge(*names: str):
+    """Add an entailment classifier: a factory of judges."""
+
+    def add(factory: Callable[..., Judge]):
+        _JUDGES.update(dict.fromkeys(names, factory))
+        return factory
+
+    return add
+
+
+def judge(name: str = "mock", **options) -> Judge:
+    """An entailment classifier by any of its names."""
+    try:
+        return _JUDGES[name.lower().strip()](**options)
+    except KeyError:
+        raise ValueError(f"unknown entailment classifier {name!r}; known: {sorted(_JUDGES)}") from None
+
+
+@register_judge("mock", "overlap")
+def overlap_judge(fixed: dict[str, bool] | None = None) -> Judge:
+    return lambda context, proposition: entails(context, proposition, fixed)
+
+
+@register_judge("llm", "model")
+def model_judge(model: Callable[[Column], Column], template: str = JUDGE_PROMPT) -> Judge:
+    """A language model as the judge; an answer that begins with YES is one."""
+
+    def run(context: Column, proposition: Column) -> Column:
+        return F.coalesce(says_yes(model(filled(template, context=context, statement=proposition))), F.lit(False))
+
+    return run
+
+
+def filled(template: str, **values: Column | int) -> Column:
+    """A template with its fields put in, each wherever it occurs."""
+    parts: list[Column] = []
+    for piece in re.split("(" + "|".join(re.escape("{" + n + "}") for n in values) + ")", template):
+        value = values.get(piece[1:-1]) if piece.startswith("{") else None
+        parts.append(F.lit(piece) if value is None else F.lit(str(value)) if isinstance(value, int) else value)
+    return F.concat(*parts)
+
+
 def propositions(answer: Column, response: Column | None = None) -> Column:
     """A model's lines where it gave any, else the answer's sentences."""
     own = clean_sentences(F.coalesce(answer, F.lit("")))
@@ -87,14 +140,20 @@ def propositions(answer: Column, response: Column | None = None) -> Column:
 
 
 def faithfulness(
-    answers: DataFrame, answer: str = "answer", context: str = "context", fixed: dict[str, bool] | None = None, response: str | None = None
+    answers: DataFrame,
+    answer: str = "answer",
+    context: str = "context",
+    fixed: dict[str, bool] | None = None,
+    response: str | None = None,
+    judged: Judge | None = None,
 ) -> DataFrame:
     """(query_id, propositions, entailed, faithfulness, hallucination_rate); an empty answer is faithful.
 
-    ``response`` names the column of a model's decomposition, if there is one.
+    ``response`` names the column of a model's decomposition, if there is one; ``judged`` replaces the overlap of words.
     """
+    judged = judged or overlap_judge(fixed)
     props = propositions(F.col(answer), F.col(response) if response else None)
-    good = F.filter(props, lambda p: entails(F.col(context), p, fixed))
+    good = F.filter(props, lambda p: judged(F.col(context), p))
     out = answers.select("query_id", F.size(props).alias("propositions"), F.size(good).alias("entailed"))
     score = F.when(F.col("propositions") == 0, F.lit(1.0)).otherwise(F.col("entailed") / F.nullif(F.col("propositions"), F.lit(0)))
     return out.withColumn("faithfulness", score).withColumn("hallucination_rate", 1.0 - F.col("faithfulness"))
@@ -108,7 +167,7 @@ def citations(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(_CITATION), F.lit(1)), lambda x: x.cast("int"))
 
 
-def citation_metrics(answers: DataFrame, sources: DataFrame, answer: str = "answer") -> DataFrame:
+def citation_metrics(answers: DataFrame, sources: DataFrame, answer: str = "answer", judged: Judge = entails) -> DataFrame:
     """(query_id, citations, valid, claims, cited, citation_precision, citation_recall).
 
     ``sources`` has query_id, source_index and content.  A citation is valid if its source exists and entails the
@@ -118,7 +177,7 @@ def citation_metrics(answers: DataFrame, sources: DataFrame, answer: str = "answ
     bare = F.regexp_replace("sentence", _CITATION, "")
     cited = claims.select("query_id", "claim", bare.alias("bare"), F.explode_outer(citations(F.col("sentence"))).alias("source_index"))
     joined = cited.join(sources.select("query_id", "source_index", "content"), ["query_id", "source_index"], "left")
-    valid = F.coalesce(entails(F.col("content"), F.col("bare")), F.lit(False)) & F.col("content").isNotNull()
+    valid = F.coalesce(judged(F.col("content"), F.col("bare")), F.lit(False)) & F.col("content").isNotNull()
     per_claim = joined.groupBy("query_id", "claim").agg(F.count("source_index").alias("made"), F.count_if(valid).alias("good"))
     totals = per_claim.groupBy("query_id").agg(
         F.sum("made").alias("citations"), F.sum("good").alias("valid"), F.count(F.lit(1)).alias("claims"), F.count_if(F.col("good") > 0).alias("cited")
@@ -137,6 +196,20 @@ def answer_relevance(pairs: DataFrame, query_vector: str = "query_vector", quest
     return pairs.select("query_id", _zero(mean).alias("answer_relevance"))
 
 
+def relevance(answers: DataFrame, model: Callable[[Column], Column], encode: Callable[[Column], Column], n: int = 3, template: str = QUESTIONS_PROMPT) -> DataFrame:
+    """(query_id, answer_relevance): a model writes questions to each answer, and their vectors are compared with the query's.
+
+    ``answers`` has query_id, query and answer.  A blank answer, and one without questions, has relevance 0.
+    """
+    response = model(filled(template, n=n, answer=F.col("answer")))
+    lines = F.slice(F.filter(F.transform(F.split(response, "\\r\\n?|\\n"), strip), lambda x: x != ""), 1, n)
+    asked = answers.select("query_id", "query", F.when(F.length(strip(F.coalesce("answer", F.lit("")))) > 0, lines).alias("lines"))
+    each = asked.select("query_id", "query", F.explode_outer("lines").alias("line"))
+    encoded = each.select("query_id", F.when(F.col("line").isNotNull(), encode(F.col("query"))).alias("q"), encode(F.coalesce("line", F.lit(""))).alias("v"))
+    paired = encoded.groupBy("query_id").agg(F.first("q", ignorenulls=True).alias("query_vector"), F.collect_list(F.when(F.col("q").isNotNull(), F.col("v"))).alias("question_vectors"))
+    return answer_relevance(paired)
+
+
 def long_form(wide: DataFrame, names: list[str], by_k: bool = True) -> DataFrame:
     """(query_id, metric, value) rows, with ``@k`` in the names where metrics have a cut-off."""
     label = lambda n: F.concat(F.lit(f"{n}@"), F.col("k")) if by_k else F.lit(n)

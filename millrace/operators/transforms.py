@@ -67,22 +67,40 @@ def step_back(query: Column, response: Column, include_original: bool = True) ->
     return both if include_original else F.array(general)
 
 
+#: From the query, the model's response, the number of queries and whether to keep the original, to the sub-queries.
+Transform = Callable[[Column, Column, int, bool], Column]
+_TRANSFORMS: dict[str, tuple[str | None, Transform]] = {}
+
+
+def register(*names: str, prompt: str | None = None):
+    """Add a query transform; one without a prompt asks no model."""
+
+    def add(transform: Transform) -> Transform:
+        _TRANSFORMS.update(dict.fromkeys(names, (prompt, transform)))
+        return transform
+
+    return add
+
+
+register("none", "identity")(lambda query, response, n, keep: F.array(query))
+register("hyde", prompt=PROMPTS["hyde"])(lambda query, response, n, keep: F.array(strip(response)))
+register("multi_query", prompt=PROMPTS["multi_query"])(multi_query)
+register("step_back", prompt=PROMPTS["step_back"])(lambda query, response, n, keep: step_back(query, response, keep))
+
+
+def strategies() -> tuple[str, ...]:
+    return tuple(_TRANSFORMS)
+
+
 def sub_queries(queries: DataFrame, strategy: str = "none", model: Model | None = None, n: int = 3, include_original: bool = True, template: str | None = None) -> DataFrame:
     """``queries`` exploded to (query_id, sequence_index, sub_query), other columns kept."""
-    query, model = F.col("query"), model or canned()
-    name = strategy.lower().strip()
-    if name in ("none", "identity"):
-        made = F.array(query)
-    elif name in PROMPTS:
-        response = model(fill(template or PROMPTS[name], query, num_queries=n))
-        made = {
-            "hyde": lambda: F.array(strip(response)),
-            "multi_query": lambda: multi_query(query, response, n, include_original),
-            "step_back": lambda: step_back(query, response, include_original),
-        }[name]()
-    else:
-        raise ValueError(f"unknown query transform {strategy!r}")
-    return queries.select("*", F.posexplode(made).alias("sequence_index", "sub_query"))
+    try:
+        prompt, transform = _TRANSFORMS[strategy.lower().strip()]
+    except KeyError:
+        raise ValueError(f"unknown query transform {strategy!r}; known: {sorted(_TRANSFORMS)}") from None
+    query = F.col("query")
+    response = (model or canned())(fill(template or prompt, query, num_queries=n)) if prompt else F.lit("")
+    return queries.select("*", F.posexplode(transform(query, response, n, include_original)).alias("sequence_index", "sub_query"))
 
 
 def retrieve(subs: DataFrame, search: Callable[[DataFrame, int], DataFrame], k: int, constant: int = 60) -> DataFrame:

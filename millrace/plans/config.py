@@ -6,6 +6,7 @@ from dataclasses import asdict, dataclass, field, fields, replace
 from typing import Any
 
 from millrace.functions.hashing import config_hash
+from millrace.operators import chunking, transforms
 
 # The names and defaults that configurations of this kind use.
 METRICS = ("recall", "precision", "mrr", "ndcg", "hit", "faithfulness", "answer_relevance", "citations")
@@ -33,8 +34,8 @@ POSITIVE = {
 class Chunking:
     strategy: str = "fixed"
     chunk_size: int = 512
-    chunk_overlap: int = 50
-    semantic_threshold: float = 0.8
+    chunk_overlap: int = 64
+    similarity_threshold: float = 0.8
 
 
 @dataclass(frozen=True)
@@ -115,8 +116,9 @@ LISTS = {("evaluation", "metrics"), ("evaluation", "k_values")}
 def problems(point: Pipeline) -> list[str]:
     """Everything that is wrong with a point."""
     out = []
+    added = {("chunking", "strategy"): chunking.strategies(), ("query_transform", "strategy"): transforms.strategies()}
     for (component, name), allowed in CHOICES.items():
-        value = getattr(getattr(point, component), name)
+        value, allowed = getattr(getattr(point, component), name), (*allowed, *added.get((component, name), ()))
         if value not in allowed:
             out.append(f"{component}.{name} is {value!r}, not one of {', '.join(allowed)}")
     for component, names in POSITIVE.items():
@@ -124,12 +126,16 @@ def problems(point: Pipeline) -> list[str]:
     c, r = point.chunking, point.retrieval
     if not 0 <= c.chunk_overlap < c.chunk_size:
         out.append("chunking.chunk_overlap must be at least 0 and less than chunk_size")
+    if not 0 <= c.similarity_threshold <= 1:
+        out.append("chunking.similarity_threshold must lie between 0 and 1")
     if not 0 <= r.dense_weight <= 1:
         out.append("retrieval.dense_weight must lie between 0 and 1")
     if point.reranker.enabled and point.reranker.top_n > r.top_k:
         out.append("reranker.top_n must not exceed retrieval.top_k")
     out += [f"unknown metric {m!r}" for m in point.evaluation.metrics if m not in METRICS]
     out += [f"k must be positive, not {k}" for k in point.evaluation.k_values if k <= 0]
+    if not point.evaluation.k_values:
+        out.append("evaluation.k_values must hold a cut-off")
     return out
 
 
@@ -145,7 +151,9 @@ def _clean(component: str, name: str, value: Any) -> Any:
     if isinstance(value, str) and (component, name) in CHOICES:
         value = value.lower().strip()
         return "bm25" if (name, value) == ("mode", "sparse") else value
-    return tuple(value) if (component, name) in LISTS else value
+    if (component, name) == ("evaluation", "k_values"):
+        return tuple(sorted(set(value)))
+    return tuple(m.lower().strip() for m in value) if (component, name) == ("evaluation", "metrics") else value
 
 
 def make(component: str, values: dict) -> Any:
@@ -166,31 +174,49 @@ def with_values(point: Pipeline, values: dict[tuple[str, str], Any]) -> Pipeline
 
 @dataclass(frozen=True)
 class Experiment:
-    name: str
-    dataset_id: str
+    """A study: what it is called, the data it reads, and values or lists of values for its components."""
+
+    name: str = "experiment"
+    dataset_id: str = ""
     dataset_version_id: str = ""
     description: str = ""
     components: dict = field(default_factory=dict)
+    author: str = ""
+    tags: tuple[str, ...] = ()
+    version: str = "1.0"
+    corpus_path: str | None = None
+    evaluation_qa_path: str | None = None
+
+
+_META = ("name", "description", "author", "tags", "version")
+_DATASET = ("dataset_id", "dataset_version_id", "corpus_path", "evaluation_qa_path")
 
 
 def experiment(source: dict) -> Experiment:
-    """An experiment from a parsed file: metadata nested or at top level, components under ``parameters`` or at top level."""
+    """An experiment from a parsed file: metadata nested or at top level, components under ``parameters`` or at top level.
+
+    The dataset's id and version must be there; what is nested counts before what stands at top level.
+    """
     if not isinstance(source, dict):
         raise ValueError("an experiment is a mapping")
-    meta = source.get("metadata") or source.get("experiment") or source
+    nested = source.get("metadata") or source.get("experiment") or {}
+    meta = {k: source[k] for k in _META if k in source} | (nested if isinstance(nested, dict) else {})
     dataset = source.get("dataset")
     if not isinstance(dataset, dict):
         raise ValueError("an experiment needs a dataset mapping")
-    parameters = source.get("parameters") or {k: v for k, v in source.items() if k in COMPONENTS}
-    known = {"metadata", "experiment", "dataset", "parameters", "name", "description", "version", "tags", *COMPONENTS}
-    if extra := (set(source) - known) | (set(parameters) - set(COMPONENTS)):
+    for name in _DATASET[:2]:
+        if not str(dataset.get(name) or ""):
+            raise ValueError(f"the dataset needs a {name}")
+    given = source.get("parameters")
+    parameters = {k: v for k, v in source.items() if k in COMPONENTS} | (given if isinstance(given, dict) else {})
+    known = {"metadata", "experiment", "dataset", "parameters", *_META, *COMPONENTS}
+    if extra := (set(source) - known) | (set(parameters) - set(COMPONENTS)) | (set(dataset) - set(_DATASET)) | (set(meta) - set(_META)):
         raise ValueError(f"unknown keys: {', '.join(sorted(extra))}")
     for component, values in parameters.items():
         if not isinstance(values, dict):
             raise ValueError(f"{component} must be a mapping")
-    return Experiment(
-        meta.get("name", ""), str(dataset.get("dataset_id", "")), str(dataset.get("dataset_version_id", "")), meta.get("description", ""), parameters
-    )
+    texts = {k: str(v) for k, v in (meta | dataset).items() if k != "tags" and v is not None}
+    return Experiment(components=parameters, tags=tuple(map(str, meta.get("tags") or ())), **texts)
 
 
 def load(path: str) -> Experiment:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.hashing import cache_hash, canonical
 from millrace.operators import chunking, context, dense, embed, fusion, lexical, metrics, qrels, rerank, stats, transforms
-from millrace.plans.config import Experiment, Pipeline
+from millrace.plans.config import CHOICES, Experiment, Pipeline
 from millrace.plans.sweep import expand
 from millrace.storage import materialize
 
@@ -35,7 +35,7 @@ class Corpus:
         if key not in self.made:
             options = {"size": c.chunk_size, "overlap": c.chunk_overlap}
             if c.strategy == "semantic":
-                options = {"threshold": c.semantic_threshold, "most": c.chunk_size}
+                options = {"threshold": c.similarity_threshold, "most": c.chunk_size}
             cut = chunking.chunk(self.documents, c.strategy, **options)
             self.made[key] = self.keep(chunking.with_ids(cut))
         return self.made[key]
@@ -59,38 +59,94 @@ def _encoder(point: Pipeline):
     return embed.provider(e.provider, model_name=e.model_name, dimension=e.dimension, batch_size=e.batch_size)
 
 
-def searcher(corpus: Corpus, point: Pipeline) -> Callable[[DataFrame, int], DataFrame]:
-    """The retrieval of a point: (queries, k) to rankings."""
-    r = point.retrieval
+#: From (queries, k) to rankings.
+Retriever = Callable[[DataFrame, int], DataFrame]
+_RETRIEVERS: dict[str, Callable[[Corpus, Pipeline], Retriever]] = {}
+
+
+def register_retriever(*names: str):
+    """Add a retrieval mode: a function from a corpus and a point to its retriever."""
+
+    def add(factory):
+        _RETRIEVERS.update(dict.fromkeys(names, factory))
+        CHOICES[("retrieval", "mode")] = tuple(dict.fromkeys([*CHOICES[("retrieval", "mode")], *names]))
+        return factory
+
+    return add
+
 
-    def lexical_search(queries: DataFrame, k: int) -> DataFrame:
-        return lexical.search(queries, corpus.chunks(point), corpus.index(point), k)
+@register_retriever("bm25")
+def lexical_retriever(corpus: Corpus, point: Pipeline) -> Retriever:
+    return lambda queries, k: lexical.search(queries, corpus.chunks(point), corpus.index(point), k)
 
-    def dense_search(queries: DataFrame, k: int) -> DataFrame:
+
+@register_retriever("dense")
+def dense_retriever(corpus: Corpus, point: Pipeline) -> Retriever:
+    def search(queries: DataFrame, k: int) -> DataFrame:
         asked = queries.withColumn("embedding", _encoder(point)(F.col("query")))
         return dense.search(asked.select("query_id", "embedding"), corpus.vectors(point), k)
 
-    def hybrid_search(queries: DataFrame, k: int) -> DataFrame:
+    return search
+
+
+@register_retriever("hybrid")
+def hybrid_retriever(corpus: Corpus, point: Pipeline) -> Retriever:
+    both = dense_retriever(corpus, point), lexical_retriever(corpus, point)
+    r = point.retrieval
+
+    def search(queries: DataFrame, k: int) -> DataFrame:
         n = fusion.candidates(k)
-        return fusion.hybrid(dense_search(queries, n), lexical_search(queries, n), k, r.hybrid_fusion, r.rrf_k, r.dense_weight)
+        return fusion.hybrid(*(one(queries, n) for one in both), k, r.hybrid_fusion, r.rrf_k, r.dense_weight)
+
+    return search
 
-    return {"bm25": lexical_search, "dense": dense_search, "hybrid": hybrid_search}[r.mode]
+
+def searcher(corpus: Corpus, point: Pipeline) -> Retriever:
+    """The retriever of a point."""
+    return _RETRIEVERS[point.retrieval.mode](corpus, point)
+
+
+class _Clock:
+    """Wall-clock milliseconds of stages.  A batch engine runs a stage for all queries at once, so each is given an equal share."""
+
+    def __init__(self):
+        self.spent: dict[str, float] = {}
+
+    def __call__(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        began = time.monotonic()
+        out = make()
+        self.spent[name] = self.spent.get(name, 0.0) + (time.monotonic() - began) * 1000
+        return out
+
+    def durations(self, queries: DataFrame, n: int) -> DataFrame:
+        share = {k: v / max(n, 1) for k, v in self.spent.items()} | {"total": sum(self.spent.values()) / max(n, 1)}
+        names = ("total", "retrieval", "reranking", "generation")
+        return queries.select("query_id", *(F.lit(share.get(k)).cast("double").alias(f"{k}_latency_ms") for k in names))
 
 
 def run_stages(
-    corpus: Corpus, queries: DataFrame, passages: DataFrame, point: Pipeline, model: transforms.Model | None = None, compat: bool = False, reranker=None
+    corpus: Corpus,
+    queries: DataFrame,
+    passages: DataFrame,
+    point: Pipeline,
+    model: transforms.Model | None = None,
+    compat: bool = False,
+    reranker=None,
+    judge: metrics.Judge | None = None,
 ) -> dict[str, DataFrame]:
-    """Every stage of a point: transformed, retrieved, reranked, context, generation, metrics (long), summary.
+    """Every stage of a point: transformed, retrieved, reranked, context, generation, query_runs, metrics (long), summary.
 
-    ``queries`` has query_id and query; ``passages`` as ``sources.readers.passages`` gives them.
+    ``queries`` has query_id and query; ``passages`` as ``sources.readers.passages`` gives them.  A query whose context
+    breaks its budget, or to which the model gives no answer, is FAILED in ``query_runs`` with the reason; its metrics
+    are left out and the others go on.
     """
     model = model or transforms.canned()
-    keep, chunks = corpus.keep, corpus.chunks(point)
+    keep, chunks, clock = corpus.keep, corpus.chunks(point), _Clock()
     gold = keep(qrels.resolve(passages, chunks, compat))
     t = point.query_transform
     subs = keep(transforms.sub_queries(queries.select("query_id", "query"), t.strategy, model, t.num_queries, t.include_original, t.prompt_template))
     depth = max(point.retrieval.top_k, fusion.FIRST) if point.reranker.enabled else point.retrieval.top_k
-    retrieved = keep(transforms.retrieve(subs, searcher(corpus, point), depth, point.retrieval.rrf_k))
+    retrieved = clock("retrieval", lambda: keep(transforms.retrieve(subs, searcher(corpus, point), depth, point.retrieval.rrf_k)))
     final, out = retrieved, {"transformed": subs, "retrieved": retrieved}
     if point.reranker.enabled:
         texts = retrieved.join(chunks.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
@@ -103,30 +159,43 @@ def run_stages(
             ranked = rerank.by_model(texts, top, rerank.cross_encoder(point.reranker.model_name), descending_ids=True)
         else:
             ranked = rerank.by_overlap(texts, top)
-        final = out["reranked"] = keep(ranked.drop("query", "content"))
+        final = out["reranked"] = clock("reranking", lambda: keep(ranked.drop("query", "content")))
     candidates = final.join(chunks.select("chunk_id", "doc_id", "content"), "chunk_id").withColumn("doc_id", F.col("doc_id").cast("string"))
     c = point.context
-    packed = out["context"] = keep(context.pack(queries, candidates, c.token_budget, c.reorder_strategy))
-    answered = out["generation"] = keep(context.generate(packed.select("query_id", "text"), queries, model))
-    out["metrics"] = keep(_metrics(queries, candidates, gold, passages, answered, packed, candidates, point))
+    packed = out["context"] = clock("packing", lambda: keep(context.pack(queries, candidates, c.token_budget, c.reorder_strategy)))
+    answered = out["generation"] = clock("generation", lambda: keep(context.generate(packed.select("query_id", "text"), queries, model)))
+    answers = answered.select("query_id", F.col("answer").isNull().alias("silent"))
+    wrong = F.coalesce(context.over_budget(F.col("total_tokens"), c.token_budget), F.when(F.col("silent"), F.lit("the model gave no answer")))
+    runs = packed.select("query_id", "total_tokens").join(answers, "query_id").select("query_id", wrong.alias("error"))
+    runs = out["query_runs"] = keep(runs.withColumn("status", F.when(F.col("error").isNull(), "SUCCESS").otherwise("FAILED")))
+    good = runs.where("status = 'SUCCESS'").select("query_id")
+    fine = queries.join(good, "query_id", "left_semi")
+    measured = _metrics(fine, candidates, gold, passages, answered.join(good, "query_id", "left_semi"), packed, point, model, judge)
+    measured = measured.unionByName(metrics.latency_metrics(clock.durations(fine, runs.count())))
+    out["metrics"] = keep(measured)
     out["summary"] = stats.summary(out["metrics"], "metric")
     return out
 
 
-def _metrics(queries, ranked, gold, passages, answered, packed, contents, point: Pipeline) -> DataFrame:
+def _metrics(queries, ranked, gold, passages, answered, packed, point: Pipeline, model, judge) -> DataFrame:
     ks, wanted = list(point.evaluation.k_values), set(point.evaluation.metrics)
     ids = queries.select("query_id")
-    wide = metrics.ranking_metrics(ids, ranked, gold.select("query_id", "chunk_id"), ks)
-    parts = [metrics.long_form(wide, [m for m in ("recall", "precision", "mrr", "ndcg", "hit") if m in wanted] or ["recall"])]
     documents = passages.where(F.coalesce(F.col("doc_id").cast("string"), F.lit("")) != "").select("query_id", F.col("doc_id").cast("string").alias("doc_id"))
-    parts.append(metrics.long_form(metrics.document_recall(ids, ranked, documents, ks), ["doc_recall"]))
+    parts = [metrics.long_form(metrics.document_recall(ids, ranked, documents, ks), ["doc_recall"])]
+    if names := [m for m in ("recall", "precision", "mrr", "ndcg", "hit") if m in wanted]:
+        parts.append(metrics.long_form(metrics.ranking_metrics(ids, ranked, gold.select("query_id", "chunk_id"), ks), names))
     if "faithfulness" in wanted:
-        judged = metrics.faithfulness(answered.select("query_id", "answer", F.col("text").alias("context")))
+        judged = metrics.faithfulness(answered.select("query_id", "answer", F.col("text").alias("context")), judged=judge)
         parts.append(metrics.long_form(judged, ["faithfulness", "hallucination_rate"], by_k=False))
     if "citations" in wanted:
         sources = packed.select("query_id", F.explode("sources").alias("s")).select("query_id", "s.source_index", "s.chunk_id")
-        sources = sources.join(contents.select("query_id", "chunk_id", "content"), ["query_id", "chunk_id"])
-        parts.append(metrics.long_form(metrics.citation_metrics(answered.select("query_id", "answer"), sources), ["citation_precision", "citation_recall"], by_k=False))
+        sources = sources.join(ranked.select("query_id", "chunk_id", "content"), ["query_id", "chunk_id"])
+        found = metrics.citation_metrics(answered.select("query_id", "answer"), sources, judged=judge or metrics.entails)
+        parts.append(metrics.long_form(found, ["citation_precision", "citation_recall"], by_k=False))
+    # a lexical run loads no embedding model for this alone
+    if "answer_relevance" in wanted and (point.retrieval.mode != "bm25" or point.embedding.provider == "mock"):
+        asked = answered.select("query_id", "query", "answer")
+        parts.append(metrics.long_form(metrics.relevance(asked, model, _encoder(point)), ["answer_relevance"], by_k=False))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -145,6 +214,9 @@ class Result:
     seconds: float
     means: dict
     error: str = ""
+    queries: int = 0
+    completed: int = 0
+    failed: int = 0
 
 
 def run_matrix(
@@ -158,11 +230,13 @@ def run_matrix(
     skip_invalid: bool = False,
     save: Callable[[str, dict[str, DataFrame]], None] | None = None,
     model: transforms.Model | None = None,
+    **options,
 ) -> list[Result]:
     """Run every point of a sweep in order.
 
     A cache hash that ``known`` holds, or that an earlier point ran, is not run again; a point that fails leaves the
-    others alone.  Results are in the order of the points.
+    others alone, as a query that fails leaves its run PARTIAL.  Results are in the order of the points; ``options``
+    go to ``run_stages``.
     """
     known, out = dict(known or {}), []
     for i, point in enumerate(expand(experiment.components, skip_invalid)):
@@ -172,15 +246,19 @@ def run_matrix(
             continue
         began = time.monotonic()
         try:
-            stages = run_stages(corpus, queries, passages, point, model)
+            stages = run_stages(corpus, queries, passages, point, model, **options)
             means = {r["metric"]: r["mean"] for r in stages["summary"].select("metric", "mean").collect()}
+            counts = stats.run_status(stages["query_runs"].withColumn("run_id", F.lit(key))).first()
             if save:
                 save(key, stages)
         except Exception as error:  # one point's failure is that point's status
             out.append(Result(i, point.hash(), key, "FAILED", False, time.monotonic() - began, {}, f"{type(error).__name__}: {error}"[:500]))
             continue
-        known[key] = means
-        out.append(Result(i, point.hash(), key, "COMPLETED", False, time.monotonic() - began, means))
+        n, done, failed, status = (counts[c] for c in ("queries", "completed", "failed", "status")) if counts else (0, 0, 0, "COMPLETED")
+        if status == "COMPLETED":
+            known[key] = means
+        error = "" if status == "COMPLETED" else f"{failed} of {n} queries failed"
+        out.append(Result(i, point.hash(), key, status, False, time.monotonic() - began, means, error, n, done, failed))
     return out
 
 

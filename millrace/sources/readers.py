@@ -5,10 +5,10 @@ from __future__ import annotations
 import io
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,27 +133,63 @@ def folder(spark: SparkSession, path: str, glob: str = CORPUS_GLOB) -> DataFrame
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("content").alias("data"))
 
 
+#: From a table of files (filename, file_type, data, text) of one kind to filename, file_type, content, metadata.
+Parser = Callable[[DataFrame], DataFrame]
+_PARSERS: dict[str, Parser] = {}
+_SUFFIXES: dict[str, str] = {}
+
+
+def register_parser(kind: str, *suffixes: str):
+    """Add the parser of a kind of file, and the suffixes that name it."""
+
+    def add(parser: Parser) -> Parser:
+        _PARSERS[kind] = parser
+        _SUFFIXES.update(dict.fromkeys(suffixes, kind))
+        return parser
+
+    return add
+
+
+@register_parser("text")
+def _parse_plain(files: DataFrame) -> DataFrame:
+    none = F.array().cast("array<string>")
+    return files.select("filename", "file_type", plain_text(F.col("text"))["content"].alias("content"), F.map_from_arrays(none, none).alias("metadata"))
+
+
+@register_parser("markdown")
+def _parse_markdown(files: DataFrame) -> DataFrame:
+    return files.withColumn("m", markdown(F.col("text"))).select("filename", "file_type", "m.content", "m.metadata")
+
+
+@register_parser("pdf")
+def _parse_pdf(files: DataFrame) -> DataFrame:
+    pages = files.withColumn("pages", pdf(F.col("data")))
+    body = F.array_join(F.filter("pages", lambda p: p != ""), "\n\n")
+    return pages.select("filename", "file_type", body.alias("content"), F.create_map(F.lit("page_count"), F.size("pages").cast("string")).alias("metadata"))
+
+
 def documents(spark: SparkSession, path: str, glob: str = CORPUS_GLOB, domain: str = "general") -> DataFrame:
-    """doc_id, filename, content, metadata, domain, file_type, checksum, created_at of every readable file.
+    """doc_id, filename, place, content, metadata, domain, file_type, checksum, created_at of every readable file.
 
-    A file of an unknown suffix is an error when the row is read.
+    ``place`` numbers the files by name, as a folder lists them.  A file of an unknown suffix is an error when the row
+    is read.
     """
-    files = folder(spark, path, glob).withColumn("file_type", kind_of(F.col("filename")))
-    known = F.when(F.col("file_type").isNull(), F.raise_error(F.concat(F.lit("unsupported format: "), "filename")))
-    files = files.withColumn("file_type", F.coalesce(known.cast("string"), "file_type"))
-    texts = files.where("file_type <> 'pdf'").withColumn("text", normalise(decode(F.col("data"))))
-    plain = texts.where("file_type = 'text'").select("filename", "file_type", plain_text(F.col("text"))["content"].alias("content"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("metadata"))
-    marked = texts.where("file_type = 'markdown'").withColumn("m", markdown(F.col("text"))).select("filename", "file_type", "m.content", "m.metadata")
-    out = plain.unionByName(marked)
-    if "pdf" in glob:
-        pages = files.where("file_type = 'pdf'").withColumn("pages", pdf(F.col("data")))
-        body = F.array_join(F.filter("pages", lambda p: p != ""), "\n\n")
-        meta = F.create_map(F.lit("page_count"), F.size("pages").cast("string"))
-        out = out.unionByName(pages.select("filename", "file_type", body.alias("content"), meta.alias("metadata")))
-    out = out.withColumn("checksum", checksum(F.col("content")))
-    return out.select(
-        document_id(F.col("checksum")).alias("doc_id"), "filename", "content", "metadata", F.lit(domain).alias("domain"), "file_type", "checksum", F.current_timestamp().alias("created_at")
-    )
+    files = folder(spark, path, glob)
+    kind = kind_of(F.col("filename"))
+    for suffix, name in _SUFFIXES.items():
+        kind = F.when(F.lower("filename").endswith(f".{suffix}"), name).otherwise(kind)
+    files = files.withColumn("kind", kind)
+    known = F.when(F.col("kind").isNull(), F.raise_error(F.concat(F.lit("unsupported format: "), "filename")))
+    files = files.withColumn("file_type", F.coalesce(known.cast("string"), "kind")).drop("kind").withColumn("text", normalise(decode(F.col("data"))))
+    parts = [parse(files.where(F.col("file_type") == name)) for name, parse in _PARSERS.items() if name != "pdf" or "pdf" in glob]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    # a folder of files is a curated corpus: its names fit one task
+    place = F.row_number().over(Window.orderBy("filename")) - 1
+    out = out.withColumn("checksum", checksum(F.col("content"))).withColumn("place", place)
+    columns = ["filename", "place", "content", "metadata", F.lit(domain).alias("domain"), "file_type", "checksum", F.current_timestamp().alias("created_at")]
+    return out.select(document_id(F.col("checksum")).alias("doc_id"), *columns)
 
 
 _PASSAGE = "struct<doc_id:string,passage_id:string,text_snippet:string,start_char:int,end_char:int>"

@@ -72,6 +72,27 @@ class VectorStore:
         self._files.delete(self._file(self.path), True)
 
 
+_STORES: dict[str, type] = {"folder": VectorStore, "memory": VectorStore}
+
+
+def register_store(*names: str):
+    """Add a kind of vector store: a class with the methods of ``VectorStore``."""
+
+    def add(kind: type) -> type:
+        _STORES.update(dict.fromkeys(names, kind))
+        return kind
+
+    return add
+
+
+def open_store(kind: str, spark: SparkSession, root: str, name: str):
+    """A collection of a registered kind of store."""
+    try:
+        return _STORES[kind.lower().strip()](spark, root, name)
+    except KeyError:
+        raise ValueError(f"unknown store {kind!r}; known: {sorted(_STORES)}") from None
+
+
 def write_trace(root: str, run_id: str, **tables: DataFrame) -> None:
     """Write a run's tables as a new attempt, then publish it; the attempt published last is the run.
 

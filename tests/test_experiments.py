@@ -3,9 +3,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import chunking, relational, stats
+from millrace.operators import chunking, context, metrics, relational, stats, transforms
 from millrace.plans import config, runner, sweep
-from millrace.sources import export, readers, store
+from millrace.sources import dataset, export, readers, store
 from millrace.streaming import metric_stream
 
 
@@ -107,9 +107,89 @@ def test_experiment_files(tmp_path):
     path.write_text(text)
     loaded = config.load(str(path))
     assert (loaded.dataset_id, len(sweep.expand(loaded.components))) == ("d", 2)
-    for broken in ({"name": "x"}, {"dataset": "x"}, {"dataset": {}, "odd": 1}):
+    whole = {"dataset_id": "d", "dataset_version_id": "1"}
+    for broken in ({"name": "x"}, {"dataset": "x"}, {"dataset": whole, "odd": 1}, {"dataset": {"dataset_id": "d"}}, {"dataset": whole | {"dataset_id": ""}}):
         with pytest.raises(ValueError):
             config.experiment(broken)
+    full = config.experiment({"author": "a", "tags": ["t"], "dataset": whole | {"corpus_path": "c"}, "chunking": {"strategy": "semantic", "similarity_threshold": [0.7, 0.9]}})
+    assert (full.author, full.tags, full.name, full.corpus_path) == ("a", ("t",), "experiment", "c")
+    assert [p.chunking.similarity_threshold for p in sweep.expand(full.components)] == [0.7, 0.9]
+    assert config.Pipeline().chunking.chunk_overlap == 64 and config.make("evaluation", {"k_values": [5, 1, 5], "metrics": ["MRR "]}).k_values == (1, 5)
+    with pytest.raises(ValueError):
+        sweep.expand({"chunking": {"similarity_threshold": 1.5}})
+
+
+def experiment_tables(spark):
+    docs = spark.createDataFrame([("d1", "Whales are large mammals. They live in the sea."), ("d2", "Cars have engines. They drive on roads.")], "doc_id string, content string")
+    queries = spark.createDataFrame([("q1", "where do whales live"), ("q2", "what drives on roads"), ("q3", "")], "query_id string, query string")
+    passages = spark.createDataFrame([("p1", "q1", "d1", "They live in the sea", None, None)], "passage string, query_id string, doc_id string, snippet string, start_char int, end_char int")
+    return docs, queries, passages
+
+
+def test_a_failed_query_leaves_the_others(spark):
+    docs, queries, passages = experiment_tables(spark)
+    parts = {"chunking": {"strategy": "sentence", "chunk_size": 20, "chunk_overlap": 0}, "embedding": {"provider": "mock"}, "retrieval": {"mode": "bm25", "top_k": 3}, "evaluation": {"k_values": [2]}}
+    plan = config.Experiment("e", "set", components=parts)
+    silent = lambda prompt: F.when(prompt.contains("what drives"), F.lit(None).cast("string")).otherwise("They live in the sea [Source 1].")
+    seen = {}
+    [result] = runner.run_matrix(spark, plan, runner.Corpus(docs), queries, passages, model=silent, save=lambda key, stages: seen.update(stages))
+    assert (result.status, result.queries, result.completed, result.failed) == ("PARTIAL", 3, 2, 1) and "1 of 3" in result.error
+    runs = {r.query_id: (r.status, r.error) for r in seen["query_runs"].collect()}
+    assert runs["q2"] == ("FAILED", "the model gave no answer") and runs["q1"][0] == runs["q3"][0] == "SUCCESS"
+    rows = {(r.query_id, r.metric): r.value for r in seen["metrics"].collect()}
+    assert not any(q == "q2" for q, _ in rows) and rows["q1", "faithfulness"] == 1.0 and 0 <= rows["q1", "answer_relevance"] <= 1
+    assert rows["q1", "total_latency_ms"] >= rows["q1", "retrieval_latency_ms"] > 0 and ("q1", "reranking_latency_ms") not in rows
+    assert runner.run_matrix(spark, plan, runner.Corpus(docs), queries, passages, model=lambda p: F.lit(None).cast("string"))[0].status == "FAILED"
+
+
+def test_a_context_over_its_budget_is_an_error(spark):
+    packed = spark.createDataFrame([("a", "x", 5), ("b", "y", 6)], "query_id string, text string, total_tokens int")
+    assert [r.e for r in packed.select(context.over_budget(F.col("total_tokens"), 5).alias("e")).collect()] == [None, "context budget exceeded: 6 > 5"]
+    assert context.guard(packed, 6).count() == 2
+    with pytest.raises(Exception, match="budget exceeded"):
+        context.guard(packed, 5).collect()
+
+
+def test_extension_points(spark, tmp_path):
+    docs, queries, passages = experiment_tables(spark)
+    metrics.register_judge("never")(lambda: lambda c, p: F.lit(False))
+    answers = spark.createDataFrame([("q", "Whales live in the sea.", "whales live in the sea")], "query_id string, answer string, context string")
+    scores = lambda judged: metrics.faithfulness(answers, judged=judged).first().faithfulness
+    assert (scores(None), scores(metrics.judge("never")), scores(metrics.judge("llm", model=lambda p: F.lit(" yes, it does")))) == (1.0, 0.0, 1.0)
+    chunking.register("halves")(lambda text, tokens, **_: [text[: len(text) // 2], text[len(text) // 2 :]])
+    assert chunking.chunk(docs, "halves").count() == 4
+    transforms.register("twice")(lambda query, response, n, keep: F.array(query, query))
+    assert transforms.sub_queries(queries, "twice").count() == 6
+    runner.register_retriever("first")(lambda corpus, point: lambda q, k: q.select("query_id").join(corpus.chunks(point).select("chunk_id").limit(1), how="cross").withColumns({"score": F.lit(1.0), "rank": F.lit(1)}))
+    point = sweep.expand({"chunking": {"strategy": "halves"}, "retrieval": {"mode": "first"}})[0]
+    assert runner.searcher(runner.Corpus(docs), point)(queries, 1).count() == 3
+    readers.register_parser("table", "csv")(lambda files: files.select("filename", "file_type", F.col("text").alias("content"), F.create_map(F.lit("a"), F.lit("b")).alias("metadata")))
+    (tmp_path / "x.csv").write_text("a,b")
+    assert [(r.content, r.file_type, r.place) for r in readers.documents(spark, f"file://{tmp_path}", glob="*.csv").collect()] == [("a,b", "table", 0)]
+    store.register_store("other")(store.VectorStore)
+    assert not store.open_store("other", spark, f"file://{tmp_path}", "none").exists()
+    for wrong in (lambda: metrics.judge("x"), lambda: store.open_store("x", spark, "", ""), lambda: transforms.sub_queries(queries, "x")):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_dataset_registration(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "b.txt").write_text("Whales are large mammals. They live in the sea.")
+    (tmp_path / "c" / "a.txt").write_text("Cars have engines. They drive on roads.")
+    line = '{"query_id": "q%d", "query": "?", "ground_truth_passages": [{"doc_id": "%s", "text_snippet": "%s"}]}'
+    (tmp_path / "qa.jsonl").write_text("\n".join([line % (1, "b", "They live in the sea"), line % (2, "a.txt", "They drive on roads")]))
+    made = dataset.register(spark, f"file://{tmp_path}/w", "set", 1, f"file://{tmp_path}/c", f"file://{tmp_path}/qa.jsonl", size=60, overlap=0)
+    assert made.totals.first().document_count == 2 and made.queries.count() == 2
+    chunks = {r.chunk_id: r.content for r in made.chunks.collect()}
+    found = {(r.query_id, chunks[r.chunk_id]) for r in made.relevant.collect()}
+    assert {q for q, _ in found} == {"q1", "q2"} and all(("sea" in c or "live" in c or "They" in c) if q == "q1" else ("drive" in c or "road" in c or "They" in c) for q, c in found)
+    import hashlib
+
+    assert made.content_hash == hashlib.sha256(b"Cars have engines. They drive on roads.Whales are large mammals. They live in the sea.").hexdigest()
+    (tmp_path / "bad.jsonl").write_text(line % (1, "zzz", "x"))
+    with pytest.raises(ValueError, match="unknown documents"):
+        dataset.register(spark, f"file://{tmp_path}/w", "set", 2, f"file://{tmp_path}/c", f"file://{tmp_path}/bad.jsonl", size=60, overlap=0)
 
 
 def test_pareto(spark):
