@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from functools import lru_cache
 
+import numpy as np
+
 
 def regularised_beta(x: float, a: float, b: float) -> float:
     """The incomplete beta function ratio by its continued fraction, evaluated forwards as convergents."""
@@ -65,39 +66,38 @@ EXACT_UP_TO = 20
 
 def signed_ranks(differences: list[float]) -> tuple[float, float, list[int]]:
     """Rank sums of the positive and the negative differences with mid-ranks, and the sizes of the ties."""
-    kept = sorted((abs(d), d > 0) for d in differences if abs(d) > NEGLIGIBLE)
-    plus = minus = 0.0
-    ties, at = [], 0
-    while at < len(kept):
-        end = at
-        while end < len(kept) and kept[end][0] - kept[at][0] < NEGLIGIBLE:
-            end += 1
-        rank = (at + 1 + end) / 2
-        up = sum(positive for _, positive in kept[at:end])
-        plus, minus = plus + rank * up, minus + rank * (end - at - up)
-        ties.append(end - at)
-        at = end
-    return plus, minus, ties
+    d = np.asarray(differences, dtype=np.float64)
+    d = d[np.abs(d) > NEGLIGIBLE]
+    d = d[np.argsort(np.abs(d), kind="stable")]
+    starts = np.flatnonzero(np.diff(np.abs(d), prepend=-1.0) >= NEGLIGIBLE)
+    ties = np.diff(starts, append=len(d))
+    ranks = np.repeat(starts + (ties + 1) / 2, ties)
+    return float(ranks[d > 0].sum()), float(ranks[d < 0].sum()), ties.tolist()
 
 
-def wilcoxon(differences: list[float]) -> tuple[float, float, str]:
-    """Statistic, two-sided p and method (exact, asymptotic or degenerate) of the signed-rank test."""
-    plus, minus, ties = signed_ranks(differences)
-    n = sum(ties)
+def wilcoxon_p(w: float, n: int, levels: int, excess: float) -> tuple[float, str]:
+    """Two-sided p and method (exact, asymptotic or degenerate) of a signed-rank statistic.
+
+    ``n`` differences that aren't 0 have ``levels`` sizes; ``excess`` is the sum of t**3 - t over ties of t.
+    """
     if n == 0:
-        return 0.0, 1.0, "degenerate"
-    w = min(plus, minus)
-    if n <= EXACT_UP_TO and len(ties) == n:
-        ways = Counter({0: 1})
+        return 1.0, "degenerate"
+    if n <= EXACT_UP_TO and levels == n:
+        # how many of the 2**n choices of signs give each rank sum
+        ways = np.zeros(n * (n + 1) // 2 + 1)
+        ways[0] = 1
         for rank in range(1, n + 1):
-            more = Counter(ways)
-            for total, count in ways.items():
-                more[total + rank] += count
-            ways = more
-        below = sum(count for total, count in ways.items() if total <= math.floor(w))
-        return w, min(1.0, 2 * below / 2**n), "exact"
-    variance = n * (n + 1) * (2 * n + 1) / 24 - sum(t**3 - t for t in ties) / 48
+            ways[rank:] += ways[:-rank].copy()
+        return min(1.0, 2 * float(ways[: math.floor(w) + 1].sum()) / 2**n), "exact"
+    variance = n * (n + 1) * (2 * n + 1) / 24 - excess / 48
     if variance <= 0:
-        return w, 1.0, "asymptotic"
+        return 1.0, "asymptotic"
     z = max(0.0, abs(w - n * (n + 1) / 4) - 0.5) / math.sqrt(variance)
-    return w, min(1.0, math.erfc(z / math.sqrt(2))), "asymptotic"
+    return min(1.0, math.erfc(z / math.sqrt(2))), "asymptotic"
+
+
+def wilcoxon(differences: list[float]) -> tuple[float, float, str]:
+    """Statistic, two-sided p and method of the signed-rank test."""
+    plus, minus, ties = signed_ranks(differences)
+    w = min(plus, minus)
+    return w, *wilcoxon_p(w, sum(ties), len(ties), float(sum(t**3 - t for t in ties)))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import fields, nfkc, strip
+from millrace.functions.text import fields, nfkc, strip, trigrams
 
 _PROVIDERS: dict[str, Callable[..., Callable[[Column], Column]]] = {}
 
@@ -64,6 +64,21 @@ def sparse_cosine(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFram
     return left.join(other, "idx").groupBy(a, b).agg(F.sum(F.col("value") * F.col("other")).alias("score"))
 
 
+def gram_likeness(rows: DataFrame, group: str, place: str, text: str) -> DataFrame:
+    """(group, place, similarity): the cosine of a row's character trigrams with those of the row before it in its group.
+
+    ``place`` numbers the rows of a group; neighbours without a common trigram have no row.
+    """
+    grams = rows.select(group, place, F.explode(trigrams(F.col(text))).alias("gram"))
+    counts = grams.groupBy(group, place, "gram").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    norms = counts.groupBy(group, place).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    before = counts.select(group, (F.col(place) + 1).alias(place), "gram", F.col("n").alias("m"))
+    dots = counts.join(before, [group, place, "gram"]).groupBy(group, place).agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
+    earlier = norms.select(group, (F.col(place) + 1).alias(place), F.col("norm").alias("other"))
+    both = dots.join(norms, [group, place]).join(earlier, [group, place])
+    return both.select(group, place, (F.col("dot") / (F.col("norm") * F.col("other"))).alias("similarity"))
+
+
 def _hash_projection(dimension: int):
     import hashlib
     import unicodedata

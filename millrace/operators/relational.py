@@ -18,6 +18,11 @@ def matching(df: DataFrame, **equal) -> DataFrame:
     return df
 
 
+def among(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key a table of keys holds."""
+    return df.join(keys.select(key), key, "left_semi")
+
+
 def search_text(df: DataFrame, text: str, *columns: str) -> DataFrame:
     """Rows with the text in one of the columns, whatever its case."""
     hit = F.lit(False)
@@ -126,9 +131,9 @@ def divergence(signatures: DataFrame, fields: list[str]) -> DataFrame:
 RADAR = ("recall@5", "precision@5", "mrr@5", "ndcg@5", "faithfulness")
 
 
-def radar(summaries: DataFrame, run: str = "run_id") -> DataFrame:
-    """Five bounded metrics of each run as columns."""
-    return summaries.groupBy(run).pivot("metric", list(RADAR)).agg(F.first("mean"))
+def radar(summaries: DataFrame, run: str = "run_id", metrics: tuple[str, ...] = RADAR) -> DataFrame:
+    """A few metrics of each run as columns, by default five bounded ones."""
+    return summaries.groupBy(run).pivot("metric", list(metrics)).agg(F.first("mean"))
 
 
 def document_totals(docs: DataFrame, version: str | None = None, content: str = "content") -> DataFrame:

@@ -1,7 +1,7 @@
 """Summaries of runs and paired comparisons.
 
-Aggregates and corrections are expressions.  The t distribution and the signed-rank test run in Python once per
-(comparison, metric) group; a group is the paired differences of one metric over a query set.
+Aggregates, ranks and corrections are expressions.  Only the t distribution and the signed-rank p run in Python, on one
+row of sums per (comparison, metric) group.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.special import NEGLIGIBLE, t_critical, t_two_tailed, wilcoxon
+from millrace.functions.special import NEGLIGIBLE, t_critical, t_two_tailed, wilcoxon_p
 
 
 def summary(values: DataFrame, *groups: str, value: str = "value") -> DataFrame:
@@ -76,42 +76,55 @@ def paired_statistics(pairs: DataFrame, *groups: str) -> DataFrame:
     return out.withColumns({"t_df": n - 1, "t_statistic": real(mean / (safe / F.sqrt(n))), "cohens_dz": real(mean / safe)})
 
 
-_TESTS = "mean_difference double, ci95_lower double, ci95_upper double, p_value double, wilcoxon_statistic double, wilcoxon_p double, wilcoxon_method string"
+def _ranked(pairs: DataFrame, *groups: str) -> DataFrame:
+    """n, W = min(W+, W-) with mid-ranks, the number of sizes and the ties' sum of t**3 - t, by windows."""
+    kept = pairs.where(F.abs("difference") > NEGLIGIBLE).withColumn("size", F.round(F.abs("difference"), 12))
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*groups, "size"))
+    ranked = kept.withColumns({"ties": ties, "place": F.rank().over(Window.partitionBy(*groups).orderBy("size")) + (ties - 1) / 2})
+    up = F.coalesce(F.sum(F.when(F.col("difference") > 0, F.col("place"))), F.lit(0.0))
+    down = F.coalesce(F.sum(F.when(F.col("difference") < 0, F.col("place"))), F.lit(0.0))
+    t = F.col("ties").cast("double")
+    return ranked.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"), F.least(up, down).alias("w"), F.count_distinct("size").alias("levels"), F.sum(t * t - 1).alias("excess")
+    )
 
 
-def paired_tests(pairs: DataFrame, *groups: str) -> DataFrame:
-    """Confidence interval, t-test p and signed-rank test of each group's differences."""
-    kinds = dict(pairs.dtypes)
-
-    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        d = frame["difference"].astype(float)
-        n, mean = len(d), float(d.mean())
-        low = high = p = w = wp = method = None
-        if n >= 2:
-            std = float(d.std(ddof=1))
-            if std <= NEGLIGIBLE:
-                low, high, p = mean, mean, 1.0 if abs(mean) <= NEGLIGIBLE else 0.0
-                low, high = (0.0, 0.0) if abs(mean) <= NEGLIGIBLE else (low, high)
-            else:
-                error = std / math.sqrt(n)
-                half = t_critical(n - 1) * error
-                low, high, p = mean - half, mean + half, t_two_tailed(mean / error, n - 1)
-            w, wp, method = wilcoxon(d.tolist())
-        return pd.DataFrame([[*key, mean, low, high, p, w, wp, method]])
-
-    schema = ", ".join(f"{g} {kinds[g]}" for g in groups) + ", " + _TESTS
-    return pairs.select(*groups, "difference").groupBy(*groups).applyInPandas(one, schema)
+def wilcoxon_statistic(pairs: DataFrame, *groups: str) -> DataFrame:
+    """n and W of each group's differences that aren't 0."""
+    return _ranked(pairs, *groups).select(*groups, "n", "w")
 
 
-def wilcoxon_statistic(pairs: DataFrame, *groups: str) -> DataFrame:
-    """n and W = min(W+, W-) with mid-ranks, by windows."""
-    kept = pairs.where(F.abs("difference") > NEGLIGIBLE).withColumn("size", F.round(F.abs("difference"), 12))
-    by = Window.partitionBy(*groups)
-    ties = F.count(F.lit(1)).over(by.partitionBy(*groups, "size"))
-    ranked = kept.withColumn("place", F.rank().over(by.orderBy("size")) + (ties - 1) / 2)
-    up = F.coalesce(F.sum(F.when(F.col("difference") > 0, F.col("place"))), F.lit(0.0))
-    down = F.coalesce(F.sum(F.when(F.col("difference") < 0, F.col("place"))), F.lit(0.0))
-    return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.least(up, down).alias("w"))
+_TESTS = "struct<ci95_lower:double,ci95_upper:double,p_value:double,wilcoxon_statistic:double,wilcoxon_p:double,wilcoxon_method:string>"
+
+
+@F.pandas_udf(_TESTS)
+def _tests(n: pd.Series, mean: pd.Series, std: pd.Series, kept: pd.Series, w: pd.Series, levels: pd.Series, excess: pd.Series) -> pd.DataFrame:
+    def one(n, mean, std, kept, w, levels, excess):
+        if n < 2:
+            return [None] * 6
+        if std <= NEGLIGIBLE:
+            level = 0.0 if abs(mean) <= NEGLIGIBLE else mean
+            low, high, p = level, level, 0.0 if level else 1.0
+        else:
+            error = std / math.sqrt(n)
+            half = t_critical(n - 1) * error
+            low, high, p = mean - half, mean + half, t_two_tailed(mean / error, n - 1)
+        return [low, high, p, w, *wilcoxon_p(w, int(kept), int(levels), excess)]
+
+    rows = [one(*r) for r in zip(n, mean, std, kept, w, levels, excess, strict=True)]
+    return pd.DataFrame(rows, columns=["ci95_lower", "ci95_upper", "p_value", "wilcoxon_statistic", "wilcoxon_p", "wilcoxon_method"])
+
+
+def paired_tests(pairs: DataFrame, *groups: str) -> DataFrame:
+    """Confidence interval, t-test p and signed-rank test of each group's differences.
+
+    Differences are reduced by aggregates and windows; Python sees one row a group.
+    """
+    sums = paired_statistics(pairs, *groups).select(*groups, "n", "mean_difference", "std_difference")
+    parts = _ranked(pairs, *groups).withColumnRenamed("n", "kept")
+    both = sums.join(parts, list(groups), "left").fillna(0, ["kept", "levels"]).fillna(0.0, ["w", "excess"])
+    found = _tests("n", "mean_difference", F.coalesce("std_difference", F.lit(0.0)), "kept", "w", "levels", "excess")
+    return both.select(*groups, "mean_difference", found.alias("t")).select(*groups, "mean_difference", "t.*")
 
 
 def _family(group: str | None) -> Window:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import hashing, text
 from millrace.operators import chunking, context, dense, embed, fusion, lexical, metrics, qrels, relational, rerank, stats, transforms
-from millrace.plans import config, runner, sweep
+from millrace.plans import sweep
 from millrace.sources import export, readers
 from millrace.storage import materialize, spread
 
@@ -32,11 +32,18 @@ def query(sql: str | None = None):
     return add
 
 
+def _registered() -> None:
+    # these add their queries when they are imported
+    from millrace import queries_data, queries_runs  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _registered()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _registered()
     return dict(_SQL)
 
 
@@ -100,19 +107,31 @@ def _entailed(x: str) -> str:
     return f"(SELECT CASE WHEN len(w) = 0 THEN TRUE ELSE len(list_filter(w, lambda x: contains(lower(context), x))) / len(w)::DOUBLE >= 0.5 END FROM (SELECT {words} AS w))"
 
 
-_BM25 = f"""
-tok AS (SELECT doc_id::VARCHAR AS chunk_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM documents),
-tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
-dl AS (SELECT d.doc_id::VARCHAR AS chunk_id, coalesce(l.length, 0) AS length FROM documents d
-       LEFT JOIN (SELECT chunk_id, sum(tf) AS length FROM tf GROUP BY 1) l ON l.chunk_id = d.doc_id::VARCHAR),
-tot AS (SELECT count(*) AS n, avg(length) AS m FROM dl),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-odds AS (SELECT term, df, ln((n - df)::DOUBLE + 0.5::DOUBLE) - ln(df::DOUBLE + 0.5::DOUBLE) AS o FROM df, tot),
-idf AS (SELECT term, df, CASE WHEN o < 0 THEN 0.25 * (SELECT avg(o) FROM odds) ELSE o END AS idf FROM odds)"""
-_SCORES = f"""{_BM25},
-qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM benchmark) GROUP BY ALL),
-sc AS (SELECT query_id, chunk_id, round(sum(qtf * idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / m)))), 9) AS score
+def bm25_tables(chunks: str) -> str:
+    """The index as SQL tables; ``chunks`` selects chunk_id and text."""
+    return f"""
+ch AS MATERIALIZED ({chunks}),
+tok AS MATERIALIZED (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM ch),
+tf AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+ln AS MATERIALIZED (SELECT chunk_id, sum(tf) AS length FROM tf GROUP BY 1),
+dl AS MATERIALIZED (SELECT ch.chunk_id, coalesce(ln.length, 0) AS length FROM ch LEFT JOIN ln USING (chunk_id)),
+tot AS MATERIALIZED (SELECT count(*) AS n, avg(length) AS m FROM dl),
+df AS MATERIALIZED (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+odds AS MATERIALIZED (SELECT term, df, ln((n - df)::DOUBLE + 0.5::DOUBLE) - ln(df::DOUBLE + 0.5::DOUBLE) AS o FROM df, tot),
+mo AS MATERIALIZED (SELECT avg(o) AS mean_o FROM odds),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN o < 0 THEN 0.25 * mean_o ELSE o END AS idf FROM odds, mo)"""
+
+
+def bm25_scores(asked: str) -> str:
+    """Scores of all chunks that share a term with a query; ``asked`` selects query_id and text."""
+    return f"""
+qt AS MATERIALIZED (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM ({asked})) GROUP BY ALL),
+sc AS MATERIALIZED (SELECT query_id, chunk_id, round(sum(qtf * idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / m)))), 9) AS score
        FROM qt JOIN idf USING (term) JOIN tf USING (term) JOIN dl USING (chunk_id), tot GROUP BY ALL)"""
+
+
+_BM25 = bm25_tables("SELECT doc_id::VARCHAR AS chunk_id, text FROM documents")
+_SCORES = f"{_BM25},{bm25_scores('SELECT item_id AS query_id, text FROM benchmark')}"
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)"
 
 
@@ -289,22 +308,24 @@ def whitespace_squeeze(spark, d):
     JOIN q x ON x.conv_id = p.conv_id AND x.turn = p.turn JOIN q y ON y.conv_id = p.conv_id AND y.turn = p.turn - 1"""
 )
 def trigram_cosine(spark, d):
-    grams = table(spark, d, "conversations").select("conv_id", "turn", F.explode(text.trigrams(F.col("text"))).alias("gram"))
-    counts = materialize(grams.groupBy("conv_id", "turn", "gram").agg(F.count(F.lit(1)).cast("double").alias("n")), "grams")
-    norms = counts.groupBy("conv_id", "turn").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    before = counts.select("conv_id", (F.col("turn") + 1).alias("turn"), "gram", F.col("n").alias("m"))
-    dots = counts.join(before, ["conv_id", "turn", "gram"]).groupBy("conv_id", "turn").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
-    earlier = norms.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("norm").alias("other"))
-    both = dots.join(norms, ["conv_id", "turn"]).join(earlier, ["conv_id", "turn"])
-    return six(both.select("conv_id", "turn", (F.col("dot") / (F.col("norm") * F.col("other"))).alias("similarity")))
+    return six(embed.gram_likeness(table(spark, d, "conversations"), "conv_id", "turn", "text"))
 
 
 _BENGALI = "[^" + _SPACE + r"!-/:-@\[-`{-~।॥৷৸]+"
 
 
-@query(f"SELECT doc_id, len(regexp_extract_all(lower(text), '{_BENGALI}'))::INTEGER AS n_tokens FROM documents")
+#: A sentence with stop words, Bengali marks and a compatibility letter, since the data has none.
+_SENTENCE = " এটি একটি পরীক্ষা, এবং ভাষা ভালো। ﬁn"
+
+
+@query(
+    f"""SELECT doc_id, len(t)::INTEGER AS n_tokens, len(list_filter(t, lambda x: x NOT IN ({', '.join(f"'{w}'" for w in text.BENGALI_STOPWORDS)})))::INTEGER AS n_kept
+    FROM (SELECT doc_id, regexp_extract_all(lower(text || '{_SENTENCE.replace('ﬁ', 'fi')}'), '{_BENGALI}') AS t FROM documents)"""
+)
 def indic_token_counts(spark, d):
-    return corpus(spark, d).select("doc_id", F.size(text.bengali_tokens(F.col("content"), drop_stopwords=True, compose=False)).alias("n_tokens"))
+    body = F.concat("content", F.lit(_SENTENCE))
+    every, kept = text.bengali_tokens(body), text.bengali_tokens(body, drop_stopwords=True)
+    return corpus(spark, d).select("doc_id", F.size(every).alias("n_tokens"), F.size(kept).alias("n_kept"))
 
 
 @query(
@@ -351,25 +372,38 @@ for _name, _options in (("recursive", dict(size=200, overlap=20)), ("sentence",
 # embeddings
 
 
-_SHINGLES = f"""
-sg AS (SELECT item_id, unnest(list_transform(range(1, length(t) + 1), lambda i: substr(t, i, 3))) AS s FROM
-       (SELECT item_id, unnest(regexp_extract_all(lower(text), '[^{_SPACE}]+')) AS t FROM benchmark)),
-hs AS (SELECT item_id, md5(s) AS h FROM sg),
-cell AS (SELECT item_id, (list_reduce([0::BIGINT, ('0x' || h[1:8])::BIGINT, ('0x' || h[9:16])::BIGINT, ('0x' || h[17:24])::BIGINT, ('0x' || h[25:32])::BIGINT],
+def shingle_tables(rows: str) -> str:
+    """Sparse hash embeddings as SQL; ``rows`` selects id and text."""
+    return f"""
+sg AS MATERIALIZED (SELECT id, s, count(*) AS n FROM (SELECT id, unnest(list_transform(range(1, length(t) + 1), lambda i: substr(t, i, 3))) AS s FROM
+       (SELECT id, unnest(regexp_extract_all(lower(text), '[^{_SPACE}]+')) AS t FROM ({rows}))) GROUP BY ALL),
+hs AS MATERIALIZED (SELECT s, md5(s) AS h FROM (SELECT DISTINCT s FROM sg)),
+cell AS MATERIALIZED (SELECT s, (list_reduce([0::BIGINT, ('0x' || h[1:8])::BIGINT, ('0x' || h[9:16])::BIGINT, ('0x' || h[17:24])::BIGINT, ('0x' || h[25:32])::BIGINT],
          lambda a, x: (a * 4294967296 % 384 + x) % 384)) AS idx, CASE WHEN ('0x' || h[28])::INTEGER % 2 = 1 THEN 1 ELSE -1 END AS sign FROM hs),
-sm AS (SELECT item_id, idx, sum(sign) AS v FROM cell GROUP BY ALL HAVING sum(sign) <> 0)"""
+sm AS MATERIALIZED (SELECT id, idx, sum(n * sign) AS v FROM sg JOIN cell USING (s) GROUP BY ALL HAVING sum(n * sign) <> 0),
+em AS MATERIALIZED (SELECT id, idx, v / sqrt(sum(v * v) OVER (PARTITION BY id)::DOUBLE) AS value FROM sm)"""
+
 
+_SHINGLES = shingle_tables("SELECT doc_id AS id, text FROM documents")
 
-@query(f"WITH {_SHINGLES} SELECT item_id, idx, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)::DOUBLE), 6) AS value FROM sm")
+
+@query(f"WITH {_SHINGLES} SELECT id AS doc_id, idx, round(value, 6) AS value FROM em")
 def hash_embedding(spark, d):
-    return six(embed.shingle_hashes(table(spark, d, "benchmark"), "item_id", "text"))
+    return six(embed.shingle_hashes(table(spark, d, "documents"), "doc_id", "text"))
 
 
-@query()
+@query(
+    """WITH h AS (SELECT doc_id, array_to_string(list_transform(range(0, 32), lambda k: sha256(encode(text) || unhex(printf('%02x000000', k)))), '') AS x FROM documents),
+    b AS (SELECT doc_id, list_transform(range(0, 1024), lambda i: (('0x' || x[2 * i + 1:2 * i + 2])::INTEGER - 127.5) / 127.5::DOUBLE) AS v FROM h),
+    n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM b)
+    SELECT doc_id, len(v)::INTEGER AS dimension, round(v[1] / norm, 6) AS first, round(v[500] / norm, 6) AS middle, round(v[1024] / norm, 6) AS last, round(list_sum(v) / norm, 6) AS total FROM n"""
+)
 def digest_embedding(spark, d):
     encode = embed.provider("mock_multilingual", dimension=1024)
-    vectors_ = table(spark, d, "benchmark").select("item_id", encode(F.col("text")).alias("v"))
-    return vectors_.select("item_id", F.size("v").alias("dimension"), F.round(dense.dot(F.col("v"), F.col("v")), 6).alias("norm2"))
+    rows = table(spark, d, "documents").select("doc_id", encode(F.col("text")).alias("v"))
+    at = lambda i: F.get("v", F.lit(i))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return six(rows.select("doc_id", F.size("v").alias("dimension"), at(0).alias("first"), at(499).alias("middle"), at(1023).alias("last"), total.alias("total")))
 
 
 @query("SELECT count(*) AS wrong FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64")
@@ -397,15 +431,22 @@ def hyde_mock(spark, d):
     return transforms.sub_queries(asked(spark, d), "hyde").select("query_id", "sequence_index", "sub_query")
 
 
+#: A prompt that is the question itself, so that the canned model's response depends on it.
+_OWN_PROMPT = "{query}"
+_LINES = f"""lq AS (SELECT item_id, list_filter(list_transform(string_split('Mock response: ' || substr(text, 1, 60) || '...', chr(10)),
+  lambda x: regexp_replace(x, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')), lambda x: x <> '') AS l, text FROM benchmark),
+sb AS (SELECT item_id, unnest(list_slice(list_prepend(text, l), 1, 4)) AS text, unnest(range(0, least(len(l), 3) + 1)) AS i FROM lq)"""
+
+
 @query(
-    f"""WITH {_SCORES.replace("SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text)", "SELECT query_id, unnest(regexp_extract_all(lower(text)").replace("FROM benchmark) GROUP BY ALL)", "FROM (SELECT item_id * 2 AS query_id, text FROM benchmark UNION ALL SELECT item_id * 2 + 1, substr(text, 1, 40) FROM benchmark)) GROUP BY ALL)")},
-    b20 AS {_ranked('sc', 20)}, fu AS (SELECT query_id // 2 AS query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM b20 GROUP BY 1, 2)
+    f"""WITH {_LINES}, {_BM25}, {bm25_scores("SELECT item_id * 10 + i AS query_id, text FROM sb")},
+    b20 AS {_ranked('sc', 20)}, fu AS (SELECT query_id // 10 AS query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM b20 GROUP BY 1, 2)
     SELECT query_id::BIGINT AS query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM {_ranked('fu', 5)}"""
 )
 def transformed_retrieval(spark, d):
     docs, index = built(spark, d)
-    both = asked(spark, d).select("query_id", F.posexplode(F.array("query", F.substring("query", 1, 40))).alias("sequence_index", "sub_query"))
-    found = transforms.retrieve(both, lambda q, k: lexical.search(q, docs, index, k, fill=False), 5)
+    subs = transforms.sub_queries(asked(spark, d), "multi_query", template=_OWN_PROMPT)
+    found = transforms.retrieve(subs, lambda q, k: lexical.search(q, docs, index, k, fill=False), 5)
     return six(found).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -481,6 +522,11 @@ SELECT query_id, k, round(coalesce(n / n_rel::DOUBLE, 0), 6) AS recall, round(co
 round(coalesce(dcg, 0) / coalesce(ideal, 1), 6) AS ndcg, (coalesce(n, 0) > 0)::INTEGER::DOUBLE AS hit FROM qs LEFT JOIN h USING (query_id, k) LEFT JOIN i USING (query_id, k)"""
 
 
+def ranked_metrics_sql() -> str:
+    """The rows of the metrics; tables top, rel and qs come before it."""
+    return _METRIC_ROWS
+
+
 @query(_METRICS + _METRIC_ROWS)
 def ir_metrics_at_k(spark, d):
     rel = qrels.containment_matches(gold(spark, d), corpus(spark, d)).select(F.col("passage").alias("query_id"), "chunk_id")
@@ -580,11 +626,54 @@ def context_pack_greedy(spark, d):
     return packed.select("query_id", F.array_join(F.transform("chosen", lambda x: x["chunk_id"]), ",").alias("chosen"), "used", "truncated")
 
 
-@query()
-def context_assembled(spark, d):
+_WALK = f"""walk AS (
+      SELECT query_id, 0::BIGINT AS pos, 0 AS used, 0 AS taken, []::VARCHAR[] AS chosen FROM (SELECT DISTINCT query_id FROM top)
+      UNION ALL
+      SELECT query_id, pos + 1, CASE WHEN used + cost <= {_BUDGET} THEN used + cost ELSE used END, CASE WHEN used + cost <= {_BUDGET} THEN taken + 1 ELSE taken END,
+             CASE WHEN used + cost <= {_BUDGET} THEN list_append(chosen, chunk_id) ELSE chosen END
+      FROM (SELECT w.*, t.chunk_id, {_estimated("('[Source ' || (taken + 1) || '] (doc: ' || t.doc_id || ', chunk: ' || t.chunk_id || ')' || chr(10) || t.content || chr(10) || chr(10))")} AS cost
+            FROM walk w JOIN top t ON t.query_id = w.query_id AND t.rank = w.pos + 1)),
+    done AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos DESC) = 1),
+    pl AS (SELECT query_id, chosen[i + 1] AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN i % 2 = 0 OR len(chosen) <= 2 THEN i ELSE 2 * len(chosen) - i END) AS source_index
+           FROM (SELECT query_id, chosen, unnest(range(len(chosen))) AS i FROM done)),
+    tx AS (SELECT query_id, string_agg('[Source ' || source_index || '] (doc: ' || doc_id || ', chunk: ' || chunk_id || ')' || chr(10) || content, chr(10) || chr(10) ORDER BY source_index) AS text
+           FROM pl JOIN top USING (query_id, chunk_id) GROUP BY 1)"""
+
+
+def assembled(spark, d):
+    """Contexts of all passages, and of one question that has no candidates."""
     docs = corpus(spark, d).select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), "content")
-    packed = context.pack(asked(spark, d), bm25(spark, d, 10).join(docs, "chunk_id"), _BUDGET, "lost_in_the_middle")
-    return packed.select("query_id", "total_tokens", "fits", "truncated", F.md5("text").alias("text_md5"))
+    questions = asked(spark, d).unionByName(spark.sql("SELECT -1L AS query_id, 'nothing is found for this' AS query"))
+    return questions, context.pack(questions, bm25(spark, d, 10).join(docs, "chunk_id"), _BUDGET, "lost_in_the_middle")
+
+
+@query(
+    f"""{_RANKED10}, {_WALK}, q AS (SELECT item_id AS query_id FROM benchmark UNION ALL SELECT -1)
+    SELECT query_id, {_estimated("coalesce(text, '')")} AS total_tokens, {_estimated("coalesce(text, '')")} <= {_BUDGET} AS fits, coalesce(pos - taken, 0)::INTEGER AS truncated, md5(coalesce(text, '')) AS text_md5
+    FROM q LEFT JOIN done USING (query_id) LEFT JOIN tx USING (query_id)"""
+)
+def context_assembled(spark, d):
+    return assembled(spark, d)[1].select("query_id", "total_tokens", "fits", "truncated", F.md5("text").alias("text_md5"))
+
+
+@query(f"{_RANKED10}, {_WALK} SELECT query_id, source_index::INTEGER AS source_index, chunk_id, rank::INTEGER AS original_rank FROM pl JOIN top USING (query_id, chunk_id)")
+def context_sources(spark, d):
+    return assembled(spark, d)[1].select("query_id", F.inline("sources"))
+
+
+_ASKED = "('Context:' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || 'Question: ' || query || chr(10) || 'Answer:')"
+
+
+@query(
+    f"""{_RANKED10}, {_WALK}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark UNION ALL SELECT -1, 'nothing is found for this'),
+    g AS (SELECT query_id, {_ASKED} AS prompt, 'Mock response: ' || substr({_ASKED}, 1, 60) || '...' AS answer FROM q LEFT JOIN tx USING (query_id))
+    SELECT query_id, md5(answer) AS answer_md5, {_estimated('prompt')} AS input_tokens, {_estimated('answer')} AS output_tokens, {_estimated('prompt')} + {_estimated('answer')} AS total_tokens,
+    round(({_estimated('prompt')} + {_estimated('answer')}) * 0.001::DOUBLE, 6) AS cost FROM g"""
+)
+def generation_accounting(spark, d):
+    questions, packed = assembled(spark, d)
+    made = context.generate(context.guard(packed, _BUDGET).select("query_id", "text"), questions, transforms.canned(), cost_per_token=0.001)
+    return six(made.select("query_id", F.md5("answer").alias("answer_md5"), "input_tokens", "output_tokens", "total_tokens", "cost"))
 
 
 # summaries and statistics
@@ -668,11 +757,6 @@ def wilcoxon_w(spark, d):
     return stats.wilcoxon_statistic(observations(spark, d), "metric")
 
 
-@query()
-def paired_tests(spark, d):
-    return six(stats.compare(*_two_runs(spark, d), unit="user_id"))
-
-
 def _two_runs(spark, d):
     pairs = observations(spark, d)
     return pairs.select("metric", "user_id", F.col("a").alias("value")), pairs.select("metric", "user_id", F.col("b").alias("value"))
@@ -790,9 +874,9 @@ def document_totals(spark, d):
     return relational.document_totals(corpus(spark, d), "source")
 
 
-@query("SELECT sha256(string_agg(text, '' ORDER BY item_id)) AS content_hash FROM benchmark")
+@query("SELECT sha256(string_agg(text, '' ORDER BY doc_id)) AS content_hash FROM documents")
 def dataset_content_hash(spark, d):
-    return hashing.dataset_hash(table(spark, d, "benchmark"), "item_id", "text")
+    return hashing.dataset_hash(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query(
@@ -808,7 +892,8 @@ def evidence_trail(spark, d):
 
 @query("SELECT * FROM (PIVOT (SELECT user_id, event_type, value FROM events) ON event_type IN ('view', 'click', 'error', 'purchase', 'signup') USING round(avg(value), 6) GROUP BY user_id)")
 def radar_pivot(spark, d):
-    return table(spark, d, "events").groupBy("user_id").pivot("event_type", ["view", "click", "error", "purchase", "signup"]).agg(F.round(F.avg("value"), 6))
+    summaries = stats.summary(table(spark, d, "events"), "user_id", "event_type").withColumnRenamed("event_type", "metric")
+    return six(relational.radar(summaries, "user_id", ("view", "click", "error", "purchase", "signup")))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 10")
@@ -820,21 +905,3 @@ def filtered_page(spark, d):
 @query("SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'the ')")
 def trace_search(spark, d):
     return relational.search_text(table(spark, d, "conversations"), "the ", "text").select("conv_id", "turn")
-
-
-@query()
-def experiment_sweep(spark, d):
-    """A sweep of two lexical points over documents and passages, end to end, to its metric means."""
-    docs = spread(table(spark, d, "documents")).select("doc_id", F.col("text").alias("content"))
-    queries_ = asked(spark, d)
-    passages = queries_.select(F.col("query_id").alias("passage"), "query_id", F.lit("").alias("doc_id"), F.col("query").alias("snippet"), F.lit(None).cast("int").alias("start_char"), F.lit(None).cast("int").alias("end_char"))
-    plan = config.Experiment("sweep", "documents", components={"chunking": {"chunk_size": [1000, 2000], "chunk_overlap": 0}, "retrieval": {"mode": "bm25", "top_k": 5}, "evaluation": {"metrics": ["recall", "mrr", "ndcg"], "k_values": [1, 5]}})
-    rows = []
-    for point in sweep.expand(plan.components):
-        whole = runner.Corpus(docs, keep=lambda df: materialize(df, "sweep"))
-        chunks = whole.chunks(point)
-        found = lexical.search(queries_, chunks, whole.index(point), point.retrieval.top_k)
-        rel = qrels.containment_matches(passages, chunks).select(F.col("passage").alias("query_id"), "chunk_id")
-        wide = metrics.ranking_metrics(queries_, found, rel, [1, 5])
-        rows.append(stats.summary(metrics.long_form(wide, ["recall", "mrr", "ndcg"]), "metric").withColumn("chunk_size", F.lit(point.chunking.chunk_size)))
-    return six(rows[0].unionByName(rows[1]))
