@@ -56,7 +56,7 @@ def term_statistics(terms: DataFrame, totals: DataFrame, variant: str = "okapi")
 
 
 def index(corpus: DataFrame, variant: str = "okapi", compose: bool = True, keep=lambda df: df) -> Index:
-    """Build the tables.  ``keep`` stores the postings (cache or a written table), since all else derives from them.
+    """Build the tables.  ``keep`` stores postings and terms (cache or a written table), since all else derives from them.
 
     An empty corpus, or one without any token, gives empty rankings.
     """
@@ -65,7 +65,7 @@ def index(corpus: DataFrame, variant: str = "okapi", compose: bool = True, keep=
     documents = corpus.select("chunk_id").join(lengths, "chunk_id", "left").select("chunk_id", F.coalesce("length", F.lit(0)).alias("length"))
     totals = documents.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("length").alias("mean_length"))
     frequencies = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return Index(posted, documents, term_statistics(frequencies, totals, variant), totals)
+    return Index(posted, documents, keep(term_statistics(frequencies, totals, variant)), totals)
 
 
 def query_terms(queries: DataFrame, compose: bool = True) -> DataFrame:
@@ -74,17 +74,26 @@ def query_terms(queries: DataFrame, compose: bool = True) -> DataFrame:
     return tokens.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def scores(queries: DataFrame, index: Index, k1: float = K1, b: float = B, compose: bool = True) -> DataFrame:
-    """Scores of the chunks that share a term with a query.
+#: A term that no text has; with idf 0 it makes chunks candidates without changing their scores.
+_NO_TERM = "\0"
+
+
+def scores(queries: DataFrame, index: Index, k1: float = K1, b: float = B, compose: bool = True, also: DataFrame | None = None) -> DataFrame:
+    """Scores of the chunks that share a term with a query, and of the chunks of ``also`` for every query that has a term.
 
     Postings are dealt by chunk before the join, so the sum over a chunk's terms needs no further shuffle of the
     (many more) matches where the query terms are small enough to be broadcast.
     """
-    terms = query_terms(queries, compose).join(index.terms.select("term", "idf"), "term")
+    asked = query_terms(queries, compose)
+    terms, postings_ = asked.join(index.terms.select("term", "idf"), "term").select("query_id", "term", "qtf", "idf"), index.postings
+    if also is not None:
+        no_term = F.lit(_NO_TERM).alias("term")
+        terms = terms.unionByName(asked.select("query_id").distinct().select("query_id", no_term, F.lit(1).cast("long").alias("qtf"), F.lit(0.0).alias("idf")))
+        postings_ = postings_.unionByName(also.select("chunk_id", no_term, F.lit(1).cast("long").alias("tf")))
     lengths = index.documents.crossJoin(F.broadcast(index.totals)).select("chunk_id", (F.col("length") / F.col("mean_length")).alias("relative"))
-    posted = index.postings.join(lengths, "chunk_id").repartition("chunk_id")
+    posted = postings_.join(lengths, "chunk_id").repartition("chunk_id")
     tf = F.col("tf").cast("double")
-    weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("relative")))
+    weight = F.coalesce(tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("relative"))), F.lit(0.0))
     hits = posted.withColumn("weight", weight).join(terms, "term")
     total = F.sum(F.col("qtf") * F.col("idf") * F.col("weight"))
     return hits.groupBy("query_id", "chunk_id").agg(F.round(total, PLACES).alias("score"))
@@ -106,30 +115,20 @@ def search(
     ``where`` is a filter on the corpus that applies after scoring: statistics are those of the whole corpus.
     A query without tokens has no ranking.
 
-    With ``fill``, queries of fewer than ``k`` positive scores also get chunks of score 0, least ids first.  If all
-    their matches are positive there are under ``k`` of them, so among the first ``2 * k`` ids enough are free.  A
-    match of 0 or less means a term of more than half of the corpus; such a query is compared with all ids, which
-    are less than twice its matches.
+    With ``fill``, the first ``2 * k`` ids are candidates of every query: fewer than ``k`` of them can beat 0 in a
+    list that zeros reach, so enough are left.  Only if some term has a negative weight (a corpus whose words are
+    mostly in more than half of its chunks) must all ids be candidates, since zeros then beat matches.
     """
     allowed = corpus if where is None else corpus.where(where)
-
-    def matches(some: DataFrame) -> DataFrame:
-        found = scores(some, index, k1, b, compose)
-        return found if where is None else found.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-
-    ranked = rank_within(matches(queries), k, *best_first())
-    if not fill:
-        return ranked
-    good, low = F.count_if(F.col("score") > 0).alias("good"), F.count_if(F.col("score") <= 0).alias("low")
-    asked = query_terms(queries, compose).select("query_id").distinct()
-    short = asked.join(ranked.groupBy("query_id").agg(good, low), "query_id", "left").where(F.coalesce("good", F.lit(0)) < k)
-    few, many = (short.where(test).select("query_id") for test in ("coalesce(low, 0) = 0", "low > 0"))
-    first = F.broadcast(allowed.select("chunk_id").orderBy("chunk_id").limit(2 * k))
-    free = few.join(first, how="cross").join(ranked.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    every = many.join(allowed.select("chunk_id"), how="cross")
-    every = every.join(matches(queries.join(many, "query_id", "left_semi")), ["query_id", "chunk_id"], "left_anti")
-    zero = free.select("query_id", "chunk_id").unionByName(every.select("query_id", "chunk_id")).withColumn("score", F.lit(0.0))
-    return rank_within(ranked.drop("rank").unionByName(zero), k, *best_first())
+    also = None
+    if fill:
+        ids = allowed.select("chunk_id")
+        negative = index.terms.agg(F.min("idf").alias("least")).where("least < 0")
+        also = ids.orderBy("chunk_id").limit(2 * k).union(ids.crossJoin(F.broadcast(negative)).select("chunk_id"))
+    found = scores(queries, index, k1, b, compose, also)
+    if where is not None:
+        found = found.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+    return rank_within(found, k, *best_first())
 
 
 def save(index: Index, path: str) -> None:

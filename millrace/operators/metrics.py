@@ -25,18 +25,15 @@ def ranking_metrics(queries: DataFrame, rankings: DataFrame, qrels: DataFrame, k
     """
     grades = qrels.groupBy("query_id", item).agg((F.max(gain) if gain else F.lit(1)).cast("double").alias("gain"))
     first = rankings.groupBy("query_id", item).agg(F.min("rank").alias("rank"))
-    hits = first.join(grades, ["query_id", item])
-    relevant = hits.where("gain > 0") if gain else hits
-    cut = lambda k, value: F.when(F.col("rank") <= k, value)
-    dcg = (F.pow(2.0, F.col("gain")) - 1) / F.log2(F.col("rank") + F.lit(1.0))
-    per_k = []
-    for k in ks:
-        per_k += [F.count(cut(k, F.lit(1))).alias(f"hits_{k}"), F.min(cut(k, F.col("rank"))).alias(f"first_{k}"), F.sum(cut(k, dcg)).alias(f"dcg_{k}")]
-    found = relevant.groupBy("query_id").agg(*per_k)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("gain").desc(), item))
-    ideal = grades.where("gain > 0").withColumn("rank", place)
-    ideal = ideal.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"), *(F.sum(cut(k, dcg)).alias(f"ideal_{k}") for k in ks))
-    wide = queries.select("query_id").distinct().join(ideal, "query_id", "left").join(found, "query_id", "left")
+    rows = grades.where("gain > 0").join(first, ["query_id", item], "left").withColumn("place", place)
+    cut = lambda k, by, value: F.when(F.col(by) <= k, value)
+    worth = lambda by: (F.pow(2.0, F.col("gain")) - 1) / F.log2(F.col(by) + F.lit(1.0))
+    per_k = [F.count(F.lit(1)).alias("relevant")]
+    for k in ks:
+        per_k += [F.count(cut(k, "rank", F.lit(1))).alias(f"hits_{k}"), F.min(cut(k, "rank", F.col("rank"))).alias(f"first_{k}")]
+        per_k += [F.sum(cut(k, by, worth(by))).alias(f"{name}_{k}") for name, by in (("dcg", "rank"), ("ideal", "place"))]
+    wide = queries.select("query_id").distinct().join(rows.groupBy("query_id").agg(*per_k), "query_id", "left")
 
     def at(k: int) -> Column:
         n = _zero(F.col(f"hits_{k}").cast("double"))
