@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm import mixing, near_dedup, packing, quality, secrets
 from millrace.llm.common import documents
 from millrace.llm.queries import vocabulary
-from millrace.storage import materialize
+from millrace.storage import discard, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of ``sf_dir``."""
-    docs = documents(spark, sf_dir)
+    """The last stage's rows for the documents of ``sf_dir``; a stage's table goes when the next one is written."""
+    docs, written = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if written is not None:
+            discard(spark, written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
