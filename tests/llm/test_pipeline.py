@@ -1,11 +1,13 @@
 """The pipeline's stages against what they may and may not change."""
 
+import hashlib
 import random
+import re
 
 import pytest
 
 import corpus_pipeline
-from millrace.llm import mixing, near_dedup, quality
+from millrace.llm import mixing, near_dedup, quality, secrets
 from millrace.storage import materialize
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -55,6 +57,61 @@ def test_run_applies_every_stage(spark, corpus, tmp_path):
     assert {r.doc_id for r in packed.collect()} <= kept
 
 
+def test_pipeline_matches_a_brute_force(spark):
+    """Every document of sf0.001, stage by stage: SQL for rules and mixing, loops for classes, verdicts and tokens."""
+    import duckdb
+    from tokenizers import Tokenizer
+
+    from millrace.llm.queries import oracle_sql, vocabulary
+
+    path = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE documents AS SELECT * FROM '{path}/documents.parquet'")
+    kept = con.execute(f"SELECT d.* FROM documents d JOIN ({oracle_sql()['op6_quality_rules']}) q USING (doc_id) WHERE kept ORDER BY doc_id").df()
+    words = near_dedup.Words()
+    hashes, root = [words(t) for t in kept.text], list(range(len(kept)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(hashes):
+        for j in range(i):
+            b = hashes[j]
+            if kept.text[i] == kept.text[j] or near_dedup.similar((a >> 16).astype("u4"), (b >> 16).astype("u4")):
+                one, two = sorted((top(i), top(j)))
+                root[two] = one
+    kept = kept[[top(i) == i for i in range(len(kept))]].reset_index(drop=True)
+    spans = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(kept)).collect()}
+    holders = {}
+    for doc_id, source in zip(kept.doc_id, kept.source, strict=True):
+        for s in spans[doc_id]:
+            holders.setdefault(secret_hash(s.value), set()).add((source, doc_id))
+    copied = {v for v, h in holders.items() if len({o for o, _ in h}) >= 3 or len(h) >= 100}
+
+    def clean(doc_id, text):
+        live = {s.value for s in spans[doc_id] if len(s.value) >= 8 and len(set(s.value)) >= 6 and secret_hash(s.value) not in copied}
+        for value in sorted(live, key=lambda v: (len(v), v), reverse=True):
+            text = text.replace(value, "[secret]")
+        return text
+
+    kept["text"] = [clean(i, t) for i, t in zip(kept.doc_id, kept.text, strict=True)]
+    con.execute("DROP TABLE documents")
+    con.execute("CREATE TABLE documents AS SELECT * FROM kept")
+    copies = {i: t // n for i, n, t in con.execute(f"SELECT doc_id, size, taken FROM ({oracle_sql()['op3_source_mixing']})").fetchall() if n}
+    full = Tokenizer.from_file(vocabulary())
+    expected = {i: copies[i] * (len(full.encode(t, add_special_tokens=False).ids) + 1) for i, t in zip(kept.doc_id, kept.text, strict=True) if copies.get(i)}
+    got = {}
+    for r in corpus_pipeline.run(spark, path).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    assert got == expected
+
+
+def secret_hash(value):
+    return hashlib.sha256(re.sub(r"\s|\\[nr]", "", value).encode()).hexdigest()
+
+
 def test_stages_of_an_empty_table(spark, corpus):
     docs = corpus[0].limit(0)
     for _, stage in corpus_pipeline.STAGES:
