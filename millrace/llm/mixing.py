@@ -10,10 +10,12 @@ meets the rest.
 
 A source may hold any part of all rows: its keys are cut into blocks on the
 scale of their logarithm, which holds about ``ROWS`` documents a block however
-the quality is spread; prefix sums run within a block, and the blocks' sums
-give the offsets.  Rows that agree in source, doc_id and text have equal keys;
-where more than ``ROWS`` do, they make blocks of their own, dealt by number,
-which is allowed since they are interchangeable.  Blocks only spread the work;
+the quality is spread (more in a source so large that it would have over
+``BLOCKS`` such blocks); prefix sums run within a block, and the blocks' sums,
+of which there are a bounded number a source, give the offsets.  Rows that
+agree in source, doc_id and text have equal keys; where more than a block's
+worth do, they make blocks of their own, dealt by number, which is allowed
+since they are interchangeable.  Blocks only spread the work;
 results don't depend on them.  Texts are read once, for their sizes; only
 sizes and keys move.
 
@@ -38,7 +40,7 @@ from millrace.storage import materialize
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
-ROWS = 100_000
+ROWS, BLOCKS = 512, 1 << 16
 
 
 def uniform(seed: int, doc_id: Column, text_md5: Column) -> Column:
@@ -99,10 +101,11 @@ def _blocks(rows: DataFrame, per_block: int) -> DataFrame:
 
     On the scale of ln(key) no interval of width w holds more than w / e of a source's documents, whatever their quality.
     """
-    width = F.least(F.lit(1.0), F.lit(2.718281828459045 * per_block) / F.col("rows"))
-    binned = rows.withColumn("bin", F.floor(F.ln("key") / width))
-    alike = binned.groupBy("source", "bin", "key", "doc_id", "text_md5").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_block)
-    mark = F.struct(F.struct("key", "doc_id", "text_md5").alias("at"), F.ceil(F.col("n") / per_block).alias("parts"))
+    worth = F.greatest(F.lit(per_block), F.ceil(F.col("rows") / BLOCKS))
+    width = F.least(F.lit(1.0), F.lit(2.718281828459045) * worth / F.col("rows"))
+    binned = rows.withColumns({"bin": F.floor(F.ln("key") / width), "worth": worth})
+    alike = binned.groupBy("source", "bin", "key", "doc_id", "text_md5", "worth").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > F.col("worth"))
+    mark = F.struct(F.struct("key", "doc_id", "text_md5").alias("at"), F.ceil(F.col("n") / F.col("worth")).alias("parts"))
     # none, usually; written so that the join knows its size
     marks = materialize(alike.groupBy("source", "bin").agg(F.array_sort(F.collect_list(mark)).alias("marks")), "mix-alike")
     marks = marks.select(F.col("source").alias("s"), F.col("bin").alias("b"), "marks")
@@ -114,7 +117,7 @@ def _blocks(rows: DataFrame, per_block: int) -> DataFrame:
     binned = binned.withColumns({"parts": parts, "before": F.when(F.col("marks").isNull(), 0).otherwise(before)})
     sub = F.col("before") * 2 + (F.col("parts") > 0).cast("int")
     part = F.when(F.col("parts") > 0, F.pmod("row", "parts")).otherwise(0)
-    return binned.withColumns({"sub": sub, "part": part}).drop("marks", "parts", "before")
+    return binned.withColumns({"sub": sub, "part": part}).drop("marks", "parts", "before", "worth")
 
 
 def mix(docs: DataFrame, seed: int = 1, weights=WEIGHTS, most: int = MOST, per_block: int = ROWS, **columns: str) -> DataFrame:
