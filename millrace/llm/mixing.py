@@ -40,7 +40,7 @@ from millrace.storage import materialize
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
-ROWS, BLOCKS = 512, 1 << 16
+ROWS, BLOCKS = 128, 1 << 16
 
 
 def uniform(seed: int, doc_id: Column, text_md5: Column) -> Column:
