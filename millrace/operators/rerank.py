@@ -55,10 +55,14 @@ def flashrank(model: str):
         ranker = Ranker(model_name=model)
 
         def score(pairs):
-            out = []
-            for query, content in pairs:
-                found = ranker.rerank(RerankRequest(query=query, passages=[{"id": 0, "text": content}]))
-                out.append(float(found[0]["score"]))
+            # one request for each query of the batch
+            places: dict[str, list[int]] = {}
+            for i, (query, _) in enumerate(pairs):
+                places.setdefault(query, []).append(i)
+            out = [0.0] * len(pairs)
+            for query, mine in places.items():
+                for found in ranker.rerank(RerankRequest(query=query, passages=[{"id": i, "text": pairs[i][1]} for i in mine])):
+                    out[found["id"]] = float(found["score"])
             return out
 
         return score
