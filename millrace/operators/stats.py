@@ -97,7 +97,6 @@ def wilcoxon_statistic(pairs: DataFrame, *groups: str) -> DataFrame:
 _TESTS = "struct<ci95_lower:double,ci95_upper:double,p_value:double,wilcoxon_statistic:double,wilcoxon_p:double,wilcoxon_method:string>"
 
 
-@F.pandas_udf(_TESTS)
 def _tests(n: pd.Series, mean: pd.Series, std: pd.Series, kept: pd.Series, w: pd.Series, levels: pd.Series, excess: pd.Series) -> pd.DataFrame:
     def one(n, mean, std, kept, w, levels, excess):
         if n < 2:
@@ -123,7 +122,7 @@ def paired_tests(pairs: DataFrame, *groups: str) -> DataFrame:
     sums = paired_statistics(pairs, *groups).select(*groups, "n", "mean_difference", "std_difference")
     parts = _ranked(pairs, *groups).withColumnRenamed("n", "kept")
     both = sums.join(parts, list(groups), "left").fillna(0, ["kept", "levels"]).fillna(0.0, ["w", "excess"])
-    found = _tests("n", "mean_difference", F.coalesce("std_difference", F.lit(0.0)), "kept", "w", "levels", "excess")
+    found = F.pandas_udf(_tests, _TESTS)("n", "mean_difference", F.coalesce("std_difference", F.lit(0.0)), "kept", "w", "levels", "excess")
     return both.select(*groups, "mean_difference", found.alias("t")).select(*groups, "mean_difference", "t.*")
 
 
