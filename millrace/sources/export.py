@@ -140,29 +140,6 @@ def bundle(folder: str, report: DataFrame, pairs: DataFrame, manifest: dict, dif
     return sums
 
 
-def research_report(summary: dict, folder: str) -> list[str]:
-    """Hypotheses with their verdicts as LaTeX, Markdown and a longer paper; the summary must name every part."""
-    for key in ("hypotheses", "protocol", "dataset"):
-        if key not in summary:
-            raise ValueError(f"the summary lacks {key!r}")
-    rows = []
-    for name in ("H1", "H2", "H3", "H4"):
-        if name not in summary["hypotheses"]:
-            raise ValueError(f"the summary lacks hypothesis {name}")
-        rows.append({"hypothesis": name, **summary["hypotheses"][name]})
-    columns = list(dict.fromkeys(k for r in rows for k in r))
-    os.makedirs(folder, exist_ok=True)
-    table = markdown_table(rows, columns)
-    tex = "\n".join(" & ".join(latex_escape(str(r.get(c, ""))) for c in columns) + " \\\\" for r in rows)
-    paper = f"# Findings\n\nDataset: {summary['dataset']}\n\nProtocol: {summary['protocol']}\n\n{table}"
-    out = []
-    for name, text in (("hypotheses.tex", tex), ("hypotheses.md", table), ("paper.md", paper)):
-        out.append(os.path.join(folder, name))
-        with open(out[-1], "w", encoding="utf-8") as file:
-            file.write(text)
-    return out
-
-
 def export_run(summaries: DataFrame, kind: str) -> str:
     """A run's metric summaries as LaTeX, CSV or JSON."""
     rows = [r.asDict() for r in summaries.orderBy("metric").collect()]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import chunking, context, metrics, relational, stats, transforms
 from millrace.plans import config, runner, sweep
-from millrace.sources import dataset, export, readers, store
+from millrace.sources import dataset, export, readers, report, store
 from millrace.streaming import metric_stream
 
 
@@ -235,8 +235,35 @@ def test_exports(spark, tmp_path):
     sums = export.bundle(str(tmp_path), report, stats.paired(mono, other), {"title": "T"}, [])
     assert "statistical_summary.csv" in sums and len((tmp_path / "raw_paired_observations.csv").read_text().splitlines()) == 7
     assert (tmp_path / "statistical_summary.csv").read_text().startswith("metric,mean_run_a")
-    with pytest.raises(ValueError):
-        export.research_report({}, str(tmp_path))
+
+
+def result_file():
+    hypotheses = {h: {"statement": f"About {h}.", "mean_penalty": 0.1 * i, "cohens_dz": 0.5, "primary_decision": "SUPPORTED" if i != 1 else "NO", "wilcoxon_signed_rank": {"adj_p_holm": 0.0004 + 0.01 * i}} for i, h in enumerate(report.HYPOTHESES)}
+    cells = lambda penalty: {"recall@5": {"mean_mono": 0.9, "mean_cross": 0.9 - penalty, "mean_penalty": penalty, "ci_95": [0.0, 0.3], "significance_stars": "**", "n_units": 25}}
+    return {"metadata": {"study": "A_study", "embedding_configuration": {"model_identifier": "m", "embedding_dimension": 8}}, "hypotheses": hypotheses, "all_comparisons": {"dense_EN_to_BN": cells(0.2), "hybrid_EN_to_BN": cells(0.05)}}
+
+
+def test_reports(tmp_path):
+    import json
+
+    data = result_file()
+    (tmp_path / "r.json").write_text(json.dumps(data))
+    found = report.read(str(tmp_path / "missing.json"), str(tmp_path / "r.json"))
+    assert (found.units, found.model, len(found.comparisons)) == (25, "m", 2)
+    assert [f.verdict() for f in found.findings] == ["SUPPORTED, p < 0.001", "NOT SUPPORTED (Gain)", "SUPPORTED, p = 0.020", "SUPPORTED, p = 0.030"]
+    files = report.write(found, str(tmp_path / "out"))
+    tex, body = (tmp_path / "out" / "comparisons.tex").read_text(), (tmp_path / "out" / "report.md").read_text()
+    assert len(files) == 3 and "A\\_study (25 matched units)" in tex and "0.2000$^{**}$" in tex and tex.count("\\midrule") == 2
+    assert "least for hybrid_EN_to_BN (0.0500) and greatest for dense_EN_to_BN (0.2000)" in body and "| H2 |" in body
+    broken = [{}, [], {**data, "hypotheses": {}}, {**data, "all_comparisons": {"x": {"m": {"mean_mono": "no"}}}}]
+    other = json.loads(json.dumps(data))
+    other["all_comparisons"]["hybrid_EN_to_BN"]["recall@5"]["n_units"] = 24
+    del data["hypotheses"][report.HYPOTHESES[3]]["mean_penalty"]
+    for wrong in (*broken, other, data):
+        with pytest.raises(report.InvalidStudy):
+            report.study(wrong)
+    with pytest.raises(report.InvalidStudy):
+        report.read(str(tmp_path / "missing.json"))
 
 
 def test_experiment_end_to_end(spark, tmp_path):
