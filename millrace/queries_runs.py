@@ -7,6 +7,7 @@ from dataclasses import asdict
 
 from pyspark.sql import functions as F
 
+from millrace.functions.special import EXACT_UP_TO
 from millrace.operators import chunking, metrics, qrels, relational, rerank, stats, transforms
 from millrace.plans import config, runner, sweep
 from millrace.queries import _PAIRS, _SPACE, _entailed, _two_runs, asked, bm25_scores, bm25_tables, corpus, gold, query, ranked_metrics_sql, six, table, turns
@@ -161,6 +162,8 @@ def latency_rows(spark, d):
 # paired tests
 
 _STEPS = 2000
+#: Rank sums from 0 to that of all ranks of the longest exact test.
+_SUMS = EXACT_UP_TO * (EXACT_UP_TO + 1) // 2 + 1
 
 
 def _simpson(f, upper: str) -> str:
@@ -180,20 +183,23 @@ _TESTED = f"""{_PAIRS},
 b AS MATERIALIZED (SELECT metric, count(*) AS n, count(*) - 1 AS nu, avg(a) AS mean_a, avg(b) AS mean_b, avg(difference) AS md, stddev_samp(difference) AS sd FROM pr GROUP BY 1),
 z AS (SELECT metric, difference, round(abs(difference), 12) AS size FROM pr WHERE abs(difference) > 1e-12),
 r AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY size) + (count(*) OVER (PARTITION BY metric, size) - 1) / 2.0 AS place, count(*) OVER (PARTITION BY metric, size)::DOUBLE AS t FROM z),
-v AS MATERIALIZED (SELECT metric, count(*)::DOUBLE AS k, least(coalesce(sum(place) FILTER (difference > 0), 0), coalesce(sum(place) FILTER (difference < 0), 0))::DOUBLE AS w, sum(t * t - 1) AS ex FROM r GROUP BY 1),
+v AS MATERIALIZED (SELECT metric, count(*)::DOUBLE AS k, count(DISTINCT size) AS levels, least(coalesce(sum(place) FILTER (difference > 0), 0), coalesce(sum(place) FILTER (difference < 0), 0))::DOUBLE AS w, sum(t * t - 1) AS ex FROM r GROUP BY 1),
 bis AS (SELECT metric, nu, 0.0::DOUBLE AS lo, 16.0::DOUBLE AS hi, 0 AS step FROM b UNION ALL
   SELECT metric, nu, CASE WHEN p > 0.05 THEN mid ELSE lo END, CASE WHEN p > 0.05 THEN hi ELSE mid END, step + 1 FROM (SELECT *, {_tail('mid', 'nu')} AS p FROM (SELECT *, (lo + hi) / 2 AS mid FROM bis WHERE step < 45))),
 crit AS (SELECT metric, hi AS t FROM bis WHERE step = 45),
 ts AS MATERIALIZED (SELECT b.*, md / (sd / sqrt(n)) AS t_statistic, {_tail('md / (sd / sqrt(n))', 'nu')} AS p_value, md - crit.t * sd / sqrt(n) AS low, md + crit.t * sd / sqrt(n) AS high, w,
-  greatest(0, abs(w - k * (k + 1) / 4) - 0.5) / sqrt(k * (k + 1) * (2 * k + 1) / 24 - ex / 48) AS zs FROM b JOIN crit USING (metric) JOIN v USING (metric)),
-wp AS MATERIALIZED (SELECT *, 1 - 2 / sqrt(2 * pi()) * {_simpson(lambda x: f'exp(-{x} * {x} / 2)', 'zs')} AS wilcoxon_p FROM ts),
+  k, CASE WHEN k <= {EXACT_UP_TO} AND levels = k THEN 'exact' ELSE 'asymptotic' END AS wilcoxon_method, greatest(0, abs(w - k * (k + 1) / 4) - 0.5) / sqrt(k * (k + 1) * (2 * k + 1) / 24 - ex / 48) AS zs FROM b JOIN crit USING (metric) JOIN v USING (metric)),
+wy AS (SELECT 0 AS n, list_transform(range(0, {_SUMS}), lambda i: CASE WHEN i = 0 THEN 1 ELSE 0 END::BIGINT) AS ways UNION ALL
+  SELECT n + 1, list_transform(range(0, {_SUMS}), lambda i: ways[i + 1] + CASE WHEN i > n THEN ways[i - n] ELSE 0 END) FROM wy WHERE n < {EXACT_UP_TO}),
+wp AS MATERIALIZED (SELECT ts.*, CASE WHEN wilcoxon_method = 'exact' THEN least(1, 2 * list_sum(ways[1:floor(w)::BIGINT + 1]) / pow(2, k))
+  ELSE 1 - 2 / sqrt(2 * pi()) * {_simpson(lambda x: f'exp(-{x} * {x} / 2)', 'zs')} END AS wilcoxon_p FROM ts LEFT JOIN wy ON wy.n = ts.k),
 hm AS (SELECT *, least(1, max(p_value * (m - r + 1)) OVER (ORDER BY p_value, metric ROWS UNBOUNDED PRECEDING)) AS adjusted_p FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value, metric) AS r FROM wp))"""
 
 
 @query(
     f"""WITH RECURSIVE {_TESTED} SELECT metric, n, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(md, 6) AS mean_difference, round(sd, 6) AS std_difference, nu AS t_df,
     round(t_statistic, 6) AS t_statistic, round(md / sd, 6) AS cohens_dz, round(low, 6) AS ci95_lower, round(high, 6) AS ci95_upper, round(p_value, 6) AS p_value, w AS wilcoxon_statistic,
-    round(wilcoxon_p, 6) AS wilcoxon_p, 'asymptotic' AS wilcoxon_method, round(adjusted_p, 6) AS adjusted_p, 'holm' AS adjustment,
+    round(wilcoxon_p, 6) AS wilcoxon_p, wilcoxon_method, round(adjusted_p, 6) AS adjusted_p, 'holm' AS adjustment,
     CASE WHEN adjusted_p < 0.001 THEN '***' WHEN adjusted_p < 0.01 THEN '**' WHEN adjusted_p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM hm"""
 )
 def paired_tests(spark, d):
