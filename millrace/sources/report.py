@@ -84,11 +84,17 @@ def study(data: dict) -> Study:
     meta, given = data["metadata"], data["hypotheses"]
     if lost := [h for h in HYPOTHESES if h not in given]:
         raise InvalidStudy(f"the results lack the hypotheses {', '.join(lost)}")
+    if lost := [h for h in HYPOTHESES if not isinstance(given[h], dict)]:
+        raise InvalidStudy(f"no table of results: {', '.join(lost)}")
     rows, sizes = [], set()
     for condition, by_metric in sorted(data["all_comparisons"].items()):
         paradigm = next((p for p in ("dense", "bm25", "hybrid") if p in condition.lower()), "hybrid")
+        if not isinstance(by_metric, dict):
+            raise InvalidStudy(f"no table of results: {condition}")
         for metric, cells in sorted(by_metric.items()):
             where = f"{condition}, {metric}"
+            if not isinstance(cells, dict):
+                raise InvalidStudy(f"no table of results: {where}")
             low, high = (cells.get("ci_95") or (math.nan, math.nan))[:2]
             numbers = {n: _number(cells, where, n, default=math.nan if n not in NUMBERS[:3] else None) for n in NUMBERS}
             rows.append({"condition": condition, "paradigm": paradigm, "metric": metric, **numbers, "low": float(low), "high": float(high), "stars": str(cells.get("significance_stars", "ns"))})

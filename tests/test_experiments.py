@@ -256,6 +256,7 @@ def test_reports(tmp_path):
     assert len(files) == 3 and "A\\_study (25 matched units)" in tex and "0.2000$^{**}$" in tex and tex.count("\\midrule") == 2
     assert "least for hybrid_EN_to_BN (0.0500) and greatest for dense_EN_to_BN (0.2000)" in body and "| H2 |" in body
     broken = [{}, [], {**data, "hypotheses": {}}, {**data, "all_comparisons": {"x": {"m": {"mean_mono": "no"}}}}]
+    broken += [{**data, "all_comparisons": {"x": c}} for c in (None, {"m": 1})] + [{**data, "hypotheses": {**data["hypotheses"], report.HYPOTHESES[0]: None}}]
     other = json.loads(json.dumps(data))
     other["all_comparisons"]["hybrid_EN_to_BN"]["recall@5"]["n_units"] = 24
     del data["hypotheses"][report.HYPOTHESES[3]]["mean_penalty"]
