@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, near_dedup, packing, pii, quality, secrets, sharding, topk, toxicity, url_filter
+from millrace.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, secrets, sharding, topk, toxicity, url_filter
 from millrace.llm.common import documents
 from millrace.storage import fresh_path, materialize
 
@@ -115,6 +115,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base.alias("base_sha256"), span_list("pii").alias("spans"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.label(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -133,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_curve_packing": op8_curve_packing,
         "op9_shard_compaction": op9_shard_compaction,
         "op10_pii": op10_pii,
+        "op13_exact_dedup": op13_exact_dedup,
         "pipeline": pipeline,
     }
 
@@ -242,5 +248,15 @@ FROM h LEFT JOIN f USING (page_id) LEFT JOIN b USING (page_id)
 """
 
 
+_OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST, r) = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": _OP3, "op4_exact_topk": _OP4, "op5_url_filter": _OP5, "op6_quality_rules": _OP6}
+    return {"op3_source_mixing": _OP3, "op4_exact_topk": _OP4, "op5_url_filter": _OP5, "op6_quality_rules": _OP6, "op13_exact_dedup": _OP13}
