@@ -44,8 +44,6 @@ RULES = (
     ("stuttering words", "stutter_ratio", None, 0.3),
     ("words per line", "words_per_line", 1.5, None),
 )
-#: ``RULES`` with the upper bound of words that the SQL of ``op6_quality_rules`` states; nothing else uses it.
-BOUNDED = tuple((*rule[:3], 1_000_000) if rule[0] == "length" else rule for rule in RULES)
 
 
 def measures(text: Column) -> Column:

@@ -8,14 +8,14 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, secrets, sharding, topk, toxicity, url_filter
+from millrace.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, secrets, sharding, topk, toxicity, url_filter, whitening
 from millrace.llm.common import documents
 from millrace.storage import fresh_path, materialize
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return quality.judge(docs, rules=quality.BOUNDED).select(
+    return quality.judge(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
@@ -115,6 +115,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base.alias("base_sha256"), span_list("pii").alias("spans"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.label(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -138,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_curve_packing": op8_curve_packing,
         "op9_shard_compaction": op9_shard_compaction,
         "op10_pii": op10_pii,
+        "op11_embedding_whitening": op11_embedding_whitening,
         "op13_exact_dedup": op13_exact_dedup,
         "pipeline": pipeline,
     }
@@ -171,7 +176,7 @@ WITH d AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND n_words BETWEEN 20 AND 1000000
+       NOT base_failed AND n_words >= 20
        AND word_chars::DOUBLE / nullif(n_words, 0) BETWEEN 2.5 AND 12
        AND n_symbols::DOUBLE / nullif(n_words, 0) <= 0.1
        AND n_stop::DOUBLE / nullif(n_words, 0) >= 0.02
