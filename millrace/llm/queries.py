@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, secrets, sharding, topk, toxicity, url_filter, whitening
+from millrace.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, secrets, sharding, topk, toxicity, trie, url_filter, whitening
 from millrace.llm.common import documents
 from millrace.storage import fresh_path, materialize
 
@@ -119,6 +119,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return trie.nodes(trie.shared_starts(trie.encode(turns)))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.label(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -143,6 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_shard_compaction": op9_shard_compaction,
         "op10_pii": op10_pii,
         "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_conversation_trie": op12_conversation_trie,
         "op13_exact_dedup": op13_exact_dedup,
         "pipeline": pipeline,
     }
