@@ -259,6 +259,35 @@ FROM h LEFT JOIN f USING (page_id) LEFT JOIN b USING (page_id)
 """
 
 
+_OP12 = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, turn FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT c, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS l FROM t GROUP BY c
+), crc AS (
+  SELECT c, l, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda k: ascii(k)::BIGINT)),
+    lambda a, k: list_reduce(list_prepend(xor(a, k), range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT) % 4 AS h
+  FROM own
+), b AS (
+  SELECT k.c, list_concat(coalesce(o.l[1:k.h], []), k.l[k.h + 1:]) AS l FROM crc k LEFT JOIN own o ON o.c = k.c - k.c % 20
+), p AS (
+  SELECT c, d, l[1:d] AS path, d = len(l) AS ended, CASE WHEN d > 0 THEN len(regexp_extract_all(l[d].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS w
+  FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM b)
+), n AS (
+  SELECT d, path, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(w) AS saved,
+         sha256(coalesce(string_agg(CASE WHEN ended THEN c END::VARCHAR, ',' ORDER BY c), '')) AS ends
+  FROM p GROUP BY d, path
+), k AS (SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL
+), u AS (
+  SELECT x.path[1:x.a] AS path, x.a AS d, count(*) FILTER (WHERE k.n IS NULL) AS leaves, sum(x.saved) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM n) x LEFT JOIN k ON k.d = x.d AND k.path = x.path GROUP BY ALL
+)
+SELECT n.c AS conv_id, n.d AS depth, up.c AS parent_conv_id, n.n AS n_convs, coalesce(k.n, 0) AS n_children,
+       u.leaves AS n_leaves, u.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN u ON u.d = n.d AND u.path = n.path LEFT JOIN k ON k.d = n.d AND k.path = n.path
+LEFT JOIN n up ON n.d > 0 AND up.d = n.d - 1 AND up.path = n.path[1:n.d - 1]
+"""
+
 _OP13 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
@@ -270,4 +299,4 @@ FROM d WINDOW g AS (PARTITION BY t)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": _OP3, "op4_exact_topk": _OP4, "op5_url_filter": _OP5, "op6_quality_rules": _OP6, "op13_exact_dedup": _OP13}
+    return {"op3_source_mixing": _OP3, "op4_exact_topk": _OP4, "op5_url_filter": _OP5, "op6_quality_rules": _OP6, "op12_conversation_trie": _OP12, "op13_exact_dedup": _OP13}
