@@ -1,31 +1,52 @@
-"""BM25 as tables: term frequencies, document lengths, term statistics, and a join that scores all queries at once.
+"""BM25 as tables: term frequencies, document lengths, term statistics, and joins that score all queries at once.
 
 A corpus has ``chunk_id`` and ``content`` (and any columns to filter by); queries have ``query_id`` and
 ``query``.  A ranking has ``query_id``, ``chunk_id``, ``score`` and ``rank``.  Scores are rounded to nine
 places before they are ranked, so that the order of summation can't decide a tie; ties go to the lesser chunk_id.
+
+Search is exact and reads few postings of frequent terms, those of more than ``FREQUENT`` of all chunks:
+
+1. A query's other terms (and its rarest, if all are frequent) are scored in full.
+2. The best ``HEAD * k`` chunks by these are completed; the k-th best score is the query's threshold.
+3. The index keeps, of each frequent term and block of chunks, the greatest frequency and the least length, which
+   bound its weight there.  Only chunks whose own sum and the block's bound reach the threshold are completed, by
+   look-ups of (term, chunk); a block that could reach it by frequent terms alone is read as a whole.
+
+Searches whose terms have few postings in all skip the steps and add up all of them.  Query terms too many to be
+broadcast are joined on a slot of the chunks as well, so that no key holds more than one in ``SLOTS`` of them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import bm25_tokens
+from millrace.functions.text import bm25_tokens, let
+from millrace.storage import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 PLACES = 9
+FREQUENT, HEAD, SLOTS = 0.25, 4, 16
+#: Postings that a search adds up without bounds first, and query terms that may be broadcast.
+DIRECT, MANY = 1 << 25, 1 << 16
+#: Chunks of a block are of like length: so many classes of length to a doubling, and about so many chunks each.
+CLASSES, BLOCK = 4, 64
 
 
 @dataclass(frozen=True)
 class Index:
-    """Postings (chunk_id, term, tf), documents (chunk_id, length), terms (term, df, idf) and one row of totals."""
+    """Postings (chunk_id, term, tf, length), documents (chunk_id, length), terms (term, df, idf), one row of totals, and
+    of frequent terms the bounds (term, block, most, least): greatest tf and least length in a block."""
 
     postings: DataFrame
     documents: DataFrame
     terms: DataFrame
     totals: DataFrame
+    bounds: DataFrame
 
 
 def rank_within(df: DataFrame, k: int | None, *by: Column, group: str = "query_id", name: str = "rank") -> DataFrame:
@@ -39,8 +60,21 @@ def best_first(score: str = "score") -> tuple[Column, Column]:
 
 
 def postings(corpus: DataFrame, compose: bool = True) -> DataFrame:
-    tokens = corpus.select("chunk_id", F.explode(bm25_tokens(F.col("content"), compose)).alias("term"))
-    return tokens.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """One row for each term of a chunk: chunk_id, length (tokens of the chunk), term, tf.  Nothing is shuffled: runs of the sorted tokens are counted in their row."""
+
+    none = F.array().cast("array<int>")
+
+    def runs(tokens: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1)))
+
+        def run(s: Column, j: Column, at: Column) -> Column:
+            tf = (F.coalesce(F.get(at, j + 1), F.size(tokens)) - s).cast("long")
+            return F.struct(F.size(tokens).cast("long").alias("length"), F.get(tokens, s).alias("term"), tf.alias("tf"))
+
+        return let(F.when(F.size(tokens) > 0, starts).otherwise(none), lambda at: F.transform(at, lambda s, j: run(s, j, at)))
+
+    # one expression, so that a text's tokens are made and sorted once
+    return corpus.select("chunk_id", F.inline(let(F.sort_array(bm25_tokens(F.col("content"), compose)), runs)))
 
 
 def term_statistics(terms: DataFrame, totals: DataFrame, variant: str = "okapi") -> DataFrame:
@@ -55,17 +89,29 @@ def term_statistics(terms: DataFrame, totals: DataFrame, variant: str = "okapi")
     return odds.crossJoin(mean).select("term", "df", floor.alias("idf"))
 
 
+def block_of(chunk_id: Column, length: Column, n_chunks: Column | int) -> Column:
+    """The block of a chunk: chunks of like length, dealt by their ids."""
+    parts = F.greatest(F.lit(1), F.ceil(F.lit(n_chunks) / (BLOCK * 24)) if isinstance(n_chunks, int) else F.ceil(n_chunks / (BLOCK * 24))).cast("long")
+    size = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double")) * CLASSES).cast("long")
+    return size * parts + F.pmod(F.xxhash64(chunk_id), parts)
+
+
 def index(corpus: DataFrame, variant: str = "okapi", compose: bool = True, keep=lambda df: df) -> Index:
-    """Build the tables.  ``keep`` stores postings and terms (cache or a written table), since all else derives from them.
+    """Build the tables.  ``keep`` stores those that all else derives from (cache or a written table).
 
     An empty corpus, or one without any token, gives empty rankings.
     """
     posted = keep(postings(corpus, compose))
-    lengths = posted.groupBy("chunk_id").agg(F.sum("tf").alias("length"))
+    lengths = posted.groupBy("chunk_id").agg(F.first("length").alias("length"))
     documents = corpus.select("chunk_id").join(lengths, "chunk_id", "left").select("chunk_id", F.coalesce("length", F.lit(0)).alias("length"))
-    totals = documents.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("length").alias("mean_length"))
+    totals = keep(documents.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("length").alias("mean_length")))
     frequencies = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return Index(posted, documents, keep(term_statistics(frequencies, totals, variant)), totals)
+    terms = keep(term_statistics(frequencies, totals, variant))
+    often = terms.crossJoin(F.broadcast(totals)).where(F.col("df") > F.col("n_chunks") * FREQUENT).select("term", "n_chunks")
+    # the postings of n chunks with m terms each hold at most m / FREQUENT frequent terms
+    held = posted.join(often, "term").withColumn("block", block_of(F.col("chunk_id"), F.col("length"), F.col("n_chunks")))
+    bounds = held.groupBy("term", "block").agg(F.max("tf").alias("most"), F.min("length").alias("least"))
+    return Index(posted, documents, terms, totals, bounds)
 
 
 def query_terms(queries: DataFrame, compose: bool = True) -> DataFrame:
@@ -74,29 +120,138 @@ def query_terms(queries: DataFrame, compose: bool = True) -> DataFrame:
     return tokens.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-#: A term that no text has; with idf 0 it makes chunks candidates without changing their scores.
-_NO_TERM = "\0"
+class Search:
+    """The steps of one search over an index.
 
+    Where the queries' terms have no more than ``direct`` postings in all, ``scores`` are those of all chunks that share
+    a term; else they come by ``partial`` sums, ``thresholds`` and ``survivors``.
+    """
 
-def scores(queries: DataFrame, index: Index, k1: float = K1, b: float = B, compose: bool = True, also: DataFrame | None = None) -> DataFrame:
-    """Scores of the chunks that share a term with a query, and of the chunks of ``also`` for every query that has a term.
-
-    Postings are dealt by chunk before the join, so the sum over a chunk's terms needs no further shuffle of the
-    (many more) matches where the query terms are small enough to be broadcast.
+    def __init__(
+        self,
+        queries: DataFrame,
+        index: Index,
+        k: int,
+        k1: float = K1,
+        b: float = B,
+        compose: bool = True,
+        allowed: DataFrame | None = None,
+        direct: int = DIRECT,
+    ):
+        totals = index.totals.first()
+        self.n, mean = totals["n_chunks"], totals["mean_length"] or 1.0
+        self.k, self.index, self.allowed = k, index, allowed
+
+        def weight(tf: Column, length: Column) -> Column:
+            return tf.cast("double") * (k1 + 1) / (tf.cast("double") + k1 * (1 - b + b * (length / F.lit(float(mean)))))
+
+        self.weight = weight
+        gains = query_terms(queries, compose).join(index.terms, "term", "left").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("gain"), "df")
+        often = (F.col("df") > self.n * FREQUENT) & (F.col("df") > F.min("df").over(Window.partitionBy("query_id")))
+        asked = materialize(gains.withColumn("often", often), "query-gains")
+        known = asked.where("df IS NOT NULL")
+        sizes = known.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("df"), F.lit(0)).alias("hits"), F.count_if("often").alias("often")).first()
+        self.few, self.direct = sizes["rows"] <= MANY, sizes["hits"] <= direct or not sizes["often"]
+        self.queries = asked.select("query_id").distinct()
+        self.gains, self.often = known.select("query_id", "term", "gain"), known.where("often").select("query_id", "term", "gain")
+        self.rare = known.where("NOT often").select("query_id", "term", "gain")
+
+    def _within(self, pairs: DataFrame) -> DataFrame:
+        return pairs if self.allowed is None else pairs.join(self.allowed, "chunk_id", "left_semi")
+
+    def _total(self) -> Column:
+        return F.sum(F.col("gain") * self.weight(F.col("tf"), F.col("length")))
+
+    def _sums(self, gains: DataFrame) -> DataFrame:
+        """(query_id, chunk_id, partial, length): the chunks' sums over the given terms.  A chunk's postings lie together, so they are added up where they are read."""
+        posted = self.index.postings
+        if self.few:
+            hits = posted.join(F.broadcast(gains), "term")  # at most MANY rows
+        else:
+            slot = F.pmod(F.xxhash64("chunk_id"), F.lit(SLOTS)).cast("int")
+            hits = posted.withColumn("slot", slot).join(gains.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))), ["term", "slot"])
+        return self._within(hits.groupBy("query_id", "chunk_id").agg(self._total().alias("partial"), F.first("length").alias("length")))
+
+    @cached_property
+    def partial(self) -> DataFrame:
+        """The chunks' sums over the queries' rare terms, with their blocks."""
+        block = block_of(F.col("chunk_id"), F.col("length"), int(self.n))
+        return materialize(self._sums(self.rare).select("query_id", "chunk_id", "partial", block.alias("block")), "partial-scores")
+
+    def _frequent(self) -> DataFrame:
+        """Postings of the queries' frequent terms."""
+        terms = self.often.select("term").distinct()
+        return self.index.postings.join(F.broadcast(terms) if self.few else terms, "term", "left_semi")
+
+    def completing(self, pairs: DataFrame) -> DataFrame:
+        """Postings of the queries' frequent terms in the given (query_id, chunk_id), looked up by term and chunk."""
+        often = F.broadcast(self.often) if self.few else self.often
+        return pairs.select("query_id", "chunk_id").join(often, "query_id").join(self._frequent(), ["term", "chunk_id"])
+
+    def reading(self, blocks: DataFrame) -> DataFrame:
+        """Postings of the queries' frequent terms in whole blocks (query_id, block)."""
+        posted = self._frequent().withColumn("block", block_of(F.col("chunk_id"), F.col("length"), int(self.n)))
+        return self._within(blocks.select("query_id", "block").join(self.often, "query_id").join(posted, ["term", "block"]))
+
+    def _summed(self, *parts: DataFrame) -> DataFrame:
+        rows = parts[0].select("query_id", "chunk_id", "partial")
+        for part in parts[1:]:
+            rows = rows.unionByName(part.groupBy("query_id", "chunk_id").agg(self._total().alias("partial")))
+        return rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum("partial"), PLACES).alias("score"))
+
+    def thresholds(self) -> DataFrame:
+        """(query_id, threshold): the k-th best score of the completed head, where there is one above 0."""
+        head = rank_within(self.partial, HEAD * self.k, *best_first("partial")).drop("rank")
+        full = self._summed(head, self.completing(head))
+        kth = rank_within(full, self.k, *best_first()).where(F.col("rank") == self.k)
+        # a little less, since sums are rounded
+        return kth.where("score > 0").select("query_id", (F.col("score") - 1e-6).alias("threshold"))
+
+    def survivors(self) -> tuple[DataFrame, DataFrame]:
+        """Chunks that may enter a list, and the blocks that must be read whole."""
+        limit = materialize(self.thresholds(), "search-thresholds")
+        most = self.weight(F.col("most"), F.col("least")) * F.greatest("gain", F.lit(0.0))
+        reach = self.often.join(self.index.bounds, "term").groupBy("query_id", "block").agg(F.sum(most).alias("reach"))
+        reach = materialize(reach.join(limit, "query_id", "left"), "search-reach")
+        open_ = F.coalesce(F.col("threshold"), F.lit(float("-inf")))
+        blocks = reach.where(F.col("reach") >= open_).select("query_id", "block")
+        pairs = self.partial.join(limit, "query_id", "left").join(reach.drop("threshold"), ["query_id", "block"], "left")
+        wanted = pairs.where(F.col("partial") + F.coalesce("reach", F.lit(0.0)) >= open_)
+        return materialize(wanted.select("query_id", "chunk_id", "block", "partial"), "search-wanted"), blocks
+
+    def scores(self) -> DataFrame:
+        """Scores of all chunks that can be among a query's k best."""
+        if self.direct:
+            return self._sums(self.gains).select("query_id", "chunk_id", F.round("partial", PLACES).alias("score"))
+        wanted, blocks = self.survivors()
+        if blocks.isEmpty():
+            return self._summed(wanted, self.completing(wanted))
+        single = wanted.join(blocks, ["query_id", "block"], "left_anti")
+        return self._summed(wanted, self.completing(single), self.reading(blocks))
+
+
+def _filled(scored: DataFrame, asked: DataFrame, allowed: DataFrame, k: int, negative: bool) -> DataFrame:
+    """``scored`` with chunks of score 0 for queries that have fewer than ``k`` better ones: the least ids without another score.
+
+    Among the first 2 * k ids enough are left, unless terms of negative weight gave scores below 0 to most of them;
+    then more ids are looked at, four times as many each time.
     """
-    asked = query_terms(queries, compose)
-    terms, postings_ = asked.join(index.terms.select("term", "idf"), "term").select("query_id", "term", "qtf", "idf"), index.postings
-    if also is not None:
-        no_term = F.lit(_NO_TERM).alias("term")
-        terms = terms.unionByName(asked.select("query_id").distinct().select("query_id", no_term, F.lit(1).cast("long").alias("qtf"), F.lit(0.0).alias("idf")))
-        postings_ = postings_.unionByName(also.select("chunk_id", no_term, F.lit(1).cast("long").alias("tf")))
-    lengths = index.documents.crossJoin(F.broadcast(index.totals)).select("chunk_id", (F.col("length") / F.col("mean_length")).alias("relative"))
-    posted = postings_.join(lengths, "chunk_id").repartition("chunk_id")
-    tf = F.col("tf").cast("double")
-    weight = F.coalesce(tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("relative"))), F.lit(0.0))
-    hits = posted.withColumn("weight", weight).join(terms, "term")
-    total = F.sum(F.col("qtf") * F.col("idf") * F.col("weight"))
-    return hits.groupBy("query_id", "chunk_id").agg(F.round(total, PLACES).alias("score"))
+    better = scored.where("score > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("better"))
+    short = asked.join(better, "query_id", "left").select("query_id", (k - F.coalesce("better", F.lit(0))).alias("missing")).where("missing > 0")
+    known, span = scored.where("score <> 0").select("query_id", "chunk_id"), 2 * k
+    while True:
+        first = allowed.orderBy("chunk_id").limit(span)
+        zeros = short.crossJoin(F.broadcast(first)).join(known, ["query_id", "chunk_id"], "left_anti")
+        if not negative:
+            break
+        zeros = materialize(zeros, "search-zeros")
+        found = zeros.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
+        lacking = short.join(found, "query_id", "left").where(F.coalesce("found", F.lit(0)) < F.col("missing"))
+        if lacking.isEmpty() or first.count() < span:
+            break
+        span *= 4
+    kept = scored.where("score <> 0")
+    return kept.unionByName(zeros.select("query_id", "chunk_id", F.lit(0.0).alias("score"))).unionByName(scored.where("score = 0")).distinct()
 
 
 def search(
@@ -109,33 +264,31 @@ def search(
     where: Column | None = None,
     compose: bool = True,
     fill: bool = True,
+    direct: int = DIRECT,
 ) -> DataFrame:
-    """The ``k`` best chunks for each query; every chunk is a candidate, so chunks of score 0 fill short lists.
+    """The ``k`` best chunks for each query; with ``fill`` every chunk is a candidate, so chunks of score 0 fill short lists.
 
     ``where`` is a filter on the corpus that applies after scoring: statistics are those of the whole corpus.
     A query without tokens has no ranking.
-
-    With ``fill``, the first ``2 * k`` ids are candidates of every query: fewer than ``k`` of them can beat 0 in a
-    list that zeros reach, so enough are left.  Only if some term has a negative weight (a corpus whose words are
-    mostly in more than half of its chunks) must all ids be candidates, since zeros then beat matches.
     """
-    allowed = corpus if where is None else corpus.where(where)
-    also = None
+    allowed = None if where is None else corpus.where(where).select("chunk_id")
+    steps = Search(queries, index, k, k1, b, compose, allowed, direct)
+    found = steps.scores()
     if fill:
-        ids = allowed.select("chunk_id")
-        negative = index.terms.agg(F.min("idf").alias("least")).where("least < 0")
-        also = ids.orderBy("chunk_id").limit(2 * k).union(ids.crossJoin(F.broadcast(negative)).select("chunk_id"))
-    found = scores(queries, index, k1, b, compose, also)
-    if where is not None:
-        found = found.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+        least = index.terms.agg(F.min("idf")).first()[0]
+        ids = corpus.select("chunk_id") if allowed is None else allowed
+        negative = least is not None and least < 0
+        # only the k best can matter, unless zeros beat matches
+        found = materialize(found if negative else rank_within(found, k, *best_first()).drop("rank"), "search-scores")
+        found = _filled(found, steps.queries, ids, k, negative)
     return rank_within(found, k, *best_first())
 
 
 def save(index: Index, path: str) -> None:
-    """Write the four tables below ``path``."""
+    """Write the tables below ``path``."""
     for name, table in vars(index).items():
         table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load(spark, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "documents", "terms", "totals")))
+    return Index(*(spark.read.parquet(f"{path}/{f.name}") for f in fields(Index)))

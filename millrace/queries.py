@@ -173,6 +173,22 @@ def bm25_topk(spark, d):
     return six(bm25(spark, d, 5)).select("query_id", "chunk_id", "score", "rank")
 
 
+@query(f"WITH {_SCORES} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM {_ranked('sc', 5)}")
+def bm25_bounded_topk(spark, d):
+    """The same lists by thresholds and bounds, whatever the number of postings."""
+    docs, index = built(spark, d)
+    return six(lexical.search(asked(spark, d), docs, index, 5, direct=0)).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(
+    f"""WITH {_SCORES}, z AS (SELECT query_id, chunk_id, coalesce(score, 0) AS score FROM (SELECT DISTINCT query_id FROM qt) CROSS JOIN (SELECT doc_id::VARCHAR AS chunk_id FROM documents WHERE lang = 'de') LEFT JOIN sc USING (query_id, chunk_id))
+    SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM {_ranked('z', 150)}"""
+)
+def bm25_filled_topk(spark, d):
+    """Lists so long that chunks without a common term fill them."""
+    return six(bm25(spark, d, 150, where=F.col("lang") == "de")).select("query_id", "chunk_id", "score", "rank")
+
+
 @query(
     f"""WITH {_SCORES}, en AS (SELECT sc.* FROM sc JOIN documents ON doc_id::VARCHAR = chunk_id WHERE lang = 'en')
     SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM {_ranked('en', 5)}

@@ -42,6 +42,58 @@ def test_bm25_matches_the_formula_and_fills_with_zeros(spark):
     assert not [r for r in found if r.query_id == "n"]
 
 
+def many_chunks(spark, n=400):
+    rng = np.random.default_rng(7)
+    words = np.array([f"w{i}" for i in range(300)])
+    share = 1 / np.arange(1, 301)
+    docs = {f"c{i:03d}": [str(w) for w in rng.choice(words, rng.integers(3, 60), p=share / share.sum())] for i in range(n)}
+    docs["e"] = []
+    rows = [(c, " ".join(w), "even" if i % 2 == 0 else "odd") for i, (c, w) in enumerate(docs.items())]
+    asked = {f"q{i}": [str(w) for w in rng.choice(words, 7, p=share / share.sum())] for i in range(12)} | {"common": ["w0", "w1"], "rare": ["w250", "w299"], "one": ["w0"]}
+    return docs, spark.createDataFrame(rows, "chunk_id string, content string, half string"), asked
+
+
+@pytest.mark.parametrize("few", [lexical.MANY, 0])
+def test_bounds_change_no_list(spark, monkeypatch, few):
+    monkeypatch.setattr(lexical, "MANY", few)
+    docs, corpus, asked = many_chunks(spark)
+    queries = spark.createDataFrame([(q, " ".join(w)) for q, w in asked.items()], "query_id string, query string")
+    index = lexical.index(corpus, keep=lambda df: df.cache())
+    wanted = {q: naive_bm25(docs, w) for q, w in asked.items()}
+    for k, direct in ((8, 0), (8, 1 << 30), (200, 0)) if few else ((8, 0),):
+        lists = {q: [] for q in asked}
+        for r in lexical.search(queries, corpus, index, k, direct=direct).orderBy("query_id", "rank").collect():
+            lists[r.query_id].append((r.chunk_id, r.score))
+        for q, found in lists.items():
+            assert [c for c, _ in found] == [c for c, _ in wanted[q][:k]], (k, direct, q)
+            assert [s for _, s in found] == pytest.approx([s for _, s in wanted[q][:k]], abs=1e-8)
+    halves = {c for i, c in enumerate(docs) if i % 2}
+    for r in lexical.search(queries, corpus, index, 5, where=F.col("half") == "odd", direct=0).collect():
+        assert [c for c, _ in wanted[r.query_id] if c in halves][r["rank"] - 1] == r.chunk_id
+
+
+def test_few_postings_of_frequent_terms_are_read(spark):
+    docs, corpus, asked = many_chunks(spark, 3000)
+    queries = spark.createDataFrame([(q, " ".join(w)) for q, w in asked.items()], "query_id string, query string")
+    steps = lexical.Search(queries, lexical.index(corpus, keep=lambda df: df.cache()), 5, direct=0)
+    wanted, blocks = steps.survivors()
+    read = steps.completing(wanted.join(blocks, ["query_id", "block"], "left_anti")).count() + steps.reading(blocks).count()
+    held = steps.often.join(steps.index.terms, "term").agg(F.sum("df")).first()[0]
+    assert steps.often.count() > 20 and read < held / 2
+
+
+def test_zeros_fill_lists_before_scores_below_zero(spark):
+    # most terms are in most chunks, so that all weights are negative
+    docs = {f"c{i:02d}": ["a", "b"] if i < 30 else ["a"] if i < 38 else ["z"] for i in range(40)}
+    corpus = spark.createDataFrame([(c, " ".join(w)) for c, w in docs.items()], "chunk_id string, content string")
+    queries = spark.createDataFrame([("q", "a b")], "query_id string, query string")
+    index = lexical.index(corpus, keep=lambda df: df.cache())
+    assert index.terms.agg(F.min("idf")).first()[0] < 0
+    for k in (1, 2, 6):
+        found = lexical.search(queries, corpus, index, k, direct=0).orderBy("rank").collect()
+        assert [(r.chunk_id, pytest.approx(r.score)) for r in found] == naive_bm25(docs, ["a", "b"])[:k]
+
+
 def test_common_term_does_not_push_its_documents_down(spark):
     corpus = spark.createDataFrame([("a", "python code"), ("b", "python snake"), ("c", "java code")], "chunk_id string, content string")
     queries = spark.createDataFrame([("q", "python")], "query_id string, query string")
