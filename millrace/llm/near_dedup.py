@@ -419,7 +419,8 @@ def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -
     members = hot.salt(all_members, F.col("key")).join(hot.repeat(shared), ["bucket", "salt"])
     members = materialize(members, "near-members")
     wanted = members.select("key").distinct()
-    texts = keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_words, "key binary, n int, words binary, signs binary")
+    # copies go before the texts are moved for the join
+    texts = keyed.dropDuplicates(["key"]).join(wanted, "key", "left_semi").mapInArrow(_words, "key binary, n int, words binary, signs binary")
     texts = materialize(texts, "near-texts")
     fame = members.groupBy("key").agg(F.sum("size").alias("fame"))
     hubs = members.join(fame, "key").groupBy("bucket").agg(F.max(F.struct("fame", "key")).alias("hub"))

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import let, spare
+from millrace.llm.skew import Hot
 from millrace.storage import materialize
 
 _ANY_CASE = {w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")}
@@ -157,8 +158,11 @@ def judge(found: DataFrame, owner: str, repository: str, spans: str = "spans") -
     rows = rows.withColumn("secret_key", F.when(F.size("hashes") > 0, F.sha2(F.array_join("hashes", ","), 256)))
     with_any = rows.where("secret_key IS NOT NULL")
     held = with_any.select(F.explode("hashes").alias("value_hash"), "owner", "repository", "secret_key")
-    per_key = held.groupBy("secret_key", "value_hash").agg(F.count(F.lit(1)).alias("rows")).join(ownership(held), "value_hash").groupBy("secret_key")
-    per_key = per_key.agg(
+    keyed = materialize(held.groupBy("secret_key", "value_hash").agg(F.count(F.lit(1)).alias("rows")), "secret-keys")
+    # a copied value beside many others is one value of many keys
+    hot = Hot(keyed.groupBy("value_hash").agg(F.count(F.lit(1)).alias("keys")), "value_hash", "keys")
+    owned = hot.join(keyed, materialize(ownership(held), "secret-owners"), F.col("secret_key"))
+    per_key = owned.groupBy("secret_key").agg(
         F.sort_array(F.collect_list(F.when(~F.col("copied"), F.col("value_hash")))).alias("live"),
         F.count_if("copied").alias("n_copied"),
         F.max("n_owners").alias("most_owners"),

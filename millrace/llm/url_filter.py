@@ -11,12 +11,14 @@ batch of URLs is hashed, found by vectorised binary search in the mapped
 array, and compared with the full string, so that two strings of equal digest
 never stand in for each other.
 
-Rules come as pairs, as a table (``rules_of``) or as a file of lines
-(``rules_from``).  A set of more than ``most_bytes`` (its files' size) is an
-error, since every executor keeps a copy.
+Rules come as pairs, as a file of lines (``rules_from``) or as a table (rule,
+verdict).  A table of more than ``most_bytes`` becomes several rule sets, dealt
+by the rules' digests; each is built by itself, so the driver holds one, and
+executors map them all.  As many pairs are an error.
 
 A URL's candidates are its host's suffixes at label borders, each with the
-prefixes of its path whose lengths occur in the rule set.  The longest rule
+prefixes of its path, of lengths that occur in the rule set.  So a host of any
+number of labels has as many candidates as the rules have lengths.  The longest rule
 wins, the longer host among equals.  A URL that no rule fits has the verdict
 of ``default``.
 
@@ -61,9 +63,9 @@ def path_of(url: Column) -> Column:
 #: (host/path, verdict) pairs.
 Rules = Iterable[tuple[str, str]]
 _ROW = np.dtype([("offset", "<u8"), ("length", "<u4"), ("verdict", "<u4")])
-#: The files of a rule set: digests, rows, strings, and the lengths of paths that occur.
-_PARTS = (".key", ".row", ".txt", ".len")
-MOST_BYTES = 8 << 30
+#: The files of a rule set: digests, rows, strings, and the lengths of paths and of hosts that occur.
+_PARTS = (".key", ".row", ".txt", ".len", ".hst")
+MOST_BYTES = 1 << 30
 
 
 def rules_of(table: DataFrame, rule: str = "rule", verdict: str = "verdict") -> Iterator[tuple[str, str]]:
@@ -95,19 +97,21 @@ def build(rules: Rules) -> tuple[bytes, ...]:
     rows["verdict"] = np.fromiter(table.values(), dtype="<u4", count=len(table))
     order = np.argsort(digests, kind="stable")
     # lengths of paths, in characters, decide which prefixes of a URL are looked up
-    lengths = sorted({len(r.decode().partition("/")[2]) + 1 for r in table})
-    return digests[order].tobytes(), rows[order].tobytes(), b"".join(table), np.array(lengths, dtype="<u4").tobytes()
+    paths = sorted({len(r.decode().partition("/")[2]) + 1 for r in table})
+    hosts = sorted({len(r.decode().partition("/")[0]) for r in table})
+    lengths = (np.array(x, dtype="<u4").tobytes() for x in (paths, hosts))
+    return digests[order].tobytes(), rows[order].tobytes(), b"".join(table), *lengths
 
 
 class Digests:
     """The memory-mapped files of a rule set and their probe."""
 
     def __init__(self, stem: str):
-        kinds = ("<u8", _ROW, np.uint8, "<u4")
+        kinds = ("<u8", _ROW, np.uint8, "<u4", "<u4")
         # an empty file can't be mapped
         mapped = [np.memmap(stem + p, dtype=k, mode="r") if os.path.getsize(stem + p) else np.zeros(0, k) for p, k in zip(_PARTS, kinds, strict=True)]
-        self.digests, self.rows, self.text, lengths = mapped
-        self.lengths = lengths.tolist()
+        self.digests, self.rows, self.text, paths, hosts = mapped
+        self.lengths, self.hosts = paths.tolist(), hosts.tolist()
 
     def probe(self, keys: list[bytes]) -> np.ndarray:
         """The row of each key, or -1."""
@@ -134,13 +138,14 @@ class Digests:
         mine: list[list[tuple[int, int, int]]] = []
         for host, path in zip(hosts, paths, strict=True):
             found = []
-            suffix = host
-            while suffix and path:
+            for m in self.hosts:
+                # a suffix that no rule could have, or that begins inside a label
+                if not 0 < m <= len(host) or (m < len(host) and host[-m - 1] != "."):
+                    continue
                 for n in self.lengths:
                     if n <= len(path):
-                        key = f"{suffix}{path[:n]}"
-                        found.append((len(key), len(suffix), keys.setdefault(key.encode(), len(keys))))
-                suffix = suffix.partition(".")[2]
+                        key = f"{host[-m:]}{path[:n]}"
+                        found.append((len(key), m, keys.setdefault(key.encode(), len(keys))))
             mine.append(found)
         rows = self.probe(names := list(keys))
         out = []
@@ -150,23 +155,40 @@ class Digests:
         return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=256)
 def _opened(name: str) -> Digests:
     return Digests(SparkFiles.get(name + _PARTS[0]).removesuffix(_PARTS[0]))
 
 
-def publish(spark: SparkSession, rules: Rules, most_bytes: int = MOST_BYTES) -> str:
-    """Give the executors the files of a rule set; returns the name that ``_opened`` takes."""
+def publish(spark: SparkSession, rules: Rules | DataFrame, most_bytes: int = MOST_BYTES) -> list[str]:
+    """Give the executors the files of a rule set; returns the names that ``_opened`` takes.
+
+    A table of rules of more than ``most_bytes`` is cut by the rules' digests, and one part after another is built.
+    """
+    if isinstance(rules, DataFrame):
+        size = rules.agg(F.coalesce(F.sum(F.octet_length("rule") + 24), F.lit(0))).first()[0]
+        parts = -(-size // most_bytes) or 1
+        dealt = F.pmod(F.xxhash64("rule"), F.lit(parts))
+        return [_send(spark, build(rules_of(rules.where(dealt == part)))) for part in range(parts)]
     files = build(rules)
     if (size := sum(map(len, files))) > most_bytes:
-        raise ValueError(f"the rules take {size} bytes, more than the {most_bytes} that an executor may hold")
+        raise ValueError(f"the rules take {size} bytes, more than {most_bytes}; give them as a table")
+    return [_send(spark, files)]
+
+
+def _send(spark: SparkSession, files: tuple[bytes, ...]) -> str:
     stem = fresh_path(spark, "digests")
     for end, data in zip(_PARTS, files, strict=True):
         spark.sparkContext.addFile(write_bytes(spark, stem + end, data))
     return os.path.basename(stem)
 
 
-def judge(pages: DataFrame, rules: Rules, default: str = "allow", url: str = "url", hidden: Rules = (), most_bytes: int = MOST_BYTES) -> DataFrame:
+def _longest(found: tuple) -> tuple[str, str] | None:
+    """Of the rules that parts of one set have found, the one that counts."""
+    return max((f for f in found if f), key=lambda f: (len(f[0]), f[0].index("/")), default=None)
+
+
+def judge(pages: DataFrame, rules: Rules | DataFrame, default: str = "allow", url: str = "url", hidden: Rules | DataFrame = (), most_bytes: int = MOST_BYTES) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
     ``rules`` are reported in ``rule``.  ``hidden`` is the operator's own list
@@ -178,10 +200,9 @@ def judge(pages: DataFrame, rules: Rules, default: str = "allow", url: str = "ur
 
     @F.pandas_udf("struct<rule:string,verdict:string>")
     def look_up(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        shown, own = map(_opened, names)
         for hosts, paths in batches:
             hosts, paths = list(hosts), list(paths)
-            first, second = shown.judge(hosts, paths), own.judge(hosts, paths)
+            first, second = ([_longest(f) for f in zip(*(_opened(n).judge(hosts, paths) for n in part), strict=True)] for part in names)
             verdicts = [a[1] if a else b[1] if b else default for a, b in zip(first, second, strict=True)]
             yield pd.DataFrame({"rule": pd.Series([a[0] if a else None for a in first], dtype=object), "verdict": verdicts})
 

@@ -359,6 +359,24 @@ def test_rules_come_from_tables_and_files_of_bounded_size(spark, tmp_path):
         url_filter.build([("no-path", "block")])
 
 
+def test_very_long_hosts_and_paths_are_judged_whole(spark):
+    labels = "a." * 2_500_000
+    urls = [f"http://{labels}bad.org/", f"http://{labels}bad.org/{'p/' * 2_500_000}", f"http://bad.org.{labels}x", "http://notbad.org/"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    found = url_filter.judge(rows, [("bad.org/", "block"), ("bad.org/p/p/", "allow")]).orderBy("page_id").select("verdict").collect()
+    assert [r[0] for r in found] == ["block", "allow", "allow", "allow"]
+
+
+def test_a_table_of_rules_is_built_in_parts(spark):
+    rules = [(f"site{i}.org/", "block") for i in range(60)] + [("site3.org/open/", "allow"), ("www.site4.org/", "allow")]
+    table = spark.createDataFrame(rules, "rule string, verdict string")
+    assert len(url_filter.publish(spark, table, most_bytes=400)) > 4
+    urls = [f"http://site{i}.org/open/{i}" for i in range(70)] + ["http://www.site4.org/", "http://a.www.site4.org/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    whole, parts = (url_filter.judge(pages, r, most_bytes=m).orderBy("page_id").collect() for r, m in ((rules, 1 << 20), (table, 400)))
+    assert whole == parts and {r.verdict for r in parts} == {"allow", "block"}
+
+
 def test_url_columns_of_clashing_names(spark):
     long = "http://a.net/" + "x" * 1_000_000
     pages = spark.createDataFrame([("http://a.net/es", 1, long)], "path string, found__ int, host string")
