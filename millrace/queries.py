@@ -381,8 +381,54 @@ def _folded(strategy, **options):
     return run
 
 
+def _walked(units: str, size: int, overlap: int) -> str:
+    """Chunks of merged pieces as a walk over the pieces; ``units`` makes a table u (doc_id, text, p), p being the list of pieces."""
+    return f"""WITH RECURSIVE {units},
+v AS MATERIALIZED (SELECT doc_id, text, p, list_transform(p, lambda x: {_estimated('x')}) AS n FROM u WHERE len(p) > 0),
+s AS MATERIALIZED (SELECT *, list_transform(range(0, len(n) + 1), lambda i: coalesce(list_sum(n[1:i]), 0)::INTEGER) AS c FROM v),
+w(doc_id, i, held, cut) AS (
+  SELECT doc_id, 1, 0, NULL::INTEGER FROM s
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN c[i + 2] - c[held + 1] > {size} THEN coalesce(list_filter(range(held, i), lambda j: c[i + 1] - c[j + 1] <= {overlap} AND c[i + 2] - c[j + 1] <= {size})[1], i) ELSE held END::INTEGER,
+         CASE WHEN c[i + 2] - c[held + 1] > {size} THEN held END
+  FROM w JOIN s USING (doc_id) WHERE i < len(p)
+), k AS (
+  SELECT doc_id, cut AS a, i - 1 AS b FROM w WHERE cut IS NOT NULL
+  UNION ALL SELECT doc_id, held, i FROM w JOIN s USING (doc_id) WHERE i = len(p)
+), m AS MATERIALIZED (
+  SELECT doc_id, text, content, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS j
+  FROM (SELECT doc_id, text, a, regexp_replace(array_to_string(p[a + 1:b], ' '), '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g') AS content FROM k JOIN s USING (doc_id)) WHERE content <> ''
+), l(doc_id, j, seek, start) AS (
+  SELECT doc_id, 0, 0, NULL::BIGINT FROM m WHERE j = 0
+  UNION ALL
+  SELECT doc_id, j + 1, f + length(content) // 2, f FROM (
+    SELECT l.doc_id, l.j, content, CASE WHEN strpos(substr(text, seek + 1), left(content, 30)) > 0 THEN seek + strpos(substr(text, seek + 1), left(content, 30)) - 1
+      WHEN strpos(text, left(content, 30)) > 0 THEN strpos(text, left(content, 30)) - 1 ELSE seek END AS f
+    FROM l JOIN m USING (doc_id, j))
+)
+SELECT m.doc_id, m.j::INTEGER AS chunk_index, {_estimated('content')}::INTEGER AS token_count, length(content)::INTEGER AS char_count, l.start::INTEGER AS start_char,
+       (l.start + length(content))::INTEGER AS end_char, md5(content) AS content_md5 FROM m JOIN l ON l.doc_id = m.doc_id AND l.j = m.j + 1"""
+
+
+def _split_sql(x: str, size: int, level: int = 0) -> str:
+    """The pieces of a text by ever finer separators, as a list."""
+    if level == len(chunking.SEPARATORS):
+        return f"[{x}]"
+    separator = chunking.SEPARATORS[level].replace("\n", "' || chr(10) || '")
+    parts = f"list_filter(string_split({x}, '{separator}'), lambda f{level}: f{level} <> '')"
+    deeper = f"flatten(list_transform({parts}, lambda p{level}: {_split_sql(f'p{level}', size, level + 1)}))"
+    return f"CASE WHEN {_estimated(x)} > {size} THEN {deeper} WHEN {x} = '' THEN [] ELSE [{x}] END"
+
+
+_SENTENCE_LIST = f"""list_filter(list_transform(string_split(regexp_replace(text, '([.!?।॥])[{_SPACE}]+', '\\1' || chr(31), 'g'), chr(31)),
+      lambda x: regexp_replace(x, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')), lambda x: x <> '')"""
+_SQL["sentence_chunks"] = _walked(f"u AS (SELECT doc_id, text, {_SENTENCE_LIST} AS p FROM documents)", 200, 20)
+_SQL["recursive_chunks"] = _walked(f"u AS (SELECT doc_id, text, {_split_sql('text', 200)} AS p FROM documents WHERE regexp_matches(text, '[^{_SPACE}]'))", 200, 20)
 for _name, _options in (("recursive", dict(size=200, overlap=20)), ("sentence", dict(size=200, overlap=20)), ("semantic", dict(threshold=0.8, most=200))):
     _QUERIES[f"{_name}_chunks"] = _folded(_name, **_options)
+# pieces of single words, each chunk with an overlap
+_QUERIES["word_chunks"] = _folded("recursive", size=24, overlap=8)
+_SQL["word_chunks"] = _walked(f"u AS (SELECT doc_id, text, {_split_sql('text', 24)} AS p FROM documents WHERE regexp_matches(text, '[^{_SPACE}]'))", 24, 8)
 
 
 # embeddings
