@@ -15,20 +15,68 @@ from pyspark.sql import functions as F
 from millrace.functions.text import let, squeeze, word_runs
 
 PHRASE = 4
+#: Characters by which a word is looked for among words.
+GRAM = 4
 COMMON, SHARE = 3, 0.5
 SHORT = 15
 
 
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct runs of ``size`` characters of a text."""
+    every = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size))
+    return F.when(F.length(text) >= size, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+
+def contained_pairs(inner: DataFrame, outer: DataFrame, a: str, b: str, blank: bool = False) -> DataFrame:
+    """(a, b) of texts of ``inner`` (a, text) that lie in texts of ``outer`` (b, text), by equi-joins.
+
+    A text's longest run without spaces lies in one word of the other text.  It meets the distinct words of all outer
+    texts by its rarest ``GRAM`` characters (by all of it if it is shorter), words meet the texts that hold them, and
+    these are searched.  An empty text, or one of spaces, has no such run; with ``blank`` it is held against all.
+    """
+    fragments = F.sort_array(F.transform(F.split("text", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False)
+    short = inner.select(a, F.col("text").alias("inner_text"), fragments[0]["w"].alias("part")).where("inner_text IS NOT NULL")
+    listed = outer.select(b, F.explode(F.array_distinct(F.split("text", " "))).alias("word")).where("word <> ''")
+    held = listed.select("word").distinct()
+    parts = short.where("part <> ''").select("part").distinct().withColumn("size", F.least(F.lit(GRAM), F.length("part")))
+    sizes = F.array(*(F.lit(n) for n in range(1, GRAM + 1)))
+    grams = held.withColumn("size", F.explode(sizes)).select("word", "size", F.explode(_grams(F.col("word"), F.col("size"))).alias("gram"))
+    asked = parts.select("part", F.explode(_grams(F.col("part"), F.col("size"))).alias("gram"))
+    grams = grams.join(asked.select("gram").distinct(), "gram", "left_semi")
+    common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("words"))
+    rarest = asked.join(common, "gram").groupBy("part").agg(F.min(F.struct("words", "gram")).alias("m"), F.count(F.lit(1)).alias("met"), F.max(F.size(_grams(F.col("part"), F.least(F.lit(GRAM), F.length("part"))))).alias("all"))
+    # a part with a run of characters that no word has is in none
+    probes = rarest.where("met = all").select("part", F.col("m.gram").alias("gram"))
+    words = probes.join(grams.select("gram", "word").distinct(), "gram").where(F.col("word").contains(F.col("part"))).select("part", "word")
+    near = words.join(listed, "word").select("part", b).distinct()
+    whole = outer.select(b, F.col("text").alias("outer_text"))
+    found = short.join(near, "part").join(whole, b).where(F.col("outer_text").contains(F.col("inner_text"))).select(a, b)
+    if not blank or (spaces := short.where("part = ''")).isEmpty():
+        return found
+    spaces = spaces.crossJoin(whole).where(F.col("outer_text").contains(F.col("inner_text"))).select(a, b)
+    return found.unionByName(spaces)
+
+
+def _named(passages: DataFrame, chunks: DataFrame, filename: str | None = None) -> DataFrame:
+    """(passage, chunk_id) of equal doc_id or filename, or the id inside the chunk_id."""
+    wanted = passages.select("passage", F.col("doc_id").alias("wanted"))
+    named = wanted.join(chunks, F.col("wanted") == F.col("doc_id")).select("passage", "chunk_id")
+    if filename:
+        named = named.unionByName(wanted.join(chunks, F.col("wanted") == F.col(filename)).select("passage", "chunk_id"))
+    ids = wanted.select(F.col("wanted").cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    texts = chunks.select("chunk_id", F.col("chunk_id").cast("string").alias("text"))
+    inside = contained_pairs(ids.withColumn("id", F.col("text")), texts, "id", "chunk_id", blank=True)
+    return named.unionByName(wanted.join(inside, F.col("wanted").cast("string") == F.col("id")).select("passage", "chunk_id")).distinct()
+
+
+def _unnamed(passages: DataFrame, named: DataFrame) -> DataFrame:
+    return passages.join(named.select("passage").distinct(), "passage", "left_anti").select("passage")
+
+
 def candidates(passages: DataFrame, chunks: DataFrame, filename: str | None = None) -> DataFrame:
     """Chunks of the passage's document: equal doc_id or filename, or the id inside the chunk_id; all chunks where none match."""
-    named = F.col("p.doc_id") == F.col("c.doc_id")
-    if filename:
-        named |= F.col("p.doc_id") == F.col(f"c.{filename}")
-    inside = F.col("c.chunk_id").cast("string").contains(F.col("p.doc_id").cast("string"))
-    pairs = passages.alias("p").join(chunks.alias("c"), named | inside)
-    keys = pairs.select(F.col("p.passage").alias("passage"), F.col("c.chunk_id").alias("chunk_id"))
-    unmatched = passages.join(keys.select("passage").distinct(), "passage", "left_anti")
-    return keys.unionByName(unmatched.select("passage").crossJoin(chunks.select("chunk_id")))
+    named = _named(passages, chunks, filename)
+    return named.unionByName(_unnamed(passages, named).crossJoin(chunks.select("chunk_id")))
 
 
 def overlaps(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -57,14 +105,14 @@ def _inner_phrase(text: Column) -> Column:
 def _contained(inner: DataFrame, outer: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b) with inner's text inside outer's, both squeezed and in lower case.
 
-    Longer texts meet by a phrase that containment implies; only texts of under six words are compared with all.
+    Longer texts meet by a phrase that containment implies, shorter ones by their longest word.
     """
     small = inner.where(_inner_phrase(F.col("text")).isNull())
     keyed = inner.withColumn("phrase", _inner_phrase(F.col("text"))).where("phrase IS NOT NULL")
     every = outer.select(b, F.explode(phrases(F.col("text"))).alias("phrase"))
+    every = every.join(keyed.select("phrase").distinct(), "phrase", "left_semi")
     near = keyed.join(every, "phrase").join(outer.withColumnRenamed("text", "whole"), b).where(F.col("whole").contains(F.col("text"))).select(a, b)
-    rest = small.join(outer.withColumnRenamed("text", "whole"), F.col("whole").contains(F.col("text"))).select(a, b)
-    return near.unionByName(rest)
+    return near.unionByName(contained_pairs(small, outer, a, b))
 
 
 def containment_matches(passages: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -140,7 +188,9 @@ def resolve(passages: DataFrame, chunks: DataFrame, compat: bool = False) -> Dat
     texts = textual.select("passage", "snippet", F.col("doc_id").alias("wanted"))
     if compat:
         found = containment_matches(textual, chunks).unionByName(phrase_matches(textual, chunks)).unionByName(word_matches(textual, chunks))
-        found = found.distinct().join(candidates(textual, chunks), ["passage", "chunk_id"], "left_semi")
+        found, named = found.distinct(), _named(textual, chunks)
+        # a passage that names no document may match any chunk
+        found = found.join(named, ["passage", "chunk_id"], "left_semi").unionByName(found.join(_unnamed(textual, named), "passage", "left_semi"))
     else:
         pool = texts.join(chunks.select("chunk_id", "doc_id", "content"), F.col("wanted") == F.col("doc_id"))
         snippet, content = F.col("snippet"), F.col("content")
@@ -167,11 +217,14 @@ def unresolved(passages: DataFrame, matches: DataFrame) -> DataFrame:
 def unknown_documents(passages: DataFrame, documents: DataFrame, name: str = "filename") -> DataFrame:
     """Passages whose document is none of the corpus: neither equal to an id, name or stem, nor part of one, nor the reverse.
 
-    Equality settles nearly all; only ids that no document bears are compared with the names as text.
+    Equality settles nearly all; only ids that no document bears are looked for inside the names, and names inside them.
     """
     stem = F.regexp_replace(F.col(name), "\\.[^.]*$", "")
     names = documents.select(F.explode(F.array(F.col("doc_id").cast("string"), F.col(name).cast("string"), stem)).alias("known")).where("known IS NOT NULL").distinct()
     key = F.col("doc_id").cast("string")
     rest = passages.select(key.alias("wanted")).distinct().join(names, F.col("wanted") == F.col("known"), "left_anti")
-    unknown = rest.join(names, F.col("known").contains(F.col("wanted")) | F.col("wanted").contains(F.col("known")), "left_anti")
+    asked, known = rest.where("wanted IS NOT NULL").select("wanted", F.col("wanted").alias("text")), names.select("known", F.col("known").alias("text"))
+    met = contained_pairs(asked, known, "wanted", "known", blank=True)
+    met = met.unionByName(contained_pairs(known, asked, "known", "wanted", blank=True).select("wanted", "known"))
+    unknown = rest.join(met.select("wanted").distinct(), "wanted", "left_anti")
     return passages.join(unknown, key.eqNullSafe(F.col("wanted")), "left_semi")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import hashing, text
-from millrace.operators import chunking, context, dense, embed, fusion, lexical, metrics, qrels, relational, rerank, stats, transforms
+from millrace.operators import ann, chunking, context, dense, embed, fusion, lexical, metrics, qrels, relational, rerank, stats, transforms
 from millrace.plans import sweep
 from millrace.sources import export, readers
 from millrace.storage import materialize, spread
@@ -221,6 +221,35 @@ def dense_filtered_topk(spark, d):
     return six(nearest(spark, d, 10, where=F.col("label") < 5)).select("query_id", "chunk_id", "score", "rank")
 
 
+def _lists(spark, d):
+    return ann.build(vectors(spark, d), keep=lambda df: materialize(df, "ann"))
+
+
+def _every_20th(spark, d):
+    return vectors(spark, d).where("vec_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+
+
+@query(f"WITH {_NEAREST}, t AS (SELECT 1 FROM {_ranked('ds', 10)}) SELECT count(*) AS n, TRUE AS enough FROM t")
+def ann_recall(spark, d):
+    """Whether the approximate lists hold nine in ten of the exact ones."""
+    measured = ann.recall(ann.search(_every_20th(spark, d), _lists(spark, d), 10, not_self=True), nearest(spark, d, 10))
+    return measured.select("n", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query(f"WITH {_NEAREST} SELECT query_id::VARCHAR AS query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM {_ranked('ds', 10)}")
+def ann_exhaustive_topk(spark, d):
+    """All lists probed: the index loses no vector."""
+    lists = _lists(spark, d)
+    return six(ann.search(_every_20th(spark, d), lists, 10, not_self=True, probes=len(lists.centroids))).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {_DENSE.format('q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND c.label % 2 = 1')} SELECT query_id::VARCHAR AS query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM {_ranked('ds', 5)}")
+def ann_filtered_topk(spark, d):
+    """Only vectors that pass a filter are scored; all lists probed."""
+    lists = _lists(spark, d)
+    return six(ann.search(_every_20th(spark, d), lists, 5, where=F.col("label") % 2 == 1, not_self=True, probes=len(lists.centroids))).select("query_id", "chunk_id", "score", "rank")
+
+
 def channels(spark, d, k):
     """Two channels of equal questions: passages' words against documents, and vectors of equal numbers."""
     rows = vectors(spark, d)
