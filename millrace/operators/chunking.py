@@ -251,6 +251,7 @@ def chunk(docs: DataFrame, strategy: str, doc_id: str = "doc_id", content: str =
     """Chunks of every document by a strategy; blank and null documents have none.
 
     ``fixed`` takes size and overlap in ids of its ``codec``, or in characters without one; the others count by ``tokens``.
+    A codec that knows ``spans`` (as ``bpe.Encoding``) makes windows of whole characters at their exact places.
     """
     name = strategy.lower().strip()
     if name == "fixed" and "codec" not in options:
@@ -259,6 +260,9 @@ def chunk(docs: DataFrame, strategy: str, doc_id: str = "doc_id", content: str =
         raise ValueError(f"unknown chunking strategy {strategy!r}")
     if "size" in options:
         check(options["size"], options.get("overlap", 0))
+    if name == "fixed" and hasattr(options["codec"], "spans"):
+        check(options["size"], options["overlap"])
+        return _id_windows(docs, doc_id, content, **options)
     method = _METHODS[name]
     if tokens is count_tokens and method in (recursive, by_sentence) and set(options) == {"size", "overlap"}:
         return _merged_chunks(docs, name, doc_id, content, **options)
@@ -283,6 +287,27 @@ def chunk(docs: DataFrame, strategy: str, doc_id: str = "doc_id", content: str =
     return made.select("doc_id", "chunk.*", F.lit(name).alias("strategy"))
 
 
+def _id_windows(docs: DataFrame, doc_id: str, content: str, size: int, overlap: int, codec) -> DataFrame:
+    """Windows of ids as spans of the text; outer white space goes, and blank windows take no index."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = []
+            for text in texts:
+                made = []
+                for a, b in codec.spans(text, size, overlap) if text and text.strip() else []:
+                    body = text[a:b].strip()
+                    if body:
+                        start = a + len(text[a:b]) - len(text[a:b].lstrip())
+                        made.append(dict(chunk_index=len(made), content=body, token_count=codec(body), char_count=len(body), start_char=start, end_char=start + len(body)))
+                out.append(made)
+            yield pd.Series(out, dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    made = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.pandas_udf(run, f"array<{_CHUNK}>")(F.col(content))).alias("chunk"))
+    return made.select("doc_id", "chunk.*", F.lit("fixed").alias("strategy"))
+
+
 def _merged_chunks(docs: DataFrame, name: str, doc_id: str, content: str, size: int, overlap: int) -> DataFrame:
     """Chunks of sentences or of recursively split pieces, by expressions alone."""
     text = F.col(content)

@@ -6,9 +6,13 @@ they fit in one array and one fold.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.bpe import Encoding, counter
 from millrace.functions.text import token_estimate
 
 HEADER = "[Source {index}] (doc: {doc_id}, chunk: {chunk_id})\n{content}"
@@ -39,10 +43,45 @@ def reorder_key(position: Column, size: Column, strategy: str = "standard") -> C
     return F.when((position % 2 == 0) | (size <= 2), position).otherwise(2 * size - position)
 
 
-def select_within(candidates: DataFrame, budget: int, template: str = HEADER) -> DataFrame:
+def _greedy(kind: str, budget: int, template: str, encoding: Encoding):
+    """The fold of ``select_within`` with the tokens of an encoding, on a query's few candidates."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for lists in batches:
+            rows = []
+            for items in lists:
+                chosen, used = [], 0
+                for x in items:
+                    values = {"index": len(chosen) + 1, **{f: x[f] for f in ("doc_id", "chunk_id", "content")}}
+                    if all(v is not None for v in values.values()):
+                        parts = {"{" + f + "}": str(v) for f, v in values.items()}
+                        cost = encoding(_substituted(template, parts) + "\n\n")
+                        if used + cost <= budget:
+                            chosen.append(x)
+                            used += cost
+                rows.append((chosen, used))
+            yield pd.DataFrame({"chosen": pd.Series([c for c, _ in rows], dtype=object), "used": [u for _, u in rows]})
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, f"struct<chosen:{kind},used:int>")
+
+
+def _substituted(template: str, parts: dict[str, str]) -> str:
+    """The template with its fields put in, from left to right."""
+    out = ""
+    while template:
+        spots = [(template.find(f), f) for f in parts if f in template]
+        if not spots:
+            return out + template
+        at, name = min(spots)
+        out, template = out + template[:at] + parts[name], template[at + len(name) :]
+    return out
+
+
+def select_within(candidates: DataFrame, budget: int, template: str = HEADER, encoding: Encoding | None = None) -> DataFrame:
     """Greedy choice in rank order: a chunk that doesn't fit is skipped, later ones may still fit.
 
-    One row per query: ``chosen`` (structs in order), ``used`` tokens, ``candidates``, ``truncated``.
+    Tokens are those of ``encoding``, or estimated.  One row per query: ``chosen`` (structs in order), ``used`` tokens, ``candidates``, ``truncated``.
     """
     item = F.struct("rank", "chunk_id", "doc_id", "content", "score")
     grouped = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
@@ -55,7 +94,8 @@ def select_within(candidates: DataFrame, budget: int, template: str = HEADER) ->
         taken = F.struct(F.concat(acc["chosen"], F.array(x)).alias("chosen"), (acc["used"] + cost).alias("used"))
         return F.when(acc["used"] + cost <= budget, taken).otherwise(acc)
 
-    folded = grouped.select("query_id", F.col("items").cast(kind).alias("items")).select("query_id", "items", F.aggregate("items", start, step).alias("fold"))
+    fold = F.aggregate("items", start, step) if encoding is None else _greedy(kind, budget, template, encoding)("items")
+    folded = grouped.select("query_id", F.col("items").cast(kind).alias("items")).select("query_id", "items", fold.alias("fold"))
     return folded.select(
         "query_id",
         F.col("fold.chosen").alias("chosen"),
@@ -65,21 +105,23 @@ def select_within(candidates: DataFrame, budget: int, template: str = HEADER) ->
     )
 
 
-def assemble(selected: DataFrame, budget: int, strategy: str = "standard", template: str = HEADER) -> DataFrame:
+def assemble(selected: DataFrame, budget: int, strategy: str = "standard", template: str = HEADER, encoding: Encoding | None = None) -> DataFrame:
     """Reorder, number the sources again and join them; ``fits`` says whether the whole meets the budget."""
     n = F.size("chosen")
     keyed = F.transform("chosen", lambda x, i: F.struct(reorder_key(i, n, strategy).alias("k"), x.alias("x")))
     ordered = F.transform(F.array_sort(keyed), lambda p: p["x"])
     out = selected.withColumn("sources", ordered)
     blocks = F.transform("sources", lambda x, i: header(i + 1, x["doc_id"], x["chunk_id"], x["content"], template))
-    out = out.withColumn("text", F.array_join(blocks, "\n\n")).withColumn("total_tokens", token_estimate(F.col("text")))
+    out = out.withColumn("text", F.array_join(blocks, "\n\n")).withColumn("total_tokens", counter(encoding)(F.col("text")))
     sources = F.transform("sources", lambda x, i: F.struct((i + 1).alias("source_index"), x["chunk_id"].alias("chunk_id"), x["rank"].alias("original_rank")))
     return out.withColumn("sources", sources).withColumn("fits", F.col("total_tokens") <= budget)
 
 
-def pack(queries: DataFrame, candidates: DataFrame, budget: int, strategy: str = "standard", template: str = HEADER) -> DataFrame:
+def pack(
+    queries: DataFrame, candidates: DataFrame, budget: int, strategy: str = "standard", template: str = HEADER, encoding: Encoding | None = None
+) -> DataFrame:
     """A context per query; a query without candidates has an empty text and zero counts."""
-    packed = assemble(select_within(candidates, budget, template), budget, strategy, template)
+    packed = assemble(select_within(candidates, budget, template, encoding), budget, strategy, template, encoding)
     zero = {"used": 0, "candidates": 0, "truncated": 0, "text": "", "total_tokens": 0, "fits": True}
     return queries.select("query_id").join(packed, "query_id", "left").fillna(zero)
 
@@ -104,10 +146,11 @@ def prompt(context: Column, query: Column) -> Column:
     return F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuestion: "), query, F.lit("\nAnswer:"))
 
 
-def generate(packed: DataFrame, queries: DataFrame, model, cost_per_token: float = 0.0) -> DataFrame:
+def generate(packed: DataFrame, queries: DataFrame, model, cost_per_token: float = 0.0, encoding: Encoding | None = None) -> DataFrame:
     """Answers with their token counts and cost."""
     asked = packed.join(queries.select("query_id", "query"), "query_id").withColumn("prompt", prompt(F.col("text"), F.col("query")))
     out = asked.withColumn("answer", model(F.col("prompt")))
-    out = out.withColumn("input_tokens", token_estimate(F.col("prompt"))).withColumn("output_tokens", token_estimate(F.col("answer")))
+    tokens = counter(encoding)
+    out = out.withColumn("input_tokens", tokens(F.col("prompt"))).withColumn("output_tokens", tokens(F.col("answer")))
     total = F.col("input_tokens") + F.col("output_tokens")
     return out.withColumn("total_tokens", total).withColumn("cost", total * F.lit(cost_per_token))

@@ -13,6 +13,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import bpe
 from millrace.functions.hashing import cache_hash, canonical
 from millrace.operators import chunking, context, dense, embed, fusion, lexical, metrics, qrels, rerank, stats, transforms
 from millrace.plans.config import CHOICES, Experiment, Pipeline
@@ -31,23 +32,26 @@ class Corpus:
 
     def chunks(self, point: Pipeline) -> DataFrame:
         c = point.chunking
-        key = ("chunks", canonical(asdict(c)))
+        key = ("chunks", canonical([asdict(c), point.context.encoding_name]))
         if key not in self.made:
             options = {"size": c.chunk_size, "overlap": c.chunk_overlap}
             if c.strategy == "semantic":
                 options = {"threshold": c.similarity_threshold, "most": c.chunk_size}
+            known = bpe.named(point.context.encoding_name)
+            if known:
+                options |= {"codec": known} if c.strategy == "fixed" else {"tokens": known}
             cut = chunking.chunk(self.documents, c.strategy, **options)
             self.made[key] = self.keep(chunking.with_ids(cut))
         return self.made[key]
 
     def index(self, point: Pipeline) -> lexical.Index:
-        key = ("index", canonical(asdict(point.chunking)))
+        key = ("index", canonical([asdict(point.chunking), point.context.encoding_name]))
         if key not in self.made:
             self.made[key] = lexical.index(self.chunks(point), keep=self.keep)
         return self.made[key]
 
     def vectors(self, point: Pipeline) -> DataFrame:
-        key = ("vectors", canonical([asdict(point.chunking), asdict(point.embedding)]))
+        key = ("vectors", canonical([asdict(point.chunking), asdict(point.embedding), point.context.encoding_name]))
         if key not in self.made:
             encode = _encoder(point)
             self.made[key] = self.keep(self.chunks(point).withColumn("embedding", encode(F.col("content"))).select("chunk_id", "embedding"))
@@ -161,9 +165,9 @@ def run_stages(
             ranked = rerank.by_overlap(texts, top)
         final = out["reranked"] = clock("reranking", lambda: keep(ranked.drop("query", "content")))
     candidates = final.join(chunks.select("chunk_id", "doc_id", "content"), "chunk_id").withColumn("doc_id", F.col("doc_id").cast("string"))
-    c = point.context
-    packed = out["context"] = clock("packing", lambda: keep(context.pack(queries, candidates, c.token_budget, c.reorder_strategy)))
-    answered = out["generation"] = clock("generation", lambda: keep(context.generate(packed.select("query_id", "text"), queries, model)))
+    c, known = point.context, bpe.named(point.context.encoding_name)
+    packed = out["context"] = clock("packing", lambda: keep(context.pack(queries, candidates, c.token_budget, c.reorder_strategy, encoding=known)))
+    answered = out["generation"] = clock("generation", lambda: keep(context.generate(packed.select("query_id", "text"), queries, model, encoding=known)))
     answers = answered.select("query_id", F.col("answer").isNull().alias("silent"))
     wrong = F.coalesce(context.over_budget(F.col("total_tokens"), c.token_budget), F.when(F.col("silent"), F.lit("the model gave no answer")))
     runs = packed.select("query_id", "total_tokens").join(answers, "query_id").select("query_id", wrong.alias("error"))

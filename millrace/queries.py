@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import hashing, text
+from millrace.functions import bpe, hashing, text
 from millrace.operators import ann, chunking, context, dense, embed, fusion, lexical, metrics, qrels, relational, rerank, stats, transforms
 from millrace.plans import sweep
 from millrace.sources import export, readers
@@ -402,6 +402,26 @@ def latex_escapes(spark, d):
     return corpus(spark, d).select("doc_id", F.md5(export.latex_escape_column(F.col("content"))).alias("tex_md5"))
 
 
+def byte_pairs(spark) -> bpe.Encoding:
+    """The byte-pair vocabulary of the queries."""
+    import public_tokenizers
+
+    return bpe.encoding(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query()
+def bpe_token_counts(spark, d):
+    ids = bpe.ids(byte_pairs(spark))(F.col("content"))
+    counted = corpus(spark, d).select("doc_id", ids.alias("ids"))
+    return counted.select("doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
+
+
+@query()
+def bpe_windows(spark, d):
+    made = chunking.chunk(corpus(spark, d), "fixed", size=200, overlap=20, codec=byte_pairs(spark))
+    return made.select("doc_id", "chunk_index", "token_count", "char_count", "start_char", "end_char", F.md5("content").alias("content_md5"))
+
+
 def _folded(strategy, **options):
     def run(spark, d):
         made = chunking.chunk(corpus(spark, d), strategy, **options)
