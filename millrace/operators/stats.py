@@ -13,19 +13,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.special import NEGLIGIBLE, t_critical, t_two_tailed, wilcoxon_p
+from millrace.operators import ordering
 
 
-def summary(values: DataFrame, *groups: str, value: str = "value") -> DataFrame:
-    """Mean, median, least, most, sample deviation (0 for one value) and count of the values that exist."""
+def summary(values: DataFrame, *groups: str, value: str = "value", large: int = ordering.LARGE) -> DataFrame:
+    """Mean, median, least, most, sample deviation (0 for one value) and count of the values that exist.
+
+    Medians of groups of more than ``large`` rows come by ranks over range partitions, others by one buffer each.
+    """
     v = F.col(value)
-    return values.where(v.isNotNull()).groupBy(*groups).agg(
+    known = values.where(v.isNotNull())
+    wide = ordering.largest(known, *groups) > large
+    out = known.groupBy(*groups).agg(
         F.avg(v).alias("mean"),
-        F.median(v).alias("median"),
+        *([] if wide else [F.median(v).alias("median")]),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stddev"),
         F.count(v).alias("count"),
     )
+    if not wide:
+        return out
+    middle = ordering.medians(known, groups, value)
+    both = out.alias("a").join(middle.alias("b"), ordering._same("a", "b", groups))
+    return both.select(*(F.col(f"a.{g}").alias(g) for g in groups), "mean", "median", "min", "max", "stddev", "count")
 
 
 def run_status(queries: DataFrame, run: str = "run_id", status: str = "status") -> DataFrame:
@@ -76,9 +87,20 @@ def paired_statistics(pairs: DataFrame, *groups: str) -> DataFrame:
     return out.withColumns({"t_df": n - 1, "t_statistic": real(mean / (safe / F.sqrt(n))), "cohens_dz": real(mean / safe)})
 
 
-def _ranked(pairs: DataFrame, *groups: str) -> DataFrame:
+def _ranked_by_levels(kept: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """``_ranked`` for groups of any size: one row a distinct size, ranked over range partitions."""
+    ups = F.when(F.col("difference") > 0, F.lit(1)).otherwise(F.lit(0))
+    found = ordering.levels(kept, groups, "size", ups=ups)
+    place, t = F.col("below") + (F.col("ties") + 1) / 2, F.col("ties").cast("double")
+    up, down = F.sum(place * F.col("ups")), F.sum(place * (F.col("ties") - F.col("ups")))
+    return found.groupBy(*groups).agg(F.sum("ties").alias("n"), F.least(up, down).alias("w"), F.count(F.lit(1)).alias("levels"), F.sum(t * (t * t - 1)).alias("excess"))
+
+
+def _ranked(pairs: DataFrame, *groups: str, large: int = ordering.LARGE) -> DataFrame:
     """n, W = min(W+, W-) with mid-ranks, the number of sizes and the ties' sum of t**3 - t, by windows."""
     kept = pairs.where(F.abs("difference") > NEGLIGIBLE).withColumn("size", F.round(F.abs("difference"), 12))
+    if ordering.largest(kept, *groups) > large:
+        return _ranked_by_levels(kept, groups)
     ties = F.count(F.lit(1)).over(Window.partitionBy(*groups, "size"))
     ranked = kept.withColumns({"ties": ties, "place": F.rank().over(Window.partitionBy(*groups).orderBy("size")) + (ties - 1) / 2})
     up = F.coalesce(F.sum(F.when(F.col("difference") > 0, F.col("place"))), F.lit(0.0))
@@ -89,9 +111,9 @@ def _ranked(pairs: DataFrame, *groups: str) -> DataFrame:
     )
 
 
-def wilcoxon_statistic(pairs: DataFrame, *groups: str) -> DataFrame:
-    """n and W of each group's differences that aren't 0."""
-    return _ranked(pairs, *groups).select(*groups, "n", "w")
+def wilcoxon_statistic(pairs: DataFrame, *groups: str, large: int = ordering.LARGE) -> DataFrame:
+    """n and W of each group's differences that aren't 0; groups of more than ``large`` are ranked over range partitions."""
+    return _ranked(pairs, *groups, large=large).select(*groups, "n", "w")
 
 
 _TESTS = "struct<ci95_lower:double,ci95_upper:double,p_value:double,wilcoxon_statistic:double,wilcoxon_p:double,wilcoxon_method:string>"
@@ -130,16 +152,46 @@ def _family(group: str | None) -> Window:
     return Window.partitionBy(*([group] if group else [F.lit(0)]))
 
 
-def holm(df: DataFrame, p: str = "p_value", family: str | None = None, order: str = "metric") -> DataFrame:
-    """``p_holm``: p times the hypotheses left, never falling, at most 1.  A family is a set of metrics, so it is small."""
+def _counted(df: DataFrame, p: str, family: str | None) -> tuple[DataFrame, tuple[str, ...]]:
+    """``df`` with ``m__``, its family's number of hypotheses, and the columns that name a family."""
+    if family is None:
+        return df.crossJoin(F.broadcast(df.agg(F.count(p).alias("m__")))), ()
+    sizes = df.groupBy(F.col(family).alias("family__")).agg(F.count(p).alias("m__"))
+    return df.join(F.broadcast(sizes) if sizes.count() < 10_000 else sizes, F.col(family).eqNullSafe(F.col("family__"))).drop("family__"), (family,)
+
+
+def _holm_by_parts(df: DataFrame, p: str, family: str | None, order: str) -> DataFrame:
+    """``holm`` over range partitions: a running number, then a running maximum."""
+    known, groups = _counted(df, p, family)
+    by = (F.col(p), F.col(order))
+    numbered = ordering.running(known, groups, by, sums={"nth__": F.lit(1)}).withColumn("step__", F.col(p) * (F.col("m__") - F.col("nth__") + 1))
+    out = ordering.running(numbered, groups, by, greatest={"p_holm": F.col("step__")})
+    return out.withColumn("p_holm", F.least(F.lit(1.0), F.col("p_holm"))).drop("step__", "nth__", "m__")
+
+
+def _bh_by_parts(df: DataFrame, p: str, family: str | None, order: str) -> DataFrame:
+    """``benjamini_hochberg`` over range partitions: a running number, then from the largest down a running minimum."""
+    known, groups = _counted(df, p, family)
+    numbered = ordering.running(known, groups, (F.col(p), F.col(order)), sums={"nth__": F.lit(1)})
+    numbered = numbered.withColumn("step__", F.col(p) * F.col("m__") / F.col("nth__"))
+    out = ordering.running(numbered, groups, (F.col(p).desc(), F.col(order).desc()), greatest={"p_bh": -F.col("step__")})
+    return out.withColumn("p_bh", F.least(F.lit(1.0), -F.col("p_bh"))).drop("step__", "nth__", "m__")
+
+
+def holm(df: DataFrame, p: str = "p_value", family: str | None = None, order: str = "metric", large: int = ordering.LARGE) -> DataFrame:
+    """``p_holm``: p times the hypotheses left, never falling, at most 1.  Families of more than ``large`` are sorted by range."""
     w = _family(family).orderBy(p, order)
+    if ordering.largest(df, *([family] if family else [])) > large:
+        return _holm_by_parts(df, p, family, order)
     left = F.count(p).over(_family(family)) - F.row_number().over(w) + 1
     stepped = df.withColumn("step__", F.col(p) * left)
     return stepped.withColumn("p_holm", F.least(F.lit(1.0), F.max("step__").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("step__")
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p_value", family: str | None = None, order: str = "metric") -> DataFrame:
+def benjamini_hochberg(df: DataFrame, p: str = "p_value", family: str | None = None, order: str = "metric", large: int = ordering.LARGE) -> DataFrame:
     """``p_bh``: p times the number of hypotheses over its rank, never rising from the largest down, at most 1."""
+    if ordering.largest(df, *([family] if family else [])) > large:
+        return _bh_by_parts(df, p, family, order)
     up, down = _family(family).orderBy(p, order), _family(family).orderBy(F.col(p).desc(), F.col(order).desc())
     stepped = df.withColumn("step__", F.col(p) * F.count(p).over(_family(family)) / F.row_number().over(up))
     return stepped.withColumn("p_bh", F.least(F.lit(1.0), F.min("step__").over(down.rowsBetween(Window.unboundedPreceding, 0)))).drop("step__")

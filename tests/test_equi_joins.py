@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays
-from millrace.operators import ann, chunking, qrels
+from millrace.operators import ann, chunking, ordering, qrels, stats
 
 
 @pytest.mark.parametrize("strategy,size,overlap", [("sentence", 12, 5), ("sentence", 1, 0), ("recursive", 8, 3), ("recursive", 1, 0)])
@@ -77,3 +77,43 @@ def test_approximate_neighbours(spark, monkeypatch):
             assert all(s == pytest.approx(likeness[int(c[1:])], abs=1e-8) for c, s in found[f"v{i:04d}"].items() if c != "zero")
         assert hits / total >= 0.9 and len(found) == 500
     assert ann.search(queries, ann.build(vectors.limit(0), keep=lambda df: df), 3).collect() == []
+
+
+def measured(spark, n=900):
+    """One metric holds most rows; values tie, some are null."""
+    rng = random.Random(8)
+    rows = [(f"m{0 if i % 10 else i % 3}", i, None if i % 50 == 0 else rng.choice([0.0, 0.5, -0.5, rng.uniform(-1, 1)])) for i in range(n)]
+    return spark.createDataFrame(rows, "metric string, unit int, value double").repartition(5)
+
+
+def agree(a, b):
+    a, b = (sorted((r.asDict() for r in x.collect()), key=lambda r: (str(r["metric"]), r.get("unit", 0))) for x in (a, b))
+    assert len(a) == len(b) and a
+    for x, y in zip(a, b, strict=True):
+        assert x.keys() == y.keys() and all(x[k] == pytest.approx(y[k], abs=1e-12) for k in x)
+
+
+def test_order_statistics_over_range_partitions(spark):
+    values = measured(spark)
+    agree(stats.summary(values, "metric", large=1), stats.summary(values, "metric"))
+    pairs = values.where("value IS NOT NULL").withColumn("difference", F.col("value"))
+    agree(stats.wilcoxon_statistic(pairs, "metric", large=1), stats.wilcoxon_statistic(pairs, "metric"))
+    agree(stats._ranked(pairs, "metric", large=1), stats._ranked(pairs, "metric"))
+
+
+def test_corrections_over_range_partitions(spark):
+    tests = measured(spark).where("value IS NOT NULL").select("unit", (F.abs("value") / 40).alias("p_value"), "metric")
+    for family in ("metric", None):
+        for correct in (stats.holm, stats.benjamini_hochberg):
+            agree(correct(tests, family=family, order="unit", large=1), correct(tests, family=family, order="unit"))
+
+
+def test_no_task_holds_a_group(spark):
+    values = measured(spark).where("value IS NOT NULL")
+    ranked = ordering.running(values, ("metric",), (F.col("value"), F.col("unit")), sums={"nth": F.lit(1)})
+    found = sorted((r.metric, r.nth, r.value, r.unit) for r in ranked.collect())
+    wanted = sorted((r.metric, r.value, r.unit) for r in values.collect())
+    assert [(m, v, u) for m, _, v, u in found] == wanted
+    assert [n for m, n, _, _ in found if m == "m0"] == list(range(1, sum(m == "m0" for m, *_ in found) + 1))
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
