@@ -5,7 +5,9 @@
 Everything is built-in functions; no shuffle, no Python on the executors.
 
 Defined results: a null text has no words and counts zero everywhere, so the
-base rule rejects it; an empty text likewise.  Ratios over nothing are 0.
+base rule rejects it; an empty text likewise.  Ratios over nothing are 0.  A
+value at a bound passes.  No rule bounds the length of a text from above.  An
+empty table gives an empty one.
 Repeated rows are judged one by one.  Columns of the input are kept unless
 they bear the name of a new one.  Equal windows and
 words are found by 64-bit hashes within one text, so cost grows with the

@@ -19,7 +19,7 @@ every whole text once, without a shuffle.
 Defined results: null and empty texts get the score of no words, below 0.5 at
 a prior below a half; without any positive, or with nothing unlabelled, every
 score is 0; an empty table gives an empty one.  Repeated rows are scored
-alike.  Labels of a doc_id given twice count as toxic if one is.  A null
+alike.  Words of equal strength enter the vocabulary by their hashes.  Labels of a doc_id given twice count as toxic if one is.  A null
 doc_id is held out and learns nothing.  A text of any length is read whole,
 one at a time.  Columns of the inputs may have any names; in the output of
 ``score`` a column of the input that is named like the score gives way to it.
