@@ -3,6 +3,13 @@
 ``STAGES`` lists (name, function).  A function takes (spark, docs, sf_dir) and
 returns a DataFrame; between stages the result is written as Parquet and read
 again.  All stages but the last return the columns of ``documents``.
+
+Defined results: a document with a null or empty text has no words, so the
+quality rules reject it.  Near duplicates leave the row of least doc_id, a
+null doc_id last, and of rows that agree in every column one.  Where ids are
+equal, the hash of the row decides.  Texts of any length are
+read whole.  An empty table gives an empty result of the last stage's columns.
+Other columns pass every stage but the last, whatever their names.
 """
 
 from __future__ import annotations
