@@ -6,10 +6,14 @@ summary rows.  Points that share chunks share one lexical index.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
+from functools import wraps
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +21,22 @@ from millrace.functions import bpe
 from millrace.functions.hashing import cache_hash, canonical
 from millrace.operators import chunking, context, dense, embed, fusion, lexical, metrics, qrels, rerank, stats, transforms
 from millrace.plans.config import CHOICES, Experiment, Pipeline
+from millrace.plans.runs import RunTable
 from millrace.plans.sweep import expand
 from millrace.storage import materialize
 
 
+def _alone(make):
+    """A method that points running side by side call one after another, so that they share what it makes."""
+
+    @wraps(make)
+    def run(self, point: Pipeline):
+        with self.lock:
+            return make(self, point)
+
+    return run
+
+
 @dataclass
 class Corpus:
     """Documents (doc_id, content), or chunks already cut (chunk_id, doc_id, content); caches indexes by chunking and model."""
@@ -29,7 +45,9 @@ class Corpus:
     version: str = ""
     keep: Callable[[DataFrame], DataFrame] = field(default=lambda df: materialize(df, "run"))
     made: dict = field(default_factory=dict)
+    lock: threading.RLock = field(default_factory=threading.RLock, repr=False)
 
+    @_alone
     def chunks(self, point: Pipeline) -> DataFrame:
         c = point.chunking
         key = ("chunks", canonical([asdict(c), point.context.encoding_name]))
@@ -44,12 +62,14 @@ class Corpus:
             self.made[key] = self.keep(chunking.with_ids(cut))
         return self.made[key]
 
+    @_alone
     def index(self, point: Pipeline) -> lexical.Index:
         key = ("index", canonical([asdict(point.chunking), point.context.encoding_name]))
         if key not in self.made:
             self.made[key] = lexical.index(self.chunks(point), keep=self.keep)
         return self.made[key]
 
+    @_alone
     def vectors(self, point: Pipeline) -> DataFrame:
         key = ("vectors", canonical([asdict(point.chunking), asdict(point.embedding), point.context.encoding_name]))
         if key not in self.made:
@@ -234,21 +254,27 @@ def run_matrix(
     skip_invalid: bool = False,
     save: Callable[[str, dict[str, DataFrame]], None] | None = None,
     model: transforms.Model | None = None,
+    runs: RunTable | None = None,
+    bypass_cache: bool = False,
+    concurrent: int = 1,
     **options,
 ) -> list[Result]:
-    """Run every point of a sweep in order.
+    """Run every point of a sweep; up to ``concurrent`` at a time, each in a scheduler pool of its own.
 
-    A cache hash that ``known`` holds, or that an earlier point ran, is not run again; a point that fails leaves the
-    others alone, as a query that fails leaves its run PARTIAL.  Results are in the order of the points; ``options``
-    go to ``run_stages``.
+    A cache hash that ``known`` or ``runs`` holds is not run again, unless ``bypass_cache`` asks for it; points of one
+    hash share the first one's run, and a point that another sweep has claimed in ``runs`` is waited for.  A point that
+    fails leaves the others alone, as a query that fails leaves its run PARTIAL.  Results are in the order of the
+    points; ``options`` go to ``run_stages``.
     """
-    known, out = dict(known or {}), []
-    for i, point in enumerate(expand(experiment.components, skip_invalid)):
-        key = cache_hash(experiment.dataset_id, corpus.version, asdict(point), benchmark)
-        if key in known:
-            out.append(Result(i, point.hash(), key, "COMPLETED", True, 0.0, known[key]))
-            continue
-        began = time.monotonic()
+    known = dict(known or {})
+    points = list(enumerate(expand(experiment.components, skip_invalid)))
+    keys = {i: cache_hash(experiment.dataset_id, corpus.version, asdict(point), benchmark) for i, point in points}
+
+    def cached(i: int, point: Pipeline, means: dict) -> Result:
+        return Result(i, point.hash(), keys[i], "COMPLETED", True, 0.0, means)
+
+    def execute(i: int, point: Pipeline) -> Result:
+        key, began = keys[i], time.monotonic()
         try:
             stages = run_stages(corpus, queries, passages, point, model, **options)
             means = {r["metric"]: r["mean"] for r in stages["summary"].select("metric", "mean").collect()}
@@ -256,14 +282,42 @@ def run_matrix(
             if save:
                 save(key, stages)
         except Exception as error:  # one point's failure is that point's status
-            out.append(Result(i, point.hash(), key, "FAILED", False, time.monotonic() - began, {}, f"{type(error).__name__}: {error}"[:500]))
-            continue
+            return Result(i, point.hash(), key, "FAILED", False, time.monotonic() - began, {}, f"{type(error).__name__}: {error}"[:500])
         n, done, failed, status = (counts[c] for c in ("queries", "completed", "failed", "status")) if counts else (0, 0, 0, "COMPLETED")
-        if status == "COMPLETED":
-            known[key] = means
         error = "" if status == "COMPLETED" else f"{failed} of {n} queries failed"
-        out.append(Result(i, point.hash(), key, status, False, time.monotonic() - began, means, error, n, done, failed))
-    return out
+        return Result(i, point.hash(), key, status, False, time.monotonic() - began, means, error, n, done, failed)
+
+    def one(i: int, point: Pipeline) -> Result:
+        if concurrent > 1:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"point-{i % concurrent}")
+        key = keys[i]
+        if key in known and not bypass_cache:
+            return cached(i, point, known[key])
+        if runs is None:
+            return execute(i, point)
+        while (attempt := runs.claim(key, again=bypass_cache)) is None:
+            last = runs.wait(key)
+            if last.status == "COMPLETED" and not bypass_cache:
+                return cached(i, point, last.record["means"])
+        made = execute(i, point)
+        runs.finish(key, attempt, made.status, made.means, made.error, made.queries, made.completed, made.failed)
+        return made
+
+    # the first point of each hash runs; the others take its result if it is complete, else they run in their turn
+    leaders: dict[str, int] = {}
+    for i, _ in points:
+        leaders.setdefault(keys[i], i)
+    first = [(i, point) for i, point in points if leaders[keys[i]] == i]
+    if concurrent > 1:
+        with ThreadPoolExecutor(concurrent) as pool:
+            results = dict(zip((i for i, _ in first), pool.map(inheritable_thread_target(lambda p: one(*p)), first), strict=True))
+    else:
+        results = {i: one(i, point) for i, point in first}
+    for i, point in points:
+        if i not in results:
+            leader = results[leaders[keys[i]]]
+            results[i] = cached(i, point, leader.means) if leader.status == "COMPLETED" else one(i, point)
+    return [results[i] for i, _ in points]
 
 
 def matrix_verdict(results: list[Result]) -> str:

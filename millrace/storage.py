@@ -9,6 +9,7 @@ Only where that is unset (tests, a laptop) a temporary folder takes its place.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -92,3 +93,34 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
     finally:
         out.close()
     return path
+
+
+def create_once(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Write a small file that doesn't exist yet, whole or not at all; False if another writer was first."""
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    final = hadoop.Path(path)
+    files = final.getFileSystem(conf)
+    files.mkdirs(final.getParent())
+    ready = write_bytes(spark, f"{path}.{uuid.uuid4().hex}.ready", data)
+    if files.getScheme() == "file":
+        # a link is made once, whatever else runs on this machine
+        here, there = (files.makeQualified(hadoop.Path(p)).toUri().getPath() for p in (ready, path))
+        try:
+            os.link(here, there)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            files.delete(hadoop.Path(ready), False)
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.NONE
+    try:
+        hadoop.FileContext.getFileContext(final.toUri(), conf).rename(files.makeQualified(hadoop.Path(ready)), files.makeQualified(final), options)
+        return True
+    except Exception:
+        files.delete(hadoop.Path(ready), False)
+        if files.exists(final):
+            return False
+        raise
