@@ -26,6 +26,11 @@ from millrace.plans.sweep import expand
 from millrace.storage import materialize
 
 
+def chunk_key(point: Pipeline) -> tuple[str, str]:
+    """The name of a point's chunks among what a corpus has made."""
+    return "chunks", canonical([asdict(point.chunking), point.context.encoding_name])
+
+
 def _alone(make):
     """A method that points running side by side call one after another, so that they share what it makes."""
 
@@ -50,7 +55,7 @@ class Corpus:
     @_alone
     def chunks(self, point: Pipeline) -> DataFrame:
         c = point.chunking
-        key = ("chunks", canonical([asdict(c), point.context.encoding_name]))
+        key = chunk_key(point)
         if key not in self.made:
             options = {"size": c.chunk_size, "overlap": c.chunk_overlap}
             if c.strategy == "semantic":

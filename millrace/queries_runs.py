@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions.special import EXACT_UP_TO
 from millrace.operators import chunking, metrics, qrels, relational, rerank, stats, transforms
-from millrace.plans import config, runner, sweep
+from millrace.plans import config, runner, runs, sweep
 from millrace.queries import _PAIRS, _SPACE, _entailed, _two_runs, asked, bm25_scores, bm25_tables, corpus, gold, query, ranked_metrics_sql, six, table, turns
 from millrace.sources import export
-from millrace.storage import materialize
+from millrace.storage import fresh_path, materialize
 
 # gold passages
 
@@ -383,13 +383,14 @@ def _swept_sql(size: int) -> str:
     {ranked_metrics_sql()})"""
 
 
-@query(
+_SWEEP_SQL = (
     "SELECT chunk_size, metric, round(avg(value), 4) AS mean, count(*) AS n FROM (UNPIVOT ("
     + " UNION ALL ".join(f"SELECT {s} AS chunk_size, query_id, k, recall, mrr, ndcg FROM ({_swept_sql(s)})" for s in (120, 300))
-    + ") ON recall, mrr, ndcg INTO NAME m VALUE value) SELECT 1".replace(" SELECT 1", "")
-    + " u, LATERAL (SELECT m || '@' || k AS metric) GROUP BY ALL"
+    + ") ON recall, mrr, ndcg INTO NAME m VALUE value) u, LATERAL (SELECT m || '@' || k AS metric) GROUP BY ALL"
 )
-def experiment_sweep(spark, d):
+
+
+def _sweep(spark, d, **options):
     """A sweep of two points over the passages as documents, run end to end: each passage should find its own chunks."""
     docs = table(spark, d, "benchmark").select(F.concat(F.lit("d"), F.col("item_id").cast("string")).alias("doc_id"), F.col("text").alias("content"))
     passages = asked(spark, d).select(
@@ -400,15 +401,31 @@ def experiment_sweep(spark, d):
     points = sweep.expand(_SWEPT)
     for point in points:
         made = chunking.chunk(docs, "fixed", size=point.chunking.chunk_size, overlap=0)
-        key = ("chunks", runner.canonical(asdict(point.chunking)))
-        whole.made[key] = materialize(made.withColumn("chunk_id", F.concat_ws(":", "doc_id", "chunk_index")), "sweep")
-    results = runner.run_matrix(spark, config.Experiment("sweep", "passages", "1", components=_SWEPT), whole, asked(spark, d), passages)
+        whole.made[runner.chunk_key(point)] = materialize(made.withColumn("chunk_id", F.concat_ws(":", "doc_id", "chunk_index")), "sweep")
+    results = runner.run_matrix(spark, config.Experiment("sweep", "passages", "1", components=_SWEPT), whole, asked(spark, d), passages, **options)
     if bad := [r.error for r in results if r.status != "COMPLETED"]:
         raise RuntimeError("; ".join(bad))
+    return points, results
+
+
+@query(_SWEEP_SQL)
+def experiment_sweep(spark, d):
+    points, results = _sweep(spark, d)
     rows = [(p.chunking.chunk_size, m, round(v, 4), r.completed) for p, r in zip(points, results, strict=True) for m, v in r.means.items() if m.split("@")[0] in ("recall", "mrr", "ndcg")]
     return spark.createDataFrame(rows, "chunk_size int, metric string, mean double, n long")
 
 
+@query(_SWEEP_SQL)
+def shared_runs(spark, d):
+    """The same sweep, both points at once, read back from the table of runs that another sweep would share."""
+    stored = runs.RunTable(spark, fresh_path(spark, "runs"))
+    points, results = _sweep(spark, d, runs=stored, concurrent=2)
+    sizes = spark.createDataFrame([(r.cache_hash, p.chunking.chunk_size) for p, r in zip(points, results, strict=True)], "cache_hash string, chunk_size int")
+    done = relational.cached_runs(stored.table()).join(sizes, "cache_hash")
+    rows = done.select("chunk_size", F.explode("means").alias("metric", "mean"), F.col("completed").cast("long").alias("n"))
+    return rows.where(F.split("metric", "@")[0].isin("recall", "mrr", "ndcg")).select("chunk_size", "metric", F.round("mean", 4).alias("mean"), "n")
+
+
 @query("SELECT query_id, CASE WHEN query_id % 5 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status, CASE WHEN query_id % 5 = 0 THEN 'the model gave no answer' END AS error, query_id % 5 <> 0 AS measured FROM (SELECT item_id AS query_id FROM benchmark)")
 def run_with_failures(spark, d):
     """One run whose model is silent for some questions: they fail, the others are measured."""
