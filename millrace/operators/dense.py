@@ -1,8 +1,9 @@
 """Dense retrieval: embeddings as arrays, exact top-k by matrix products, metadata filters.
 
-Queries and chunks are packed into blocks of at most ``BLOCK`` rows.  Blocks of chunks are dealt to shards, each shard
-gets all blocks of queries, and every pair is one matrix product of which at most ``k`` chunks a query leave the task.
-Nothing passes the driver, and a task holds two blocks.
+Queries and chunks are packed into blocks of at most ``BLOCK`` rows and dealt to a grid: a row of it has a group of
+queries, a column a group of chunks, and every pair of blocks in a cell is one matrix product of which at most ``k``
+chunks a query leave the task.  A grid of P cells has as many rows as move the least, about the square root of P times
+the queries' share, so that neither side is copied to all of P.  Nothing passes the driver, and a task holds two blocks.
 """
 
 from __future__ import annotations
@@ -89,6 +90,13 @@ def _tile(k: int, distance: str):
     return run
 
 
+def grid(cells: int, queries: int, chunks: int) -> tuple[int, int]:
+    """Rows and columns of about so many cells: chunks are copied to every row, queries to every column."""
+    most = max(1, min(cells, -(-queries // BLOCK)))
+    rows = min(most, max(1, round((cells * queries / max(chunks, 1)) ** 0.5)))
+    return rows, max(1, -(-cells // rows))
+
+
 def search(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None, not_self: bool = False, distance: str = "cosine") -> DataFrame:
     """The ``k`` nearest chunks of ``vectors`` (chunk_id, embedding) for ``queries`` (query_id, embedding).
 
@@ -105,12 +113,14 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None
         rows = rows.where(F.col("embedding").isNotNull()).select(name, F.col("embedding").cast("array<double>"))
         return rows.mapInArrow(_packed, f"dim int, ids array<{kind}>, matrix binary")
 
-    shards = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = blocks(pool, "chunk_id", kinds["id"]).withColumn("shard", F.pmod(F.xxhash64("matrix"), F.lit(shards)).cast("int"))
-    asked = blocks(queries, "query_id", kinds["q"]).select(
-        F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("to")
-    )
-    tiles = dealt.join(asked, (F.col("shard") == F.col("to")) & (F.col("dim") == F.col("q_dim"))).select("dim", "q_ids", "q_matrix", "ids", "matrix")
+    rows, columns = grid(int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions")), queries.count(), pool.count())
+    number = lambda n: F.pmod(F.xxhash64("matrix"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = blocks(pool, "chunk_id", kinds["id"]).withColumn("column", number(columns)).withColumn("row", every(rows))
+    asked = blocks(queries, "query_id", kinds["q"]).withColumn("q_row", number(rows)).withColumn("q_column", every(columns))
+    asked = asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), "q_row", "q_column")
+    cell = (F.col("row") == F.col("q_row")) & (F.col("column") == F.col("q_column"))
+    tiles = dealt.join(asked, cell & (F.col("dim") == F.col("q_dim"))).select("dim", "q_ids", "q_matrix", "ids", "matrix")
     found = tiles.mapInArrow(_tile(k + not_self, distance), f"query_id {kinds['q']}, chunk_id {kinds['id']}, score double")
     if not_self:
         found = found.where(F.col("query_id") != F.col("chunk_id"))

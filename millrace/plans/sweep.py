@@ -143,3 +143,10 @@ def signature(values: dict) -> dict:
     """The control fields that must agree for runs to be compared, with their hash."""
     signed = {f: str(values.get(f, "")) for f in CONTROL_FIELDS}
     return signed | {"signature_hash": sha256_text("|".join(f"{k}:{v}" for k, v in signed.items()))}
+
+
+def signatures(runs: DataFrame, **fixed) -> DataFrame:
+    """``runs`` with ``signature``, as ``signature_hash`` has it, of columns named like control fields; ``fixed`` gives others."""
+    values = {f: F.col(f).cast("string") if f in runs.columns else F.lit(str(fixed.get(f, ""))) for f in CONTROL_FIELDS}
+    signed = F.concat_ws("|", *(F.concat(F.lit(f"{f}:"), F.coalesce(v, F.lit(""))) for f, v in values.items()))
+    return runs.withColumn("signature", F.sha2(signed, 256))

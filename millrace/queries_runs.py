@@ -354,6 +354,80 @@ def sweep_checks(spark, d):
 _SIGNED = "'dataset_id:d|dataset_version:' || o_orderpriority || '|content_hash:|benchmark_hash:|query_set_hash:|chunking:|embedding_provider:|embedding_model:|reranker:|top_k:' || k || '|metric_version:|protocol_version:|seed:42'"
 
 
+@query(f"SELECT o_orderpriority AS version, k, sha256({_SIGNED}) AS signature FROM (SELECT DISTINCT o_orderpriority, unnest([5, 10]) AS k FROM orders)")
+def control_signatures(spark, d):
+    versions = table(spark, d, "orders").select(F.col("o_orderpriority").alias("dataset_version")).distinct()
+    runs_ = versions.withColumn("top_k", F.explode(F.array(F.lit(5), F.lit(10))))
+    signed = sweep.signatures(runs_, dataset_id="d", seed=42)
+    return signed.select(F.col("dataset_version").alias("version"), F.col("top_k").alias("k"), "signature")
+
+
+@query(
+    f"""WITH {_GRID} SELECT index, mode || CASE WHEN enabled THEN '_reranked' ELSE '' END AS topology, '' AS warnings, 40::BIGINT AS queries,
+    '{{' || array_to_string(list_filter([CASE WHEN chunk_size <> 200 THEN '"chunking.chunk_size":' || chunk_size END, CASE WHEN enabled THEN '"reranker.enabled":true' END,
+      CASE WHEN mode <> 'dense' THEN '"retrieval.mode":"' || mode || '"' END, CASE WHEN top_k <> 5 THEN '"retrieval.top_k":' || top_k END], lambda x: x IS NOT NULL), ',') || '}}' AS difference,
+    36::BIGINT AS distinct_configs FROM g"""
+)
+def sweep_dry_run(spark, d):
+    plan = _plan(spark)
+    n = plan.agg(F.count_distinct("config_hash", "cache_hash").alias("distinct_configs"))
+    return plan.select("index", "topology", "warnings", "queries", "difference").join(n, how="cross")
+
+
+@query(f"WITH {_GRID} SELECT index, sha256(string_agg('{{\"i\":' || index || '}}', '' ORDER BY index) OVER (ORDER BY index ROWS UNBOUNDED PRECEDING)) AS chain FROM g")
+def sweep_order(spark, d):
+    """The points of a plan stay in the order of the grid: a hash over all indices so far."""
+    plan = relational.page(_plan(spark), "index", limit=1000)
+    from pyspark.sql import Window
+
+    so_far = F.collect_list(F.concat(F.lit('{"i":'), F.col("index").cast("string"), F.lit("}"))).over(Window.partitionBy(F.lit(0)).orderBy("index"))
+    return plan.select("index", F.sha2(F.array_join(so_far, ""), 256).alias("chain"))
+
+
+@query(
+    f"""WITH {_GRID}, p AS (SELECT a.index AS one, b.index AS two, a, b FROM g a, g b WHERE a.index < 6 AND b.index = 35 - a.index)
+    SELECT one, two, (a.chunk_size <> b.chunk_size)::INTEGER + (a.mode <> b.mode)::INTEGER + (a.top_k <> b.top_k)::INTEGER + (a.enabled <> b.enabled)::INTEGER AS fields,
+    CASE WHEN a.chunk_size <> b.chunk_size THEN a.chunk_size || '>' || b.chunk_size END AS size_change FROM p"""
+)
+def sweep_differences(spark, d):
+    points = sweep.expand(_COMPONENTS)
+    rows = []
+    for i in range(6):
+        found = sweep.pairwise_difference(points[i], points[35 - i])
+        rows.append((i, 35 - i, len(found), next((f"{a}>{b}" for c, n, a, b in found if n == "chunk_size"), None)))
+    return spark.createDataFrame(rows, "one long, two long, fields int, size_change string")
+
+
+@query(
+    """SELECT * FROM (VALUES ('total', '54'), ('size', 'HEAVY'), ('samples', '10'), ('last sample', '200 dense 5 0 c'), ('errors', 'chunking.chunk_overlap must be at least 0 and less than chunk_size; reranker.top_n must not exceed retrieval.top_k'),
+    ('warnings', 'multi_query with fewer than two queries expands nothing'), ('skipped', '2'), ('yaml points', '36')) t(name, value)"""
+)
+def sweep_checks(spark, d):
+    """Preview, validation and the written form of sweeps."""
+    import yaml
+
+    shown = sweep.preview({"size": [200, 400, 800], "mode": ["dense", "bm25", "hybrid"], "k": [5, 10], "r": [0], "x": ["a", "b", "c"]})
+    odd = {"chunking": {"chunk_size": [10, 100], "chunk_overlap": 50}, "reranker": {"enabled": True, "top_n": [3, 50]}, "query_transform": {"strategy": "multi_query", "num_queries": 1}}
+    start = sweep.baseline(odd)
+    every = [config.with_values(start, {("chunking", "chunk_size"): s, ("reranker", "top_n"): n}) for s in (10, 100) for n in (3, 50)]
+    wrong, warned = sweep.validate(every)
+    loaded = config.experiment(yaml.safe_load(sweep.to_yaml("n", "d", "1", _COMPONENTS)))
+    rows = {
+        "total": shown["total"],
+        "size": shown["size"],
+        "samples": len(shown["samples"]),
+        "last sample": " ".join(map(str, shown["samples"][2].values())),
+        "errors": "; ".join(wrong),
+        "warnings": "; ".join(warned),
+        "skipped": len(every) - len(sweep.expand({"chunking": {"chunk_size": [10, 100], "chunk_overlap": 50}}, skip_invalid=True)) - 1,
+        "yaml points": len(sweep.expand(loaded.components)),
+    }
+    return spark.createDataFrame([(k, str(v)) for k, v in rows.items()], "name string, value string")
+
+
+_SIGNED = "'dataset_id:d|dataset_version:' || o_orderpriority || '|content_hash:|benchmark_hash:|query_set_hash:|chunking:|embedding_provider:|embedding_model:|reranker:|top_k:' || k || '|metric_version:|protocol_version:|seed:42'"
+
+
 @query(f"SELECT o_orderpriority AS version, k, sha256({_SIGNED}) AS signature FROM (SELECT DISTINCT o_orderpriority, unnest([5, 10]) AS k FROM orders)")
 def control_signatures(spark, d):
     versions = [r[0] for r in table(spark, d, "orders").select("o_orderpriority").distinct().collect()]
