@@ -67,16 +67,20 @@ def sparse_cosine(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFram
 def gram_likeness(rows: DataFrame, group: str, place: str, text: str) -> DataFrame:
     """(group, place, similarity): the cosine of a row's character trigrams with those of the row before it in its group.
 
-    ``place`` numbers the rows of a group; neighbours without a common trigram have no row.
+    ``place`` numbers the rows of a group; neighbours without a common trigram have no row.  A text goes to its own
+    place and to the next one, so that both texts of a pair meet before they are taken apart; no grams are shuffled or
+    joined.
     """
-    grams = rows.select(group, place, F.explode(trigrams(F.col(text))).alias("gram"))
-    counts = grams.groupBy(group, place, "gram").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    norms = counts.groupBy(group, place).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    before = counts.select(group, (F.col(place) + 1).alias(place), "gram", F.col("n").alias("m"))
-    dots = counts.join(before, [group, place, "gram"]).groupBy(group, place).agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
-    earlier = norms.select(group, (F.col(place) + 1).alias(place), F.col("norm").alias("other"))
-    both = dots.join(norms, [group, place]).join(earlier, [group, place])
-    return both.select(group, place, (F.col("dot") / (F.col("norm") * F.col("other"))).alias("similarity"))
+    own = F.struct(F.col(place).alias("at"), F.lit(1).alias("own"))
+    following = F.struct((F.col(place) + 1).alias("at"), F.lit(0).alias("own"))
+    dealt = rows.where(F.col(group).isNotNull() & F.col(place).isNotNull()).select(group, F.col(text).alias("text__"), F.explode(F.array(own, following)).alias("to"))
+    met = dealt.select(group, F.col("to.at").alias(place), F.col("to.own").alias("own"), "text__").repartition(group, place)
+    grams = met.select(group, place, "own", F.explode(trigrams(F.col("text__"))).alias("gram"))
+    count = lambda side: F.count_if(F.col("own") == side).cast("double")
+    counts = grams.groupBy(group, place, "gram").agg(count(1).alias("n"), count(0).alias("m"))
+    times = lambda a, b: F.sum(F.col(a) * F.col(b))
+    sums = counts.groupBy(group, place).agg(times("n", "m").alias("dot"), F.sqrt(times("n", "n")).alias("norm"), F.sqrt(times("m", "m")).alias("other"))
+    return sums.where("dot > 0").select(group, place, (F.col("dot") / (F.col("norm") * F.col("other"))).alias("similarity"))
 
 
 def _hash_projection(dimension: int):
