@@ -101,6 +101,16 @@ def evidence_trail(query_runs: DataFrame, key: str = "query_run_id", **tables: D
     return out
 
 
+def exact_mean(value: Column) -> Column:
+    """The mean of doubles by a sum in decimals of twelve places, so that no order of rows decides ties of equal values.
+
+    Values or sums beyond decimals of 38 digits, and values that are not finite, take the mean of doubles instead.
+    """
+    fine = value.try_cast("decimal(26,12)")
+    exact = F.try_sum(fine).cast("double") / F.nullif(F.count(value), F.lit(0))
+    return F.when(F.count(fine) == F.count(value), F.coalesce(exact, F.avg(value))).otherwise(F.avg(value))
+
+
 #: Groups whose frontiers are found side by side.
 PARETO_GROUPS = 256
 

@@ -1,6 +1,8 @@
 """Steps whose memory, time or order of sums once grew with the tables."""
 
-from millrace.operators import embed
+from pyspark.sql import functions as F
+
+from millrace.operators import embed, relational
 
 
 def test_likeness_of_neighbours_joins_no_grams(spark):
@@ -9,3 +11,11 @@ def test_likeness_of_neighbours_joins_no_grams(spark):
     found = {(r.g, r.p): round(r.similarity, 6) for r in likeness.collect()}
     assert found == {(1, 1): 0.5, (4, 1): round(1 / 3, 6)}
     assert "Join" not in likeness._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_values_in_another_order_tie_on_the_frontier(spark):
+    rows = [(1, v) for v in (0.1, 0.2, 0.3)] + [(2, v) for v in (0.3, 0.2, 0.1)] + [(3, 0.1)] * 3
+    points = spark.createDataFrame(rows, "id int, value double").coalesce(1).groupBy("id").agg(relational.exact_mean(F.col("value")).alias("recall"), F.count(F.lit(1)).alias("latency"))
+    assert {r.id for r in relational.pareto(points).collect()} == {1, 2}
+    odd = spark.createDataFrame([(float("inf"),), (1.0,)], "value double").agg(relational.exact_mean(F.col("value")).alias("m"))
+    assert odd.first().m == float("inf")
