@@ -13,12 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import let, squeeze, word_runs
+from millrace.storage import materialize
 
 PHRASE = 4
 #: Characters by which a word is looked for among words.
 GRAM = 4
 COMMON, SHARE = 3, 0.5
+#: Words in common beyond one before a pair is counted in full, and words of passages that may be broadcast.
+MORE, MANY = 3, 1 << 18
 SHORT = 15
+#: Characters of passages that may be broadcast.
+BROADCAST = 1 << 21
 
 
 def _grams(text: Column, size: Column) -> Column:
@@ -39,15 +44,18 @@ def contained_pairs(inner: DataFrame, outer: DataFrame, a: str, b: str, blank: b
     listed = outer.select(b, F.explode(F.array_distinct(F.split("text", " "))).alias("word")).where("word <> ''")
     held = listed.select("word").distinct()
     parts = short.where("part <> ''").select("part").distinct().withColumn("size", F.least(F.lit(GRAM), F.length("part")))
-    sizes = F.array(*(F.lit(n) for n in range(1, GRAM + 1)))
-    grams = held.withColumn("size", F.explode(sizes)).select("word", "size", F.explode(_grams(F.col("word"), F.col("size"))).alias("gram"))
+    sizes = sorted(r["size"] for r in parts.select("size").distinct().collect())  # at most GRAM
+    if not sizes:
+        sizes = [GRAM]
+    every = F.concat(*(_grams(F.col("word"), F.lit(n)) for n in sizes))
+    grams = held.select("word", F.explode(every).alias("gram"))
     asked = parts.select("part", F.explode(_grams(F.col("part"), F.col("size"))).alias("gram"))
-    grams = grams.join(asked.select("gram").distinct(), "gram", "left_semi")
+    grams = materialize(grams.join(asked.select("gram").distinct(), "gram", "left_semi"), "grams")
     common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("words"))
     rarest = asked.join(common, "gram").groupBy("part").agg(F.min(F.struct("words", "gram")).alias("m"), F.count(F.lit(1)).alias("met"), F.max(F.size(_grams(F.col("part"), F.least(F.lit(GRAM), F.length("part"))))).alias("all"))
     # a part with a run of characters that no word has is in none
     probes = rarest.where("met = all").select("part", F.col("m.gram").alias("gram"))
-    words = probes.join(grams.select("gram", "word").distinct(), "gram").where(F.col("word").contains(F.col("part"))).select("part", "word")
+    words = probes.join(grams, "gram").where(F.col("word").contains(F.col("part"))).select("part", "word")
     near = words.join(listed, "word").select("part", b).distinct()
     whole = outer.select(b, F.col("text").alias("outer_text"))
     found = short.join(near, "part").join(whole, b).where(F.col("outer_text").contains(F.col("inner_text"))).select(a, b)
@@ -58,15 +66,19 @@ def contained_pairs(inner: DataFrame, outer: DataFrame, a: str, b: str, blank: b
 
 
 def _named(passages: DataFrame, chunks: DataFrame, filename: str | None = None) -> DataFrame:
-    """(passage, chunk_id) of equal doc_id or filename, or the id inside the chunk_id."""
-    wanted = passages.select("passage", F.col("doc_id").alias("wanted"))
+    """(passage, chunk_id) of equal doc_id or filename, or the id inside the chunk_id.
+
+    An empty id lies in every chunk_id; its pairs are not listed, since passages that name nothing have all chunks anyway.
+    """
+    wanted = passages.select("passage", F.col("doc_id").alias("wanted")).where(F.col("wanted").cast("string") != "")
     named = wanted.join(chunks, F.col("wanted") == F.col("doc_id")).select("passage", "chunk_id")
     if filename:
         named = named.unionByName(wanted.join(chunks, F.col("wanted") == F.col(filename)).select("passage", "chunk_id"))
     ids = wanted.select(F.col("wanted").cast("string").alias("text")).where("text IS NOT NULL").distinct()
     texts = chunks.select("chunk_id", F.col("chunk_id").cast("string").alias("text"))
     inside = contained_pairs(ids.withColumn("id", F.col("text")), texts, "id", "chunk_id", blank=True)
-    return named.unionByName(wanted.join(inside, F.col("wanted").cast("string") == F.col("id")).select("passage", "chunk_id")).distinct()
+    named = named.unionByName(wanted.join(inside, F.col("wanted").cast("string") == F.col("id")).select("passage", "chunk_id")).distinct()
+    return materialize(named, "named-chunks")
 
 
 def _unnamed(passages: DataFrame, named: DataFrame) -> DataFrame:
@@ -97,38 +109,62 @@ def containment(snippet: Column, content: Column) -> Column:
 
 
 def _inner_phrase(text: Column) -> Column:
-    """The second to fifth of a text's six or more words: whole words wherever the text lies; null for shorter texts."""
+    """The second to fifth of a text's words, without the last: whole words wherever the text lies; null for one or two words."""
     words = F.split(text, " ")
-    return F.when(F.size(words) >= PHRASE + 2, F.array_join(F.slice(words, 2, PHRASE), " "))
+    return F.when(F.size(words) >= 3, F.array_join(F.slice(words, 2, F.least(F.size(words) - 2, F.lit(PHRASE))), " "))
 
 
-def _contained(inner: DataFrame, outer: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b) with inner's text inside outer's, both squeezed and in lower case.
+def _few_in_many(few: DataFrame, many: DataFrame, small: bool) -> DataFrame:
+    """(passage, chunk_id) of passages' texts inside chunks' texts.
 
-    Longer texts meet by a phrase that containment implies, shorter ones by their longest word.
+    A text of three or more words is looked for where its inner word of fewest chunks is; shorter ones are looked for by
+    characters.  ``small`` passages are broadcast, so that chunks are searched where they are read.
     """
-    small = inner.where(_inner_phrase(F.col("text")).isNull())
-    keyed = inner.withColumn("phrase", _inner_phrase(F.col("text"))).where("phrase IS NOT NULL")
-    every = outer.select(b, F.explode(phrases(F.col("text"))).alias("phrase"))
-    every = every.join(keyed.select("phrase").distinct(), "phrase", "left_semi")
-    near = keyed.join(every, "phrase").join(outer.withColumnRenamed("text", "whole"), b).where(F.col("whole").contains(F.col("text"))).select(a, b)
-    return near.unionByName(contained_pairs(small, outer, a, b))
+    split = F.split("text", " ")
+    inner = few.where(F.size(split) >= 3).select("passage", F.explode(F.array_distinct(F.slice(split, 2, F.size(split) - 2))).alias("word"))
+    wanted = inner.select("word").distinct()
+    held = F.explode(F.array_distinct(split)).alias("word")
+    listed = many.select(held).join(F.broadcast(wanted) if small else wanted, "word", "left_semi")
+    frequency = listed.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    rarest = inner.join(frequency, "word", "left").groupBy("passage").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("m"))
+    probes = materialize(rarest.join(few, "passage").select("passage", F.col("m.word").alias("word"), F.col("text").alias("inner_text")), "gold-words")
+    if small:
+        found = many.select("chunk_id", "text", held).join(F.broadcast(probes), "word")
+    else:
+        near = many.select("chunk_id", held).join(probes.select("word", "passage"), "word")
+        found = near.join(many, "chunk_id").join(probes.drop("word"), "passage")
+    found = found.where(F.col("text").contains(F.col("inner_text"))).select("passage", "chunk_id")
+    short = few.where(F.size(split) < 3)
+    return found if short.isEmpty() else found.unionByName(contained_pairs(short, many, "passage", "chunk_id"))
+
+
+def _many_in_few(many: DataFrame, few: DataFrame, small: bool, longest: int) -> DataFrame:
+    """(passage, chunk_id) of chunks' texts inside passages' texts: only chunks no longer than a passage, met by one phrase each."""
+    brief = many.where((F.length("text") > SHORT) & (F.length("text") <= longest)).withColumn("phrase", _inner_phrase(F.col("text")))
+    every = few.select("passage", F.explode(F.array_distinct(F.concat(*(phrases(F.col("text"), n) for n in range(1, PHRASE + 1))))).alias("phrase"))
+    near = brief.where("phrase IS NOT NULL").join(F.broadcast(every) if small else every, "phrase")
+    found = near.join(few.select("passage", F.col("text").alias("whole")), "passage").where(F.col("whole").contains(F.col("text"))).select("passage", "chunk_id")
+    single = materialize(brief.where("phrase IS NULL").select("chunk_id", "text"), "brief-chunks")
+    return found if single.isEmpty() else found.unionByName(contained_pairs(single, few, "chunk_id", "passage").select("passage", "chunk_id"))
 
 
 def containment_matches(passages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(passage, chunk_id) by containment either way, as ``containment`` tests it, without comparing all pairs."""
-    p = passages.select("passage", squeeze(F.lower("snippet")).alias("text")).where("text <> ''")
-    c = chunks.select("chunk_id", squeeze(F.lower("content")).alias("text"))
-    forward = _contained(p, c, "passage", "chunk_id")
-    backward = _contained(c.where(F.length("text") > SHORT), p, "chunk_id", "passage")
-    return forward.unionByName(backward).distinct()
+    """(passage, chunk_id) by containment either way, as ``containment`` tests it, without comparing all pairs.
+
+    White space of every text is squeezed once, into a table that the steps read.
+    """
+    p = materialize(passages.select("passage", squeeze(F.lower("snippet")).alias("text")).where("text <> ''"), "gold-texts")
+    c = materialize(chunks.select("chunk_id", squeeze(F.lower("content")).alias("text")), "chunk-texts")
+    sizes = p.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("all"), F.coalesce(F.max(F.length("text")), F.lit(0)).alias("longest")).first()
+    small = sizes["all"] <= BROADCAST
+    return materialize(_few_in_many(p, c, small).unionByName(_many_in_few(c, p, small, sizes["longest"])).distinct(), "contained")
 
 
 def phrases(text: Column, n: int = PHRASE) -> Column:
     """Runs of ``n`` words of a text."""
 
     def runs(words: Column) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+        every = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.concat_ws(" ", *(F.get(words, i + j) for j in range(n))))
         return F.when(F.size(words) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
     return let(F.split(squeeze(F.lower(text)), " "), runs)
@@ -154,22 +190,28 @@ def shares_words(snippet: Column, content: Column, common: int = COMMON, share:
 def word_matches(passages: DataFrame, chunks: DataFrame, common: int = COMMON, share: float = SHARE) -> DataFrame:
     """(passage, chunk_id) whose word sets share enough words.
 
-    A match needs ``need`` of a passage's n words, so it holds one of any n - need + 1 of them: only the words of
-    fewest chunks are joined, and the pairs that they bring are counted in full.  Frequent words bring no pairs.
+    A match needs ``need`` of a passage's n words, so of any n - need + 1 + m of them it holds m + 1: only these many
+    words of fewest chunks are joined, and the pairs that share m + 1 of them are counted in full.  Frequent words
+    bring no pairs.  The words of chunks are made once, into a table that the steps read.
     """
-    words = passages.select("passage", _words(F.col("snippet")).alias("words"))
-    need = F.greatest(F.lit(common), F.ceil(F.size("words") * F.lit(share)).cast("int"))
-    left = words.select("passage", "words", (F.size("words") - need + 1).alias("keep"), F.explode("words").alias("word")).where("keep > 0")
-    right = chunks.select("chunk_id", _words(F.col("content")).alias("held"))
-    wanted = left.select("word").distinct()
-    listed = right.select("chunk_id", F.explode("held").alias("word")).join(wanted, "word", "left_semi")
-    frequency = listed.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    words = materialize(passages.select("passage", _words(F.col("snippet")).alias("words")), "gold-words")
+    held = materialize(chunks.select("chunk_id", _words(F.col("content")).alias("held")), "chunk-words")
+    n = F.size("words")
+    need = F.greatest(F.lit(common), F.ceil(n * F.lit(share)).cast("int"))
+    more = F.least(F.lit(MORE), need - 1)
+    left = words.where(need <= n).select("passage", (more + 1).alias("least"), (n - need + 1 + more).alias("keep"), F.explode("words").alias("word"))
+    small = words.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] <= MANY
+    sent = F.broadcast if small else (lambda df: df)
+    listed = held.select("chunk_id", F.explode("held").alias("word"))
+    frequency = listed.join(sent(left.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rarest = F.row_number().over(Window.partitionBy("passage").orderBy(F.coalesce("df", F.lit(0)), "word"))
-    probes = left.join(frequency, "word", "left").withColumn("nth", rarest).where(F.col("nth") <= F.col("keep")).select("passage", "word")
-    pairs = probes.join(listed, "word").select("passage", "chunk_id").distinct()
-    both = pairs.join(words, "passage").join(right, "chunk_id")
-    n = F.size(F.array_intersect("words", "held"))
-    return both.where((n >= common) & (n >= share * F.size("words"))).select("passage", "chunk_id")
+    probes = left.join(frequency, "word", "left").withColumn("nth", rarest).where(F.col("nth") <= F.col("keep"))
+    probes = materialize(probes.select("passage", "word", "least"), "word-probes")
+    pairs = listed.join(sent(probes), "word").groupBy("chunk_id", "passage").agg(F.count(F.lit(1)).alias("hits"), F.first("least").alias("least"))
+    both = pairs.where("hits >= least").join(held, "chunk_id").join(sent(words), "passage")
+    # one intersection by the smaller set
+    n = F.size(F.array_intersect("held", "words"))
+    return both.where(n >= F.greatest(F.lit(float(common)), share * F.size("words"))).select("passage", "chunk_id")
 
 
 def shares_phrase(snippet: Column, content: Column, n: int = PHRASE) -> Column:
@@ -188,7 +230,7 @@ def resolve(passages: DataFrame, chunks: DataFrame, compat: bool = False) -> Dat
     texts = textual.select("passage", "snippet", F.col("doc_id").alias("wanted"))
     if compat:
         found = containment_matches(textual, chunks).unionByName(phrase_matches(textual, chunks)).unionByName(word_matches(textual, chunks))
-        found, named = found.distinct(), _named(textual, chunks)
+        found, named = materialize(found.distinct(), "rule-matches"), _named(textual, chunks)
         # a passage that names no document may match any chunk
         found = found.join(named, ["passage", "chunk_id"], "left_semi").unionByName(found.join(_unnamed(textual, named), "passage", "left_semi"))
     else:

@@ -1,8 +1,10 @@
 """Steps whose memory, time or order of sums once grew with the tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from millrace.operators import embed, relational
+from millrace.operators import embed, qrels, relational
 
 
 def test_likeness_of_neighbours_joins_no_grams(spark):
@@ -19,3 +21,58 @@ def test_equal_values_in_another_order_tie_on_the_frontier(spark):
     assert {r.id for r in relational.pareto(points).collect()} == {1, 2}
     odd = spark.createDataFrame([(float("inf"),), (1.0,)], "value double").agg(relational.exact_mean(F.col("value")).alias("m"))
     assert odd.first().m == float("inf")
+
+
+def plain(text):
+    return " ".join(text.lower().split())
+
+
+def test_containment_reads_few_tables(spark):
+    """Texts of one, two, three and more words, either way, squeezed once."""
+    rng = random.Random(4)
+    words = ["ab", "abc", "b", "Ca", "dd", "é", "longer-word-of-chars"]
+    make = lambda n: " \n".join(rng.choice(words) for _ in range(n))
+    snippets = [(i, make(rng.randrange(0, 9))) for i in range(60)] + [(90, None), (91, " "), (92, "b"), (93, "zz zz zz")]
+    contents = [(str(i), make(rng.randrange(0, 30))) for i in range(80)] + [("n", None), ("e", ""), ("s", "Longer-word-of-chars"), ("t", "ab  longer-word-of-chars")]
+    p = spark.createDataFrame(snippets, "passage int, snippet string")
+    c = spark.createDataFrame(contents, "chunk_id string, content string")
+    wanted = set()
+    for i, s in snippets:
+        for k, t in contents:
+            if s is not None and t is not None and (s := plain(s)) and (s in plain(t) or len(plain(t)) > 15 and plain(t) in s):
+                wanted.add((i, k))
+    assert {tuple(r) for r in qrels.containment_matches(p, c).collect()} == wanted and len(wanted) > 50
+    limit, qrels.BROADCAST = qrels.BROADCAST, 0
+    try:
+        found = qrels.containment_matches(p, c)
+        assert {tuple(r) for r in found.collect()} == wanted
+    finally:
+        qrels.BROADCAST = limit
+    # no later step reads the chunks again
+    assert "content#" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_and_phrases_in_common(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(14)]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    snippets = [(i, make(rng.randrange(0, 12))) for i in range(40)] + [(90, None), (91, "")]
+    contents = [(str(i), make(rng.randrange(0, 25))) for i in range(50)] + [("n", None)]
+    p, c = spark.createDataFrame(snippets, "passage int, snippet string"), spark.createDataFrame(contents, "chunk_id string, content string")
+    sets = lambda t: set((t or "").split())
+    runs = lambda t: {tuple(w[i : i + 4]) for w in [(t or "").split()] for i in range(len(w) - 3)}
+    pairs = [(i, k, s, t) for i, s in snippets for k, t in contents]
+    matched = qrels.word_matches(p, c)
+    assert {tuple(r) for r in matched.collect()} == {(i, k) for i, k, s, t in pairs if len(sets(s) & sets(t)) >= max(3, len(sets(s)) / 2)}
+    assert {tuple(r) for r in qrels.phrase_matches(p, c).collect()} == {(i, k) for i, k, s, t in pairs if runs(s) & runs(t)}
+    assert "content#" not in matched._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blank_document_ids_pair_with_no_chunk_before_the_rules(spark):
+    """A passage without a document has all chunks, but they are not listed to resolve it."""
+    chunks = spark.createDataFrame([(f"{i}:0", str(i), "one two three four five", 0, 23) for i in range(30)], "chunk_id string, doc_id string, content string, start_char int, end_char int")
+    rows = [(1, 1, "", "two three four"), (2, 2, "7", "two three four"), (3, 3, None, "two three four"), (4, 4, "zz", "two three four")]
+    passages = spark.createDataFrame(rows, "passage int, query_id int, doc_id string, snippet string").selectExpr("*", "int(null) start_char", "int(null) end_char")
+    assert {r.passage for r in qrels._named(passages, chunks).collect()} == {2}
+    assert qrels.resolve(passages, chunks, compat=True).groupBy("passage").count().orderBy("passage").collect() == [(1, 30), (2, 3), (3, 30), (4, 30)]
+    assert qrels.candidates(passages, chunks).groupBy("passage").count().orderBy("passage").collect() == [(1, 30), (2, 3), (3, 30), (4, 30)]
