@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import base64
 import os
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -96,9 +99,17 @@ def counter(made: Encoding | None) -> Callable[[Column], Column]:
 def ids(made: Encoding) -> Callable[[Column], Column]:
     """From a text to the list of its ids; a null text has none."""
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield texts.map(lambda t: None if t is None else made.encode(t))
+            # packed at once, as lists of Python's numbers take nine times the memory
+            found, ends, missing = array("i"), array("i", [0]), []
+            for text in texts:
+                known = text.as_py()
+                missing.append(known is None)
+                found.extend(made.encode(known) if known is not None else ())
+                ends.append(len(found))
+            values, offsets = (pa.array(np.frombuffer(x, np.int32)) for x in (found, ends))
+            yield pa.ListArray.from_arrays(offsets, values, mask=pa.array(missing, pa.bool_()))
 
     return encode

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from millrace.operators import embed, qrels, relational
+from millrace.operators import chunking, embed, qrels, relational
 
 
 def test_likeness_of_neighbours_joins_no_grams(spark):
@@ -76,3 +76,41 @@ def test_blank_document_ids_pair_with_no_chunk_before_the_rules(spark):
     assert {r.passage for r in qrels._named(passages, chunks).collect()} == {2}
     assert qrels.resolve(passages, chunks, compat=True).groupBy("passage").count().orderBy("passage").collect() == [(1, 30), (2, 3), (3, 30), (4, 30)]
     assert qrels.candidates(passages, chunks).groupBy("passage").count().orderBy("passage").collect() == [(1, 30), (2, 3), (3, 30), (4, 30)]
+
+
+def test_windows_of_ids_leave_the_worker_in_small_batches(spark):
+    class Words:
+        """Every character is an id."""
+
+        def __call__(self, text):
+            return len(text)
+
+        def spans(self, text, size, overlap):
+            return [(i, min(i + size, len(text))) for i in range(0, len(text), size)]
+
+    held, chunking.WINDOWS = chunking.WINDOWS, 3
+    try:
+        docs = spark.createDataFrame([(1, "abcd efgh" * 5), (2, None), (3, " "), (4, "xy  z")], "doc_id long, content string").coalesce(1)
+        made = chunking.chunk(docs, "fixed", size=4, overlap=0, codec=Words())
+        assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(map(tuple, made.collect()))
+    finally:
+        chunking.WINDOWS = held
+    text = "abcd efgh" * 5
+    assert [r[4:7] for r in rows if r[0] == 1] == [(len(text[i : i + 4].strip()), i + len(text[i : i + 4]) - len(text[i : i + 4].lstrip()), i + len(text[i : i + 4].rstrip())) for i in range(0, 45, 4)]
+    assert [r[:3] for r in rows if r[0] == 4] == [(4, 0, "xy"), (4, 1, "z")] and {r[0] for r in rows} == {1, 4}
+
+
+
+def test_ids_cross_as_arrow_lists(spark):
+    import public_tokenizers
+    from pyspark.util import PythonEvalType
+
+    from millrace.functions import bpe
+
+    made = bpe.encoding(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = [("a few words, and é😀",), (None,), ("",), ("more " * 50,)]
+    found = spark.createDataFrame(texts, "t string").coalesce(1).select("t", bpe.ids(made)(F.col("t")).alias("ids"))
+    assert {r.t: r.ids for r in found.collect()} == {t: None if t is None else made.encode(t) for (t,) in texts}
+    # a pandas function would hold a list of Python's numbers for each text of a batch
+    assert bpe.ids(made).evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
