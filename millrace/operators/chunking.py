@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from millrace.functions.arrays import chain, first_at_least, powers, prefix_sums
 from millrace.functions.hashing import chunk_id
 from millrace.functions.text import SENTENCE_ENDS, clean_sentences, let, strip, token_estimate
 
+#: Windows of ids that a Python worker holds.
+WINDOWS = 512
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 _CHUNK = "struct<chunk_index:int,content:string,token_count:int,char_count:int,start_char:int,end_char:int>"
 
@@ -290,22 +293,40 @@ def chunk(docs: DataFrame, strategy: str, doc_id: str = "doc_id", content: str =
 def _id_windows(docs: DataFrame, doc_id: str, content: str, size: int, overlap: int, codec) -> DataFrame:
     """Windows of ids as spans of the text; outer white space goes, and blank windows take no index."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for text in texts:
-                made = []
-                for a, b in codec.spans(text, size, overlap) if text and text.strip() else []:
-                    body = text[a:b].strip()
-                    if body:
-                        start = a + len(text[a:b]) - len(text[a:b].lstrip())
-                        made.append(dict(chunk_index=len(made), content=body, token_count=codec(body), char_count=len(body), start_char=start, end_char=start + len(body)))
-                out.append(made)
-            yield pd.Series(out, dtype=object)
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    made = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.pandas_udf(run, f"array<{_CHUNK}>")(F.col(content))).alias("chunk"))
-    return made.select("doc_id", "chunk.*", F.lit("fixed").alias("strategy"))
+    names = ["chunk_index", "content", "token_count", "char_count", "start_char", "end_char"]
+    key = dict(docs.dtypes)[doc_id]
+
+    def rows(text: str | None) -> Iterator[tuple]:
+        i = 0
+        for a, b in codec.spans(text, size, overlap) if text and text.strip() else []:
+            body = text[a:b].strip()
+            if body:
+                start = a + len(text[a:b]) - len(text[a:b].lstrip())
+                yield i, body, codec(body), len(body), start, start + len(body)
+                i += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+        for batch in batches:
+            held: list[tuple] = []
+            at: list[int] = []
+
+            def packed() -> pa.RecordBatch:
+                columns = zip(*held, strict=True) if held else [()] * len(types)
+                made = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *made], names=["doc_id", *names])
+
+            for place, text in enumerate(batch.column(1)):
+                for row in rows(text.as_py()):
+                    held.append(row)
+                    at.append(place)
+                    if len(held) == WINDOWS:
+                        yield packed()
+                        held, at = [], []
+            yield packed()
+
+    schema = f"doc_id {key}, chunk_index int, content string, token_count int, char_count int, start_char int, end_char int"
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(content).alias("content")).mapInArrow(run, schema).withColumn("strategy", F.lit("fixed"))
 
 
 def _merged_chunks(docs: DataFrame, name: str, doc_id: str, content: str, size: int, overlap: int) -> DataFrame:
