@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import fields, nfkc, strip, trigrams
@@ -39,10 +39,15 @@ def shingle_hashes(texts: DataFrame, key: str, text: str, dimension: int = 384,
     Shingles are the three characters from each position of a token, shorter at its end.  The MD5 of a shingle, as a
     128-bit number, gives the place (modulo ``dimension``) and the sign (bit 16).  A text without shingles, or whose
     signs cancel everywhere, is the first unit vector.
+
+    Texts are dealt by their keys and taken apart there, so that shingles and sums are neither shuffled nor joined; a
+    null among a text's shingles stands for the text itself.
     """
     body = F.lower(strip(F.col(text)))
-    tokens = fields(nfkc(body) if compose else body)
+    texts = texts.select(key, (nfkc(body) if compose else body).alias("body__")).repartition(key)
+    tokens = fields(F.col("body__"))
     parts = F.flatten(F.transform(tokens, lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(t, i, F.lit(3)))))
+    parts = F.concat(F.coalesce(parts, F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
     shingles = texts.select(key, F.explode(parts).alias("shingle")).groupBy(key, "shingle").agg(F.count(F.lit(1)).alias("times"))
     digest = F.md5("shingle")
     place = F.lit(0).cast("long")
@@ -51,11 +56,13 @@ def shingle_hashes(texts: DataFrame, key: str, text: str, dimension: int = 384,
         place = F.pmod(place * F.lit((1 << 32) % dimension) + digits, F.lit(dimension))
     odd = F.conv(F.substring(digest, 28, 1), 16, 10).cast("int") % 2 == 1
     sums = shingles.select(key, place.alias("idx"), F.when(odd, F.col("times")).otherwise(-F.col("times")).alias("signed"))
-    sums = sums.groupBy(key, "idx").agg(F.sum("signed").alias("signed")).where("signed <> 0")
-    norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("signed") * F.col("signed")).cast("double")).alias("norm"))
-    cells = sums.join(norms, key).select(key, "idx", (F.col("signed") / F.col("norm")).alias("value"))
-    blank = texts.select(key).join(norms, key, "left_anti").select(key, F.lit(0).cast("long").alias("idx"), F.lit(1.0).alias("value"))
-    return cells.unionByName(blank)
+    sums = sums.groupBy(key, "idx").agg(F.sum("signed").alias("signed"))
+    own = F.col("idx").isNotNull()
+    square = F.sum(F.when(own, F.col("signed") * F.col("signed")).otherwise(0)).over(Window.partitionBy(key))
+    cell = F.struct(F.col("idx"), (F.col("signed") / F.sqrt(F.col("square").cast("double"))).alias("value"))
+    blank = F.struct(F.lit(0).cast("long").alias("idx"), F.lit(1.0).alias("value"))
+    rows = F.when(own & (F.col("signed") != 0), F.array(cell)).when(~own & (F.col("square") == 0), F.array_repeat(blank, F.abs("signed").cast("int")))
+    return sums.withColumn("square", square).select(key, F.inline(rows))
 
 
 def sparse_cosine(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:

@@ -114,3 +114,15 @@ def test_ids_cross_as_arrow_lists(spark):
     assert {r.t: r.ids for r in found.collect()} == {t: None if t is None else made.encode(t) for (t,) in texts}
     # a pandas function would hold a list of Python's numbers for each text of a batch
     assert bpe.ids(made).evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
+
+
+def test_hash_cells_take_one_shuffle_of_texts(spark):
+    encode = embed.provider("mock", dimension=384)
+    texts = [(1, "Some words, é😀 more"), (2, None), (3, " "), (4, "aaa aaa b")]
+    rows = spark.createDataFrame(texts, "id int, t string")
+    cells = embed.shingle_hashes(rows, "id", "t")
+    found = {(r.id, r.idx): round(r.value, 9) for r in cells.collect()}
+    dense = {r.id: r.v for r in rows.select("id", encode(F.col("t")).alias("v")).collect()}
+    assert found == {(i, k): round(x, 9) for i, v in dense.items() for k, x in enumerate(v) if x}
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate explode") == 1
