@@ -1,9 +1,7 @@
 """Chunkers: a document to its chunks.
 
-Windows of characters are expressions, and so are chunks of merged pieces: where a chunk that begins at a piece ends,
-and where the next one begins, follows from prefix sums of the pieces' tokens by binary search, so that the starts are
-a chain of pointers.  Chunkers by other counters of tokens, likeness, or a registered method run per document in Arrow
-batches.  A document is one value, documents are independent, nothing is shuffled.
+Windows of characters are expressions.  All other chunkers run per document in Arrow batches; those of merged pieces
+and of ids hold at most ``WINDOWS`` chunks.  A document is one value, documents are independent, nothing is shuffled.
 A chunk has chunk_index, content, token_count, char_count, start_char, end_char and strategy.
 """
 
@@ -19,11 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.arrays import chain, first_at_least, powers, prefix_sums
 from millrace.functions.hashing import chunk_id
-from millrace.functions.text import SENTENCE_ENDS, clean_sentences, let, strip, token_estimate
+from millrace.functions.text import SENTENCE_ENDS, let, strip, token_estimate
 
-#: Windows of ids that a Python worker holds.
+#: Chunks that a Python worker holds.
 WINDOWS = 512
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 _CHUNK = "struct<chunk_index:int,content:string,token_count:int,char_count:int,start_char:int,end_char:int>"
@@ -102,16 +99,17 @@ def split_recursively(text: str, size: int, separators: tuple[str, ...] = SEPARA
 def merge(pieces: list[str], size: int, overlap: int, tokens: Callable[[str], int] = count_tokens) -> list[str]:
     """Join pieces by spaces up to ``size`` tokens; a chunk begins with the longest run of last pieces within the overlap."""
     chunks: list[str] = []
-    held: list[tuple[str, int]] = []
-    for piece in pieces:
-        n = tokens(piece)
-        if held and sum(k for _, k in held) + n > size:
-            chunks.append(" ".join(p for p, _ in held))
-            while held and (sum(k for _, k in held) > overlap or sum(k for _, k in held) + n > size):
-                held.pop(0)
-        held.append((piece, n))
-    if held:
-        chunks.append(" ".join(p for p, _ in held))
+    counts = [tokens(p) for p in pieces]
+    first = total = 0  # the pieces held are those from ``first`` on
+    for i, n in enumerate(counts):
+        if first < i and total + n > size:
+            chunks.append(" ".join(pieces[first:i]))
+            while first < i and (total > overlap or total + n > size):
+                total -= counts[first]
+                first += 1
+        total += n
+    if pieces:
+        chunks.append(" ".join(pieces[first:]))
     return chunks
 
 
@@ -119,60 +117,6 @@ def recursive(text: str, size: int, overlap: int, tokens: Callable[[str], int] =
     return merge(split_recursively(text, size, tokens=tokens), size, overlap, tokens)
 
 
-def recursive_pieces(text: Column, size: int, separators: tuple[str, ...] = SEPARATORS) -> Column:
-    """``split_recursively`` as an expression."""
-    if not separators:
-        return F.array(text)
-    first, rest = separators[0], separators[1:]
-
-    def parts(t: Column) -> Column:
-        if not first:
-            return F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
-        return F.filter(F.split(t, re.escape(first), -1), lambda p: p != "")
-
-    def split(t: Column) -> Column:
-        deeper = F.flatten(F.transform(parts(t), lambda p: recursive_pieces(p, size, rest)))
-        return F.when(token_estimate(t) > size, deeper).otherwise(F.filter(F.array(t), lambda p: p != ""))
-
-    return let(text, split)
-
-
-def merged(pieces: Column, size: int, overlap: int) -> Column:
-    """``merge`` as an expression: the chunks as texts.
-
-    A chunk from piece s ends before the first piece that would bring it over ``size`` (but holds one piece); the next
-    begins at the first piece from which what is held is within ``overlap`` and leaves room for that piece.
-    """
-
-    def borders(sums: Column, steps: Column, n: Column) -> Column:
-        place = lambda i: F.get(sums, i)
-        end = lambda s: F.least(n, F.greatest(first_at_least(sums, place(s) + (size + 1), steps) - 1, s + 1))
-        back = lambda e: F.greatest(place(e) - overlap, place(e + 1) - size)
-        after = lambda e: F.when(e >= n, n).otherwise(F.least(e, first_at_least(sums, back(e), steps)))
-
-        def cut(ends: Column) -> Column:
-            following = F.transform(F.concat(ends, F.array(n)), lambda e: after(e))
-            return F.transform(chain(following), lambda s: F.array_join(F.slice(pieces, s + 1, F.get(ends, s) - s), " "))
-
-        return let(F.transform(F.sequence(F.lit(0), n - 1), lambda s: end(s)), cut)
-
-    sums = prefix_sums(F.transform(pieces, lambda p: token_estimate(p)))
-    found = let(sums, lambda p: let(powers(F.size(p)), lambda steps: borders(p, steps, F.size(p) - 1)))
-    return F.when(F.size(pieces) > 0, found).otherwise(F.array().cast("array<string>"))
-
-
-def located(text: Column, chunks: Column) -> Column:
-    """``locate`` as an expression: the start of every chunk."""
-
-    def place(acc: Column, chunk: Column) -> Column:
-        head = F.substring(chunk, 1, 30)
-        ahead, anywhere = F.position(head, text, acc["at"] + 1) - 1, F.position(head, text) - 1
-        start = F.when(ahead >= 0, ahead).when(anywhere >= 0, anywhere).otherwise(acc["at"])
-        return let(start, lambda s: F.struct((s + F.floor(F.length(chunk) / 2).cast("int")).alias("at"), F.concat(acc["starts"], F.array(s)).alias("starts")))
-
-    return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), place, lambda acc: acc["starts"])
-
-
 _AFTER_SENTENCE = re.compile(f"(?<=[{SENTENCE_ENDS}])\\s+")
 _AFTER_UNIT = re.compile("(?<=[.!?।])\\s+")
 
@@ -290,21 +234,11 @@ def chunk(docs: DataFrame, strategy: str, doc_id: str = "doc_id", content: str =
     return made.select("doc_id", "chunk.*", F.lit(name).alias("strategy"))
 
 
-def _id_windows(docs: DataFrame, doc_id: str, content: str, size: int, overlap: int, codec) -> DataFrame:
-    """Windows of ids as spans of the text; outer white space goes, and blank windows take no index."""
-
+def _rows(docs: DataFrame, doc_id: str, content: str, name: str, rows: Callable[[str], Iterator[tuple]]) -> DataFrame:
+    """The chunks that ``rows`` makes of every text, in Arrow batches of at most ``WINDOWS``."""
     names = ["chunk_index", "content", "token_count", "char_count", "start_char", "end_char"]
     key = dict(docs.dtypes)[doc_id]
 
-    def rows(text: str | None) -> Iterator[tuple]:
-        i = 0
-        for a, b in codec.spans(text, size, overlap) if text and text.strip() else []:
-            body = text[a:b].strip()
-            if body:
-                start = a + len(text[a:b]) - len(text[a:b].lstrip())
-                yield i, body, codec(body), len(body), start, start + len(body)
-                i += 1
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
         for batch in batches:
@@ -317,7 +251,7 @@ def _id_windows(docs: DataFrame, doc_id: str, content: str, size: int, overlap:
                 return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *made], names=["doc_id", *names])
 
             for place, text in enumerate(batch.column(1)):
-                for row in rows(text.as_py()):
+                for row in rows(text.as_py() or ""):
                     held.append(row)
                     at.append(place)
                     if len(held) == WINDOWS:
@@ -326,31 +260,34 @@ def _id_windows(docs: DataFrame, doc_id: str, content: str, size: int, overlap:
             yield packed()
 
     schema = f"doc_id {key}, chunk_index int, content string, token_count int, char_count int, start_char int, end_char int"
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(content).alias("content")).mapInArrow(run, schema).withColumn("strategy", F.lit("fixed"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(content).alias("content")).mapInArrow(run, schema).withColumn("strategy", F.lit(name))
+
+
+def _id_windows(docs: DataFrame, doc_id: str, content: str, size: int, overlap: int, codec) -> DataFrame:
+    """Windows of ids as spans of the text; outer white space goes, and blank windows take no index."""
+
+    def rows(text: str) -> Iterator[tuple]:
+        i = 0
+        for a, b in codec.spans(text, size, overlap) if text.strip() else []:
+            body = text[a:b].strip()
+            if body:
+                start = a + len(text[a:b]) - len(text[a:b].lstrip())
+                yield i, body, codec(body), len(body), start, start + len(body)
+                i += 1
+
+    return _rows(docs, doc_id, content, "fixed", rows)
 
 
 def _merged_chunks(docs: DataFrame, name: str, doc_id: str, content: str, size: int, overlap: int) -> DataFrame:
-    """Chunks of sentences or of recursively split pieces, by expressions alone."""
-    text = F.col(content)
-    pieces = clean_sentences(text) if name == "sentence" else recursive_pieces(text, size)
-
-    def rows(chunks: Column) -> Column:
-        one = lambda c, i, at: F.struct(
-            i.alias("chunk_index"),
-            c.alias("content"),
-            token_estimate(c).alias("token_count"),
-            F.length(c).alias("char_count"),
-            F.get(at, i).alias("start_char"),
-            (F.get(at, i) + F.length(c)).alias("end_char"),
-        )
-        return let(located(text, chunks), lambda at: F.transform(chunks, lambda c, i: one(c, i, at)))
-
-    def stripped(texts: Column) -> Column:
-        return F.filter(F.transform(texts, lambda c: strip(c)), lambda c: c != "")
-
-    made = let(pieces, lambda p: let(stripped(merged(p, size, overlap)), rows))
-    whole = docs.where(F.length(strip(text)) > 0)
-    return whole.select(F.col(doc_id).alias("doc_id"), F.inline(made)).withColumn("strategy", F.lit(name))
+    """Chunks of sentences or of recursively split pieces."""
+    method = by_sentence if name == "sentence" else recursive
+
+    def rows(text: str) -> Iterator[tuple]:
+        made = [c for c in map(str.strip, method(text, size, overlap)) if c] if text.strip() else []
+        for i, (body, (a, b)) in enumerate(zip(made, locate(text, made), strict=True)):
+            yield i, body, count_tokens(body), len(body), a, b
+
+    return _rows(docs, doc_id, content, name, rows)
 
 
 def with_ids(chunks: DataFrame, compose: bool = True) -> DataFrame:

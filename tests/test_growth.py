@@ -154,3 +154,33 @@ def test_words_in_python_are_those_of_the_expression(spark):
     rows = spark.createDataFrame([(t,) for t in given], "t string").select(F.lower("t").alias("low"), text.bm25_tokens(F.col("t")).alias("a"), text.bm25_tokens(F.col("t"), False).alias("b")).collect()
     assert [text.bm25_words(r.low) for r in rows] == [r.a for r in rows]
     assert [text.bm25_words(r.low, False) for r in rows] == [r.b for r in rows]
+
+
+def test_merged_chunks_are_made_in_arrow_batches(spark, monkeypatch):
+    """Each piece is counted once and dropped once; the chunks are those of a walk that adds up what is held."""
+
+    def walk(pieces, size, overlap):
+        chunks, held = [], []
+        for piece in pieces:
+            n = chunking.count_tokens(piece)
+            if held and sum(map(chunking.count_tokens, held)) + n > size:
+                chunks.append(" ".join(held))
+                while held and (sum(map(chunking.count_tokens, held)) > overlap or sum(map(chunking.count_tokens, held)) + n > size):
+                    held.pop(0)
+            held.append(piece)
+        return chunks + ([" ".join(held)] if held else [])
+
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choice(["ab", "c d", "é. ", "\n", "\n\n", " ", " ", "word\u00a0x", "? ", "longer"]) for _ in range(n))
+    texts = [(i, make(rng.randrange(0, 90))) for i in range(60)] + [(100, None), (101, " \n"), (102, "x" * 40)]
+    docs = spark.createDataFrame(texts, "doc_id int, content string").coalesce(1)
+    monkeypatch.setattr(chunking, "WINDOWS", 3)
+    for size, overlap in ((1, 0), (6, 0), (9, 4)):
+        made = chunking.chunk(docs, "recursive", size=size, overlap=overlap)
+        assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+        wanted = {i: [c for c in map(str.strip, walk(chunking.split_recursively(t, size), size, overlap)) if c] for i, t in texts if t and t.strip()}
+        found = {}
+        for r in made.orderBy("doc_id", "chunk_index").collect():
+            found.setdefault(r.doc_id, []).append(r.content)
+            assert (r.token_count, r.char_count, r.end_char) == (chunking.count_tokens(r.content), len(r.content), r.start_char + r.char_count)
+        assert found == wanted
