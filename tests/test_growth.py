@@ -184,3 +184,22 @@ def test_merged_chunks_are_made_in_arrow_batches(spark, monkeypatch):
             found.setdefault(r.doc_id, []).append(r.content)
             assert (r.token_count, r.char_count, r.end_char) == (chunking.count_tokens(r.content), len(r.content), r.start_char + r.char_count)
         assert found == wanted
+
+
+def test_no_task_hashes_more_than_its_turn(spark):
+    """The chain over all contents is carried on by tasks that read one range each."""
+    import hashlib
+
+    from millrace.functions import hashing
+
+    rng = random.Random(5)
+    rows = [(None if i % 50 == 0 else f"n{rng.randrange(80):02d}", None if i % 31 == 0 else "é" * rng.randrange(0, 40) + str(rng.randrange(9))) for i in range(300)] + [("n40", "same")] * 100
+    docs = spark.createDataFrame(rows, "name string, content string").repartition(3)
+    key = lambda r: tuple((x is not None, (x or "").encode()) for x in r)
+    wanted = hashlib.sha256("".join(c or "" for _, c in sorted(rows, key=key)).encode()).hexdigest()
+    for turn in (1 << 20, 2000, 300):
+        found = hashing.dataset_hash(docs, "name", "content", turn=turn)
+        assert [r.content_hash for r in found.collect()] == [wanted]
+    # the last task reads its own range only
+    read = spark.read.parquet(*found.inputFiles()).agg(F.sum(F.octet_length("content"))).first()[0]
+    assert read < sum(len((c or "").encode()) for _, c in rows) / 4
