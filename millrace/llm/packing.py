@@ -31,6 +31,7 @@ import base64
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -55,6 +56,12 @@ _SPECIAL = "<|endoftext|>"
 #: Text for which the rank file's pattern and the tokenizer's agree on letters, digits and white space.
 _ODD = re.compile("[^\x00-\x1b\x20-ɏ‐-‧‰-⁞₠-₿]")
 
+_GAP = re.compile(r"\s\s")
+#: How the pattern ends: a run of white space leaves its last character to what follows.
+_RUNS = r"\s+(?!\S)|\s+"
+#: Characters of a text whose ids may be a list of Python's numbers first, which is faster.
+LONG = 1 << 20
+
 
 def odd(text: str) -> bool:
     """Whether ``_ODD`` finds anything; most texts are settled by their highest code point."""
@@ -93,19 +100,19 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 class Tokenizer:
-    """Ids of the JSON vocabulary; the rank file of the same vocabulary serves ordinary text faster, with equal ids."""
+    """Ids of the JSON vocabulary; the rank file of the same vocabulary serves ordinary text faster, with equal ids.
+
+    Without two white spaces in a row the pattern needs no look-ahead, which makes it a plain automaton.
+    """
 
     def __init__(self, vocabulary: str, ranks: str | None):
         self.vocabulary = vocabulary
         self.full = None
-        self.fast = None
+        self.ranks = None
+        self.made = {}
         if ranks and os.path.exists(ranks):
-            import public_tokenizers
-            import tiktoken
-
             with open(ranks, "rb") as lines:
-                table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+                self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
     def _whole(self, text: str) -> np.ndarray:
         if self.full is None:
@@ -114,10 +121,25 @@ class Tokenizer:
             self.full = Full.from_file(self.vocabulary)
         return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
+    def fast(self, plain: bool):
+        """The encoding by ranks, made when it is first needed."""
+        if plain not in self.made:
+            import public_tokenizers
+            import tiktoken
+
+            pattern = public_tokenizers.PATTERN
+            if plain and pattern.endswith(_RUNS):
+                pattern = pattern.removesuffix(_RUNS) + r"\s"
+            self.made[plain] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+        return self.made[plain]
+
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is None or _SPECIAL in text or odd(text):
+        if self.ranks is None or _SPECIAL in text or odd(text):
             return self._whole(text)
-        return self.fast.encode_to_numpy(text)
+        encoding = self.fast(_GAP.search(text) is None)
+        if len(text) > LONG:
+            return encoding.encode_to_numpy(text)
+        return np.frombuffer(array("I", encoding.encode_ordinary(text)), dtype=np.uint32)
 
 
 @lru_cache(maxsize=2)
@@ -133,7 +155,7 @@ def _projection(rows: int, dims: int) -> np.ndarray:
 
 def mean_vector(ids: np.ndarray, dims: int = DIMS) -> np.ndarray:
     """A document's hashed vector: the mean of its tokens' projections."""
-    return _projection(1 << 16, dims)[ids & 0xFFFF].mean(axis=0) if len(ids) else np.zeros(dims)
+    return _projection(1 << 16, dims).take(ids & 0xFFFF, axis=0).mean(axis=0) if len(ids) else np.zeros(dims)
 
 
 def curve_keys(vectors: np.ndarray, bits: int = BITS) -> np.ndarray:

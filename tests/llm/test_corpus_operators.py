@@ -402,6 +402,23 @@ def test_fast_and_full_ids_agree():
         assert one.ids(text).tolist() == other.ids(text).tolist(), repr(text)
 
 
+def test_ids_without_runs_of_white_space_need_no_look_ahead(monkeypatch):
+    one = packing.Tokenizer(vocabulary(), vocabulary("byte_bpe_50k.tiktoken"))
+    other = packing.Tokenizer(vocabulary(), None)
+    random.seed(9)
+    parts = ["we're", "x'll", " ", "\n", "\t", "\u00a0", "12", "(a)", "\u2003", "\u00e9t\u00e9", "..."]
+    for long in (packing.LONG, 8):
+        monkeypatch.setattr(packing, "LONG", long)
+        for n in range(300):
+            words = [random.choice(parts) for _ in range(random.randint(0, 9))]
+            if n % 2:
+                words = [w for i, w in enumerate(words) if w.strip() or i and words[i - 1].strip()]
+            text = "".join(words)
+            assert one.ids(text).tolist() == other.ids(text).tolist(), repr(text)
+    assert set(one.made) == {True, False}
+    assert "?!" not in one.made[True]._pat_str and "?!" in one.made[False]._pat_str
+
+
 # sharding
 
 
