@@ -157,11 +157,22 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [(w >> np.uint64(16)).astype("<u4") for w in whole]
         signs = [np.sort(order_minhash(kmers(w)).view(np.int64)).tobytes() for w in whole]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(f) for f in found], pa.int32()), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(signs, pa.binary())],
-            names=["key", "n", "words", "signs"],
+            [
+                batch.column(0),
+                pa.array([len(f) for f in found], pa.int32()),
+                pa.array([f.tobytes() for f in found], pa.binary()),
+                pa.array(signs, pa.binary()),
+                pa.array([_histogram(f) for f in found], pa.binary()),
+            ],
+            names=["key", "n", "words", "signs", "bins"],
         )
 
 
+def _histogram(words: np.ndarray) -> bytes:
+    count = np.bincount(words % BINS, minlength=BINS)
+    return count.astype("<u2" if count.max() < 1 << 16 else "<u4").tobytes()
+
+
 def distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """The edit distance of two word sequences if it is at most ``most``, else some number above.
 
@@ -345,17 +356,8 @@ def _linked(similarity: float):
     return run
 
 
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = []
-        for words in batch.column("words"):
-            count = np.bincount(np.frombuffer(words.as_py(), "<u4") % BINS, minlength=BINS)
-            counts.append(count.astype("<u2" if len(count) == 0 or count.max() < 1 << 16 else "<u4").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(counts, pa.binary())], names=["key", "bins"])
-
-
-def _blocked(rows: DataFrame, hot: Hot, similarity: float, *payload: str) -> DataFrame:
-    """Deal a bucket's rows, which have the ``salt`` of ``hot``, to pairs of blocks.
+def _blocked(rows: DataFrame, hot: Hot, texts: DataFrame, similarity: float, *payload: str) -> DataFrame:
+    """Deal a bucket's rows, which have the ``salt`` of ``hot``, to pairs of blocks, with what ``texts`` have.
 
     Blocks are cut within bands of length, such that similar texts lie in the same band or in neighbouring ones.
     A row goes to every pair of blocks that it may find a partner in.
@@ -383,28 +385,29 @@ def _blocked(rows: DataFrame, hot: Hot, similarity: float, *payload: str) -> Dat
     own = pairs(0, lambda s: pair(here, F.least(sub, s), here, F.greatest(sub, s)))
     above = pairs(1, lambda s: pair(here, sub, here + 1, s))
     below = pairs(-1, lambda s: pair(here - 1, s, here, sub))
+    rows = rows.join(texts.select("key", "bins", "signs", *payload), "key")
     dealt = rows.withColumn("to", F.explode(F.concat(own, above, below)))
     dealt = dealt.select("bucket", "to.lo", "to.a", "to.hi", "to.b", "band", "sub", "key", "root", "n", "bins", "signs", *payload)
     where = ["bucket", "lo", "a", "hi", "b"]
     return dealt.repartition(*where).sortWithinPartitions(*where)
 
 
-def _apart(members: DataFrame, hot: Hot, texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Links between texts that share a bucket but not yet a component.
+def _apart(members: DataFrame, hot: Hot, texts: DataFrame, tied: DataFrame, similarity: float) -> DataFrame:
+    """Links between texts that share a bucket and aren't known to be of a component.
 
-    A first pass over small signatures finds the texts that may have such a link in a bucket at all;
-    a second pass over those texts' words aligns their pairs.
+    Texts with the same least ``root`` in ``tied`` are.  A first pass over small signatures finds the texts that may
+    have such a link in a bucket at all; a second pass over those texts' words aligns their pairs.
     """
-    placed = members.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "salt", "key", F.coalesce("root", "key").alias("root"))
+    roots = tied.groupBy("node").agg(F.min("root").alias("root"))
+    known = texts.select("key", "n").join(roots, F.col("key") == F.col("node"), "left").select("key", "n", F.coalesce("root", "key").alias("root"))
+    placed = members.join(known, "key").select("bucket", "salt", "key", "root", "n")
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    bins = texts.mapInArrow(_histogram, "key binary, bins binary")
-    small = texts.drop("words").join(bins, "key")
-    rows = placed.join(hot.repeat(split), ["bucket", "salt"]).join(small, "key")
-    hopeful = _blocked(rows, hot, similarity).mapInArrow(_promising(similarity), "bucket long, key binary").distinct()
+    rows = materialize(placed.join(hot.repeat(split), ["bucket", "salt"]), "near-split")
+    hopeful = _blocked(rows, hot, texts, similarity).mapInArrow(_promising(similarity), "bucket long, key binary").distinct()
     hopeful = materialize(hopeful, "near-hopeful")
-    again = placed.join(hopeful, ["bucket", "key"]).join(small, "key").join(texts.select("key", "words"), "key")
-    links = materialize(_blocked(again, hot, similarity, "words").mapInArrow(_linked(similarity), "a binary, b binary"), "near-apart")
-    discard(members.sparkSession, hopeful)
+    again = rows.join(hopeful, ["bucket", "key"])
+    links = materialize(_blocked(again, hot, texts, similarity, "words").mapInArrow(_linked(similarity), "a binary, b binary"), "near-apart")
+    discard(members.sparkSession, rows, hopeful)
     return links
 
 
@@ -420,13 +423,14 @@ def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -
     members = materialize(members, "near-members")
     wanted = members.select("key").distinct()
     # copies go before the texts are moved for the join
-    texts = keyed.dropDuplicates(["key"]).join(wanted, "key", "left_semi").mapInArrow(_words, "key binary, n int, words binary, signs binary")
+    texts = keyed.dropDuplicates(["key"]).join(wanted, "key", "left_semi").mapInArrow(_words, "key binary, n int, words binary, signs binary, bins binary")
     texts = materialize(texts, "near-texts")
     fame = members.groupBy("key").agg(F.sum("size").alias("fame"))
     hubs = members.join(fame, "key").groupBy("bucket").agg(F.max(F.struct("fame", "key")).alias("hub"))
     pairs = members.join(hot.repeat(hubs), ["bucket", "salt"]).select(F.col("hub.key").alias("a"), F.col("key").alias("b")).where("a <> b").distinct()
     found = _verify(pairs, texts, similarity)
-    first = components(found)
+    # what is still to be tied after two rounds costs the next stage some pairs, and the last rounds finish it
+    first = components(found, rounds=2)
     more = _apart(members, hot, texts, first, similarity)
     roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     # the result is a table of its own; nothing reads these any more

@@ -137,6 +137,39 @@ def test_components(spark, monkeypatch, share):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few, most", [(graph.FEW, 800), (100, 900)])
+def test_small_components_take_few_tasks_of_many_partitions(spark, monkeypatch, few, most):
+    monkeypatch.setattr(graph, "FEW", few)
+    edges = [(i % 2, 10 + i // 2) for i in range(600)] + [(1000 + i, 1001 + i) for i in range(8)]
+    given = spark.createDataFrame(edges, "a long, b long")
+    held = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    sc = spark.sparkContext
+    sc.setJobGroup(f"components-{few}", "counted")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = graph.components(given)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker = sc.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(f"components-{few}") for s in tracker.getJobInfo(job).stageIds}
+    tasks = sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+    assert {(r.node, r.root) for r in found.collect()} == {(1, 0)} | {(10 + i, 0) for i in range(300)} | {(1001 + i, 1000) for i in range(8)}
+    assert 0 < tasks < most, tasks
+
+
+def test_edges_after_some_rounds_have_the_same_components(spark):
+    given = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(i, i + 1) for i in range(100, 110)], "a long, b long")
+    some = graph.components(given, rounds=1)
+    assert some.groupBy("node").agg(F.min("root").alias("root")).select("root").distinct().count() > 2
+    found = graph.components(some.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    assert {(r.node, r.root) for r in found.collect()} == {(i, 0) for i in range(1, 41)} | {(i, 100) for i in range(101, 111)}
+
+
 def test_hot_keys_are_dealt_and_none_is_lost(spark, monkeypatch):
     monkeypatch.setattr(skew, "SHARE", 10)
     rows = spark.createDataFrame([(1, i) for i in range(1000)] + [(2, i) for i in range(9)] + [(3, 0)], "k int, x int")
