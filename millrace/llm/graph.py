@@ -15,21 +15,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.skew import Hot
-from millrace.storage import discard, materialize
+from millrace.storage import discard, gather, materialize
 
 
 #: Edges that one task may well join.
 FEW = 1 << 12
 
 
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None, most: int | None = None) -> DataFrame:
     """``edges`` (a, b) to ``node`` and ``root``: each node but the least of its component, which is the root.
 
     An empty edge table gives an empty result; repeated edges and loops don't matter.  After ``rounds``, if that is
     given, the edges are returned as they are then: they have the same components, but a node may be in several rows,
-    and what it is tied to may be tied to something less.
+    and what it is tied to may be tied to something less.  ``most`` says how many edges there are at most, if known.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    now = materialize(now if most is None else gather(now, most, FEW), "edges")
     rows, hung, done = now.count(), True, 0
     while rows and done != rounds:
         # large star: larger neighbours of a node are tied to the least of all its neighbours and itself
@@ -61,14 +62,10 @@ def _each(rows: DataFrame, *made: Column) -> DataFrame:
     return rows.select(F.inline(F.array(*made)))
 
 
-def _tasks(rows: int) -> int:
-    return -(-rows // max(FEW, 1)) or 1
-
-
 def _distinct(edges: DataFrame, most: int) -> DataFrame:
     """The distinct edges of at most ``most``, written down; ``changed`` if any of the equal ones was."""
     found = edges.groupBy("u", "v").agg(F.max("changed").alias("changed"))
-    return materialize(found.coalesce(_tasks(most)), "edges")
+    return materialize(gather(found, most, FEW), "edges")
 
 
 def _tied(edges: DataFrame, least: Column, most: int) -> DataFrame:
@@ -77,4 +74,4 @@ def _tied(edges: DataFrame, least: Column, most: int) -> DataFrame:
     tied = ends.select("u", least.alias("m"))
     if most <= FEW:
         return edges.join(tied, "u")
-    return Hot(ends.select("u", "n").coalesce(_tasks(most)), "u", "n").join(edges, tied, F.col("v"))
+    return Hot(gather(ends.select("u", "n"), most, FEW), "u", "n").join(edges, tied, F.col("v"))

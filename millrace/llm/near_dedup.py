@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
 from millrace.llm.skew import Hot
-from millrace.storage import discard, materialize
+from millrace.storage import discard, gather, materialize
 
 K = 5
 SIMILARITY = 0.8
@@ -59,6 +59,8 @@ SKETCHES = 32
 PICKED = 2
 BLOCK = 512
 BINS = 256
+#: Texts, or pairs of them, that one task may well read and align.
+TEXTS = 1 << 10
 _MASK = (1 << 64) - 1
 _CACHE = 1 << 18
 
@@ -246,12 +248,12 @@ def _aligned(similarity: float):
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar, written down; ``a`` may be in any number of them."""
+    """The pairs (a, b), a table, whose texts are similar, written down; ``a`` may be in any number of them."""
     side = lambda x: texts.select(F.col("key").alias(x), F.col("words").alias(f"{x}_words"))
-    pairs = materialize(pairs, "near-pairs")
     hot = Hot(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a", "n")
     both = hot.join(pairs.join(side("b"), "b"), side("a"), F.col("b")).select("a", "b", "a_words", "b_words")
-    found = materialize(both.mapInArrow(_aligned(similarity), "a binary, b binary"), "near-links")
+    found = both.mapInArrow(_aligned(similarity), "a binary, b binary")
+    found = materialize(gather(found, pairs.count(), TEXTS), "near-links")
     discard(pairs.sparkSession, pairs)
     return found
 
@@ -402,9 +404,10 @@ def _apart(members: DataFrame, hot: Hot, texts: DataFrame, tied: DataFrame, simi
     known = texts.select("key", "n").join(roots, F.col("key") == F.col("node"), "left").select("key", "n", F.coalesce("root", "key").alias("root"))
     placed = members.join(known, "key").select("bucket", "salt", "key", "root", "n")
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    rows = materialize(placed.join(hot.repeat(split), ["bucket", "salt"]), "near-split")
+    most = members.count()
+    rows = materialize(gather(placed.join(hot.repeat(split), ["bucket", "salt"]), most), "near-split")
     hopeful = _blocked(rows, hot, texts, similarity).mapInArrow(_promising(similarity), "bucket long, key binary").distinct()
-    hopeful = materialize(hopeful, "near-hopeful")
+    hopeful = materialize(gather(hopeful, most), "near-hopeful")
     again = rows.join(hopeful, ["bucket", "key"])
     links = materialize(_blocked(again, hot, texts, similarity, "words").mapInArrow(_linked(similarity), "a binary, b binary"), "near-apart")
     discard(members.sparkSession, rows, hopeful)
@@ -416,23 +419,26 @@ def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -
     keyed = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
     sketches = keyed.mapInArrow(_sketch, "key binary, buckets array<bigint>").dropDuplicates(["key"])
     sketches = materialize(sketches, "near-sketches")
+    nodes = sketches.count()
     all_members = sketches.select(F.explode("buckets").alias("bucket"), "key")
-    shared = materialize(all_members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
+    shared = all_members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialize(gather(shared, nodes * SKETCHES), "near-buckets")
     hot = Hot(shared, "bucket", "size")
     members = hot.salt(all_members, F.col("key")).join(hot.repeat(shared), ["bucket", "salt"])
-    members = materialize(members, "near-members")
+    members = materialize(gather(members, nodes * SKETCHES), "near-members")
     wanted = members.select("key").distinct()
     # copies go before the texts are moved for the join
     texts = keyed.dropDuplicates(["key"]).join(wanted, "key", "left_semi").mapInArrow(_words, "key binary, n int, words binary, signs binary, bins binary")
-    texts = materialize(texts, "near-texts")
+    texts = materialize(gather(texts, nodes, TEXTS), "near-texts")
     fame = members.groupBy("key").agg(F.sum("size").alias("fame"))
     hubs = members.join(fame, "key").groupBy("bucket").agg(F.max(F.struct("fame", "key")).alias("hub"))
     pairs = members.join(hot.repeat(hubs), ["bucket", "salt"]).select(F.col("hub.key").alias("a"), F.col("key").alias("b")).where("a <> b").distinct()
-    found = _verify(pairs, texts, similarity)
+    found = _verify(materialize(gather(pairs, members.count()), "near-pairs"), texts, similarity)
     # what is still to be tied after two rounds costs the next stage some pairs, and the last rounds finish it
-    first = components(found, rounds=2)
+    first = components(found, rounds=2, most=found.count())
     more = _apart(members, hot, texts, first, similarity)
-    roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+    roots = components(edges, most=edges.count())
     # the result is a table of its own; nothing reads these any more
     discard(docs.sparkSession, sketches, shared, members, texts, found, first, more)
     return roots
@@ -448,7 +454,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     named = per_key.groupBy("class_key").agg(F.min("least").alias("class_id"), F.sum("docs").alias("class_docs"), F.count(F.lit(1)).alias("keys"))
     hot = Hot(named, "class_key", "keys")
     known = hot.join(per_key.select("text_key", "class_key"), named.drop("keys"), F.col("text_key"))
-    known, many = materialize(known, "near-classes"), Hot(per_key, "text_key", "docs")
+    known, many = materialize(gather(known, per_key.count()), "near-classes"), Hot(per_key, "text_key", "docs")
     discard(docs.sparkSession, per_key, roots)
     return known, many
 

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import storage
 from millrace.llm import graph, mixing, near_dedup, packing, sharding, skew, topk
 from millrace.llm.queries import vocabulary
 
@@ -93,6 +94,31 @@ def test_classes_match_brute_force(spark, monkeypatch, block, share):
     assert [got[i] for i in range(len(texts))] == naive_classes(texts)
 
 
+def test_small_tables_are_few_files_at_many_partitions(spark, monkeypatch):
+    texts, files = near_texts(), {}
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], SCHEMA)
+
+    def counted(table, tag):
+        out = storage.materialize(table, tag)
+        files[tag] = max(files.get(tag, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    monkeypatch.setattr(graph, "materialize", counted)
+    held = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.class_id for r in near_dedup.label(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [got[i] for i in range(len(texts))] == naive_classes(texts)
+    small = ["buckets", "members", "texts", "pairs", "links", "split", "hopeful", "classes"]
+    assert all(files[f"near-{tag}"] <= 1 for tag in small) and files["edges"] <= 1, files
+
+
 @pytest.mark.parametrize("spaced, low, high", [(True, 0, 0), (False, 0.6, 0.76)])
 def test_recall_at_the_limit_of_similarity_is_as_the_readme_says(spaced, low, high):
     rng, met = np.random.default_rng(8), 0
