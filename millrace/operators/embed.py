@@ -33,12 +33,12 @@ def provider(name: str, **options) -> Callable[[Column], Column]:
         raise ValueError(f"unknown embedding provider {name!r}; known: {sorted(_PROVIDERS)}") from None
 
 
-def shingle_hashes(texts: DataFrame, key: str, text: str, dimension: int = 384, compose: bool = True) -> DataFrame:
+def shingle_hashes(texts: DataFrame, key: str, text: str, dimension: int = 384, compose: bool = True, blank: bool = True) -> DataFrame:
     """Sparse hash projection: (key, idx, value) with L2 norm 1 per key.
 
     Shingles are the three characters from each position of a token, shorter at its end.  The MD5 of a shingle, as a
     128-bit number, gives the place (modulo ``dimension``) and the sign (bit 16).  A text without shingles, or whose
-    signs cancel everywhere, is the first unit vector.
+    signs cancel everywhere, is the first unit vector; with ``blank`` off it has no rows.
 
     Texts are dealt by their keys and taken apart there, so that shingles and sums are neither shuffled nor joined; a
     null among a text's shingles stands for the text itself.
@@ -47,7 +47,8 @@ def shingle_hashes(texts: DataFrame, key: str, text: str, dimension: int = 384,
     texts = texts.select(key, (nfkc(body) if compose else body).alias("body__")).repartition(key)
     tokens = fields(F.col("body__"))
     parts = F.flatten(F.transform(tokens, lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(t, i, F.lit(3)))))
-    parts = F.concat(F.coalesce(parts, F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
+    if blank:
+        parts = F.concat(F.coalesce(parts, F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
     shingles = texts.select(key, F.explode(parts).alias("shingle")).groupBy(key, "shingle").agg(F.count(F.lit(1)).alias("times"))
     digest = F.md5("shingle")
     place = F.lit(0).cast("long")
@@ -60,8 +61,8 @@ def shingle_hashes(texts: DataFrame, key: str, text: str, dimension: int = 384,
     own = F.col("idx").isNotNull()
     square = F.sum(F.when(own, F.col("signed") * F.col("signed")).otherwise(0)).over(Window.partitionBy(key))
     cell = F.struct(F.col("idx"), (F.col("signed") / F.sqrt(F.col("square").cast("double"))).alias("value"))
-    blank = F.struct(F.lit(0).cast("long").alias("idx"), F.lit(1.0).alias("value"))
-    rows = F.when(own & (F.col("signed") != 0), F.array(cell)).when(~own & (F.col("square") == 0), F.array_repeat(blank, F.abs("signed").cast("int")))
+    unit = F.struct(F.lit(0).cast("long").alias("idx"), F.lit(1.0).alias("value"))
+    rows = F.when(own & (F.col("signed") != 0), F.array(cell)).when(~own & (F.col("square") == 0), F.array_repeat(unit, F.abs("signed").cast("int")))
     return sums.withColumn("square", square).select(key, F.inline(rows))
 
 
